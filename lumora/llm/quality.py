@@ -105,13 +105,13 @@ def _fit(pos: np.ndarray, unl: np.ndarray, size: int, prior: float | None, l2: f
             g = -g_neg if negative < 0 else prior * grad(pos, up_p) + g_neg
         g = g + l2 * np.append(w[:-1], 0.0)
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        w = w - 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+        w = w - 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
     return w
 
 
 def estimate_prior(pos: np.ndarray, unl: np.ndarray, size: int, delta: float = 0.1) -> float:
     """Share of positives among unlabelled rows: fit on the even rows, bound on the odd rows."""
-    w = _fit(pos[::2], unl[::2], size, None, 1e-3, 150)
+    w = _fit(pos[::2], unl[::2], size, None, 1e-5, 500)
     zp, zu = (np.sort(w[x[1::2]].sum(1)) for x in (pos, unl))
     if not len(zp) or not len(zu):
         return 0.5
@@ -137,7 +137,7 @@ def _sample(rows: DataFrame, id_col: str, text_col: str, most: int, count: int)
     return np.array([np.frombuffer(x) for x in got["stats"].to_pylist()]).reshape(len(got), len(STATS))
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", keep: Column | None = None, positives: int = 4000, unlabelled: int = 8000, bins: int = 24, l2: float = 1e-4, rounds: int = 400) -> QualityModel:
+def fit_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", keep: Column | None = None, positives: int = 4000, unlabelled: int = 8000, bins: int = 24, l2: float = 1e-5, rounds: int = 600) -> QualityModel:
     """Fit on about ``positives`` trusted and ``unlabelled`` other texts; ``keep``: a condition on ids to learn from."""
     small_batches(docs.sparkSession)
     trusted = labels.where((F.col(label_col) == 1) & F.col(id_col).isNotNull())

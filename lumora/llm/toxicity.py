@@ -56,7 +56,7 @@ def _features(docs: DataFrame, picked: DataFrame, id_col: str, text_col: str, or
     return rows.mapInArrow(run, f"_id {kind}, _y int, ids binary").toArrow()
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", keep: Column | None = None, per_class: int = 3000, orders: tuple[int, ...] = (2, 3, 4, 5), bits: int = 18, alpha: float = 1.0, l2: float = 1e-4) -> ToxicityModel:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", keep: Column | None = None, per_class: int = 3000, orders: tuple[int, ...] = (3, 4, 5, 6), bits: int = 20, alpha: float = 1.0, least_df: int = 4, l2: float = 1e-3) -> ToxicityModel:
     """Fit on at most ``2 * per_class`` labelled documents. ``keep``: a condition on the labels' rows to learn from."""
     small_batches(docs.sparkSession)
     picked = sample_labels(labels if keep is None else labels.where(keep), id_col, label_col, per_class)
@@ -72,9 +72,11 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id",
     starts = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int64)
     ids = np.concatenate(lists).astype(np.int64)
     of = np.repeat(y, np.diff(starts))
-    p, q = alpha + np.bincount(ids, of, size), alpha + np.bincount(ids, 1 - of, size)
+    p, q = np.bincount(ids, of, size), np.bincount(ids, 1 - of, size)
     n1, n0 = y.sum(), (1 - y).sum()
-    ratio = np.log((p / (n1 + 2 * alpha)) / (q / (n0 + 2 * alpha)))
+    ratio = np.log(((p + alpha) / (n1 + 2 * alpha)) / ((q + alpha) / (n0 + 2 * alpha)))
+    if len(y) > 10 * least_df:
+        ratio[p + q < least_df] = 0.0  # too rare to tell
     weight = np.where(y == 1, 0.5 / n1, 0.5 / n0) * len(y)
     w, bias = fit_sparse_logistic(ids, starts, ratio[ids], y, weight, size, l2)
     return ToxicityModel(w * ratio, bias, orders, bits, {"rows": len(y), "positives": int(n1)})
