@@ -56,29 +56,35 @@ def _features(docs: DataFrame, picked: DataFrame, id_col: str, text_col: str, or
     return rows.mapInArrow(run, f"_id {kind}, _y int, ids binary").toArrow()
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", keep: Column | None = None, per_class: int = 3000, orders: tuple[int, ...] = (3, 4, 5, 6), bits: int = 20, alpha: float = 1.0, least_df: int = 4, l2: float = 1e-3) -> ToxicityModel:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", keep: Column | None = None, per_class: int = 1500, orders: tuple[int, ...] = (3, 4, 5, 6), bits: int = 20, alpha: float = 1.0, least_df: int = 4, least_ratio: float = 0.25, l2: float = 1e-3) -> ToxicityModel:
     """Fit on at most ``2 * per_class`` labelled documents. ``keep``: a condition on the labels' rows to learn from."""
     small_batches(docs.sparkSession)
     picked = sample_labels(labels if keep is None else labels.where(keep), id_col, label_col, per_class)
     got = _features(docs, picked, id_col, text_col, orders, bits)
     order = np.argsort(got["_id"].to_numpy(), kind="stable") if len(got) else np.empty(0, int)
     y = got["_y"].to_numpy()[order].astype(float) if len(got) else np.empty(0)
-    lists = [np.frombuffer(x, np.int32) for x in got["ids"].to_pylist()]
-    lists = [lists[i] for i in order]
     size = 1 << bits
     if len(set(y)) < 2:
         share = float(y.mean()) if len(y) else 0.0
         return ToxicityModel(np.zeros(size), float(np.log(max(share, 1e-9) / max(1 - share, 1e-9))), orders, bits, {"rows": len(y)})
-    starts = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int64)
-    ids = np.concatenate(lists).astype(np.int64)
-    of = np.repeat(y, np.diff(starts))
-    p, q = np.bincount(ids, of, size), np.bincount(ids, 1 - of, size)
-    n1, n0 = y.sum(), (1 - y).sum()
-    ratio = np.log(((p + alpha) / (n1 + 2 * alpha)) / ((q + alpha) / (n0 + 2 * alpha)))
+    lists = got["ids"].take(pa.array(order)).to_pylist()
+    del got
+    count = np.zeros((2, size), np.int32)
+    for label, x in zip(y.astype(int), lists, strict=True):
+        count[label, np.frombuffer(x, np.int32)] += 1  # ids of a text are distinct
+    n0, n1 = (y == 0).sum(), (y == 1).sum()
+    ratio = np.log(((count[1] + alpha) / (n1 + 2 * alpha)) / ((count[0] + alpha) / (n0 + 2 * alpha)))
+    ratio[np.abs(ratio) < least_ratio] = 0.0  # as common in both classes
     if len(y) > 10 * least_df:
-        ratio[p + q < least_df] = 0.0  # too rare to tell
+        ratio[count.sum(0) < least_df] = 0.0  # too rare to tell
+    for i, x in enumerate(lists):
+        x = np.frombuffer(x, np.int32)
+        lists[i] = x[ratio[x] != 0]
+    starts = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int64)
+    ids = np.concatenate(lists)
+    del lists
     weight = np.where(y == 1, 0.5 / n1, 0.5 / n0) * len(y)
-    w, bias = fit_sparse_logistic(ids, starts, ratio[ids], y, weight, size, l2)
+    w, bias = fit_sparse_logistic(ids, starts, ratio[ids].astype(np.float32), y, weight, size, l2)
     return ToxicityModel(w * ratio, bias, orders, bits, {"rows": len(y), "positives": int(n1)})
 
 
