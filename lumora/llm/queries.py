@@ -7,10 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumora.llm.bpe import Tokenizer, build_lexicon, encode
 from lumora.llm.common import fold, table
 from lumora.llm.language import fit_language, predict_language
 from lumora.llm.quality import fit_quality, score_quality
 from lumora.llm.toxicity import fit_toxicity, score_toxicity
+from lumora.llm.urls import Rule, fit_urls, judge_urls
+
+URL_RULES = [Rule("org", "/", "allow"), Rule("example.org", "/es/", "block"), Rule("example.org", "/en/1", "block"), Rule("com", "/fr/", "allow"), Rule("com", "/de/", "block")]
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,8 +43,20 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(docs, model).select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    tok = Tokenizer.load(tokenizer_path())
+    rows = encode(docs, tok, build_lexicon(docs, tok), outputs=("n_tokens", "ids_text", "decoded"))
+    return rows.select("doc_id", "n_tokens", F.sha2("ids_text", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return judge_urls(pages, URL_RULES, fit_urls(pages, URL_RULES))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_toxicity": op1_toxicity, "op3_language": op3_language, "op4_quality": op4_quality}
+    return {"op1_toxicity": op1_toxicity, "op3_language": op3_language, "op4_quality": op4_quality, "op6_bpe": op6_bpe, "op10_urls": op10_urls}
 
 
 def oracle_sql() -> dict[str, str]:
