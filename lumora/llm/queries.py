@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lumora.llm.bpe import Tokenizer, build_lexicon, encode
 from lumora.llm.common import fold, table
+from lumora.llm.decontaminate import find_leaks
 from lumora.llm.language import fit_language, predict_language
 from lumora.llm.quality import fit_quality, score_quality
 from lumora.llm.toxicity import fit_toxicity, score_toxicity
@@ -43,6 +44,10 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(docs, model).select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", "text"))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     tok = Tokenizer.load(tokenizer_path())
@@ -56,7 +61,7 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_toxicity": op1_toxicity, "op3_language": op3_language, "op4_quality": op4_quality, "op6_bpe": op6_bpe, "op10_urls": op10_urls}
+    return {"op1_toxicity": op1_toxicity, "op3_language": op3_language, "op4_quality": op4_quality, "op5_decontaminate": op5_decontaminate, "op6_bpe": op6_bpe, "op10_urls": op10_urls}
 
 
 def oracle_sql() -> dict[str, str]:
