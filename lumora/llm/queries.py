@@ -13,6 +13,7 @@ from lumora.llm.decontaminate import find_leaks
 from lumora.llm.language import fit_language, predict_language
 from lumora.llm.quality import fit_quality, score_quality
 from lumora.llm.toxicity import fit_toxicity, score_toxicity
+from lumora.llm import warc
 from lumora.llm.urls import Rule, fit_urls, judge_urls
 
 URL_RULES = [Rule("org", "/", "allow"), Rule("example.org", "/es/", "block"), Rule("example.org", "/en/1", "block"), Rule("com", "/fr/", "allow"), Rule("com", "/de/", "block")]
@@ -55,14 +56,18 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_tokens", F.sha2("ids_text", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.derive(warc.responses(table(spark, sf_dir, "pages").select("page_id", "url", "html")))
+
+
 def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return judge_urls(pages, URL_RULES, fit_urls(pages, URL_RULES))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_toxicity": op1_toxicity, "op3_language": op3_language, "op4_quality": op4_quality, "op5_decontaminate": op5_decontaminate, "op6_bpe": op6_bpe, "op10_urls": op10_urls}
+    return {"op1_toxicity": op1_toxicity, "op3_language": op3_language, "op4_quality": op4_quality, "op5_decontaminate": op5_decontaminate, "op6_bpe": op6_bpe, "op9_warc": op9_warc, "op10_urls": op10_urls}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_warc": warc.oracle()}
