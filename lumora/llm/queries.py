@@ -7,22 +7,23 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumora.llm import warc
 from lumora.llm.bpe import Tokenizer, build_lexicon, encode
 from lumora.llm.common import fold, table
 from lumora.llm.decontaminate import find_leaks
 from lumora.llm.language import fit_language, predict_language
+from lumora.llm.lm import Vocabulary, score_texts
 from lumora.llm.quality import fit_quality, score_quality
 from lumora.llm.toxicity import fit_toxicity, score_toxicity
-from lumora.llm import warc
 from lumora.llm.urls import Rule, fit_urls, judge_urls
 
 URL_RULES = [Rule("org", "/", "allow"), Rule("example.org", "/es/", "block"), Rule("example.org", "/en/1", "block"), Rule("com", "/fr/", "allow"), Rule("com", "/de/", "block")]
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("word_bpe_49k.json")
+    return public_tokenizers.path(name)
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,6 +57,12 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_tokens", F.sha2("ids_text", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op7_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = score_texts(docs, Vocabulary.load(tokenizer_path("piece_bpe_32k.model")), train=fold("doc_id", 10) != 0)
+    return rows.select("doc_id", (fold("doc_id", 10) == 0).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "lattice_score")
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.derive(warc.responses(table(spark, sf_dir, "pages").select("page_id", "url", "html")))
 
@@ -66,7 +73,7 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_toxicity": op1_toxicity, "op3_language": op3_language, "op4_quality": op4_quality, "op5_decontaminate": op5_decontaminate, "op6_bpe": op6_bpe, "op9_warc": op9_warc, "op10_urls": op10_urls}
+    return {"op1_toxicity": op1_toxicity, "op3_language": op3_language, "op4_quality": op4_quality, "op5_decontaminate": op5_decontaminate, "op6_bpe": op6_bpe, "op7_lm": op7_lm, "op9_warc": op9_warc, "op10_urls": op10_urls}
 
 
 def oracle_sql() -> dict[str, str]:
