@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumora.llm import warc
+from lumora.llm.ann import search
 from lumora.llm.bpe import Tokenizer, build_lexicon, encode
 from lumora.llm.common import fold, table
 from lumora.llm.decontaminate import find_leaks
@@ -33,6 +34,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(docs, model).select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op2_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("_id") % 20 == 0)
+
+
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = fit_language(docs, keep=fold("doc_id", 5) != 0)
@@ -73,7 +78,7 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_toxicity": op1_toxicity, "op3_language": op3_language, "op4_quality": op4_quality, "op5_decontaminate": op5_decontaminate, "op6_bpe": op6_bpe, "op7_lm": op7_lm, "op9_warc": op9_warc, "op10_urls": op10_urls}
+    return {"op1_toxicity": op1_toxicity, "op2_ann": op2_ann, "op3_language": op3_language, "op4_quality": op4_quality, "op5_decontaminate": op5_decontaminate, "op6_bpe": op6_bpe, "op7_lm": op7_lm, "op9_warc": op9_warc, "op10_urls": op10_urls}
 
 
 def oracle_sql() -> dict[str, str]:
