@@ -61,7 +61,8 @@ def compile_lexicon(entries: dict[bytes, list[int]]) -> bytes:
         first[s + 1] = len(label)
     ids = [entries[w] for w in order]
     ends = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.uint32)
-    arrays = [first, final, np.array(label, np.uint32), np.array(target, np.uint32), np.array(output, np.uint32), ends, np.array([i for x in ids for i in x], np.uint32)]
+    label += [0] * (-len(label) % 4)
+    arrays = [first, final, np.array(label, np.uint8).view(np.uint32), np.array(target, np.uint32), np.array(output, np.uint32), ends, np.array([i for x in ids for i in x], np.uint32)]
     head = np.array([_MAGIC, root, *map(len, arrays)], np.uint32)
     return b"".join(x.tobytes() for x in (head, *arrays))
 
@@ -74,10 +75,11 @@ class Lexicon:
         if view[0] != _MAGIC:
             raise ValueError("not a lexicon")
         self.root, at, parts = view[1], 9, []
+        self.data, self.labels = data, 4 * (9 + view[2] + view[3])  # labels are searched as bytes
         for n in view[2:9]:
             parts.append(view[at : at + n])
             at += n
-        self.first, self.final, self.label, self.target, self.output, self.ends, self.ids = parts
+        self.first, self.final, _, self.target, self.output, self.ends, self.ids = parts
 
     @classmethod
     def map(cls, path: str) -> Lexicon:
@@ -89,18 +91,11 @@ class Lexicon:
         return len(self.final)
 
     def get(self, word: bytes) -> list[int] | None:
-        first, label, s, rank = self.first, self.label, self.root, 0
-        for c in word:
-            lo, end = first[s], first[s + 1]
-            hi = end
-            while lo < hi:
-                mid = (lo + hi) >> 1
-                if label[mid] < c:
-                    lo = mid + 1
-                else:
-                    hi = mid
-            if lo == end or label[lo] != c:
+        first, target, output, find, base, s, rank = self.first, self.target, self.output, self.data.find, self.labels, self.root, 0
+        for k in range(len(word)):
+            at = find(word[k : k + 1], base + first[s], base + first[s + 1]) - base
+            if at < 0:
                 return None
-            rank += self.output[lo]
-            s = self.target[lo]
+            rank += output[at]
+            s = target[at]
         return list(self.ids[self.ends[rank] : self.ends[rank + 1]]) if self.final[s] else None

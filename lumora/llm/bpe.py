@@ -30,7 +30,7 @@ from lumora.llm.automaton import Lexicon, compile_lexicon
 from lumora.llm.common import shared_dir, small_batches
 
 #: Words and chunks that a worker remembers before it forgets all of them.
-MEMO = 400_000
+MEMO = 300_000
 _SPLIT_ONLY_BY_STR = regex.compile("[\x1c-\x1f]")
 
 
@@ -81,22 +81,27 @@ class Codec:
         """Apply the merges to one word, the lowest rank first, the leftmost of equals."""
         parts = [self.chars[b] for b in word]
         parts[-1] += self.tok.end
-        ranks = self.tok.ranks
-        while len(parts) > 1:
-            best, at = None, -1
-            for i in range(len(parts) - 1):
-                r = ranks.get((parts[i], parts[i + 1]))
-                if r is not None and (best is None or r < best):
-                    best, at = r, i
-            if best is None:
+        rank, none = self.tok.ranks.get, len(self.tok.ranks)
+        pairs = [rank(p, none) for p in zip(parts, parts[1:], strict=False)]
+        while pairs:
+            best = min(pairs)
+            if best == none:
                 break
+            at = pairs.index(best)
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            del pairs[at]
+            if at:
+                pairs[at - 1] = rank((parts[at - 1], parts[at]), none)
+            if at < len(pairs):
+                pairs[at] = rank((parts[at], parts[at + 1]), none)
         vocab = self.tok.vocab
         return [vocab[p] for p in parts if p in vocab]
 
     def words(self, chunk: str) -> list[bytes]:
         """The words of a text without special tokens."""
-        return [w.encode("utf-8", "replace") for w in self.word.findall(normalize("NFC", chunk).replace("Σ", "σ").lower())]
+        text = chunk.lower() if chunk.isascii() else normalize("NFC", chunk).replace("Σ", "σ").lower()
+        found = [text] if text.isalpha() else self.word.findall(text)
+        return [w.encode("utf-8", "replace") for w in found]
 
     def chunk(self, chunk: str) -> list[int]:
         out: list[int] = []
@@ -124,15 +129,30 @@ class Codec:
 
 
 class _Memo(dict):
-    def __init__(self, f) -> None:  # noqa: ANN001
+    """For each chunk its decimal ids joined by a space, and the text decoded from them."""
+
+    def __init__(self, codec: Codec) -> None:
         super().__init__()
-        self.f = f
+        self.codec = codec
 
-    def __missing__(self, key):  # noqa: ANN001, ANN204
+    def __missing__(self, chunk: str) -> tuple[str, str]:
         if len(self) >= MEMO:
             self.clear()
-        value = self[key] = self.f(key)
-        return value
+        ids = self.codec.chunk(chunk)
+        got = self[chunk] = " ".join(map(str, ids)), self.codec.decode(ids)
+        return got
+
+
+#: The latest codec of this worker process and what it remembers; tasks of one query share it.
+_LATEST: dict[str, _Memo] = {}
+
+
+def _memo(name: str | None, tok: Tokenizer) -> _Memo:
+    key = name or ""
+    if key not in _LATEST or not key:
+        _LATEST.clear()
+        _LATEST[key] = _Memo(Codec(tok, Lexicon.map(SparkFiles.get(name)) if name else None))
+    return _LATEST[key]
 
 
 def count_words(docs: DataFrame, tok: Tokenizer, text_col: str = "text") -> DataFrame:
@@ -199,25 +219,22 @@ def encode(docs: DataFrame, tok: Tokenizer, lexicon: bytes | None, *, text_col:
     schema = rows.select(*keep, *[F.lit(None).cast(sql[x]).alias(x) for x in outputs]).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(held.value, Lexicon.map(SparkFiles.get(name)) if name else None)
-        special = held.value.special
-        texts_of = _Memo(lambda chunk: " ".join(map(str, codec.chunk(chunk))))
-        decoded_of = _Memo(lambda ids: codec.decode([int(i) for i in ids.split()]))
+        memo = _memo(name, held.value)
+        codec = memo.codec
+        special = {t: (str(i), codec.decode([i])) for t, i in held.value.special.items()}
         for b in batches:
             out = {x: [] for x in outputs}
             for t in b.column(b.num_columns - 1).to_pylist():
                 t = t or ""
                 if "<" in t or _SPLIT_ONLY_BY_STR.search(t):
-                    groups = [str(special[p]) if is_special else texts_of[p] for is_special, p in codec.pieces(t)]
+                    groups = [special[p] if is_special else memo[p] for is_special, p in codec.pieces(t)]
                 else:
-                    groups = [texts_of[c] for c in t.split()]
-                if "" in groups:
-                    groups = [g for g in groups if g]
-                ids_text = " ".join(groups)
+                    groups = [memo[c] for c in t.split()]
+                ids_text = " ".join([g[0] for g in groups if g[0]])
                 for x in outputs:
                     out[x].append(
                         ids_text if x == "ids_text"
-                        else " ".join([decoded_of[g] for g in groups]) if x == "decoded"
+                        else " ".join([g[1] for g in groups if g[0]]) if x == "decoded"
                         else ids_text.count(" ") + bool(ids_text) if x == "n_tokens"
                         else [int(i) for i in ids_text.split()]
                     )
