@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +31,18 @@ def small_batches(spark: SparkSession, rows: int = TEXT_ROWS_PER_BATCH) -> None:
         spark.conf.set(key, str(rows))
 
 
+@contextmanager
+def batch_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Arrow batches of ``rows`` rows for the jobs that run inside: long batches for narrow rows."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def fold(id_col: str, mod: int) -> Column:
     """crc32 of the id as text, modulo ``mod``: the hold-out rule of the contracts. A null id is in fold -1."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % F.lit(mod), F.lit(-1))
