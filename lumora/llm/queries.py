@@ -12,6 +12,7 @@ from lumora.llm.ann import search
 from lumora.llm.bpe import Tokenizer, build_lexicon, encode
 from lumora.llm.common import fold, table
 from lumora.llm.decontaminate import find_leaks
+from lumora.llm.jaccard import link_documents
 from lumora.llm.language import fit_language, predict_language
 from lumora.llm.lm import Vocabulary, score_texts
 from lumora.llm.quality import fit_quality, score_quality
@@ -68,6 +69,10 @@ def op7_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", (fold("doc_id", 10) == 0).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "lattice_score")
 
 
+def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.derive(warc.responses(table(spark, sf_dir, "pages").select("page_id", "url", "html")))
 
@@ -78,7 +83,7 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_toxicity": op1_toxicity, "op2_ann": op2_ann, "op3_language": op3_language, "op4_quality": op4_quality, "op5_decontaminate": op5_decontaminate, "op6_bpe": op6_bpe, "op7_lm": op7_lm, "op9_warc": op9_warc, "op10_urls": op10_urls}
+    return {"op1_toxicity": op1_toxicity, "op2_ann": op2_ann, "op3_language": op3_language, "op4_quality": op4_quality, "op5_decontaminate": op5_decontaminate, "op6_bpe": op6_bpe, "op7_lm": op7_lm, "op8_jaccard": op8_jaccard, "op9_warc": op9_warc, "op10_urls": op10_urls}
 
 
 def oracle_sql() -> dict[str, str]:
