@@ -108,3 +108,13 @@ def mix(h: np.ndarray) -> np.ndarray:
     h = h ^ (h >> np.uint64(27))
     h = h * np.uint64(0x94D049BB133111EB)
     return h ^ (h >> np.uint64(31))
+
+
+#: Ids up to this number are broadcast to drop rows (tens of MB); more are joined by a shuffle.
+BROADCAST_IDS = 500_000
+
+
+def drop_ids(rows: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
+    """Rows whose id is not in the one-column table ``ids``. The ids are written and counted first."""
+    ids = cut(ids.distinct(), "dropped")
+    return rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, id_col, "left_anti")
