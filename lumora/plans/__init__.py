@@ -1 +1,11 @@
+"""Queries over the driver's tables, each with its SQL where SQL can express it."""
 
+from __future__ import annotations
+
+
+def queries() -> dict:
+    return {}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {}
