@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 from lumora.llm.automaton import Lexicon, compile_lexicon
 from lumora.llm.common import shared_dir, small_batches
 
-#: Words and chunks that a worker remembers before it forgets all of them.
-MEMO = 300_000
+#: Chunks that a worker remembers before it forgets all of them, some 350 bytes each; those it counts before it passes them on.
+MEMO, COUNTED = 900_000, 300_000
 _SPLIT_ONLY_BY_STR = regex.compile("[\x1c-\x1f]")
 
 
@@ -125,7 +125,10 @@ class Codec:
         return [i for special, p in self.pieces(text or "") for i in ([self.tok.special[p]] if special else self.chunk(p))]
 
     def decode(self, ids: list[int]) -> str:
-        return " ".join(self.strings[i] for i in ids if i in self.strings)
+        try:
+            return " ".join([self.strings[i] for i in ids])
+        except KeyError:
+            return " ".join([self.strings[i] for i in ids if i in self.strings])
 
 
 class _Memo(dict):
@@ -175,7 +178,7 @@ def count_words(docs: DataFrame, tok: Tokenizer, text_col: str = "text") -> Data
                     chunks.update(p for special, p in codec.pieces(t) if not special)
                 elif t:
                     chunks.update(t.split())
-            if len(chunks) > MEMO:
+            if len(chunks) > COUNTED:
                 yield flush(chunks, codec)
                 chunks.clear()
         yield flush(chunks, codec)
