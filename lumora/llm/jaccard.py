@@ -4,21 +4,21 @@ A document's set is its distinct word shingles. Two documents link when ``den *
 Steps, each over all documents:
 
 1. One pass hashes the sets and gives each document its size, a 128-bit signature of the set, a profile (how
-   many shingles fall in each of 16 ranges of the hash) and, from each task, a count sketch of shingles. The
+   many shingles fall in each of 256 classes of the hash) and, from each task, a count sketch of shingles. The
    sketch has a fixed size. It orders shingles rare first; any fixed order gives exact results.
 2. Documents with equal sets form a group; its smallest id stands for it.
 3. A second pass writes the prefix of each set in that order (as long as needed for two linked sets to share a
    shingle of both prefixes), once for each set and task.
 4. Prefix rows are dealt by shingle and sorted by size. Pairs of a bucket pass the length filter and the
-   positional filter. In a bucket of up to ``SMALL`` rows all pairs are candidates; in a larger one, those with
-   its first row and with the next few rows.
+   positional filter. In a bucket of up to ``SMALL`` rows all pairs are candidates; in a larger one, the pairs of
+   its first rows, and those of the others with its first row.
 5. Candidates are mapped to the groups' ids and made distinct, so each pair is verified once. The suffix filter
    drops pairs whose profiles differ too much, before any set is sent.
 6. The sets of documents that are left in pairs are hashed again (chosen by a Bloom filter of their ids) and
    compared: the second set of a pair goes to the first, and a first one with many pairs is dealt to several tasks.
 7. Links give components. In larger buckets that still hold more than one component, pairs of different
-   components that were not candidates before are candidates now: nothing is capped, and pairs inside a
-   component need no check. Their links complete the components.
+   components that pass all filters are candidates: first one for each row and other component, then, with the
+   components these links give, all that are left. Nothing is capped, and pairs inside a component need no check.
 
 Nulls and odd rows: a null or empty text, or one without words, has an empty set and links with nothing. A text
 with fewer words than a shingle has its whole sequence as its one shingle. Rows with a null id take no part and
@@ -42,8 +42,7 @@ from lumora.llm.shingles import shingle_sets
 SKETCH_BITS = 20
 _CHUNKS = 64
 SMALL = 16
-_NEXT = 4
-_RANGES = 16
+_RANGES = 256
 NARROW_ROWS = 50_000
 _BLOCK_MEMBERS = 4096
 _PAIRS_A_TASK = 512
@@ -60,22 +59,22 @@ def _slots(h: np.ndarray) -> np.ndarray:
 
 def _signatures(docs: DataFrame, k: int) -> DataFrame:
     """Rows of documents (id, n, s1, s2, profile) and of sketches (chunk, counts) in one table."""
-    schema = "id bigint, n int, s1 bigint, s2 bigint, profile array<int>, chunk int, counts binary"
+    schema = "id bigint, n int, s1 bigint, s2 bigint, profile binary, chunk int, counts binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = np.zeros(1 << SKETCH_BITS, np.int32)
-        out_schema = pa.schema([("id", pa.int64()), ("n", pa.int32()), ("s1", pa.int64()), ("s2", pa.int64()), ("profile", pa.list_(pa.int32())), ("chunk", pa.int32()), ("counts", pa.binary())])
+        out_schema = pa.schema([("id", pa.int64()), ("n", pa.int32()), ("s1", pa.int64()), ("s2", pa.int64()), ("profile", pa.binary()), ("chunk", pa.int32()), ("counts", pa.binary())])
         with np.errstate(over="ignore"):
             for b in batches:
                 sets = [s for _, d, o in text_blocks(b.column(1)) for s in shingle_sets(d, o, k)]
                 s1 = np.array([np.add.reduce(mix(s)) for s in sets], np.uint64).view(np.int64)
                 s2 = np.array([np.add.reduce(mix(s * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1))) for s in sets], np.uint64).view(np.int64)
-                profile = np.concatenate([np.bincount((s & np.uint64(_RANGES - 1)).astype(np.int64), minlength=_RANGES) for s in sets]).astype(np.int32)
+                profile = [np.minimum(np.bincount((s & np.uint64(_RANGES - 1)).astype(np.int64), minlength=_RANGES), 255).astype(np.uint8).tobytes() for s in sets]
                 np.add.at(sketch, _slots(np.concatenate(sets)), 1)
                 n = len(sets)
-                yield pa.record_batch([b.column(0), pa.array([len(s) for s in sets], pa.int32()), pa.array(s1), pa.array(s2), pa.ListArray.from_arrays(pa.array(np.arange(0, _RANGES * n + 1, _RANGES), pa.int32()), pa.array(profile)), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], schema=out_schema)
+                yield pa.record_batch([b.column(0), pa.array([len(s) for s in sets], pa.int32()), pa.array(s1), pa.array(s2), pa.array(profile, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], schema=out_schema)
         parts = [x.tobytes() for x in sketch.reshape(_CHUNKS, -1)]
-        none = [pa.nulls(_CHUNKS, t) for t in (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int32()))]
+        none = [pa.nulls(_CHUNKS, t) for t in (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary())]
         yield pa.record_batch([*none, pa.array(range(_CHUNKS), pa.int32()), pa.array(parts, pa.binary())], schema=out_schema)
 
     return docs.mapInArrow(run, schema)
@@ -148,10 +147,10 @@ def _filters(na: np.ndarray, pa_: np.ndarray, nb: np.ndarray, pb: np.ndarray, nu
 
 
 def _first_pairs(prefixes: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs (b not null) and marks of larger buckets (a null, b their shingle) from rows sorted by shingle and size."""
+    """Pairs (b not null) and marks of larger buckets (a null, b their shingle) from rows sorted by shingle and id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tail = None  # the last rows of the batch before: _SMALL of them, their ranks and the first row of their bucket
+        tail = None  # the last rows of the batch before: SMALL of them, their ranks and the first row of their bucket
         for b in batches:
             h, i, n, p = (b.column(c).to_numpy() for c in range(4))
             m = len(h)
@@ -181,8 +180,7 @@ def _first_pairs(prefixes: DataFrame, num: int, den: int) -> DataFrame:
                 x = x[h2[x] == h2[x - lag]]
                 if not len(x):
                     break
-                # near rows always; others while the bucket is small
-                x = x[(rank2[x] < SMALL) | (lag <= _NEXT)]
+                x = x[rank2[x] < SMALL]
                 y = x - lag
                 x, y = (z[_filters(n2[y], p2[y], n2[x], p2[x], num, den)] for z in (x, y))
                 got.append((i2[y], i2[x], n2[y], n2[x]))
@@ -198,7 +196,7 @@ def _first_pairs(prefixes: DataFrame, num: int, den: int) -> DataFrame:
             keep = slice(max(0, len(h2) - SMALL), None)
             tail = {"h": h2[keep], "i": i2[keep], "n": n2[keep], "p": p2[keep], "rank": rank2[keep], "first": last_first}
 
-    dealt = prefixes.repartition(n_shuffle(prefixes.sparkSession), "h").sortWithinPartitions("h", "n", "id")
+    dealt = prefixes.repartition(n_shuffle(prefixes.sparkSession), "h").sortWithinPartitions("h", "id")
     return dealt.mapInArrow(run, _PAIR)
 
 
@@ -211,13 +209,29 @@ def _canonical(pairs: DataFrame, members: DataFrame) -> DataFrame:
     return pairs.distinct()
 
 
+def _apart(x: list[bytes] | np.ndarray, y: list[bytes] | np.ndarray) -> np.ndarray:
+    """At least so many shingles are in one set of each pair only, by their profiles."""
+    a, b = (np.frombuffer(b"".join(z), np.uint8).reshape(-1, _RANGES) if isinstance(z, list) else z for z in (x, y))
+    return np.abs(a.astype(np.int16) - b.astype(np.int16)).sum(1, dtype=np.int64)
+
+
+def _may_link(apart: np.ndarray, total: np.ndarray, num: int, den: int) -> np.ndarray:
+    return apart <= total - 2 * -(-num * total // (den + num))
+
+
 def _suffix_filter(pairs: DataFrame, signatures: DataFrame, num: int, den: int) -> DataFrame:
     """Sets that link differ in at most na + nb - 2 * needed shingles, and in no fewer than their profiles do."""
+    profiles = signatures.select("id", "profile").dropDuplicates(["id"])
     for c in ("a", "b"):
-        pairs = pairs.join(signatures.select(F.col("id").alias(c), F.col("profile").alias(f"p{c}")).dropDuplicates([c]), c)
-    apart = F.aggregate(F.zip_with("pa", "pb", lambda x, y: F.abs(x - y)), F.lit(0), lambda s, x: s + x)
-    total = F.col("na") + F.col("nb")
-    return pairs.where(apart <= total - 2 * F.ceil(num * total / (den + num))).select("a", "b", "na", "nb")
+        pairs = pairs.join(profiles.withColumnsRenamed({"id": c, "profile": f"p{c}"}), c)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if len(b):
+                total = b.column(2).to_numpy().astype(np.int64) + b.column(3).to_numpy()
+                yield b.select(["a", "b", "na", "nb"]).filter(pa.array(_may_link(_apart(b.column(4).to_pylist(), b.column(5).to_pylist()), total, num, den)))
+
+    return pairs.select("a", "b", "na", "nb", "pa", "pb").mapInArrow(run, _PAIR)
 
 
 def _bloom(ids: DataFrame, n: int) -> np.ndarray:
@@ -302,46 +316,59 @@ def _verify(pairs: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> Da
         return cut(dealt.mapInArrow(run, "u bigint, v bigint"), "verified")
 
 
-def _later_pairs(prefixes: DataFrame, marks: DataFrame, members: DataFrame, roots: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs of different components in larger buckets, block by block of a bucket."""
-    rows = prefixes.join(marks, "h", "left_semi").join(members, "id", "left").withColumn("id", F.coalesce("rep", "id")).select("h", "id", "n", "pos").dropDuplicates(["h", "id"])
-    rows = rows.join(roots.withColumnRenamed("u", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+def _large_buckets(prefixes: DataFrame, marks: DataFrame, members: DataFrame) -> DataFrame:
+    """Prefix rows of larger buckets, one for each group of equal sets: h, id, n, pos."""
+    rows = prefixes.join(marks, "h", "left_semi").join(members, "id", "left").withColumn("id", F.coalesce("rep", "id"))
+    return rows.select("h", "id", "n", "pos").dropDuplicates(["h", "id"])
+
+
+def _later_pairs(large: DataFrame, profiles: DataFrame, roots: DataFrame, num: int, den: int, one_each: bool) -> DataFrame:
+    """Pairs of different components in larger buckets that pass all filters, block by block of a bucket.
+    ``one_each``: for each row only the first of each other component in a block."""
+    rows = large.join(roots.withColumnRenamed("u", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
     mixed = rows.groupBy("h").agg(F.count("*").alias("m"), F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 != r1").select("h", F.ceil(F.col("m") / _BLOCK_MEMBERS).cast("int").alias("blocks"))
-    rows = rows.join(mixed, "h").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    rows = rows.join(mixed, "h").join(profiles, "id").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     # a row goes to each pair of blocks that has its own
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    rows = rows.select("h", "id", "n", "pos", "root", "block", other.alias("o")).select("h", F.least("block", "o").alias("x"), F.greatest("block", "o").alias("y"), "block", "id", "n", "pos", "root")
+    rows = rows.select("h", "id", "n", "pos", "root", "profile", "block", other.alias("o")).select("h", F.least("block", "o").alias("x"), F.greatest("block", "o").alias("y"), "block", "id", "n", "pos", "root", "profile")
+
+    def pairs_of(parts: list[list]) -> Iterator[pa.RecordBatch]:
+        _, x, y, block, i, n, p, root = (np.concatenate([t[c] for t in parts]) for c in range(8))
+        if len(i) < 2 or (root == root[0]).all():
+            return
+        profile = np.frombuffer(b"".join(z for t in parts for z in t[8]), np.uint8).reshape(-1, _RANGES)
+        left = np.flatnonzero(block == x)
+        out: list[tuple] = []
+        for j in np.flatnonzero(block == y):
+            with_ = left[(root[left] != root[j]) & ((i[left] < i[j]) if x[j] == y[j] else True)]
+            with_ = with_[_filters(n[with_], p[with_], n[j : j + 1], p[j : j + 1], num, den)]
+            if len(with_):
+                with_ = with_[_may_link(_apart(profile[with_], profile[j : j + 1]), n[with_].astype(np.int64) + n[j], num, den)]
+            if one_each and len(with_):
+                with_ = with_[np.unique(root[with_], return_index=True)[1]]
+            if len(with_):
+                m = len(with_)
+                out.append((i[with_], np.full(m, i[j]), n[with_], np.full(m, n[j], np.int32)))
+        if out:
+            yield pa.record_batch([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["a", "b", "na", "nb"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def pairs_of(t: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-            _, x, y, block, i, n, p, root = t
-            left = np.flatnonzero(block == x)
-            for j in range(len(i)):
-                if block[j] != y[j]:
-                    continue
-                with_ = left[(root[left] != root[j]) & ((i[left] < i[j]) if x[j] == y[j] else True)]
-                with_ = with_[_filters(n[with_], p[with_], np.full(len(with_), n[j]), np.full(len(with_), p[j]), num, den)]
-                if len(with_):
-                    m = len(with_)
-                    yield pa.record_batch([pa.array(i[with_]), pa.array(np.full(m, i[j])), pa.array(n[with_]), pa.array(np.full(m, n[j], np.int32))], names=["a", "b", "na", "nb"])
-
-        held: list[list[np.ndarray]] = []
+        held: list[list] = []  # the rows of one pair of blocks
         for b in batches:
-            cols = [b.column(c).to_numpy() for c in range(8)]
-            key = np.stack([cols[0], cols[1], cols[2]], 1)
-            if held and (key[0] != np.array([held[-1][0][-1], held[-1][1][-1], held[-1][2][-1]])).any():
-                yield from pairs_of([np.concatenate(c) for c in zip(*held, strict=True)])
+            cols = [*[b.column(c).to_numpy() for c in range(8)], b.column(8).to_pylist()]
+            key = np.stack(cols[:3], 1)
+            if held and any(held[-1][c][-1] != key[0][c] for c in range(3)):
+                yield from pairs_of(held)
                 held = []
-            ends = [*(np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1), len(key)]
             at = 0
-            for e in ends:
+            for e in [*(np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1), len(key)]:
                 held.append([c[at:e] for c in cols])
                 if e < len(key):
-                    yield from pairs_of([np.concatenate(c) for c in zip(*held, strict=True)])
+                    yield from pairs_of(held)
                     held = []
                 at = e
         if held:
-            yield from pairs_of([np.concatenate(c) for c in zip(*held, strict=True)])
+            yield from pairs_of(held)
 
     dealt = rows.repartition(n_shuffle(rows.sparkSession), "h", "x", "y").sortWithinPartitions("h", "x", "y")
     return dealt.mapInArrow(run, _PAIR)
@@ -364,20 +391,23 @@ def link_documents(documents: DataFrame, *, id_col: str = "doc_id", text_col: st
     prefixes = cut(_prefixes(known, k, num, den, sketch), "prefixes")
     with batch_rows(spark, NARROW_ROWS):
         found = cut(_first_pairs(prefixes, num, den).distinct(), "found")
-    signature_of = nodes.select("id", "profile")
-    pairs = cut(_suffix_filter(_canonical(found.where("a IS NOT NULL"), members), signature_of, num, den), "pairs")
+    profiles = nodes.select("id", "profile").dropDuplicates(["id"])
+    with batch_rows(spark, 4096):
+        pairs = cut(_suffix_filter(_canonical(found.where("a IS NOT NULL"), members), nodes, num, den), "pairs")
     links = _verify(pairs, known, k, num, den)
     marks = found.where("a IS NULL").select(F.col("b").alias("h")).distinct()
+    large = cut(_large_buckets(prefixes, marks, members), "large")
+    for one_each in (True, False):
+        with batch_rows(spark, 4096):
+            later = _canonical(_later_pairs(large, profiles, components(links), num, den, one_each).distinct(), members)
+            later = cut(later.join(pairs.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
+        links = links.unionByName(_verify(later, known, k, num, den))
+        pairs = pairs.unionByName(later)
     roots = components(links)
-    with batch_rows(spark, NARROW_ROWS):
-        later = cut(_later_pairs(prefixes, marks, members, roots, num, den).distinct(), "found")
-    later = _suffix_filter(_canonical(later, members).join(pairs.select("a", "b"), ["a", "b"], "left_anti"), signature_of, num, den)
-    later_links = _verify(cut(later, "pairs"), known, k, num, den)
-    roots = components(links.unionByName(later_links))
     # rows with one id but different texts are one node: their groups are linked by the id
     odd = members.groupBy("id").agg(F.count("*").alias("c")).where("c > 1").select("id")
     if odd.limit(1).count():
-        roots = components(links.unionByName(later_links).unionByName(members.select(F.col("id").alias("u"), F.col("rep").alias("v"))))
+        roots = components(links.unionByName(members.select(F.col("id").alias("u"), F.col("rep").alias("v"))))
         rooted = signatures.select("id", "n").join(roots.withColumnRenamed("u", "id"), "id", "left").withColumn("c", F.coalesce("root", "id"))
     else:
         own = members.join(roots.withColumnRenamed("u", "rep"), "rep", "left").select("id", F.coalesce("root", "rep").alias("c"))
