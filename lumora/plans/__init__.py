@@ -2,10 +2,22 @@
 
 from __future__ import annotations
 
+from importlib import import_module
+
+_MODULES = ("hands",)
+
+
+def _all() -> dict:
+    out = {}
+    for m in _MODULES:
+        out |= import_module(f"lumora.plans.{m}").QUERIES
+    return out
+
 
 def queries() -> dict:
-    return {}
+    """Every query by name; each takes (spark, sf_dir)."""
+    return {k: f for k, (f, _) in _all().items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: sql for k, (_, sql) in _all().items() if sql}
