@@ -56,7 +56,7 @@ def _features(docs: DataFrame, picked: DataFrame, id_col: str, text_col: str, or
     return rows.mapInArrow(run, f"_id {kind}, _y int, ids binary").toArrow()
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", keep: Column | None = None, per_class: int = 1500, orders: tuple[int, ...] = (3, 4, 5, 6), bits: int = 20, alpha: float = 1.0, least_df: int = 4, least_ratio: float = 0.25, l2: float = 1e-3) -> ToxicityModel:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", keep: Column | None = None, per_class: int = 1200, orders: tuple[int, ...] = (3, 4, 5, 6), bits: int = 20, alpha: float = 1.0, least_df: int = 4, least_ratio: float = 0.25, l2: float = 1e-3) -> ToxicityModel:
     """Fit on at most ``2 * per_class`` labelled documents. ``keep``: a condition on the labels' rows to learn from."""
     small_batches(docs.sparkSession)
     picked = sample_labels(labels if keep is None else labels.where(keep), id_col, label_col, per_class)
@@ -77,14 +77,19 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id",
     ratio[np.abs(ratio) < least_ratio] = 0.0  # as common in both classes
     if len(y) > 10 * least_df:
         ratio[count.sum(0) < least_df] = 0.0  # too rare to tell
+    del count
+    active = np.flatnonzero(ratio)
+    place = np.full(size, -1, np.int32)
+    place[active] = np.arange(len(active), dtype=np.int32)
     for i, x in enumerate(lists):
-        x = np.frombuffer(x, np.int32)
-        lists[i] = x[ratio[x] != 0]
+        x = place[np.frombuffer(x, np.int32)]
+        lists[i] = x[x >= 0]
     starts = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int64)
     ids = np.concatenate(lists)
     del lists
     weight = np.where(y == 1, 0.5 / n1, 0.5 / n0) * len(y)
-    w, bias = fit_sparse_logistic(ids, starts, ratio[ids].astype(np.float32), y, weight, size, l2)
+    w = np.zeros(size)
+    w[active], bias = fit_sparse_logistic(ids, starts, ratio[active][ids].astype(np.float32), y, weight, len(active), l2)
     return ToxicityModel(w * ratio, bias, orders, bits, {"rows": len(y), "positives": int(n1)})
 
 
