@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lumora.functions.geometry import finite, iou
 
@@ -98,7 +99,11 @@ def match_boxes(truth: DataFrame, predicted: DataFrame, *, key: str, threshold:
         to = assign(w)
         return pdf[to[r] == p]
 
-    return pairs.groupBy(key).applyInPandas(run, pairs.schema)
+    # a pair whose boxes are in no other pair is matched; only the rest needs an assignment
+    alone = (F.count("*").over(Window.partitionBy(key, "gt_idx")) == 1) & (F.count("*").over(Window.partitionBy(key, "pred_idx")) == 1)
+    pairs = pairs.withColumn("_alone", alone)
+    rest = pairs.where(~F.col("_alone")).drop("_alone")
+    return pairs.where("_alone").drop("_alone").unionByName(rest.groupBy(key).applyInPandas(run, rest.schema))
 
 
 def detection_totals(truth: DataFrame, predicted: DataFrame, matches: DataFrame, *, key: str) -> DataFrame:

@@ -2,23 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def _cut(df: DataFrame) -> DataFrame:
-    """Write and read back through the folder in spark.checkpoint.dir, a local one only where that is unset."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lumora-")
-    path = f"{folder.rstrip('/')}/graph-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
-    return spark.read.schema(df.schema).parquet(path)
+from lumora.operators.shared import cut
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -27,7 +14,7 @@ def components(links: DataFrame) -> DataFrame:
     Alternates two steps until nothing changes: every node passes the least of its neighbours to its larger ones,
     then to its smaller ones. The rounds grow with the logarithm of the longest chain.
     """
-    edges = _cut(links.select("u", "v").where("u != v").distinct())
+    edges = cut(links.select("u", "v").where("u != v").distinct())
     before = None
     while True:
         sign = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
@@ -39,16 +26,16 @@ def components(links: DataFrame) -> DataFrame:
         up = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         down = up.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         low = down.groupBy("u").agg(F.min("v").alias("m"))
-        edges = _cut(down.join(low, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).where("u != v").distinct())
+        edges = cut(down.join(low, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).where("u != v").distinct())
 
 
 def cycle_nodes(edges: DataFrame) -> DataFrame:
     """Nodes on a cycle, or on a path between cycles, of directed edges (src, dst): peel off ends until none is left."""
-    edges = _cut(edges.select("src", "dst").distinct())
+    edges = cut(edges.select("src", "dst").distinct())
     n = edges.count()
     while n:
         left = edges.join(edges.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(edges.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
-        left = _cut(left.select("src", "dst"))
+        left = cut(left.select("src", "dst"))
         m = left.count()
         if m == n:
             break

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from lumora.functions.tiles import is_honor, is_terminal, is_thirteen_orphans, seat_wind
 from lumora.operators.decompose import decompose, waits
+from lumora.operators.shared import cut
 from lumora.operators.settlement import HONG_KONG, TAIWANESE, settle
 
 HAND = (
@@ -138,13 +139,16 @@ def hand_violations() -> Column:
     ])
 
 
-def _variant_patterns() -> Column:
-    """Patterns (id, value) of a row that also has pair, groups (kind, tile), role and n_waits."""
+def _with_patterns(rows: DataFrame) -> DataFrame:
+    """Adds ``patterns`` (id, value) to rows that also have pair, groups (kind, tile), role and n_waits.
+
+    Facts that many rules share become columns first, so that plans stay small.
+    """
     melds, groups = c("melds"), c("groups")
-    every = all_tiles()
-    triplets = F.concat(F.transform(F.filter(melds, lambda m: m["kind"] != "chow"), lambda m: m["tiles"][0]), F.transform(F.filter(groups, lambda g: g["kind"] == "pung"), lambda g: g["tile"]))
-    kinds = F.array_distinct(triplets)
-    suits = F.array_distinct(F.transform(F.filter(every, lambda t: t < 27), lambda t: F.floor(t / 9)))
+    rows = rows.withColumns({"_every": all_tiles(), "_triplets": F.concat(F.transform(F.filter(melds, lambda m: m["kind"] != "chow"), lambda m: m["tiles"][0]), F.transform(F.filter(groups, lambda g: g["kind"] == "pung"), lambda g: g["tile"])), "_hk": in_hong_kong(), "_sd": F.coalesce(self_drawn(), F.lit(False)), "_rob": F.coalesce(robbed(), F.lit(False))})
+    every, triplets, hk, sd = c("_every"), c("_triplets"), c("_hk"), c("_sd")
+    rows = rows.withColumns({"_kinds": F.array_distinct(triplets), "_suits": F.array_distinct(F.transform(F.filter(every, lambda t: t < 27), lambda t: F.floor(t / 9)))})
+    kinds, suits = c("_kinds"), c("_suits")
     honors = F.exists(every, is_honor)
     closed = F.forall(melds, lambda m: ~open_meld(m))
     n_dragons = F.size(F.filter(kinds, lambda t: t >= 31))
@@ -154,40 +158,45 @@ def _variant_patterns() -> Column:
     n_kongs, no_melds = F.size(F.filter(melds, kong)), F.size(melds) == 0
     flush = F.size(suits) == 1
     seat = 27 + seat_wind(c("winner"), c("dealer"))
+    facts = {"_honors": honors, "_closed": closed, "_nd": n_dragons, "_nw": n_winds, "_hidden": hidden, "_nk": n_kongs, "_seat": seat}
+    rows = rows.withColumns(facts)
+    honors, closed, n_dragons, n_winds, hidden, n_kongs, seat = (c(x) for x in facts)
     rank_count = lambda r: F.size(F.filter(every, lambda t: t % 9 == r))
     win_rank = c("winning_tile") % 9
     gates = lambda less: F.forall(F.sequence(F.lit(0), F.lit(8)), lambda r: rank_count(r) - less(r) >= F.when(r.isin(0, 8), 3).otherwise(1))
-    nine = no_melds & flush & ~honors & gates(lambda r: F.lit(0)) & (self_drawn() | gates(lambda r: (r == win_rank).cast("int")))
+    nine = no_melds & flush & ~honors & gates(lambda r: F.lit(0)) & (sd | gates(lambda r: (r == win_rank).cast("int")))
     limit = {
         "allHonors": F.size(suits) == 0, "bigWinds": n_winds == 4, "smallWinds": (n_winds == 3) & wind_pair, "fourHidden": (hidden == 4) & (n_kongs == 0), "fourKongs": n_kongs == 4,
         "allTerminals": F.forall(every, is_terminal), "heavenly": c("heavenly"), "earthly": c("earthly"), "doubleKongWin": c("kong_chain") >= 2, "nineGates": nine,
     }
-    first_limit = F.coalesce(*[F.when(limit[x], F.lit(x)) for x in LIMITS])
+    rows = rows.withColumn("_limit", F.coalesce(*[F.when(limit[x], F.lit(x)) for x in LIMITS]))
+    first_limit = c("_limit")
 
     def add(name: str, cond: Column, times: Column | None = None) -> Column:
-        default = F.when(in_hong_kong(), VALUES[HONG_KONG].get(name, 0)).otherwise(VALUES[TAIWANESE].get(name, 0))
+        default = F.when(hk, VALUES[HONG_KONG].get(name, 0)).otherwise(VALUES[TAIWANESE].get(name, 0))
         value = F.coalesce(F.element_at("overrides", F.lit(name)), default)
         n = F.when(cond & (value > 0), F.lit(1) if times is None else times).otherwise(0)
         return F.array_repeat(F.struct(F.lit(name).alias("id"), value.alias("value")), n)
 
     three_dragons, two_dragons = n_dragons == 3, (n_dragons == 2) & dragon_pair
-    exposed = (F.size(melds) == 5) & F.forall(melds, open_meld) & ~self_drawn()
-    tw_chows = ~honors & (F.size("flowers") == 0) & ~self_drawn() & (c("n_waits") > 1) & (c("role") == "chow")
+    exposed = (F.size(melds) == 5) & F.forall(melds, open_meld) & ~sd
+    tw_chows = ~honors & (F.size("flowers") == 0) & ~sd & (c("n_waits") > 1) & (c("role") == "chow")
     flower_sets = sum((F.forall(F.array(*[F.lit(s + i) for i in range(4)]), lambda f: F.array_contains("flowers", f)).cast("int") for s in (34, 38)), F.lit(0))
-    closed_draw = ~in_hong_kong() & closed & self_drawn()
+    closed_draw = ~hk & closed & sd
     ordinary = F.concat(
-        add("halfFlush", flush & honors), add("fullFlush", flush & ~honors), add("allHonors", ~in_hong_kong() & (F.size(suits) == 0)), add("allPungs", F.size(triplets) == group_count()),
-        add("bigDragons", three_dragons), add("smallDragons", two_dragons), add("dragon", in_hong_kong() | ~(three_dragons | two_dragons), n_dragons),
+        add("halfFlush", flush & honors), add("fullFlush", flush & ~honors), add("allHonors", ~hk & (F.size(suits) == 0)), add("allPungs", F.size(triplets) == group_count()),
+        add("bigDragons", three_dragons), add("smallDragons", two_dragons), add("dragon", hk | ~(three_dragons | two_dragons), n_dragons),
         add("seatWind", F.exists(kinds, lambda t: t == seat)), add("roundWind", F.exists(kinds, lambda t: t == 27 + c("round_wind"))),
-        add("mixedTerminals", in_hong_kong() & F.forall(every, lambda t: is_terminal(t) | is_honor(t))), add("chows", (F.size(triplets) == 0) & (in_hong_kong() | tw_chows)),
-        add("closedSelfDraw", closed_draw), add("closed", F.when(in_hong_kong(), ~c("use_flowers") & no_melds).otherwise(closed & ~closed_draw)), add("selfDraw", self_drawn() & ~closed_draw),
-        *[add(x, ~in_hong_kong() & (hidden == n)) for x, n in (("threeConcealed", 3), ("fourConcealed", 4), ("fiveConcealed", 5))],
-        add("allExposed", ~in_hong_kong() & exposed), add("singleWait", ~in_hong_kong() & ~exposed & (c("n_waits") == 1)), add("bigWinds", ~in_hong_kong() & (n_winds == 4)), add("smallWinds", ~in_hong_kong() & (n_winds == 3) & wind_pair),
-        add("noFlowers", in_hong_kong() & c("use_flowers") & (F.size("flowers") == 0)),
+        add("mixedTerminals", hk & F.forall(every, lambda t: is_terminal(t) | is_honor(t))), add("chows", (F.size(triplets) == 0) & (hk | tw_chows)),
+        add("closedSelfDraw", closed_draw), add("closed", F.when(hk, ~c("use_flowers") & no_melds).otherwise(closed & ~closed_draw)), add("selfDraw", sd & ~closed_draw),
+        *[add(x, ~hk & (hidden == n)) for x, n in (("threeConcealed", 3), ("fourConcealed", 4), ("fiveConcealed", 5))],
+        add("allExposed", ~hk & exposed), add("singleWait", ~hk & ~exposed & (c("n_waits") == 1)), add("bigWinds", ~hk & (n_winds == 4)), add("smallWinds", ~hk & (n_winds == 3) & wind_pair),
+        add("noFlowers", hk & c("use_flowers") & (F.size("flowers") == 0)),
         add("seatFlower", c("use_flowers"), F.size(F.filter("flowers", lambda f: (f - 34) % 4 == seat - 27))), add("flowerSet", c("use_flowers"), flower_sets),
-        add("robKong", robbed()), add("kongWin", (c("replacement") == "kong") | (~in_hong_kong() & (c("replacement") == "flower"))), add("lastDraw", c("last_tile") == "draw"),
+        add("robKong", c("_rob")), add("kongWin", (c("replacement") == "kong") | (~hk & (c("replacement") == "flower"))), add("lastDraw", c("last_tile") == "draw"),
     )
-    return F.when(in_hong_kong() & first_limit.isNotNull(), F.array(F.struct(first_limit.alias("id"), F.lit(10).alias("value")))).otherwise(ordinary)
+    patterns = F.when(hk & first_limit.isNotNull(), F.array(F.struct(first_limit.alias("id"), F.lit(10).alias("value")))).otherwise(ordinary)
+    return rows.withColumn("patterns", patterns)
 
 
 def _roles() -> Column:
@@ -208,6 +217,7 @@ def score_hands(hands: DataFrame) -> DataFrame:
     orphans = in_hong_kong() & (F.size("melds") == 0) & is_thirteen_orphans(c("concealed"))
     complete = (F.size("_bad") == 0) & (F.size("flowers") < 7) & (F.size("concealed") == expected) & c("source").isNotNull() & c("winning_tile").isNotNull() & c("confirmed")
     checked = checked.withColumn("_orphans", F.coalesce(orphans, F.lit(False))).withColumn("_complete", F.coalesce(complete, F.lit(False)))
+    checked = cut(checked, "hands")  # the checks are long expressions: evaluate and plan them once
     fit = checked.where("_complete")
     parts = decompose(fit.withColumn("n_groups", c("_left")))
     at = F.expr("array_position(concealed, winning_tile)").cast("int")
@@ -215,7 +225,7 @@ def score_hands(hands: DataFrame) -> DataFrame:
     tw = fit.where(~in_hong_kong()).select("hand_id", before.alias("before"), F.flatten(F.transform("melds", lambda m: m["tiles"])).alias("meld_tiles"), c("_left").alias("n_groups"))
     n_waits = waits(tw).groupBy("hand_id").agg(F.count("*").cast("int").alias("n_waits"))
     variants = fit.join(parts, "hand_id").join(n_waits, "hand_id", "left").withColumn("n_waits", F.coalesce("n_waits", F.lit(0))).withColumn("role", F.explode(_roles()))
-    variants = variants.select("hand_id", F.struct("pair", F.to_json("groups").alias("g"), "role").alias("_ord"), _variant_patterns().alias("patterns"))
+    variants = _with_patterns(variants).select("hand_id", F.struct("pair", F.to_json("groups").alias("g"), "role").alias("_ord"), "patterns")
     special = fit.where("_orphans").select("hand_id", F.struct(F.lit(-1).alias("pair"), F.lit("").alias("g"), F.lit("").alias("role")).alias("_ord"), F.array(F.struct(F.lit("orphans").alias("id"), F.lit(10).alias("value"))).alias("patterns"))
     total = F.aggregate("patterns", F.lit(0), lambda s, p: s + p["value"])
     best = variants.unionByName(special).withColumn("raw", total).groupBy("hand_id").agg(F.min_by(F.struct("patterns", "raw"), F.struct((-c("raw")).alias("r"), "_ord")).alias("_best"))
