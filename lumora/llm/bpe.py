@@ -14,13 +14,16 @@ give their ids, as in the library. Decoding joins the tokens' strings by a space
 from __future__ import annotations
 
 import json
+import re
 import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from unicodedata import normalize
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
@@ -29,8 +32,9 @@ from pyspark.sql import functions as F
 from lumora.llm.automaton import Lexicon, compile_lexicon
 from lumora.llm.common import shared_dir, small_batches
 
-#: Chunks that a worker remembers before it forgets all of them, some 350 bytes each; those it counts before it passes them on.
-MEMO, COUNTED = 900_000, 300_000
+#: Chunks that a worker remembers before it forgets all of them, some 250 bytes each, 400 with decoded texts; those it counts before it passes them on.
+MEMO, COUNTED = 400_000, 250_000
+_MARKS = ".,;:!?\"()[]{}|#$%&*+-/<=>@\\^_`~"
 _SPLIT_ONLY_BY_STR = regex.compile("[\x1c-\x1f]")
 
 
@@ -100,8 +104,12 @@ class Codec:
     def words(self, chunk: str) -> list[bytes]:
         """The words of a text without special tokens."""
         text = chunk.lower() if chunk.isascii() else normalize("NFC", chunk).replace("Σ", "σ").lower()
-        found = [text] if text.isalpha() else self.word.findall(text)
-        return [w.encode("utf-8", "replace") for w in found]
+        if text.isalpha():
+            return [text.encode("utf-8", "replace")]
+        core = text.rstrip(_MARKS)
+        if core.isalpha():  # a word and marks after it, the commonest case by far
+            return [core.encode("utf-8", "replace"), text[len(core) :].encode()]
+        return [w.encode("utf-8", "replace") for w in self.word.findall(text)]
 
     def chunk(self, chunk: str) -> list[int]:
         out: list[int] = []
@@ -132,17 +140,17 @@ class Codec:
 
 
 class _Memo(dict):
-    """For each chunk its decimal ids joined by a space, and the text decoded from them."""
+    """For each chunk its decimal ids joined by a space, and, if wanted, the text decoded from them."""
 
-    def __init__(self, codec: Codec) -> None:
+    def __init__(self, codec: Codec, decoded: bool) -> None:
         super().__init__()
-        self.codec = codec
+        self.codec, self.decoded = codec, decoded
 
     def __missing__(self, chunk: str) -> tuple[str, str]:
         if len(self) >= MEMO:
             self.clear()
         ids = self.codec.chunk(chunk)
-        got = self[chunk] = " ".join(map(str, ids)), self.codec.decode(ids)
+        got = self[chunk] = (" ".join(map(str, ids)), self.codec.decode(ids)) if self.decoded else (" ".join(map(str, ids)),)
         return got
 
 
@@ -150,14 +158,26 @@ class _Memo(dict):
 _LATEST: dict[str, _Memo] = {}
 
 
-def _memo(name: str | None, tok: Tokenizer) -> _Memo:
-    key = name or ""
-    if key not in _LATEST or not key:
+def _memo(name: str | None, tok: Tokenizer, decoded: bool) -> _Memo:
+    key = f"{name}-{decoded}"
+    if key not in _LATEST or not name:
         _LATEST.clear()
-        _LATEST[key] = _Memo(Codec(tok, Lexicon.map(SparkFiles.get(name)) if name else None))
+        _LATEST[key] = _Memo(Codec(tok, Lexicon.map(SparkFiles.get(name)) if name else None), decoded)
     return _LATEST[key]
 
 
+def _plain(col: pa.Array, codec: Codec) -> tuple[pa.Array, dict[int, str]]:
+    """Texts with null and those with special tokens as empty ones, and the latter by row."""
+    col = (col.combine_chunks() if isinstance(col, pa.ChunkedArray) else col).cast(pa.large_string()).fill_null("")
+    odd: dict[int, str] = {}
+    if codec.special is not None:
+        on = pc.match_substring_regex(col, "|".join(re.escape(t) for t in codec.tok.special))
+        if pc.any(on).as_py():
+            odd = {i: col[i].as_py() for i in pc.indices_nonzero(on).to_pylist()}
+            col = pc.if_else(on, pa.scalar("", pa.large_string()), col)
+    return col, odd
+
+
 def count_words(docs: DataFrame, tok: Tokenizer, text_col: str = "text") -> DataFrame:
     """Words of all texts and how often they occur: word binary, n long."""
     small_batches(docs.sparkSession)
@@ -173,11 +193,12 @@ def count_words(docs: DataFrame, tok: Tokenizer, text_col: str = "text") -> Data
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec, chunks = Codec(held.value), Counter()
         for b in batches:
-            for t in b.column(0).to_pylist():
-                if t and ("<|" in t or _SPLIT_ONLY_BY_STR.search(t)):
-                    chunks.update(p for special, p in codec.pieces(t) if not special)
-                elif t:
-                    chunks.update(t.split())
+            text, odd = _plain(b.column(0), codec)
+            got = pc.value_counts(pc.ascii_split_whitespace(text).flatten())
+            for c, n in zip(got.field(0).to_pylist(), got.field(1).to_pylist(), strict=True):
+                chunks[c] += n
+            for t in odd.values():
+                chunks.update(p for special, p in codec.pieces(t) if not special)
             if len(chunks) > COUNTED:
                 yield flush(chunks, codec)
                 chunks.clear()
@@ -222,26 +243,45 @@ def encode(docs: DataFrame, tok: Tokenizer, lexicon: bytes | None, *, text_col:
     schema = rows.select(*keep, *[F.lit(None).cast(sql[x]).alias(x) for x in outputs]).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = _memo(name, held.value)
+        memo = _memo(name, held.value, "decoded" in outputs)
         codec = memo.codec
-        special = {t: (str(i), codec.decode([i])) for t, i in held.value.special.items()}
+
+        def special_row(text: str, x: str) -> object:
+            ids = codec.encode(text)
+            return ids if x == "ids" else len(ids) if x == "n_tokens" else codec.decode(ids) if x == "decoded" else " ".join(map(str, ids))
+
         for b in batches:
-            out = {x: [] for x in outputs}
-            for t in b.column(b.num_columns - 1).to_pylist():
-                t = t or ""
-                if "<" in t or _SPLIT_ONLY_BY_STR.search(t):
-                    groups = [special[p] if is_special else memo[p] for is_special, p in codec.pieces(t)]
+            # split, tell chunks apart, put the chunks' results in their places and join them: all by Arrow
+            text, odd = _plain(b.column(b.num_columns - 1), codec)
+            chunks = pc.ascii_split_whitespace(text)
+            ends = np.asarray(chunks.offsets) - chunks.offsets[0].as_py()
+            flat = chunks.flatten().dictionary_encode()
+            known = [memo[c] for c in flat.dictionary.to_pylist()]
+            ids_of = pa.array([[int(i) for i in k[0].split()] for k in known], pa.list_(pa.int32()))
+            at = flat.indices.to_numpy()
+            some = ids_of.value_lengths().to_numpy(zero_copy_only=False) > 0 if len(known) else np.empty(0, bool)
+            if not some.all():  # chunks without ids leave no gap
+                keep_token = some[at]
+                ends = np.concatenate([[0], np.cumsum(keep_token)])[ends]
+                at = at[keep_token]
+            take = pa.array(at)
+            lens = ids_of.value_lengths().to_numpy(zero_copy_only=False)[at] if len(known) else np.empty(0, np.int64)
+            id_ends = np.concatenate([[0], np.cumsum(lens)])[ends]
+            out: dict[str, pa.Array] = {}
+            for x in outputs:
+                if x == "n_tokens":
+                    out[x] = pa.array(np.diff(id_ends), pa.int64())
+                elif x == "ids":
+                    out[x] = pa.ListArray.from_arrays(pa.array(id_ends, pa.int32()), ids_of.take(take).flatten())
                 else:
-                    groups = [memo[c] for c in t.split()]
-                ids_text = " ".join([g[0] for g in groups if g[0]])
-                for x in outputs:
-                    out[x].append(
-                        ids_text if x == "ids_text"
-                        else " ".join([g[1] for g in groups if g[0]]) if x == "decoded"
-                        else ids_text.count(" ") + bool(ids_text) if x == "n_tokens"
-                        else [int(i) for i in ids_text.split()]
-                    )
-            yield pa.record_batch([*b.columns[:-1], *[pa.array(out[x], kinds[x]) for x in outputs]], names=[*b.schema.names[:-1], *outputs])
+                    texts = pa.array([k[x == "decoded"] for k in known], pa.large_string())
+                    out[x] = pc.binary_join(pa.LargeListArray.from_arrays(pa.array(ends, pa.int64()), texts.take(take)), pa.scalar(" ", pa.large_string())).cast(pa.string())
+                if odd:
+                    rows_of = out[x].to_pylist()
+                    for i, t in odd.items():
+                        rows_of[i] = special_row(t, x)
+                    out[x] = pa.array(rows_of, kinds[x])
+            yield pa.record_batch([*b.columns[:-1], *[out[x].cast(kinds[x]) for x in outputs]], names=[*b.schema.names[:-1], *outputs])
 
     return rows.mapInArrow(run, schema)
 
