@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumora.llm.common import batch_rows, cut, mix, n_shuffle, small_batches, text_blocks
+from lumora.llm.common import batch_rows, cut, long_batches, mix, n_shuffle, small_batches, text_blocks
 from lumora.llm.components import components
 from lumora.llm.shingles import shingle_sets
 
@@ -147,11 +147,12 @@ def _filters(na: np.ndarray, pa_: np.ndarray, nb: np.ndarray, pb: np.ndarray, nu
 
 
 def _first_pairs(prefixes: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs (b not null) and marks of larger buckets (a null, b their shingle) from rows sorted by shingle and id."""
+    """Pairs (a, b, na, nb), and the rows of larger buckets (h, a their id, na their size, nb their position), from
+    rows sorted by shingle and id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tail = None  # the last rows of the batch before: SMALL of them, their ranks and the first row of their bucket
-        for b in batches:
+        for b in long_batches(batches, NARROW_ROWS):
             h, i, n, p = (b.column(c).to_numpy() for c in range(4))
             m = len(h)
             new = np.ones(m, bool)
@@ -187,17 +188,20 @@ def _first_pairs(prefixes: DataFrame, num: int, den: int) -> DataFrame:
             far = np.flatnonzero(rank >= SMALL)
             far = far[_filters(fn[far], fp[far], n[far], p[far], num, den)]
             got.append((fi[far], i[far], fn[far], n[far]))
-            marks = h[rank == SMALL]
+            full = np.flatnonzero(rank2 == SMALL)
+            full = full[full >= t]  # a bucket turns out to be larger: its first rows are among the last ones
+            large = np.concatenate([(full[:, None] - np.arange(SMALL, 0, -1)[None]).ravel(), np.flatnonzero(rank2 >= SMALL)[np.flatnonzero(rank2 >= SMALL) >= t]]).astype(np.int64)
             cols = [np.concatenate(c) for c in zip(*got, strict=True)]
             pairs = np.unique(np.stack([c.astype(np.int64) for c in cols], 1), axis=0) if len(cols[0]) else np.zeros((0, 4), np.int64)
-            a = pa.array(np.concatenate([pairs[:, 0], np.zeros(len(marks), np.int64)]), mask=np.concatenate([np.zeros(len(pairs), bool), np.ones(len(marks), bool)]))
-            nz = np.zeros(len(marks), np.int64)
-            yield pa.record_batch([a, pa.array(np.concatenate([pairs[:, 1], marks])), pa.array(np.concatenate([pairs[:, 2], nz]).astype(np.int32)), pa.array(np.concatenate([pairs[:, 3], nz]).astype(np.int32))], names=["a", "b", "na", "nb"])
+            rows = [(pairs[:, 0], i2[large]), (pairs[:, 1], np.zeros(len(large), np.int64)), (pairs[:, 2], n2[large]), (pairs[:, 3], p2[large]), (np.zeros(len(pairs), np.int64), h2[large])]
+            is_pair = np.concatenate([np.ones(len(pairs), bool), np.zeros(len(large), bool)])
+            a, b_, na, nb, hh = (np.concatenate(x) for x in rows)
+            yield pa.record_batch([pa.array(a), pa.array(b_, mask=~is_pair), pa.array(na.astype(np.int32)), pa.array(nb.astype(np.int32)), pa.array(hh, mask=is_pair)], names=["a", "b", "na", "nb", "h"])
             keep = slice(max(0, len(h2) - SMALL), None)
             tail = {"h": h2[keep], "i": i2[keep], "n": n2[keep], "p": p2[keep], "rank": rank2[keep], "first": last_first}
 
     dealt = prefixes.repartition(n_shuffle(prefixes.sparkSession), "h").sortWithinPartitions("h", "id")
-    return dealt.mapInArrow(run, _PAIR)
+    return dealt.mapInArrow(run, f"{_PAIR}, h bigint")
 
 
 def _canonical(pairs: DataFrame, members: DataFrame) -> DataFrame:
@@ -316,9 +320,9 @@ def _verify(pairs: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> Da
         return cut(dealt.mapInArrow(run, "u bigint, v bigint"), "verified")
 
 
-def _large_buckets(prefixes: DataFrame, marks: DataFrame, members: DataFrame) -> DataFrame:
+def _large_buckets(rows: DataFrame, members: DataFrame) -> DataFrame:
     """Prefix rows of larger buckets, one for each group of equal sets: h, id, n, pos."""
-    rows = prefixes.join(marks, "h", "left_semi").join(members, "id", "left").withColumn("id", F.coalesce("rep", "id"))
+    rows = rows.join(members, "id", "left").withColumn("id", F.coalesce("rep", "id"))
     return rows.select("h", "id", "n", "pos").dropDuplicates(["h", "id"])
 
 
@@ -388,15 +392,13 @@ def link_documents(documents: DataFrame, *, id_col: str = "doc_id", text_col: st
     groups = nodes.groupBy("s1", "s2", "n").agg(F.min("id").alias("rep"), F.count("*").alias("c")).where("c > 1").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
     members = nodes.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(_SALTS)).cast("int")).join(groups, ["s1", "s2", "n", "salt"]).where("id != rep").select("id", "rep").distinct()
     members = cut(members, "members")
-    prefixes = cut(_prefixes(known, k, num, den, sketch), "prefixes")
-    with batch_rows(spark, NARROW_ROWS):
-        found = cut(_first_pairs(prefixes, num, den).distinct(), "found")
+    found = cut(_first_pairs(_prefixes(known, k, num, den, sketch), num, den), "found")
     profiles = nodes.select("id", "profile").dropDuplicates(["id"])
     with batch_rows(spark, 4096):
-        pairs = cut(_suffix_filter(_canonical(found.where("a IS NOT NULL"), members), nodes, num, den), "pairs")
+        pairs = cut(_suffix_filter(_canonical(found.where("h IS NULL").drop("h"), members), nodes, num, den), "pairs")
     links = _verify(pairs, known, k, num, den)
-    marks = found.where("a IS NULL").select(F.col("b").alias("h")).distinct()
-    large = cut(_large_buckets(prefixes, marks, members), "large")
+    rows = found.where("h IS NOT NULL").select("h", F.col("a").alias("id"), F.col("na").alias("n"), F.col("nb").alias("pos"))
+    large = cut(_large_buckets(rows, members), "large")
     for one_each in (True, False):
         with batch_rows(spark, 4096):
             later = _canonical(_later_pairs(large, profiles, components(links), num, den, one_each).distinct(), members)
