@@ -22,7 +22,8 @@ Steps, each over all documents:
 
 Nulls and odd rows: a null or empty text, or one without words, has an empty set and links with nothing. A text
 with fewer words than a shingle has its whole sequence as its one shingle. Rows with a null id take no part and
-get a null component. Rows with the same id are one node. Extra columns are ignored.
+get a null component. Rows may repeat. An id with different texts is one node: it links its groups of equal
+texts; for links between unequal sets one of its texts stands for it. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -406,8 +407,8 @@ def link_documents(documents: DataFrame, *, id_col: str = "doc_id", text_col: st
         links = links.unionByName(_verify(later, known, k, num, den))
         pairs = pairs.unionByName(later)
     roots = components(links)
-    # rows with one id but different texts are one node: their groups are linked by the id
-    odd = members.groupBy("id").agg(F.count("*").alias("c")).where("c > 1").select("id")
+    # an id with different texts is in several groups: these are linked by the id
+    odd = members.groupBy("id").agg(F.count("*").alias("c")).where("c > 1").select("id").unionByName(members.select("id").join(members.select(F.col("rep").alias("id")), "id", "left_semi"))
     if odd.limit(1).count():
         roots = components(links.unionByName(members.select(F.col("id").alias("u"), F.col("rep").alias("v"))))
         rooted = signatures.select("id", "n").join(roots.withColumnRenamed("u", "id"), "id", "left").withColumn("c", F.coalesce("root", "id"))

@@ -111,7 +111,7 @@ def _fit(pos: np.ndarray, unl: np.ndarray, size: int, prior: float | None, l2: f
 
 def estimate_prior(pos: np.ndarray, unl: np.ndarray, size: int, delta: float = 0.1) -> float:
     """Share of positives among unlabelled rows: fit on the even rows, bound on the odd rows."""
-    w = _fit(pos[::2], unl[::2], size, None, 1e-5, 500)
+    w = _fit(pos[::2], unl[::2], size, None, max(1e-5, 0.1 / max(1, len(pos))), 500)
     zp, zu = (np.sort(w[x[1::2]].sum(1)) for x in (pos, unl))
     if not len(zp) or not len(zu):
         return 0.5
@@ -142,8 +142,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", t
     small_batches(docs.sparkSession)
     trusted = labels.where((F.col(label_col) == 1) & F.col(id_col).isNotNull())
     trusted = (trusted if keep is None else trusted.where(keep)).select(F.col(id_col).alias("_id")).distinct().orderBy(F.xxhash64("_id"), "_id").limit(positives)
-    rows = docs if keep is None else docs.where(keep)
-    p = _sample(docs.join(F.broadcast(trusted), F.col(id_col) == F.col("_id"), "left_semi"), id_col, text_col, positives, 0)
+    rows = (docs if keep is None else docs.where(keep)).select(id_col, text_col)
+    p = _sample(docs.select(id_col, text_col).join(F.broadcast(trusted.withColumnRenamed("_id", id_col)), id_col, "left_semi"), id_col, text_col, positives, 0)
     u = _sample(rows, id_col, text_col, unlabelled, rows.count())
     k = len(STATS)
     if not len(p) or not len(u):
