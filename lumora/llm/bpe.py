@@ -30,10 +30,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumora.llm.automaton import Lexicon, compile_lexicon
-from lumora.llm.common import shared_dir, small_batches
+from lumora.llm.common import long_batches, shared_dir, small_batches
 
 #: Chunks that a worker remembers before it forgets all of them, some 250 bytes each, 400 with decoded texts; those it counts before it passes them on.
-MEMO, COUNTED = 400_000, 250_000
+MEMO, COUNTED = 500_000, 250_000
+#: Texts that are encoded together.
+ENCODED_ROWS = 1024
 _MARKS = ".,;:!?\"()[]{}|#$%&*+-/<=>@\\^_`~"
 _SPLIT_ONLY_BY_STR = regex.compile("[\x1c-\x1f]")
 
@@ -80,6 +82,7 @@ class Codec:
         self.special = regex.compile("(" + "|".join(map(regex.escape, tok.special)) + ")") if tok.special else None
         self.chars = byte_characters()
         self.strings = {i: t for t, i in tok.vocab.items()} | {i: t for t, i in tok.special.items()}
+        self.decimals = {i: str(i) for i in self.strings}
 
     def merge(self, word: bytes) -> list[int]:
         """Apply the merges to one word, the lowest rank first, the leftmost of equals."""
@@ -140,17 +143,19 @@ class Codec:
 
 
 class _Memo(dict):
-    """For each chunk its decimal ids joined by a space, and, if wanted, the text decoded from them."""
+    """For each chunk how many ids it has, their decimals joined by a space and, if wanted, the text decoded from them."""
 
     def __init__(self, codec: Codec, decoded: bool) -> None:
         super().__init__()
         self.codec, self.decoded = codec, decoded
 
-    def __missing__(self, chunk: str) -> tuple[str, str]:
+    def __missing__(self, chunk: str) -> tuple:
         if len(self) >= MEMO:
             self.clear()
         ids = self.codec.chunk(chunk)
-        got = self[chunk] = (" ".join(map(str, ids)), self.codec.decode(ids)) if self.decoded else (" ".join(map(str, ids)),)
+        texts = self.codec.decimals
+        ids_text = " ".join([texts[i] for i in ids])
+        got = self[chunk] = (len(ids), ids_text, self.codec.decode(ids)) if self.decoded else (len(ids), ids_text)
         return got
 
 
@@ -193,12 +198,11 @@ def count_words(docs: DataFrame, tok: Tokenizer, text_col: str = "text") -> Data
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec, chunks = Codec(held.value), Counter()
         for b in batches:
-            text, odd = _plain(b.column(0), codec)
-            got = pc.value_counts(pc.ascii_split_whitespace(text).flatten())
-            for c, n in zip(got.field(0).to_pylist(), got.field(1).to_pylist(), strict=True):
-                chunks[c] += n
-            for t in odd.values():
-                chunks.update(p for special, p in codec.pieces(t) if not special)
+            for t in b.column(0).to_pylist():
+                if t and ("<|" in t or _SPLIT_ONLY_BY_STR.search(t)):
+                    chunks.update(p for special, p in codec.pieces(t) if not special)
+                elif t:
+                    chunks.update(t.split())
             if len(chunks) > COUNTED:
                 yield flush(chunks, codec)
                 chunks.clear()
@@ -250,31 +254,30 @@ def encode(docs: DataFrame, tok: Tokenizer, lexicon: bytes | None, *, text_col:
             ids = codec.encode(text)
             return ids if x == "ids" else len(ids) if x == "n_tokens" else codec.decode(ids) if x == "decoded" else " ".join(map(str, ids))
 
-        for b in batches:
+        for b in long_batches(batches, ENCODED_ROWS):
             # split, tell chunks apart, put the chunks' results in their places and join them: all by Arrow
             text, odd = _plain(b.column(b.num_columns - 1), codec)
             chunks = pc.ascii_split_whitespace(text)
             ends = np.asarray(chunks.offsets) - chunks.offsets[0].as_py()
             flat = chunks.flatten().dictionary_encode()
             known = [memo[c] for c in flat.dictionary.to_pylist()]
-            ids_of = pa.array([[int(i) for i in k[0].split()] for k in known], pa.list_(pa.int32()))
+            n_of = np.array([k[0] for k in known], np.int64)
             at = flat.indices.to_numpy()
-            some = ids_of.value_lengths().to_numpy(zero_copy_only=False) > 0 if len(known) else np.empty(0, bool)
-            if not some.all():  # chunks without ids leave no gap
-                keep_token = some[at]
+            if not n_of.all():  # chunks without ids leave no gap
+                keep_token = n_of[at] > 0
                 ends = np.concatenate([[0], np.cumsum(keep_token)])[ends]
                 at = at[keep_token]
             take = pa.array(at)
-            lens = ids_of.value_lengths().to_numpy(zero_copy_only=False)[at] if len(known) else np.empty(0, np.int64)
-            id_ends = np.concatenate([[0], np.cumsum(lens)])[ends]
+            id_ends = np.concatenate([[0], np.cumsum(n_of[at])])[ends]
             out: dict[str, pa.Array] = {}
             for x in outputs:
                 if x == "n_tokens":
                     out[x] = pa.array(np.diff(id_ends), pa.int64())
                 elif x == "ids":
+                    ids_of = pa.array([[int(i) for i in k[1].split()] for k in known], pa.list_(pa.int32()))
                     out[x] = pa.ListArray.from_arrays(pa.array(id_ends, pa.int32()), ids_of.take(take).flatten())
                 else:
-                    texts = pa.array([k[x == "decoded"] for k in known], pa.large_string())
+                    texts = pa.array([k[1 + (x == "decoded")] for k in known], pa.large_string())
                     out[x] = pc.binary_join(pa.LargeListArray.from_arrays(pa.array(ends, pa.int64()), texts.take(take)), pa.scalar(" ", pa.large_string())).cast(pa.string())
                 if odd:
                     rows_of = out[x].to_pylist()

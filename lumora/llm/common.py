@@ -78,15 +78,16 @@ def n_shuffle(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def long_batches(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of at least ``rows`` rows, but for the last one."""
-    held, n = [], 0
+def long_batches(batches: Iterator[pa.RecordBatch], rows: int, size: int = 1 << 23) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at least ``rows`` rows or ``size`` bytes, but for the last one."""
+    held, n, held_bytes = [], 0, 0
     for b in batches:
         held.append(b)
         n += len(b)
-        if n >= rows:
+        held_bytes += b.nbytes
+        if n >= rows or held_bytes >= size:
             yield pa.concat_batches(held)
-            held, n = [], 0
+            held, n, held_bytes = [], 0, 0
     if n:
         yield pa.concat_batches(held)
 
