@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -50,7 +48,7 @@ def nms(candidates: DataFrame, *, key: str, threshold: float = 0.45, most: int |
     kept = F.aggregate(F.col("c").cast(schema), F.array().cast(schema), step)
     if by_center:
         kept = F.array_sort(kept, lambda a, b: F.when(a["l"] + a["r"] < b["l"] + b["r"], -1).when(a["l"] + a["r"] > b["l"] + b["r"], 1).when(a["anchor"] < b["anchor"], -1).otherwise(1))
-    return grouped.select(key, F.posexplode(kept).alias("pos", "k")).select(key, "pos", "k.anchor", "k.cls", "k.conf", "k.l", "k.t", "k.r", "k.b")
+    return grouped.select(key, F.posexplode(kept).alias("pos", "_box")).select(key, "pos", "_box.anchor", "_box.cls", "_box.conf", "_box.l", "_box.t", "_box.r", "_box.b")
 
 
 def assign(weights: np.ndarray) -> np.ndarray:
@@ -113,8 +111,3 @@ def detection_totals(truth: DataFrame, predicted: DataFrame, matches: DataFrame,
     both = n(truth, "truths").crossJoin(n(predicted, "predictions")).crossJoin(hits)  # one row each
     tp = F.col("tp")
     return both.select("tp", (F.col("predictions") - tp).alias("fp"), (F.col("truths") - tp).alias("fn"), "matched", F.coalesce(F.try_divide(tp, F.col("predictions")), F.lit(0.0)).alias("precision"), F.coalesce(F.try_divide(tp, F.col("truths")), F.lit(0.0)).alias("recall"))
-
-
-def in_batches(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Pass batches through: the place to put a model's inference in ``mapInPandas``."""
-    yield from rows

@@ -92,11 +92,11 @@ def camera_pixels(spark, d):
     return rows.select("id", rotated(F.col("px"), F.col("py"), F.col("width"), F.col("height"), F.col("deg")).alias("pixel"), rgb.alias("c")).select("id", "pixel", "c.*")
 
 
-@register(QUERIES, f"WITH {_BOXES}, p AS (SELECT a.image_id, a.anchor, lag(r - l) OVER w AS pw, lag(b - t) OVER w AS ph, r - l AS w0, b - t AS h0 FROM boxes a WINDOW w AS (PARTITION BY image_id ORDER BY anchor)) SELECT image_id, anchor, round(greatest(abs(w0 - pw) / pw, abs(h0 - ph) / ph), 6) AS change FROM p WHERE pw IS NOT NULL")
+@register(QUERIES, f"WITH {_BOXES}, p AS (SELECT a.image_id, a.anchor, lag(r - l) OVER w AS pw, lag(b - t) OVER w AS ph, r - l AS w0, b - t AS h0 FROM boxes a WINDOW w AS (PARTITION BY image_id ORDER BY anchor, l)) SELECT image_id, anchor, round(greatest(abs(w0 - pw) / pw, abs(h0 - ph) / ph), 6) AS change FROM p WHERE pw IS NOT NULL")
 def size_changes(spark, d):
     from pyspark.sql.window import Window
 
-    w = Window.partitionBy("image_id").orderBy("anchor")
+    w = Window.partitionBy("image_id").orderBy("anchor", "l")
     box = F.struct("l", "t", "r", "b")
     rows = _boxes(spark, d).withColumn("x", box).withColumn("y", F.lag(box).over(w)).where("y is not null")
     return rows.select("image_id", "anchor", F.round(relative_size(F.col("x"), F.col("y")), 6).alias("change"))
@@ -116,7 +116,7 @@ def decode_argmax(spark, d):
 
 def _nms_sql(over: str, most: int, order: str) -> str:
     return f"""
-WITH RECURSIVE {_BOXES}, o AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY conf DESC, anchor) AS n FROM boxes),
+WITH RECURSIVE {_BOXES}, o AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY conf DESC, anchor, cls, l) AS n FROM boxes),
 f AS (
   SELECT image_id, 1 AS n, [struct_pack(anchor := anchor, cls := cls, conf := conf, l := l, t := t, r := r, b := b)] AS kept FROM o WHERE n = 1
   UNION ALL
@@ -126,12 +126,12 @@ z AS (SELECT image_id, unnest(kept) AS k FROM f WHERE n = (SELECT max(n) FROM o
 SELECT image_id, k.anchor AS anchor, k.cls AS cls, round(k.conf, 6) AS conf, row_number() OVER (PARTITION BY image_id ORDER BY {order}) - 1 AS pos FROM z"""
 
 
-@register(QUERIES, _nms_sql(f"{_IOU_SQL.format(a='k', b='o')} >= 0.45", 40, "k.l + k.r, k.anchor"))
+@register(QUERIES, _nms_sql(f"{_IOU_SQL.format(a='k', b='o')} >= 0.45", 40, "k.l + k.r, k.anchor, k.l"))
 def nms_agnostic(spark, d):
     return nms(_boxes(spark, d), key="image_id").select("image_id", "anchor", "cls", F.round("conf", 6).alias("conf"), F.col("pos").cast("bigint").alias("pos"))
 
 
-@register(QUERIES, _nms_sql(f"k.cls = o.cls AND {_IOU_SQL.format(a='k', b='o')} > 0.45", 1000, "k.conf DESC, k.anchor"))
+@register(QUERIES, _nms_sql(f"k.cls = o.cls AND {_IOU_SQL.format(a='k', b='o')} > 0.45", 1000, "k.conf DESC, k.anchor, k.l"))
 def nms_per_class(spark, d):
     return nms(_boxes(spark, d), key="image_id", per_class=True, inclusive=False, most=None, by_center=False).select("image_id", "anchor", "cls", F.round("conf", 6).alias("conf"), F.col("pos").cast("bigint").alias("pos"))
 
