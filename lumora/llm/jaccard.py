@@ -45,7 +45,7 @@ _CHUNKS = 64
 SMALL = 16
 _RANGES = 256
 NARROW_ROWS = 50_000
-_BLOCK_MEMBERS = 4096
+_BLOCK_MEMBERS = 512
 _PAIRS_A_TASK = 512
 _SALTS = 16
 #: Bits of the Bloom filter: 16 for each id, between these bounds. A full filter lets more sets through; results stay.
