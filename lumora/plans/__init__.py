@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ("hands", "vision", "metrics", "audits", "streams")
+_MODULES = ("hands", "vision", "metrics", "audits", "checks", "streams")
 
 
 def _all() -> dict:
