@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumora.llm.automaton import Lexicon, compile_lexicon
-from lumora.llm.common import long_batches, shared_dir, small_batches
+from lumora.llm.common import give_back, long_batches, shared_dir, small_batches
 
 #: Chunks that a worker remembers before it forgets all of them, some 250 bytes each, 400 with decoded texts; those it counts before it passes them on.
 MEMO, COUNTED = 500_000, 250_000
@@ -211,11 +211,14 @@ def count_words(docs: DataFrame, tok: Tokenizer, text_col: str = "text") -> Data
     return docs.select(text_col).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def build_lexicon(docs: DataFrame, tok: Tokenizer, *, text_col: str = "text", most: int = 1 << 17, least_count: int = 8) -> bytes:
+def build_lexicon(docs: DataFrame, tok: Tokenizer, *, text_col: str = "text", most: int = 1 << 16, least_count: int = 8) -> bytes:
     """Compile the ``most`` most frequent words that occur at least ``least_count`` times. A bound on the file, not on what is encoded."""
     top = count_words(docs, tok, text_col).where(F.col("n") >= least_count).orderBy(F.desc("n"), "word").limit(most).select("word").toArrow()
     codec = Codec(tok)
-    return compile_lexicon({w: codec.merge(w) for w in map(bytes, top["word"].to_pylist())})
+    out = compile_lexicon({w: codec.merge(w) for w in map(bytes, top["word"].to_pylist())})
+    del top, codec
+    give_back()
+    return out
 
 
 def share_file(spark: SparkSession, data: bytes, name: str) -> str:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +45,14 @@ def batch_rows(spark: SparkSession, rows: int) -> Iterator[None]:
         spark.conf.unset(key) if before is None else spark.conf.set(key, before)
 
 
+def give_back() -> None:
+    """Return memory that a fit on the driver has freed to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # glibc only
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def fold(id_col: str, mod: int) -> Column:
     """crc32 of the id as text, modulo ``mod``: the hold-out rule of the contracts. A null id is in fold -1."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % F.lit(mod), F.lit(-1))

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumora.llm.common import small_batches
+from lumora.llm.common import give_back, small_batches
 from lumora.llm.grams import Grams
 
 UNDETERMINED = "und"
@@ -41,7 +41,7 @@ def _kernel(present: np.ndarray, landmarks: np.ndarray) -> np.ndarray:
     return (present @ landmarks) / np.sqrt(np.maximum(present.sum(1, keepdims=True), 1.0))
 
 
-def fit_language(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", keep: Column | None = None, per_lang: int = 400, landmarks_per_lang: int = 24, orders: tuple[int, ...] = (1, 2, 3, 4), bits: int = 15, ridge: float = 1e-2) -> LanguageModel:
+def fit_language(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", keep: Column | None = None, per_lang: int = 300, landmarks_per_lang: int = 24, orders: tuple[int, ...] = (1, 2, 3, 4), bits: int = 15, ridge: float = 1e-2) -> LanguageModel:
     """Fit on about ``per_lang`` texts of each language, those whose hashed id is under a share of the hash's range."""
     small_batches(docs.sparkSession)
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
@@ -75,7 +75,10 @@ def fit_language(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     target = (y[:, None] == np.array(langs)[None]) * 2.0 - 1.0
     balance = (1.0 / np.bincount(np.searchsorted(langs, y), minlength=len(langs)))[np.searchsorted(langs, y)] * len(y) / len(langs)
     solved = np.linalg.solve((phi1 * balance[:, None]).T @ phi1 + ridge * np.eye(phi1.shape[1]), (phi1 * balance[:, None]).T @ target)
-    return LanguageModel(langs, marks, np.vstack([root @ solved[:-1], solved[-1:]]).astype(np.float32), orders, bits)
+    model = LanguageModel(langs, marks, np.vstack([root @ solved[:-1], solved[-1:]]).astype(np.float32), orders, bits)
+    del x, got
+    give_back()
+    return model
 
 
 def predict_language(docs: DataFrame, model: LanguageModel, *, text_col: str = "text", lang_out: str = "lang_pred", score_col: str = "score", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumora.llm.common import small_batches
+from lumora.llm.common import give_back, small_batches
 from lumora.llm.grams import Grams
 from lumora.llm.linear import fit_sparse_logistic, sigmoid
 
@@ -56,7 +56,7 @@ def _features(docs: DataFrame, picked: DataFrame, id_col: str, text_col: str, or
     return rows.mapInArrow(run, f"_id {kind}, _y int, ids binary").toArrow()
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", keep: Column | None = None, per_class: int = 1200, orders: tuple[int, ...] = (3, 4, 5, 6), bits: int = 20, alpha: float = 1.0, least_df: int = 4, least_ratio: float = 0.25, l2: float = 1e-3) -> ToxicityModel:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", keep: Column | None = None, per_class: int = 1000, orders: tuple[int, ...] = (3, 4, 5, 6), bits: int = 20, alpha: float = 1.0, least_df: int = 4, least_ratio: float = 0.25, l2: float = 1e-3) -> ToxicityModel:
     """Fit on at most ``2 * per_class`` labelled documents. ``keep``: a condition on the labels' rows to learn from."""
     small_batches(docs.sparkSession)
     picked = sample_labels(labels if keep is None else labels.where(keep), id_col, label_col, per_class)
@@ -66,12 +66,12 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id",
     size = 1 << bits
     if len(set(y)) < 2:
         share = float(y.mean()) if len(y) else 0.0
-        return ToxicityModel(np.zeros(size), float(np.log(max(share, 1e-9) / max(1 - share, 1e-9))), orders, bits, {"rows": len(y)})
-    lists = got["ids"].take(pa.array(order)).to_pylist()
-    del got
+        return ToxicityModel(np.zeros(size, np.float32), float(np.log(max(share, 1e-9) / max(1 - share, 1e-9))), orders, bits, {"rows": len(y)})
+    held = got["ids"]
+    lists = [np.frombuffer(held[int(i)].as_buffer(), np.int32) for i in order]  # views, no copies
     count = np.zeros((2, size), np.int32)
     for label, x in zip(y.astype(int), lists, strict=True):
-        count[label, np.frombuffer(x, np.int32)] += 1  # ids of a text are distinct
+        count[label, x] += 1  # ids of a text are distinct
     n0, n1 = (y == 0).sum(), (y == 1).sum()
     ratio = np.log(((count[1] + alpha) / (n1 + 2 * alpha)) / ((count[0] + alpha) / (n0 + 2 * alpha)))
     ratio[np.abs(ratio) < least_ratio] = 0.0  # as common in both classes
@@ -82,15 +82,18 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id",
     place = np.full(size, -1, np.int32)
     place[active] = np.arange(len(active), dtype=np.int32)
     for i, x in enumerate(lists):
-        x = place[np.frombuffer(x, np.int32)]
+        x = place[x]
         lists[i] = x[x >= 0]
+    del got, held
     starts = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int64)
     ids = np.concatenate(lists)
-    del lists
     weight = np.where(y == 1, 0.5 / n1, 0.5 / n0) * len(y)
     w = np.zeros(size)
     w[active], bias = fit_sparse_logistic(ids, starts, ratio[active][ids].astype(np.float32), y, weight, len(active), l2)
-    return ToxicityModel(w * ratio, bias, orders, bits, {"rows": len(y), "positives": int(n1)})
+    del lists, ids
+    model = ToxicityModel((w * ratio).astype(np.float32), bias, orders, bits, {"rows": len(y), "positives": int(n1)})
+    give_back()
+    return model
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, *, text_col: str = "text", score_col: str = "score", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -104,7 +107,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, *, text_col: str = "te
         weights, bias, orders, bits = held.value
         grams = Grams(orders, bits)
         for b in batches:
-            z = np.array([bias + weights[np.flatnonzero(grams.presence(t))].sum() for t in b.column(b.num_columns - 1).to_pylist()], float)
+            z = np.array([bias + weights[np.flatnonzero(grams.presence(t))].sum(dtype=float) for t in b.column(b.num_columns - 1).to_pylist()], float)
             yield pa.record_batch([*b.columns[:-1], pa.array(sigmoid(z))], names=[*b.schema.names[:-1], score_col])
 
     return rows.mapInArrow(run, schema)
