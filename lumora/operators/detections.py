@@ -106,8 +106,12 @@ def match_boxes(truth: DataFrame, predicted: DataFrame, *, key: str, threshold:
 
 def detection_totals(truth: DataFrame, predicted: DataFrame, matches: DataFrame, *, key: str) -> DataFrame:
     """One row: tp, fp, fn (class-aware over class-agnostic matches), matched, precision and recall (0 where undefined)."""
-    n = lambda df, name: df.agg(F.count("*").alias(name))
-    hits = matches.agg(F.count("*").alias("matched"), F.count(F.when(F.col("gt_cls") == F.col("pred_cls"), 1)).alias("tp"))
-    both = n(truth, "truths").crossJoin(n(predicted, "predictions")).crossJoin(hits)  # one row each
+    def counted(df: DataFrame, **ones: Column) -> DataFrame:
+        return df.select(*[ones.get(x, F.lit(0)).cast("bigint").alias(x) for x in ("truths", "predictions", "matched", "tp")])
+
+    one = F.lit(1)
+    hit = (F.col("gt_cls") == F.col("pred_cls")).cast("int")
+    rows = counted(truth, truths=one).unionByName(counted(predicted, predictions=one)).unionByName(counted(matches, matched=one, tp=hit))
+    both = rows.agg(*[F.coalesce(F.sum(x), F.lit(0)).alias(x) for x in rows.columns])
     tp = F.col("tp")
     return both.select("tp", (F.col("predictions") - tp).alias("fp"), (F.col("truths") - tp).alias("fn"), "matched", F.coalesce(F.try_divide(tp, F.col("predictions")), F.lit(0.0)).alias("precision"), F.coalesce(F.try_divide(tp, F.col("truths")), F.lit(0.0)).alias("recall"))
