@@ -101,7 +101,7 @@ def _hand_exprs(key: str, c: str, groups: int = 4) -> dict[str, str]:
 
 
 HAND = _hand_exprs("c_custkey", "(c_nationkey * 13 + 1)")
-TILES_SQL = "list_concat([p, p], " * 1 + "list_concat(" * 3 + ", ".join(["[g0, g0 + k0, g0 + 2 * k0]", "[g1, g1 + k1, g1 + 2 * k1])", "[g2, g2 + k2, g2 + 2 * k2])", "[g3, g3 + k3, g3 + 2 * k3])"]) + ")"
+TILES_SQL = "flatten([[p, p]" + "".join(f", [g{i}, g{i} + k{i}, g{i} + 2 * k{i}]" for i in range(4)) + "])"
 
 
 def _tiles() -> Column:
