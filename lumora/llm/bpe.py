@@ -32,8 +32,8 @@ from pyspark.sql import functions as F
 from lumora.llm.automaton import Lexicon, compile_lexicon
 from lumora.llm.common import give_back, long_batches, shared_dir, small_batches
 
-#: Chunks that a worker remembers before it forgets all of them, some 250 bytes each, 400 with decoded texts; those it counts before it passes them on.
-MEMO, COUNTED = 500_000, 250_000
+#: Chunks that a task remembers before it forgets all of them, some 250 bytes each, 400 with decoded texts; those it counts before it passes them on.
+MEMO, COUNTED = 300_000, 200_000
 #: Texts that are encoded together.
 ENCODED_ROWS = 1024
 _MARKS = ".,;:!?\"()[]{}|#$%&*+-/<=>@\\^_`~"
@@ -159,18 +159,6 @@ class _Memo(dict):
         return got
 
 
-#: The latest codec of this worker process and what it remembers; tasks of one query share it.
-_LATEST: dict[str, _Memo] = {}
-
-
-def _memo(name: str | None, tok: Tokenizer, decoded: bool) -> _Memo:
-    key = f"{name}-{decoded}"
-    if key not in _LATEST or not name:
-        _LATEST.clear()
-        _LATEST[key] = _Memo(Codec(tok, Lexicon.map(SparkFiles.get(name)) if name else None), decoded)
-    return _LATEST[key]
-
-
 def _plain(col: pa.Array, codec: Codec) -> tuple[pa.Array, dict[int, str]]:
     """Texts with null and those with special tokens as empty ones, and the latter by row."""
     col = (col.combine_chunks() if isinstance(col, pa.ChunkedArray) else col).cast(pa.large_string()).fill_null("")
@@ -250,8 +238,8 @@ def encode(docs: DataFrame, tok: Tokenizer, lexicon: bytes | None, *, text_col:
     schema = rows.select(*keep, *[F.lit(None).cast(sql[x]).alias(x) for x in outputs]).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = _memo(name, held.value, "decoded" in outputs)
-        codec = memo.codec
+        codec = Codec(held.value, Lexicon.map(SparkFiles.get(name)) if name else None)
+        memo = _Memo(codec, "decoded" in outputs)  # of this task: a worker that lives on keeps nothing
 
         def special_row(text: str, x: str) -> object:
             ids = codec.encode(text)
