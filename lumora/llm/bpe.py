@@ -35,7 +35,7 @@ from lumora.llm.common import give_back, long_batches, shared_dir, small_batches
 #: Chunks that a task remembers before it forgets all of them, some 250 bytes each, 400 with decoded texts; those it counts before it passes them on.
 MEMO, COUNTED = 300_000, 200_000
 #: Texts that are encoded together.
-ENCODED_ROWS = 1024
+ENCODED_ROWS = 2048
 _MARKS = ".,;:!?\"()[]{}|#$%&*+-/<=>@\\^_`~"
 _SPLIT_ONLY_BY_STR = regex.compile("[\x1c-\x1f]")
 
@@ -145,12 +145,12 @@ class Codec:
 class _Memo(dict):
     """For each chunk how many ids it has, their decimals joined by a space and, if wanted, the text decoded from them."""
 
-    def __init__(self, codec: Codec, decoded: bool) -> None:
+    def __init__(self, codec: Codec, decoded: bool, size: int) -> None:
         super().__init__()
-        self.codec, self.decoded = codec, decoded
+        self.codec, self.decoded, self.size = codec, decoded, size
 
     def __missing__(self, chunk: str) -> tuple:
-        if len(self) >= MEMO:
+        if len(self) >= self.size:
             self.clear()
         ids = self.codec.chunk(chunk)
         texts = self.codec.decimals
@@ -225,7 +225,7 @@ def share_file(spark: SparkSession, data: bytes, name: str) -> str:
     return name
 
 
-def encode(docs: DataFrame, tok: Tokenizer, lexicon: bytes | None, *, text_col: str = "text", outputs: tuple[str, ...] = ("ids",), keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def encode(docs: DataFrame, tok: Tokenizer, lexicon: bytes | None, *, text_col: str = "text", outputs: tuple[str, ...] = ("ids",), keep: tuple[str, ...] = ("doc_id",), memo_size: int = MEMO) -> DataFrame:
     """The columns of ``keep`` and, as asked for, of each whole text: ``ids`` array<int>, ``n_tokens`` long,
     ``ids_text`` (decimal ids joined by a space) and ``decoded`` (the text decoded from the ids)."""
     spark = docs.sparkSession
@@ -239,7 +239,7 @@ def encode(docs: DataFrame, tok: Tokenizer, lexicon: bytes | None, *, text_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(held.value, Lexicon.map(SparkFiles.get(name)) if name else None)
-        memo = _Memo(codec, "decoded" in outputs)  # of this task: a worker that lives on keeps nothing
+        memo = _Memo(codec, "decoded" in outputs, memo_size)  # of this task: a worker that lives on keeps nothing
 
         def special_row(text: str, x: str) -> object:
             ids = codec.encode(text)

@@ -59,7 +59,7 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     tok = Tokenizer.load(tokenizer_path())
-    rows = encode(docs, tok, build_lexicon(docs, tok), outputs=("n_tokens", "ids_text", "decoded"))
+    rows = encode(docs, tok, build_lexicon(docs, tok, most=1 << 17), outputs=("n_tokens", "ids_text", "decoded"), memo_size=600_000)
     return rows.select("doc_id", "n_tokens", F.sha2("ids_text", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
