@@ -1,17 +1,20 @@
 """Benchmark decontamination by spaced-seed hashing, in DataFrame operations only.
 
-Words (runs of letters and digits, lower-cased) of the benchmark and of the documents are hashed under fixed masks: a mask of
-``span`` positions hashes only the words at its ones, so a differing word at a zero does not hide a
-match. Seeds of the documents are joined with those of the benchmark; each hit fixes an alignment of an
-item with a document. On that diagonal the words around the hit are compared, and the longest overlap
-is kept in which at most ``1 - similarity`` of the words differ. An item leaks into a document if such
-an overlap has at least ``least_words`` words, or covers the whole of a shorter item.
+Words (runs of letters and digits, lower-cased) of the benchmark and of the documents are hashed under masks: a
+mask hashes only the words at its ones, so a differing word at a zero does not hide a match. Seeds at every
+position of the documents are joined with those at every position of the benchmark; each hit fixes an alignment
+of an item with a document. On that diagonal the words around the hit are compared, and the longest overlap that
+begins and ends with a match is kept in which at most ``1 - similarity`` of the words differ. An item leaks into
+a document if such an overlap has at least ``least_words`` words, or if the whole item stands there with at most
+that share of its words changed, its first and last words included.
+
+No overlap is missed: ``seed_masks`` and ``short_seeds`` split a passage with k changed words into k + 2 blocks, of
+which two are unchanged, and have a mask for every such pair.
 
 The benchmark's seeds are broadcast while their counted number is at most ``broadcast_rows``; beyond it
 they are joined by a shuffle on the hash and the texts are joined again by the document's id. Ids are
 taken to be unique in each table. Items and documents that repeat are each reported. Null or
-empty texts have no seeds. An item of fewer words than the masks span is hashed whole, without a mask,
-and found only as it is; an item without words is not searched. Overlaps that lie apart on different
+empty texts have no seeds; an item without words is not searched. Overlaps that lie apart on different
 diagonals are judged apart. Extra columns are ignored.
 """
 
@@ -20,8 +23,35 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Words that count (1) and that are ignored (0). Two masks: a substitution that breaks one seldom breaks both.
-MASKS = ("11011011", "10111101")
+
+def _changed(n: int, similarity: float) -> int:
+    """How many of ``n`` words may differ."""
+    return max(k for k in range(n + 1) if n - k >= similarity * n)
+
+
+def _pair(block: int, apart: int) -> str:
+    return "1" * block + "0" * (apart - block) + "1" * block
+
+
+#: Words that count (1) and that are ignored (0): pairs of three words for overlaps of 13 words at 80 %. They hit every placement of
+#: 2 changed words in 13, 3 in 15, 4 in 20 and 5 in 25, and so in any longer overlap; with one pair less some are missed.
+MASKS = tuple(_pair(3, d) for d in (3, 6, 9, 12, 15))
+
+
+def seed_masks(least_words: int, similarity: float) -> tuple[str, ...]:
+    """Masks that hit, at some position, every overlap of at least ``least_words`` words. A longer one holds one of less than twice as many."""
+    if (least_words, similarity) == (13, 0.8):
+        return MASKS
+    cases = [(n, _changed(n, similarity)) for n in range(least_words, 2 * least_words)]
+    return tuple(dict.fromkeys(_pair(b, b * j) if b else "1" for n, k in cases for b in [n // (k + 2)] for j in range(1, k + 2)))
+
+
+def short_seeds(n: int, similarity: float) -> list[tuple[str, int]]:
+    """Masks and their places in an item of ``n`` words, one for each two of the blocks it is split into."""
+    parts = _changed(n, similarity) + 2
+    ends = [n * i // parts for i in range(parts + 1)]
+    kept = [[*range(*ends[i : i + 2]), *range(*ends[j : j + 2])] for i in range(parts) for j in range(i + 1, parts)]
+    return list(dict.fromkeys(("".join("01"[x in k] for x in range(k[0], k[-1] + 1)), k[0]) for k in kept if k))
 
 
 def word_array(text: Column) -> Column:
@@ -33,20 +63,14 @@ def _seed(words: Column, at: Column, mask: str) -> Column:
     return F.xxhash64(F.lit(mask), *[F.get(words, at + i) for i, c in enumerate(mask) if c == "1"])
 
 
-def _whole(words: Column, at: Column, n: int) -> Column:
-    """The seed of an item of ``n`` words, fewer than the masks span."""
-    return F.xxhash64(F.lit(n), *[F.get(words, at + i) for i in range(n)])
-
-
-def benchmark_seeds(items: DataFrame, masks: tuple[str, ...], stride: int) -> DataFrame:
-    """Seeds of _item, _words at every ``stride``-th position and at the last one: _h, _item, _at, _n, _size (0, or the size of a short item)."""
-    span = max(map(len, masks))
-    rows = items.withColumn("_n", F.size("_words"))
-    last = F.col("_n") - span
-    long = rows.where(last >= 0).withColumn("_at", F.explode(F.array_distinct(F.concat(F.sequence(F.lit(0), last, F.lit(stride)), F.array(last)))))
-    out = long.select(F.explode(F.array(*[_seed(F.col("_words"), F.col("_at"), m) for m in masks])).alias("_h"), "_item", "_at", "_n", F.lit(0).alias("_size"))
-    for n in range(1, span):
-        out = out.unionByName(rows.where(F.col("_n") == n).select(_whole(F.col("_words"), F.lit(0), n).alias("_h"), "_item", F.lit(0).alias("_at"), "_n", F.col("_n").alias("_size")))
+def benchmark_seeds(items: DataFrame, masks: tuple[str, ...], short: dict[int, list[tuple[str, int]]]) -> DataFrame:
+    """Seeds of _item, _words, _n: at every position, or the given ones of an item of a length in ``short``: _h, _item, _at, _n."""
+    words, n, at = F.col("_words"), F.col("_n"), F.col("_at")
+    long = items.where((n > 0) & ~n.isin(list(short))).withColumn("_at", F.explode(F.sequence(F.lit(0), n - 1)))
+    out = long.select(F.explode(F.array(*[F.when(at + len(m) <= n, _seed(words, at, m)) for m in masks])).alias("_h"), "_item", "_at", "_n").where("_h IS NOT NULL")
+    for size, seeds in short.items():
+        each = F.explode(F.array(*[F.struct(_seed(words, F.lit(a), m).alias("_h"), F.lit(a).alias("_at")) for m, a in seeds])).alias("_s")
+        out = out.unionByName(items.where(n == size).select(each, "_item", "_n").select("_s._h", "_item", "_s._at", "_n"))
     return out
 
 
@@ -58,18 +82,19 @@ def _best_overlap(same: Column, similarity: float) -> Column:
     return F.array_max(F.filter(runs, lambda r: r["matches"] >= F.lit(similarity) * r["length"]))
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, *, doc_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", masks: tuple[str, ...] = MASKS, stride: int = 2, least_words: int = 13, similarity: float = 0.8, broadcast_rows: int = 1_000_000) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, *, doc_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", masks: tuple[str, ...] | None = None, least_words: int = 13, similarity: float = 0.8, broadcast_rows: int = 1_000_000) -> DataFrame:
     """One row for each document and benchmark item that leaks into it, with the best overlap:
     doc, item, start word in the document and in the item, overlap length in words, matches, similarity."""
-    span = max(map(len, masks))
     items = benchmark.select(F.col(item_col).alias("_item"), word_array(F.col(item_text_col)).alias("_words"))
-    seeds = benchmark_seeds(items, masks, stride)
-    short = sorted(r["_size"] for r in seeds.where(F.col("_size") > 0).select("_size").distinct().collect())  # fewer than the span
+    sized = items.withColumn("_n", F.size("_words"))
+    short = {r["_n"]: short_seeds(r["_n"], similarity) for r in sized.where(F.col("_n").between(1, least_words - 1)).select("_n").distinct().collect()}
+    masks = seed_masks(least_words, similarity) if masks is None else masks
+    seeds = benchmark_seeds(sized, masks, short)
     few = seeds.limit(broadcast_rows + 1).count() <= broadcast_rows
-    seeds = seeds.drop("_size")
     texts = docs.select(F.col(doc_col).alias("_doc"), word_array(F.col(text_col)).alias("_words"))
     words, pos = F.col("_words"), F.col("_pos")
-    hashes = [F.when(pos + span <= F.size(words), _seed(words, pos, m)) for m in masks] + [F.when(pos + n <= F.size(words), _whole(words, pos, n)) for n in short]
+    used = dict.fromkeys([*masks, *[m for seeds_of in short.values() for m, _ in seeds_of]])
+    hashes = [F.when(pos + len(m) <= F.size(words), _seed(words, pos, m)) for m in used]
     rows = texts.where(F.size(words) > 0).select("_doc", "_words", F.explode(F.sequence(F.lit(0), F.size(words) - 1)).alias("_pos"))
     rows = rows.select("_doc", "_words", "_pos", F.explode(F.array(*hashes)).alias("_k")).where(F.col("_k").isNotNull())
     start = pos - F.col("_at")
@@ -84,7 +109,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, doc_col: str = "doc_id"
         one = texts.join(hit, "_doc").select(*keys, part.alias("_part"))
     one = one.join(items.withColumnRenamed("_words", "_item_words"), "_item").withColumn("_skip", skip)
     same = F.zip_with(F.slice("_item_words", F.col("_skip") + 1, F.size("_part")), F.col("_part"), lambda a, b: a == b)
-    judged = one.select("_doc", "_item", "_start", "_skip", "_n", _best_overlap(same, similarity).alias("_o")).where(F.col("_o").isNotNull() & (F.col("_o.length") >= F.least(F.lit(least_words), F.col("_n"))))
+    n_same = F.size(F.filter("_same", lambda x: x))
+    whole = F.when((F.size("_same") == F.col("_n")) & (n_same >= F.lit(similarity) * F.col("_n")), F.struct(F.col("_n").alias("length"), n_same.alias("matches"), F.lit(0).alias("neg_start")))
+    run = _best_overlap(F.col("_same"), similarity)
+    judged = one.withColumn("_same", same).withColumn("_run", run).select("_doc", "_item", "_start", "_skip", F.coalesce(F.when(F.col("_run.length") >= least_words, F.col("_run")), whole).alias("_o")).where(F.col("_o").isNotNull())
     best = judged.groupBy("_doc", "_item").agg(F.max(F.struct("_o.length", "_o.matches", (-F.col("_start")).alias("neg"), "_o.neg_start", "_skip")).alias("b"))
     item_start = F.col("b._skip") - F.col("b.neg_start")
     return best.select(

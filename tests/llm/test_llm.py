@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import collections
 import hashlib
+import itertools
 import random
 import re
 
@@ -145,6 +146,43 @@ def test_leaks(spark):
     assert find_leaks(docs_of(spark, rows), empty(bench)).count() == 0 and find_leaks(empty(docs_of(spark, rows)), bench).count() == 0
 
 
+def test_leaks_against_brute_force(spark):
+    rnd = random.Random(50)
+    items = [(i, [f"w{i}x{j}" for j in range(n)]) for i, n in enumerate([*range(1, 31)] * 3 + [50] * 20)]
+    rows, want = [], set()
+    for d in range(500):
+        i, words = items[d % len(items)]
+        n = len(words) if len(words) < 50 else rnd.randint(8, 20)
+        at = rnd.randint(0, len(words) - n)
+        part = words[at : at + n]
+        for p in rnd.sample(range(n), min(n, max(0, n // 5 + rnd.choice([0, 0, 0, 1])))):
+            part[p] = f"other{p}"
+        rows.append((d, " ".join([*(["before"] * rnd.randint(0, 3)), *part, *(["after"] * rnd.randint(0, 3))]), "en"))
+        same = [False] * at + [w == v for w, v in zip(words[at:], part, strict=False)] + [False] * (len(words) - at - n)
+        ends = [j for j, x in enumerate(same) if x]
+        runs = any(b - a >= 12 and 5 * sum(same[a : b + 1]) >= 4 * (b - a + 1) for a in ends for b in ends)
+        if runs or (n == len(words) and 5 * sum(same) >= 4 * n):
+            want.add((d, i))
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id bigint, text string")
+    for kw in ({}, {"broadcast_rows": 1}):
+        got = find_leaks(docs_of(spark, rows), bench, **kw).collect()
+        assert {(r["doc_id"], r["item_id"]) for r in got} == want and all(5 * r["n_same"] >= 4 * r["n_words"] for r in got)
+
+
+def test_seeds_hit_every_placement():
+    from lumora.llm.decontaminate import MASKS, seed_masks, short_seeds
+
+    def hit(n, changed, seeds):
+        return any(all(m[p - at] == "0" for p in changed if at <= p < at + len(m)) for m, at in seeds)
+
+    for masks, cases in ((MASKS, [(13, 2), (15, 3), (20, 4)]), (seed_masks(8, 0.75), [(8, 2), (12, 3)])):
+        for n, k in cases:
+            seeds = [(m, at) for m in masks for at in range(n - len(m) + 1)]
+            assert all(hit(n, c, seeds) for c in itertools.combinations(range(n), k))
+    for n in range(1, 13):
+        assert all(hit(n, c, short_seeds(n, 0.8)) for c in itertools.combinations(range(n), n // 5))
+
+
 # 6 byte-pair encoding
 def test_automaton():
     rnd = random.Random(6)
