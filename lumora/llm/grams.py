@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
 import numpy as np
 
 from lumora.llm.common import codepoints
 
 _PART = 1 << 18
+_WORD = re.compile(r"\b[^\W\d_]+\b")
 
 
 class Grams:
@@ -39,3 +43,14 @@ class Grams:
 
     def ids(self, text: str | None) -> np.ndarray:
         return np.flatnonzero(self.presence(text)).astype(np.int32)
+
+
+def word_trigrams(text: str, bits: int) -> Iterator[np.ndarray]:
+    """Buckets of all trigrams, repeated ones too, of the words that are letters only with a blank around each; of the whole text if it has none."""
+    low = text.lower()
+    c = codepoints(f" {' '.join(_WORD.findall(low)) or low} ")
+    for at in range(0, len(c) - 2, _PART):
+        h = c[at : at + _PART + 2] * np.uint32(0x9E3779B1) + np.uint32(0x7F4A7C15)
+        for n in (1, 2):
+            h = (h[:-1] ^ (h[:-1] >> np.uint32(15))) * np.uint32(0x85EBCA77) + c[at + n : at + n + len(h) - 1] * np.uint32(0xC2B2AE3D)
+        yield ((h ^ (h >> np.uint32(13))) * np.uint32(0x27D4EB2F)) >> np.uint32(32 - bits)

@@ -6,6 +6,12 @@ each language span the feature space; a ridge regression per language (one again
 fitted there on a bounded sample. Texts are scored in batches: a presence matrix times the
 landmarks' matrix gives the kernels, and a second product the scores of the languages.
 
+The scores of a text always have the same sum, so none of them tells a text in no learned language. For
+that there is a fit: the mean, over the letter trigrams of a text, of the log share of the language's learned
+texts that have the trigram. Each learned text is judged without itself; the least fit of a language is halfway
+between the median of those fits and that of a text of unseen trigrams, or lower where those fits spread widely
+(four times from the median to the lower quartile, so that mislabelled texts do not move it).
+
 Nulls and odd rows: a null text, or one without a letter, is ``und`` with score 0. Rows with a null
 language are not learned from. Without learned languages every text is ``und``. Ties go to the
 language first in order of its name. Other columns of the input are ignored.
@@ -22,10 +28,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumora.llm.common import give_back, small_batches
-from lumora.llm.grams import Grams
+from lumora.llm.grams import Grams, word_trigrams
 
 UNDETERMINED = "und"
 _ROWS = 64
+_FIT_BITS = 17
 
 
 @dataclass
@@ -35,6 +42,21 @@ class LanguageModel:
     weights: np.ndarray  # landmarks x languages
     orders: tuple[int, ...]
     bits: int
+    shares: np.ndarray  # trigram buckets x languages, log share of the learned texts that have one
+    least_fit: np.ndarray  # of each language
+
+
+def _fits(found: list[tuple[np.ndarray, np.ndarray]], of: np.ndarray, n_langs: int) -> tuple[np.ndarray, np.ndarray]:
+    """Log shares and least fits from the distinct trigrams of each learned text, their counts and its language."""
+    texts = np.bincount(of, minlength=n_langs)
+    seen = np.zeros((1 << _FIT_BITS, n_langs), np.int32)
+    for (ids, _), k in zip(found, of, strict=True):
+        seen[ids, k] += 1
+    own = np.array([np.average(np.log((seen[ids, k] - 0.5) / (texts[k] + 1)), weights=n) if len(ids) else 0.0 for (ids, n), k in zip(found, of, strict=True)])
+    unseen = np.log(0.5 / (texts + 1))
+    quarter, middle = np.array([np.quantile(own[of == k], (0.25, 0.5)) for k in range(n_langs)]).T
+    least = np.minimum((middle + unseen) / 2, middle - 4 * (middle - quarter))
+    return np.log((seen + 0.5) / (texts + 1)).astype(np.float32), least
 
 
 def _kernel(present: np.ndarray, landmarks: np.ndarray) -> np.ndarray:
@@ -49,7 +71,7 @@ def fit_language(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     counts = {r["_lang"]: r["n"] for r in rows.groupBy(F.col(lang_col).alias("_lang")).agg(F.count("*").alias("n")).collect()}
     langs = sorted(counts)
     if not langs:
-        return LanguageModel([], np.zeros((1 << bits, 0), np.float32), np.zeros((0, 0), np.float32), orders, bits)
+        return LanguageModel([], np.zeros((1 << bits, 0), np.float32), np.zeros((0, 0), np.float32), orders, bits, np.zeros((1 << _FIT_BITS, 0), np.float32), np.zeros(0))
     unit = F.pmod(F.xxhash64(F.col(id_col)), F.lit(1 << 30))
     most = F.create_map(*[x for k in langs for x in (F.lit(k), F.lit(int(min(1.0, 1.1 * per_lang / counts[k]) * (1 << 30))))])
     picked = rows.where(unit < F.element_at(most, F.col(lang_col))).select(unit.alias("_u"), F.col(lang_col).alias("_lang"), F.col(text_col).alias("_text"))
@@ -57,10 +79,14 @@ def fit_language(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams = Grams(orders, bits)
         for b in batches:
-            ids = [np.packbits(grams.presence(t)).tobytes() for t in b.column(2).to_pylist()]
-            yield pa.record_batch([b.column(0), b.column(1), pa.array(ids, pa.binary())], names=["_u", "_lang", "ids"])
-
-    got = picked.mapInArrow(run, "_u long, _lang string, ids binary").toArrow().sort_by([("_u", "ascending"), ("ids", "ascending")])
+            texts = b.column(2).to_pylist()
+            ids = [np.packbits(grams.presence(t)).tobytes() for t in texts]
+            found = [np.unique(np.concatenate([*word_trigrams(t, _FIT_BITS), np.empty(0, np.uint32)]), return_counts=True) for t in texts]
+            yield pa.record_batch(
+                [b.column(0), b.column(1), pa.array(ids, pa.binary()), *[pa.array([f[i].astype(np.uint32).tobytes() for f in found], pa.binary()) for i in (0, 1)]], names=["_u", "_lang", "ids", "tri", "n"]
+            )
+
+    got = picked.mapInArrow(run, "_u long, _lang string, ids binary, tri binary, n binary").toArrow().sort_by([("_u", "ascending"), ("ids", "ascending")])
     y = np.array(got["_lang"].to_pylist())
     x = np.stack([np.unpackbits(np.frombuffer(b, np.uint8)) for b in got["ids"].to_pylist()]) if len(y) else np.zeros((0, 1 << bits), np.uint8)
     langs = sorted(set(y.tolist()))
@@ -75,18 +101,25 @@ def fit_language(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     target = (y[:, None] == np.array(langs)[None]) * 2.0 - 1.0
     balance = (1.0 / np.bincount(np.searchsorted(langs, y), minlength=len(langs)))[np.searchsorted(langs, y)] * len(y) / len(langs)
     solved = np.linalg.solve((phi1 * balance[:, None]).T @ phi1 + ridge * np.eye(phi1.shape[1]), (phi1 * balance[:, None]).T @ target)
-    model = LanguageModel(langs, marks, np.vstack([root @ solved[:-1], solved[-1:]]).astype(np.float32), orders, bits)
+    found = [(np.frombuffer(t, np.uint32), np.frombuffer(n, np.uint32)) for t, n in zip(got["tri"].to_pylist(), got["n"].to_pylist(), strict=True)]
+    shares, least_fit = _fits(found, np.searchsorted(langs, y), len(langs))
+    model = LanguageModel(langs, marks, np.vstack([root @ solved[:-1], solved[-1:]]).astype(np.float32), orders, bits, shares, least_fit)
     del x, got
     give_back()
     return model
 
 
-def predict_language(docs: DataFrame, model: LanguageModel, *, text_col: str = "text", lang_out: str = "lang_pred", score_col: str = "score", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns of ``keep``, the predicted language of each whole text and its score from 0 to 1."""
+def predict_language(docs: DataFrame, model: LanguageModel, *, text_col: str = "text", lang_out: str = "lang_pred", score_col: str = "score", fit_col: str | None = None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns of ``keep``, the predicted language of each whole text and its score from 0 to 1; with ``fit_col``
+    also how far the text's fit is above the least of that language, or of the one it fits best if it doesn't fit the predicted
+    one: negative for texts in no learned language, -1 for ``und``."""
     small_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast((model.langs, model.landmarks, model.weights, model.orders, model.bits))
+    held_fit = docs.sparkSession.sparkContext.broadcast((np.ascontiguousarray(model.shares.T), model.least_fit)) if fit_col else None
     rows = docs.select(*keep, F.col(text_col).alias("_lang_text"))
-    schema = rows.select(*keep).withColumns({lang_out: F.lit("").cast("string"), score_col: F.lit(0.0).cast("double")}).schema
+    added = {lang_out: F.lit("").cast("string"), score_col: F.lit(0.0).cast("double")} | ({fit_col: F.lit(0.0).cast("double")} if fit_col else {})
+    schema = rows.select(*keep).withColumns(added).schema
+    out_names = schema.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs, marks, weights, orders, bits = held.value
@@ -104,6 +137,18 @@ def predict_language(docs: DataFrame, model: LanguageModel, *, text_col: str = "
                 f = _kernel(present[: len(part)], marks) @ weights[:-1] + weights[-1]
                 best[part] = f.argmax(1)
                 score[part] = np.clip((f.max(1).astype(float) + 1) / 2, 0.0, 1.0)
-            yield pa.record_batch([*b.columns[:-1], pa.array(names[best].tolist(), pa.string()), pa.array(score)], names=[*b.schema.names[:-1], lang_out, score_col])
+            out = [pa.array(names[best].tolist(), pa.string()), pa.array(score)]
+            if held_fit is not None:
+                shares, least_fit = held_fit.value
+                fit = np.full(len(texts), -1.0)
+                for i in known:
+                    ids = [*word_trigrams(texts[i], _FIT_BITS)]
+                    for k in sorted(range(len(langs)), key=lambda k: k != best[i]):  # the others only where the predicted one does not fit
+                        found = sum(shares[k][part].sum(dtype=float) for part in ids) / sum(map(len, ids)) - least_fit[k]
+                        fit[i] = found if k == best[i] else max(fit[i], found)
+                        if fit[i] >= 0:
+                            break
+                out.append(pa.array(fit))
+            yield pa.record_batch([*b.columns[:-1], *out], names=out_names)
 
     return rows.mapInArrow(run, schema)

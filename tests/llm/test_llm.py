@@ -78,6 +78,24 @@ def test_language(spark):
     assert predict_language(empty(docs), model).count() == 0
 
 
+def test_language_stage_rejects_the_unlearned(spark, tmp_path):
+    import corpus_pipeline as P
+
+    rnd = random.Random(51)
+    kinds = {"en": WORDS, "xo": [w[::-1] + "o" for w in WORDS], "xu": ["u" + w[::-1] for w in WORDS], "xi": [w[1:] + "i" + w[:1] for w in WORDS]}
+    rows = [(i, text(rnd, rnd.choice([1, 3, 10, 40, 40, 100, 400]), kinds[k]), k) for i, k in enumerate(list(kinds) * 150)]
+    rows += [(i, f"{t} +1 (555) 010-9988 token = d94b244acde2e3b0aa8f051af1ec018ebaba3add ### 77", k) for i, (_, t, k) in enumerate(rows[:40], 1000)]
+    junk = [
+        "В начале было слово и все люди знали что зима придет скоро", "语言是人类最重要的交际工具人们利用它来进行交际交流思想", "Η γλώσσα είναι ένα σύστημα που χρησιμοποιούν οι άνθρωποι",
+        "Bütün insanlar hür haysiyet ve haklar bakımından eşit doğarlar akıl ve vicdana sahiptirler", "a" * 300, "aaaaaa " * 50, " ".join("".join(rnd.choice("bcdfghjklmnpqrstvwxz") for _ in range(7)) for _ in range(60)),
+    ]
+    docs = docs_of(spark, rows + [(5000 + i, t, "en") for i, t in enumerate(junk)] + [(6000 + i, t, None) for i, t in enumerate(junk)])
+    kept = {r["doc_id"] for r in P.language(spark, docs, str(tmp_path)).collect()}
+    assert not {i for i in kept if i >= 5000}
+    lost = {i: t[:60] for i, t, _ in rows if i not in kept}
+    assert not lost
+
+
 # 4 quality
 def test_quality(spark):
     rnd = random.Random(3)
