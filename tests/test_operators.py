@@ -7,7 +7,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from lumora.functions.metrics import wilson, zero_failure_bound
-from lumora.operators.audit import assign_split, hamming_links, keep_first, unit_value
+from lumora.operators.audit import assign_split, hamming_links, keep_first, near_links, unit_value
 from lumora.operators.consensus import FRAME, Gate, Policy, gate_batch
 from lumora.operators.detections import assign, best_class, match_boxes, nms
 from lumora.operators.graph import components, cycle_nodes
@@ -69,6 +69,30 @@ def test_components_and_cycles(spark):
     assert components(spark.createDataFrame([], "u bigint, v bigint")).count() == 0
 
 
+def test_near_links_against_brute_force(spark):
+    rnd = random.Random(12)
+    base = [(rnd.getrandbits(64), rnd.getrandbits(64), [rnd.randrange(256) for _ in range(12)]) for _ in range(4)]
+
+    def flip(x, most):
+        for p in rnd.sample(range(64), rnd.randint(0, most)):
+            x ^= 1 << p
+        return x
+
+    rows = [(i, flip(d, 5), flip(p, 5), 100 + rnd.choice([0, 0, 3, 9]), 100, [min(255, c + rnd.choice([0, 5, 20, 25])) for c in rgb]) for i in range(60) for d, p, rgb in [base[i % 4]]]
+    want = set()
+    for a, b in itertools.combinations(rows, 2):
+        if (a[1] ^ b[1]).bit_count() <= 4:
+            continue
+        if (a[2] ^ b[2]).bit_count() <= 6 and abs((b[3] / b[4]) / (a[3] / a[4]) - 1) <= 0.05 and sum(abs(x - y) for x, y in zip(a[5], b[5], strict=True)) / 12 <= 12:
+            want.add((a[0], b[0]))
+    signed = [(i, d - (d >> 63 << 64), p - (p >> 63 << 64), w, h, c) for i, d, p, w, h, c in rows]
+    df = spark.createDataFrame([*signed, (99, None, None, 1, 1, None)], "id bigint, dh bigint, ph bigint, w int, h int, rgb array<int>")
+    got = near_links(df, id_col="id", dhash_col="dh", phash_col="ph", width_col="w", height_col="h", rgb_col="rgb").collect()
+    assert want and {(r["u"], r["v"]) for r in got if r["reason"] == "phash_mae"} == want
+    near = {(a[0], b[0]) for a, b in itertools.combinations(rows, 2) if (a[1] ^ b[1]).bit_count() <= 4}
+    assert {(r["u"], r["v"]) for r in got if r["reason"] == "dhash"} <= near
+
+
 def test_hamming_links(spark):
     rnd = random.Random(9)
     bits = [rnd.getrandbits(16) for _ in range(150)] + [0, 0x0F, 0xFF, 0]
