@@ -2,13 +2,15 @@
 
 Each of ``n_proj`` random projections of a block of vectors is kept as a sorted array. A query opens a window
 around its own projection in each array; virtual rehashing widens the windows by a factor until enough
-neighbours are certain, and only the newly uncovered parts of the arrays are counted. A vector that falls into
-the windows of at least ``threshold`` of the projections is verified by its exact inner product. Vectors are
+neighbours are certain. The first windows hold most of an array, so the vectors outside of them are counted, and then
+those that a wider window takes in: both give the number of windows that a vector is in. A vector in the windows of at
+least ``threshold`` of the projections is verified by its exact inner product. Vectors are
 compared by inner product; one more coordinate makes that order the order of distances.
 
 Vectors and queries are dealt to blocks by a hash of their id, and each pair of a query block and a vector
-block is one task of bounded size; its best ``k`` are merged by query. Every vector is indexed; nothing is
-capped: a window that reaches over the whole block verifies all of it.
+block is one task of bounded size; its best ``k`` are merged by query. A block's index is built once in a task, for up
+to ``query_rows`` queries, and there are no more query blocks than that number or the cores ask for. Every vector is
+indexed; nothing is capped: a window that reaches over the whole block verifies all of it.
 
 Vectors that are null, zero, of another length than most, or hold null or non-finite components take no part,
 as candidates or queries. A query never finds rows of its own id. Repeated rows are candidates of their own;
@@ -48,30 +50,34 @@ class BlockIndex:
         p = (x @ self.directions[:, :-1].T + extra[:, None] * self.directions[:, -1]).T
         self.order = np.argsort(p, axis=1, kind="stable").astype(np.int32)
         self.sorted = np.take_along_axis(p, self.order, axis=1)
+        self.verified = 0  # vectors verified so far, over all queries
 
     def search(self, q: np.ndarray, k: int, own: np.ndarray, ids: np.ndarray, *, width: float, threshold: int, start: float, factor: float) -> tuple[np.ndarray, np.ndarray]:
         """Rows and inner products of the best ``k``; ``own``: rows that are left out."""
         n, length = len(self.x), float(np.sqrt(q @ q))
         center = self.directions[:, :-1] @ q * (self.norm / length)
-        seen = np.zeros(n, np.int16)
+        outside = np.zeros(n, np.int16)  # windows that a vector is not in
+        lo, hi = np.zeros(len(center), np.int64), np.full(len(center), n)
         done = np.zeros(n, bool)
         done[own] = True
-        lo = np.array([np.searchsorted(s, c) for s, c in zip(self.sorted, center, strict=True)])
-        hi = lo.copy()
         rows, dots = np.empty(0, np.int64), np.empty(0)
         q32 = q.astype(np.float32)  # candidates are first compared in single precision, with a wide margin
-        want, radius = min(k, n - int(done.sum())), start * self.norm
+        want, radius, first = min(k, n - int(done.sum())), start * self.norm, True
         while want:
             half = width * radius / 2
-            for j, c in enumerate(center):
-                s, order = self.sorted[j], self.order[j]
-                a, b = np.searchsorted(s, c - half, "left"), np.searchsorted(s, c + half, "right")
-                seen[order[a : lo[j]]] += 1
-                seen[order[hi[j] : b]] += 1
-                lo[j], hi[j] = min(a, lo[j]), max(b, hi[j])
-            new = np.flatnonzero((seen >= threshold) & ~done)
+            a = np.array([np.searchsorted(s, c - half, "left") for s, c in zip(self.sorted, center, strict=True)])
+            b = np.array([np.searchsorted(s, c + half, "right") for s, c in zip(self.sorted, center, strict=True)])
+            if first:  # what the first windows leave out
+                parts = [o[:x] for o, x in zip(self.order, a, strict=True)] + [o[y:] for o, y in zip(self.order, b, strict=True)]
+                outside += np.bincount(np.concatenate(parts), minlength=n).astype(np.int16)
+            else:  # what the wider ones take in
+                parts = [o[x:y] for o, x, y in zip(self.order, a, lo, strict=True)] + [o[x:y] for o, x, y in zip(self.order, hi, b, strict=True)]
+                outside -= np.bincount(np.concatenate(parts), minlength=n).astype(np.int16)
+            lo, hi, first = a, b, False
+            new = np.flatnonzero((outside <= len(center) - threshold) & ~done)
             if len(new):
                 done[new] = True
+                self.verified += len(new)
                 rows, dots = np.concatenate([rows, new]), np.concatenate([dots, (self.quick[new] @ q32).astype(float)])
                 if len(rows) > 8 * k:
                     rows, dots = self._near_best(rows, dots, 4 * k)
@@ -98,12 +104,15 @@ def _matrix(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return ids, flat.reshape(len(ids), -1)
 
 
-def search(vectors: DataFrame, is_query: Column, *, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 20, n_proj: int = 24, width: float = 2.4, threshold: float = 0.67, start: float = 0.85, factor: float = 1.2, block_rows: int = 65_536, query_rows: int = 512, seed: int = 7) -> DataFrame:
+def search(vectors: DataFrame, is_query: Column, *, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 20, n_proj: int = 96, width: float = 3.6, threshold: float = 0.9, start: float = 0.7, factor: float = 1.05, block_rows: int = 65_536, query_rows: int = 4096, seed: int = 7) -> DataFrame:
     """The ``k`` nearest found of each query row: query_id, rank (from 1), vec_id, score."""
     rows = valid_vectors(vectors, id_col, vec_col)
     queries = rows.where(is_query)
     n, m, norm = rows.agg(F.count("*"), F.count(F.when(is_query, 1)), F.max(F.sqrt(F.aggregate("_v", F.lit(0.0), lambda a, x: a + x * x)))).first()
-    n_blocks, n_queries = max(1, math.ceil(n / block_rows)), max(1, math.ceil(m / query_rows))
+    n_blocks = max(1, math.ceil(n / block_rows))
+    # blocks of queries: of at most query_rows, and of fewer while there are fewer tasks than twice the cores, but of at least 256
+    wanted = math.ceil(2 * vectors.sparkSession.sparkContext.defaultParallelism / n_blocks)
+    n_queries = max(1, math.ceil(m / query_rows), min(math.ceil(m / 256), wanted))
     least = max(1, round(threshold * n_proj))
     norm = float(norm or 1.0)
 

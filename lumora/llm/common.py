@@ -4,9 +4,8 @@ from __future__ import annotations
 
 import ctypes
 import gc
-import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager, suppress
 
 import numpy as np
@@ -53,19 +52,57 @@ def give_back() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def release_after(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function for ``mapInArrow`` whose task returns freed memory to the system as it ends: a worker lives on for other tasks."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return whole
+
+
+def row_key(*cols: str) -> Column:
+    """A 64-bit key of a row for sampling: the hash of an id alone is the same for all rows without one."""
+    return F.xxhash64(*cols)
+
+
+def thinned(rows: DataFrame, key: Column, most: int | Column, count: int | Column, *keep: Column | str) -> DataFrame:
+    """Some more than ``most`` of ``count`` rows (_u, *keep), those whose keys are under a share of the keys' range; rows
+    of one key are one. Where ``count`` is a count of rows, at most some ``1.3 * most + 100`` keys are left."""
+    unit = F.pmod(key, F.lit(1 << 40))
+    share = F.least(F.lit(1.0), (most * F.lit(1.3) + 100) / F.greatest(F.lit(1), count if isinstance(count, Column) else F.lit(count)))
+    return rows.select(unit.alias("_u"), *keep, share.alias("_share")).where(F.col("_u") < F.col("_share") * float(1 << 40)).drop("_share").dropDuplicates(["_u"])
+
+
+def out_schema(rows: DataFrame, keep: tuple[str, ...], added: dict[str, Column]):  # noqa: ANN201
+    """The schema of the columns of ``keep`` and those added, whose names must differ."""
+    clash = sorted(set(keep) & set(added))
+    if clash:
+        raise ValueError(f"the kept columns hold the names of new ones: {clash}; give the new ones other names")
+    return rows.select(*keep).withColumns(added).schema
+
+
 def fold(id_col: str, mod: int) -> Column:
     """crc32 of the id as text, modulo ``mod``: the hold-out rule of the contracts. A null id is in fold -1."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % F.lit(mod), F.lit(-1))
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir; a local one only where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or else the checkpoint folder of the context, or
+    else one in the default file system's temporary folder, only where Spark runs in one process."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
+    held = sc._jsc.sc().getCheckpointDir()
+    if not path and held.isDefined():
+        path = held.get()
     if not path:
-        held = sc._jsc.sc().getCheckpointDir()
-        path = held.get() if held.isDefined() else tempfile.mkdtemp(prefix="lumora-shared-")
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        path = f"/tmp/lumora-{sc.applicationId}"
+    if not held.isDefined():
         sc.setCheckpointDir(path)
     return path.rstrip("/")
 
@@ -84,6 +121,26 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+_SUM_TASKS = 32
+
+
+def sum_vectors(rows: DataFrame) -> np.ndarray | None:
+    """The sum of float64 vectors in a binary column ``v``; each of a fixed number of tasks adds up what it reads as it comes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for b in batches:
+            for x in b.column(0).to_pylist():
+                total = np.frombuffer(x) + (0 if total is None else total)
+        if total is not None:
+            yield pa.record_batch([pa.array([total.tobytes()], pa.binary())], names=["v"])
+
+    if rows.rdd.getNumPartitions() > _SUM_TASKS:
+        rows = rows.repartition(_SUM_TASKS).mapInArrow(run, "v binary")
+    got = rows.collect()
+    return sum(np.frombuffer(r["v"]) for r in got) if got else None
+
+
 def n_shuffle(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

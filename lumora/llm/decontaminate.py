@@ -12,10 +12,13 @@ No overlap is missed: ``seed_masks`` and ``short_seeds`` split a passage with k
 which two are unchanged, and have a mask for every such pair.
 
 The benchmark's seeds are broadcast while their counted number is at most ``broadcast_rows``; beyond it
-they are joined by a shuffle on the hash and the texts are joined again by the document's id. Ids are
-taken to be unique in each table. Items and documents that repeat are each reported. Null or
+they are joined by a shuffle on the hash and the texts are joined again by the document's id and a hash of its words.
+
+Nulls and odd rows: an id names its rows together. Each text of a document's id is searched for each text of an item's
+id, and a document and item are reported once, with the best overlap; equal rows count once. A null id is one too. Null or
 empty texts have no seeds; an item without words is not searched. Overlaps that lie apart on different
-diagonals are judged apart. Extra columns are ignored.
+diagonals are judged apart. Very long texts are searched whole. An empty table gives an empty result. Extra columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -85,8 +88,10 @@ def _best_overlap(same: Column, similarity: float) -> Column:
 def find_leaks(docs: DataFrame, benchmark: DataFrame, *, doc_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", masks: tuple[str, ...] | None = None, least_words: int = 13, similarity: float = 0.8, broadcast_rows: int = 1_000_000) -> DataFrame:
     """One row for each document and benchmark item that leaks into it, with the best overlap:
     doc, item, start word in the document and in the item, overlap length in words, matches, similarity."""
-    items = benchmark.select(F.col(item_col).alias("_item"), word_array(F.col(item_text_col)).alias("_words"))
-    sized = items.withColumn("_n", F.size("_words"))
+    # rows of the benchmark by a key of their own: an id may have several texts
+    items = benchmark.select(F.col(item_col).alias("_item_id"), word_array(F.col(item_text_col)).alias("_words")).where(F.size("_words") > 0).distinct()
+    items = items.select("_item_id", "_words", F.struct(F.xxhash64("_item_id", "_words"), F.xxhash64(F.lit(1), "_item_id", "_words")).alias("_item"))
+    sized = items.select("_item", "_words", F.size("_words").alias("_n"))
     short = {r["_n"]: short_seeds(r["_n"], similarity) for r in sized.where(F.col("_n").between(1, least_words - 1)).select("_n").distinct().collect()}
     masks = seed_masks(least_words, similarity) if masks is None else masks
     seeds = benchmark_seeds(sized, masks, short)
@@ -103,16 +108,18 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, doc_col: str = "doc_id"
     keys = ("_doc", "_item", "_start", "_n")
     if few:  # explode, hash, look up and cut out the words in one stage
         hit = rows.join(F.broadcast(seeds), F.col("_k") == F.col("_h")).select("_doc", "_item", start.alias("_start"), "_n", "_words").select(*keys, part.alias("_part"))
-        one = hit.groupBy(*keys).agg(F.first("_part").alias("_part"))
+        one = hit.distinct()
     else:
-        hit = rows.select("_doc", "_pos", "_k").join(seeds, F.col("_k") == F.col("_h")).select("_doc", "_item", start.alias("_start"), "_n").distinct()
-        one = texts.join(hit, "_doc").select(*keys, part.alias("_part"))
+        text_key = F.xxhash64("_words")
+        hit = rows.select("_doc", text_key.alias("_t"), "_pos", "_k").join(seeds, F.col("_k") == F.col("_h")).select("_doc", "_t", "_item", start.alias("_start"), "_n").distinct()
+        own = texts.select(F.col("_doc").alias("_d"), text_key.alias("_t"), "_words").distinct()
+        one = own.join(hit, (own["_t"] == hit["_t"]) & F.col("_d").eqNullSafe(F.col("_doc"))).select(*keys, part.alias("_part"))
     one = one.join(items.withColumnRenamed("_words", "_item_words"), "_item").withColumn("_skip", skip)
     same = F.zip_with(F.slice("_item_words", F.col("_skip") + 1, F.size("_part")), F.col("_part"), lambda a, b: a == b)
     n_same = F.size(F.filter("_same", lambda x: x))
     whole = F.when((F.size("_same") == F.col("_n")) & (n_same >= F.lit(similarity) * F.col("_n")), F.struct(F.col("_n").alias("length"), n_same.alias("matches"), F.lit(0).alias("neg_start")))
     run = _best_overlap(F.col("_same"), similarity)
-    judged = one.withColumn("_same", same).withColumn("_run", run).select("_doc", "_item", "_start", "_skip", F.coalesce(F.when(F.col("_run.length") >= least_words, F.col("_run")), whole).alias("_o")).where(F.col("_o").isNotNull())
+    judged = one.withColumn("_same", same).withColumn("_run", run).select("_doc", F.col("_item_id").alias("_item"), "_start", "_skip", F.coalesce(F.when(F.col("_run.length") >= least_words, F.col("_run")), whole).alias("_o")).where(F.col("_o").isNotNull())
     best = judged.groupBy("_doc", "_item").agg(F.max(F.struct("_o.length", "_o.matches", (-F.col("_start")).alias("neg"), "_o.neg_start", "_skip")).alias("b"))
     item_start = F.col("b._skip") - F.col("b.neg_start")
     return best.select(

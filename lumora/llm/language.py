@@ -12,9 +12,12 @@ texts that have the trigram. Each learned text is judged without itself; the lea
 between the median of those fits and that of a text of unseen trigrams, or lower where those fits spread widely
 (four times from the median to the lower quartile, so that mislabelled texts do not move it).
 
-Nulls and odd rows: a null text, or one without a letter, is ``und`` with score 0. Rows with a null
-language are not learned from. Without learned languages every text is ``und``. Ties go to the
-language first in order of its name. Other columns of the input are ignored.
+Nulls and odd rows: a null text, or one without a letter, is ``und`` with score 0. Very long texts are read in
+parts, with the same result. Rows with a null language or text are not learned from; those with a null id are,
+where ``keep`` holds for them. Rows that repeat are learned from once and scored each; rows that share an id are
+rows of their own. Without learned languages every text is ``und``. Ties go to the language first in order of its
+name. An empty table gives an empty result. Other columns of the input are ignored; a kept column with the name
+of a new one is refused.
 """
 
 from __future__ import annotations
@@ -26,13 +29,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from lumora.llm.common import give_back, small_batches
+from lumora.llm.common import cut, give_back, out_schema, release_after, row_key, small_batches, thinned
 from lumora.llm.grams import Grams, word_trigrams
 
 UNDETERMINED = "und"
 _ROWS = 64
 _FIT_BITS = 17
+#: Partitions of the table of learned texts.
+_FIT_TASKS = 16
 
 
 @dataclass
@@ -46,69 +52,112 @@ class LanguageModel:
     least_fit: np.ndarray  # of each language
 
 
-def _fits(found: list[tuple[np.ndarray, np.ndarray]], of: np.ndarray, n_langs: int) -> tuple[np.ndarray, np.ndarray]:
-    """Log shares and least fits from the distinct trigrams of each learned text, their counts and its language."""
-    texts = np.bincount(of, minlength=n_langs)
+def _trigrams(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct trigrams of a text and their counts."""
+    return np.unique(np.concatenate([*word_trigrams(text, _FIT_BITS), np.empty(0, np.uint32)]), return_counts=True)
+
+
+def _fits(texts: DataFrame, langs: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Log shares and least fits of the learned texts (_lang, _text)."""
+    at, n_langs = {k: i for i, k in enumerate(langs)}, len(langs)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros((n_langs, 1 << _FIT_BITS), np.int32)
+        for b in batches:
+            for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                seen[at[k], _trigrams(t)[0]] += 1
+        lang, bucket = np.nonzero(seen)
+        yield pa.record_batch([pa.array(lang.astype(np.int32)), pa.array(bucket.astype(np.int32)), pa.array(seen[lang, bucket])], names=["k", "bucket", "n"])
+
+    rows = texts.select("_lang", "_text")
+    got = rows.mapInArrow(release_after(count), "k int, bucket int, n int").groupBy("k", "bucket").agg(F.sum("n").cast("int").alias("n")).toArrow()
     seen = np.zeros((1 << _FIT_BITS, n_langs), np.int32)
-    for (ids, _), k in zip(found, of, strict=True):
-        seen[ids, k] += 1
-    own = np.array([np.average(np.log((seen[ids, k] - 0.5) / (texts[k] + 1)), weights=n) if len(ids) else 0.0 for (ids, n), k in zip(found, of, strict=True)])
-    unseen = np.log(0.5 / (texts + 1))
+    seen[got["bucket"].to_numpy(), got["k"].to_numpy()] = got["n"].to_numpy()
+    n_of = {r["_lang"]: r["n"] for r in rows.groupBy("_lang").agg(F.count("*").alias("n")).collect()}
+    texts_of = np.array([n_of[k] for k in langs])
+    held = texts.sparkSession.sparkContext.broadcast((seen, texts_of))
+
+    def own_fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of each text, without itself."""
+        seen, texts_of = held.value
+        for b in batches:
+            of, fit = [at[k] for k in b.column(0).to_pylist()], []
+            for k, t in zip(of, b.column(1).to_pylist(), strict=True):
+                ids, n = _trigrams(t)
+                fit.append(float(np.average(np.log((seen[ids, k] - 0.5) / (texts_of[k] + 1)), weights=n)) if len(ids) else 0.0)
+            yield pa.record_batch([pa.array(of, pa.int32()), pa.array(fit, pa.float64())], names=["k", "fit"])
+
+    got = rows.mapInArrow(release_after(own_fit), "k int, fit double").toArrow()
+    of, own = got["k"].to_numpy(), got["fit"].to_numpy()
+    unseen = np.log(0.5 / (texts_of + 1))
     quarter, middle = np.array([np.quantile(own[of == k], (0.25, 0.5)) for k in range(n_langs)]).T
     least = np.minimum((middle + unseen) / 2, middle - 4 * (middle - quarter))
-    return np.log((seen + 0.5) / (texts + 1)).astype(np.float32), least
+    return np.log((seen + 0.5) / (texts_of + 1)).astype(np.float32), least
 
 
 def _kernel(present: np.ndarray, landmarks: np.ndarray) -> np.ndarray:
     return (present @ landmarks) / np.sqrt(np.maximum(present.sum(1, keepdims=True), 1.0))
 
 
-def fit_language(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", keep: Column | None = None, per_lang: int = 300, landmarks_per_lang: int = 24, orders: tuple[int, ...] = (1, 2, 3, 4), bits: int = 15, ridge: float = 1e-2) -> LanguageModel:
-    """Fit on about ``per_lang`` texts of each language, those whose hashed id is under a share of the hash's range."""
+def fit_language(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", keep: Column | None = None, per_lang: int = 300, landmarks_per_lang: int = 24, most_langs: int = 64, most_rows: int = 4800, most_landmarks: int = 384, orders: tuple[int, ...] = (1, 2, 3, 4), bits: int = 15, ridge: float = 1e-2, with_fit: bool = False) -> LanguageModel:
+    """Fit on at most ``per_lang`` texts of each language and ``most_rows`` in all. The ``most_langs`` most frequent
+    languages are learned, with ``most_landmarks`` landmarks in all. ``with_fit``: also learn the fits."""
     small_batches(docs.sparkSession)
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     rows = rows if keep is None else rows.where(keep)
-    counts = {r["_lang"]: r["n"] for r in rows.groupBy(F.col(lang_col).alias("_lang")).agg(F.count("*").alias("n")).collect()}
+    counts = {r["_lang"]: r["n"] for r in rows.groupBy(F.col(lang_col).alias("_lang")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "_lang").limit(most_langs).collect()}
     langs = sorted(counts)
+    none = (np.zeros((1 << _FIT_BITS, len(langs)), np.float32), np.zeros(len(langs)))
     if not langs:
-        return LanguageModel([], np.zeros((1 << bits, 0), np.float32), np.zeros((0, 0), np.float32), orders, bits, np.zeros((1 << _FIT_BITS, 0), np.float32), np.zeros(0))
-    unit = F.pmod(F.xxhash64(F.col(id_col)), F.lit(1 << 30))
-    most = F.create_map(*[x for k in langs for x in (F.lit(k), F.lit(int(min(1.0, 1.1 * per_lang / counts[k]) * (1 << 30))))])
-    picked = rows.where(unit < F.element_at(most, F.col(lang_col))).select(unit.alias("_u"), F.col(lang_col).alias("_lang"), F.col(text_col).alias("_text"))
+        return LanguageModel([], np.zeros((1 << bits, 0), np.float32), np.zeros((0, 0), np.float32), orders, bits, *none)
+    per_lang, per_mark = min(per_lang, max(2, most_rows // len(langs))), min(landmarks_per_lang, max(2, most_landmarks // len(langs)))
+    count_of = F.element_at(F.create_map(*[x for k in langs for x in (F.lit(k), F.lit(counts[k]))]), F.col(lang_col))
+    some = thinned(rows.where(F.col(lang_col).isin(langs)), row_key(id_col, lang_col, text_col), F.lit(per_lang), count_of, F.col(lang_col).alias("_lang"), F.col(text_col).alias("_text"))
+    first = F.row_number().over(Window.partitionBy("_lang").orderBy("_u"))
+    texts = cut(some.withColumn("_n", first).where(F.col("_n") <= per_lang).drop("_n").repartition(_FIT_TASKS, "_u"), "learned")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams = Grams(orders, bits)
+        grams, row = Grams(orders, bits), np.zeros(1 << bits, np.uint8)
         for b in batches:
-            texts = b.column(2).to_pylist()
-            ids = [np.packbits(grams.presence(t)).tobytes() for t in texts]
-            found = [np.unique(np.concatenate([*word_trigrams(t, _FIT_BITS), np.empty(0, np.uint32)]), return_counts=True) for t in texts]
-            yield pa.record_batch(
-                [b.column(0), b.column(1), pa.array(ids, pa.binary()), *[pa.array([f[i].astype(np.uint32).tobytes() for f in found], pa.binary()) for i in (0, 1)]], names=["_u", "_lang", "ids", "tri", "n"]
-            )
-
-    got = picked.mapInArrow(run, "_u long, _lang string, ids binary, tri binary, n binary").toArrow().sort_by([("_u", "ascending"), ("ids", "ascending")])
+            out = []
+            for t in b.column(2).to_pylist():
+                grams.presence(t, row)
+                out.append(np.packbits(row).tobytes())
+            yield pa.record_batch([b.column(0), b.column(1), pa.array(out, pa.binary())], names=["_u", "_lang", "bits"])
+
+    got = texts.select("_u", "_lang", "_text").mapInArrow(release_after(run), "_u long, _lang string, bits binary").toArrow().sort_by("_u")
     y = np.array(got["_lang"].to_pylist())
-    x = np.stack([np.unpackbits(np.frombuffer(b, np.uint8)) for b in got["ids"].to_pylist()]) if len(y) else np.zeros((0, 1 << bits), np.uint8)
-    langs = sorted(set(y.tolist()))
-    at = np.concatenate([np.flatnonzero(y == k)[:landmarks_per_lang] for k in langs]) if langs else np.empty(0, int)
-    marks = x[at].astype(np.float32).T
+    packed = np.frombuffer(b"".join(got["bits"].to_pylist()), np.uint8).reshape(len(y), -1)
+    del got
+
+    def spelled(at: np.ndarray | slice) -> np.ndarray:
+        return np.unpackbits(packed[at], axis=1).astype(np.float32)
+
+    at = np.concatenate([np.flatnonzero(y == k)[:per_mark] for k in langs])
+    marks = spelled(at).T
     marks /= np.sqrt(np.maximum(marks.sum(0, keepdims=True), 1.0))
-    inner = _kernel(x[at].astype(np.float32), marks).astype(float)
+    inner = np.concatenate([_kernel(spelled(at[i : i + _ROWS]), marks) for i in range(0, len(at), _ROWS)]).astype(float)
     values, vectors = np.linalg.eigh(inner + 1e-6 * np.eye(len(at)))
     root = vectors / np.sqrt(np.maximum(values, 1e-6))  # inner**-1/2, up to a rotation
-    phi = np.concatenate([_kernel(x[i : i + _ROWS].astype(np.float32), marks) for i in range(0, len(y), _ROWS)]).astype(float) @ root
-    phi1 = np.hstack([phi, np.ones((len(y), 1))])
-    target = (y[:, None] == np.array(langs)[None]) * 2.0 - 1.0
-    balance = (1.0 / np.bincount(np.searchsorted(langs, y), minlength=len(langs)))[np.searchsorted(langs, y)] * len(y) / len(langs)
-    solved = np.linalg.solve((phi1 * balance[:, None]).T @ phi1 + ridge * np.eye(phi1.shape[1]), (phi1 * balance[:, None]).T @ target)
-    found = [(np.frombuffer(t, np.uint32), np.frombuffer(n, np.uint32)) for t, n in zip(got["tri"].to_pylist(), got["n"].to_pylist(), strict=True)]
-    shares, least_fit = _fits(found, np.searchsorted(langs, y), len(langs))
-    model = LanguageModel(langs, marks, np.vstack([root @ solved[:-1], solved[-1:]]).astype(np.float32), orders, bits, shares, least_fit)
-    del x, got
+    phi = np.concatenate([_kernel(spelled(slice(i, i + _ROWS)), marks) for i in range(0, len(y), _ROWS)]).astype(float) @ root
+    weights = kernel_ridge(phi, y, langs, ridge)
+    del packed
+    shares = _fits(texts, langs) if with_fit else none
+    model = LanguageModel(langs, marks, np.vstack([root @ weights[:-1], weights[-1:]]).astype(np.float32), orders, bits, *shares)
     give_back()
     return model
 
 
+def kernel_ridge(phi: np.ndarray, y: np.ndarray, langs: list[str], ridge: float) -> np.ndarray:
+    """Ridge regression of one language against the rest, each language weighing the same; the last row is the intercept."""
+    phi1 = np.hstack([phi, np.ones((len(y), 1))])
+    of = np.searchsorted(langs, y)
+    target = (of[:, None] == np.arange(len(langs))[None]) * 2.0 - 1.0
+    balance = (1.0 / np.bincount(of, minlength=len(langs)))[of] * len(y) / len(langs)
+    weighted = (phi1 * balance[:, None]).T
+    return np.linalg.solve(weighted @ phi1 + ridge * np.eye(phi1.shape[1]), weighted @ target)
+
+
 def predict_language(docs: DataFrame, model: LanguageModel, *, text_col: str = "text", lang_out: str = "lang_pred", score_col: str = "score", fit_col: str | None = None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns of ``keep``, the predicted language of each whole text and its score from 0 to 1; with ``fit_col``
     also how far the text's fit is above the least of that language, or of the one it fits best if it doesn't fit the predicted
@@ -118,7 +167,7 @@ def predict_language(docs: DataFrame, model: LanguageModel, *, text_col: str = "
     held_fit = docs.sparkSession.sparkContext.broadcast((np.ascontiguousarray(model.shares.T), model.least_fit)) if fit_col else None
     rows = docs.select(*keep, F.col(text_col).alias("_lang_text"))
     added = {lang_out: F.lit("").cast("string"), score_col: F.lit(0.0).cast("double")} | ({fit_col: F.lit(0.0).cast("double")} if fit_col else {})
-    schema = rows.select(*keep).withColumns(added).schema
+    schema = out_schema(docs, keep, added)
     out_names = schema.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,7 +182,7 @@ def predict_language(docs: DataFrame, model: LanguageModel, *, text_col: str = "
             for k in range(0, len(known), _ROWS):
                 part = known[k : k + _ROWS]
                 for j, i in enumerate(part):
-                    present[j] = grams.presence(texts[i])
+                    grams.presence(texts[i], present[j])
                 f = _kernel(present[: len(part)], marks) @ weights[:-1] + weights[-1]
                 best[part] = f.argmax(1)
                 score[part] = np.clip((f.max(1).astype(float) + 1) / 2, 0.0, 1.0)
@@ -151,4 +200,4 @@ def predict_language(docs: DataFrame, model: LanguageModel, *, text_col: str = "
                 out.append(pa.array(fit))
             yield pa.record_batch([*b.columns[:-1], *out], names=out_names)
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(release_after(run), schema)

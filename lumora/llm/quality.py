@@ -1,16 +1,23 @@
 """Quality: positive-unlabelled learning with the non-negative unbiased risk.
 
-Trusted positives and unlabelled texts (a sample of all) train a model that never sees negatives.
-The class prior is estimated first: a preliminary classifier tells positives from unlabelled texts,
-and on held-back rows the smallest ratio of the two classes' shares above a threshold, with a
-confidence margin, bounds the share of positives among the unlabelled. Then the non-negative risk
+Trusted positives and unlabelled texts (all of them) train a model that never sees negatives.
+The class prior is estimated first: a preliminary classifier, fitted on a sample of half of the rows, tells positives
+from unlabelled texts, and on the whole other half the smallest ratio of the two classes' shares above a
+threshold, with a confidence margin, bounds the share of positives among the unlabelled; so for both halves, and
+the mean counts. Then the non-negative risk
   prior * R+(positives) + max(0, R-(unlabelled) - prior * R-(positives))
-with the logistic loss is minimised; where the second part is negative its gradient is reversed.
+with the logistic loss is minimised by gradient steps on the positives and a bounded random sample of the unlabelled
+texts; where the second part is negative its gradient is reversed. At last the intercept is moved so that the share
+of all unlabelled texts that score 0.5 or more is the prior, or near it where there is a wide gap of scores. Texts' statistics are a written table; the shares
+are counted over all of it.
 The model is additive: each of some statistics of the text is cut into bins with a weight each.
 
-Nulls and odd rows: a null text is an empty one; both get a score from their (zero) statistics. Rows
-with a null label are not trusted. Without positives every score is 0, without unlabelled rows 1.
-Other columns of the input are ignored.
+Nulls and odd rows: a null text is an empty one; both get a score from their (zero) statistics. Very long texts
+are blocks of their own. Rows with a null label or a null id are not trusted; unlabelled rows with a null id are
+learned from where ``keep`` holds for them. Rows that repeat are each unlabelled and each scored, but once in
+the sample; an id that is trusted counts once, with one of its texts (the first by a hash). Without positives
+every score is 0, without unlabelled rows 1. An empty table gives an empty result. Other columns of the input
+are ignored; a kept column with the name of the score is refused.
 """
 
 from __future__ import annotations
@@ -23,14 +30,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumora.llm.common import small_batches, text_blocks
-from lumora.llm.linear import sigmoid
+from lumora.llm.common import batch_rows, cut, give_back, out_schema, release_after, row_key, small_batches, sum_vectors, text_blocks, thinned
+from lumora.llm.linear import lbfgs, sigmoid
 from lumora.llm.shingles import words
 
 #: Statistics of a text, in this order.
 STATS = ("log_bytes", "log_words", "word_bytes", "distinct_words", "repeated_next", "upper", "digit", "mark", "symbol", "beyond_ascii", "lines", "distinct_pairs", "same_byte_next", "entropy")
 
 
+#: Partitions of the table of trusted texts; rows of statistics in a batch.
+_FIT_TASKS, _STATS_ROWS = 16, 50_000
+
+
 @dataclass
 class QualityModel:
     edges: np.ndarray  # statistics x inner edges of bins
@@ -85,76 +96,138 @@ def _bins(stats: np.ndarray, edges: np.ndarray) -> np.ndarray:
     return np.stack([np.searchsorted(e, s, "right") + j * k for j, (e, s) in enumerate(zip(edges, stats.T, strict=True))], axis=1)
 
 
-def _fit(pos: np.ndarray, unl: np.ndarray, size: int, prior: float | None, l2: float, rounds: int) -> np.ndarray:
-    """Adam on the non-negative risk; with no prior, on the plain loss of positives against unlabelled rows."""
-    w, m, v = np.zeros(size + 1), np.zeros(size + 1), np.zeros(size + 1)
+def _grad(rows: np.ndarray, e: np.ndarray, size: int) -> np.ndarray:
+    """Sums of ``e`` by bin, and in all."""
+    return np.append(np.bincount(rows.ravel(), np.repeat(e, rows.shape[1]), size), e.sum())
 
-    def grad(rows: np.ndarray, e: np.ndarray) -> np.ndarray:
-        g = np.bincount(rows.ravel(), np.repeat(e, rows.shape[1]), size + 1)
-        g[-1] = e.sum()
-        return g
+
+def _fit(pos: np.ndarray, unl: np.ndarray, size: int, prior: float, l2: float, rounds: int) -> np.ndarray:
+    """Adam on the non-negative risk."""
+    w, m, v = np.zeros(size + 1), np.zeros(size + 1), np.zeros(size + 1)
 
     for t in range(1, rounds + 1):
         zp, zu = w[pos].sum(1) + w[-1], w[unl].sum(1) + w[-1]
-        up_p, down_p, down_u = -sigmoid(-zp) / len(pos), sigmoid(zp) / len(pos), sigmoid(zu) / len(unl)
-        if prior is None:
-            g = grad(pos, up_p) + grad(unl, down_u)
-        else:
-            negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-            g_neg = grad(unl, down_u) - prior * grad(pos, down_p)
-            g = -g_neg if negative < 0 else prior * grad(pos, up_p) + g_neg
+        negative = pu_risk(zp, np.logaddexp(0, zu).mean(), prior)[1]
+        g = _grad(unl, sigmoid(zu) / len(unl), size) - prior * _grad(pos, sigmoid(zp) / len(pos), size)
+        g = -g if negative < 0 else prior * _grad(pos, -sigmoid(-zp) / len(pos), size) + g
         g = g + l2 * np.append(w[:-1], 0.0)
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w = w - 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
     return w
 
 
-def estimate_prior(pos: np.ndarray, unl: np.ndarray, size: int, delta: float = 0.1) -> float:
-    """Share of positives among unlabelled rows: fit on the even rows, bound on the odd rows."""
-    w = _fit(pos[::2], unl[::2], size, None, max(1e-5, 0.1 / max(1, len(pos))), 500)
-    zp, zu = (np.sort(w[x[1::2]].sum(1)) for x in (pos, unl))
-    if not len(zp) or not len(zu):
+def pu_risk(z_pos: np.ndarray, loss_unl: float, prior: float) -> tuple[float, float]:
+    """The two parts of the risk: prior * R+(positives), and R-(unlabelled) - prior * R-(positives)."""
+    return prior * float(np.logaddexp(0, -z_pos).mean()), loss_unl - prior * float(np.logaddexp(0, z_pos).mean())
+
+
+def bound_prior(share_pos: np.ndarray, share_unl: np.ndarray, n_pos: int, n_unl: int, delta: float = 0.1) -> float:
+    """The share of positives among unlabelled rows, from the shares of both above each threshold."""
+    margin = np.sqrt(np.log(4 / delta) / 2) * (max(1, n_pos) ** -0.5 + max(1, n_unl) ** -0.5)
+    on = share_pos > 0
+    if not on.any() or not n_unl:
         return 0.5
-    cuts = np.unique(zp)
-    share_p, share_u = 1 - np.searchsorted(zp, cuts) / len(zp), 1 - np.searchsorted(zu, cuts) / len(zu)
-    margin = np.sqrt(np.log(4 / delta) / 2) * (len(zp) ** -0.5 + len(zu) ** -0.5)
-    best = np.argmin((share_u + margin) / share_p)
-    return float(np.clip(share_u[best] / share_p[best], 0.02, 0.98))
+    best = np.argmin((share_unl[on] + margin) / share_pos[on])
+    return float(np.clip(share_unl[on][best] / share_pos[on][best], 0.02, 0.98))
+
+
+def _read_stats(b: pa.RecordBatch) -> np.ndarray:
+    return np.frombuffer(b"".join(b.column(0).to_pylist()), np.float32).reshape(-1, len(STATS))
 
 
-def _sample(rows: DataFrame, id_col: str, text_col: str, most: int, count: int) -> np.ndarray:
-    """Statistics of about ``most`` of ``count`` rows, those with the least hashed ids."""
-    unit = F.pmod(F.xxhash64(F.col(id_col)), F.lit(1 << 30))
-    picked = rows.where(unit < F.lit(int(min(1.0, most / max(1, count)) * (1 << 30)))).select(unit.alias("_u"), F.col(text_col).alias("_text"))
+def _stats_of(rows: DataFrame) -> DataFrame:
+    """A written table of _u and the statistics of each _text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [text_stats(d, o) for _, d, o in text_blocks(b.column(1))]
-            got = np.concatenate(got) if got else np.zeros((0, len(STATS)))
-            yield pa.record_batch([b.column(0), pa.array([x.tobytes() for x in got], pa.binary())], names=["_u", "stats"])
+            for at, d, o in text_blocks(b.column(1)):
+                got = text_stats(d, o).astype(np.float32)
+                yield pa.record_batch([b.column(0).slice(at, len(got)), pa.array([x.tobytes() for x in got], pa.binary())], names=["_u", "stats"])
 
-    got = picked.mapInArrow(run, "_u long, stats binary").toArrow().sort_by([("_u", "ascending"), ("stats", "ascending")])
-    return np.array([np.frombuffer(x) for x in got["stats"].to_pylist()]).reshape(len(got), len(STATS))
+    return cut(rows.select("_u", "_text").mapInArrow(release_after(run), "_u long, stats binary"), "stats")
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", keep: Column | None = None, positives: int = 4000, unlabelled: int = 8000, bins: int = 24, l2: float = 1e-5, rounds: int = 600) -> QualityModel:
-    """Fit on about ``positives`` trusted and ``unlabelled`` other texts; ``keep``: a condition on ids to learn from."""
-    small_batches(docs.sparkSession)
+def _collect_stats(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    got = rows.toArrow().sort_by([("_u", "ascending"), ("stats", "ascending")])
+    stats = np.frombuffer(b"".join(got["stats"].to_pylist()), np.float32).reshape(-1, len(STATS)).astype(float)
+    return got["_u"].to_numpy(), stats
+
+
+def _shares_above(stats: DataFrame, edges: np.ndarray, w: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, int]:
+    """The share of all rows of a statistics table whose score is at least each of the ``cuts``, and the number of rows."""
+    held = stats.sparkSession.sparkContext.broadcast((edges, w, cuts))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        edges, w, cuts = held.value
+        count = np.zeros(len(cuts) + 1)
+        for b in batches:
+            z = w[_bins(_read_stats(b), edges)].sum(1)
+            count += np.bincount(np.searchsorted(cuts, z, "right"), minlength=len(cuts) + 1)
+        yield pa.record_batch([pa.array([count.tobytes()], pa.binary())], names=["v"])
+
+    count = sum_vectors(stats.select("stats").mapInArrow(run, "v binary"))
+    n = int(count.sum()) if count is not None else 0
+    return (count[::-1].cumsum()[::-1][1:] / n if n else np.zeros(len(cuts))), n
+
+
+def _tell_apart(pos: np.ndarray, unl: np.ndarray, size: int) -> np.ndarray:
+    """Weights of a logistic regression of positives against unlabelled rows, each class weighing the same."""
+    l2 = 1.0 / max(1, len(pos))
+
+    def f(w: np.ndarray) -> tuple[float, np.ndarray]:
+        zp, zu = w[pos].sum(1) + w[-1], w[unl].sum(1) + w[-1]
+        g = _grad(pos, -sigmoid(-zp) / len(pos), size) + _grad(unl, sigmoid(zu) / len(unl), size)
+        return np.logaddexp(0, -zp).mean() + np.logaddexp(0, zu).mean() + 0.5 * l2 * (w[:-1] @ w[:-1]), g + np.append(l2 * w[:-1], 0.0)
+
+    return lbfgs(f, np.zeros(size + 1), 200)
+
+
+def fit_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", keep: Column | None = None, positives: int = 4000, unlabelled: int = 8000, bins: int = 24, l2: float = 1.0, rounds: int = 600) -> QualityModel:
+    """Fit on at most ``positives`` trusted texts; ``unlabelled``: texts of all that bins and gradients are taken from;
+    ``keep``: a condition on ids to learn from."""
+    spark = docs.sparkSession
+    small_batches(spark)
     trusted = labels.where((F.col(label_col) == 1) & F.col(id_col).isNotNull())
     trusted = (trusted if keep is None else trusted.where(keep)).select(F.col(id_col).alias("_id")).distinct().orderBy(F.xxhash64("_id"), "_id").limit(positives)
-    rows = (docs if keep is None else docs.where(keep)).select(id_col, text_col)
-    p = _sample(docs.select(id_col, text_col).join(F.broadcast(trusted.withColumnRenamed("_id", id_col)), id_col, "left_semi"), id_col, text_col, positives, 0)
-    u = _sample(rows, id_col, text_col, unlabelled, rows.count())
-    k = len(STATS)
-    if not len(p) or not len(u):
-        return QualityModel(np.zeros((k, 0)), np.zeros((k, 1)), -30.0 if not len(p) else 30.0, float(len(p) > 0))
-    edges = np.quantile(np.concatenate([p, u]), np.linspace(0, 1, bins + 1)[1:-1], axis=0).T
-    # outliers of the unlabelled rows alone are far apart: finer edges in the tails
-    edges = np.sort(np.hstack([edges, np.quantile(u, [0.005, 0.01, 0.02, 0.98, 0.99, 0.995], axis=0).T]), axis=1)
-    size = k * (edges.shape[1] + 1)
-    pb, ub = _bins(p, edges), _bins(u, edges)
-    prior = estimate_prior(pb, ub, size)
-    w = _fit(pb, ub, size, prior, l2, rounds)
+    all_rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+    known = all_rows.join(F.broadcast(trusted), "_id").groupBy("_id").agg(F.min_by("_text", F.xxhash64("_text")).alias("_text"))
+    p = _collect_stats(_stats_of(known.select(F.xxhash64("_id").alias("_u"), "_text").repartition(_FIT_TASKS, "_u")))[1]
+    rows = (docs if keep is None else docs.where(keep)).select(row_key(id_col, text_col).alias("_u"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+    stats = _stats_of(rows)
+    with batch_rows(spark, _STATS_ROWS):
+        _, u = _collect_stats(thinned(stats, F.xxhash64("_u"), unlabelled, stats.count(), "stats").orderBy("_u").limit(unlabelled))
+        k = len(STATS)
+        if not len(p) or not len(u):
+            return QualityModel(np.zeros((k, 0)), np.zeros((k, 1)), -30.0 if not len(p) else 30.0, float(len(p) > 0))
+        bins = int(np.clip(len(p) // 40, 4, bins))  # some 40 positives a bin
+        edges = np.quantile(np.concatenate([p, u]), np.linspace(0, 1, bins + 1)[1:-1], axis=0).T
+        # outliers of the unlabelled rows alone are far apart: finer edges in the tails, as far as some rows are beyond them
+        tails = [x for x in (0.005, 0.01, 0.02) if x * len(u) >= 5]
+        edges = np.sort(np.hstack([edges, np.quantile(u, [*tails, *(1 - x for x in tails)], axis=0).T.reshape(k, -1)]), axis=1)
+        size = k * (edges.shape[1] + 1)
+        pb, ub = _bins(p, edges), _bins(u, edges)
+        bounds = []
+        for own in (0, 1):
+            half = F.pmod(F.xxhash64(F.col("_u"), F.lit(2)), F.lit(2)) == own
+            other = stats.where(half)
+            _, fit_u = _collect_stats(thinned(other, F.xxhash64("_u"), unlabelled // 2, other.count(), "stats").orderBy("_u").limit(unlabelled // 2))
+            if len(fit_u) and len(p) > 1:
+                w = _tell_apart(pb[own::2], _bins(fit_u, edges), size)
+                held_p = np.sort(w[pb[1 - own :: 2]].sum(1))
+                cuts = np.unique(held_p)
+                share_u, n_u = _shares_above(stats.where(~half), edges, w[:-1], cuts)
+                bounds.append(bound_prior(1 - np.searchsorted(held_p, cuts) / len(held_p), share_u, len(held_p), n_u))
+        prior = float(np.mean(bounds)) if bounds else 0.5
+        w = _fit(pb, ub, size, prior, l2 / len(p), rounds)
+        cuts = np.unique(w[ub].sum(1))
+        share_u, _ = _shares_above(stats, edges, w[:-1], cuts)
+        # in the widest gap of scores near the share of the prior, as near as that estimate is sure
+        near = min(0.05, 0.5 / np.sqrt(max(1, len(p) // 2)))
+        at = np.flatnonzero((np.abs(share_u - prior) <= near) & (np.arange(len(cuts)) > 0))
+        at = at if len(at) else np.array([max(1, int(np.searchsorted(-share_u, -prior, "right")) - 1)])
+        at = at[np.argmax(cuts[at] - cuts[at - 1])] if len(cuts) > 1 else 0
+        w[-1] = -(cuts[at] + cuts[max(0, at - 1)]) / 2
+    give_back()
     return QualityModel(edges, w[:-1].reshape(k, -1), float(w[-1]), prior)
 
 
@@ -163,7 +236,7 @@ def score_quality(docs: DataFrame, model: QualityModel, *, text_col: str = "text
     small_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast((model.edges, model.weights.ravel(), model.bias))
     rows = docs.select(*keep, F.col(text_col).alias("_score_text"))
-    schema = rows.select(*keep).withColumn(score_col, F.lit(0.0).cast("double")).schema
+    schema = out_schema(docs, keep, {score_col: F.lit(0.0).cast("double")})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         edges, weights, bias = held.value
@@ -171,4 +244,4 @@ def score_quality(docs: DataFrame, model: QualityModel, *, text_col: str = "text
             z = [weights[_bins(text_stats(d, o), edges)].sum(1) + bias for _, d, o in text_blocks(b.column(b.num_columns - 1))]
             yield pa.record_batch([*b.columns[:-1], pa.array(sigmoid(np.concatenate(z)) if z else np.empty(0))], names=[*b.schema.names[:-1], score_col])
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(release_after(run), schema)
