@@ -1,23 +1,34 @@
 """Temporal agreement of frames of detections: when has a row of tiles stood still for long enough?
 
-One state machine (``Gate``) serves a batch fold over recorded frames and the streaming operator. A stream's
-frames are taken in arrival order (``seq``), not by event time: a late frame resets the gate and says so.
+A frame is judged by column expressions (``FRAME_CHECKS``, the first that fails names the issue), so a frame's quality is a
+plain projection. What is left needs order: a fold over the judged frames of a stream, whose state is the time of
+the last frame and the run of frames that agree so far. The fold (``advance``) serves a batch over recorded
+frames and the streaming operator. Frames are taken in arrival order (``seq``), not by event time: a late frame ends the run
+and says so.
 """
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterator
-from dataclasses import dataclass, field
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lumora.functions.geometry import finite, iou
+
 DETECTION = "struct<tile:int,confidence:double,l:double,t:double,r:double,b:double,red_five:boolean>"
 FRAME = f"stream_id bigint, seq bigint, captured_at_ms bigint, detections array<{DETECTION}>"
 DECISION = "stream_id bigint, seq bigint, captured_at_ms bigint, issue string, matched_frames int, observed_count int"
 
+# Limits of a frame and of the motion between frames.
+TILES, COPIES = 34, 4
+EDGE_LOW, EDGE_HIGH, LEAST_WIDTH, LEAST_HEIGHT = 0.005, 0.995, 0.008, 0.08
+MOST_SPREAD, MOST_OVERLAP = 0.5, 0.15
+MOST_DX, MOST_DY, MOST_RESIZE = 0.025, 0.06, 0.3
+
 
 @dataclass(frozen=True)
 class Policy:
@@ -31,7 +42,8 @@ class Policy:
     minimum_confidence: float = 0.8
 
     def __post_init__(self) -> None:
-        if self.expected_count < 1 or self.required_frames < 1 or min(self.minimum_span_ms, self.maximum_gap_ms, self.expiry_ms) < 0 or not 0 <= self.minimum_confidence <= 1:
+        fine = (2 <= self.expected_count <= 17, self.required_frames >= 2, min(self.minimum_span_ms, self.maximum_gap_ms, self.expiry_ms) >= 1, 0 <= self.minimum_confidence <= 1)
+        if not all(fine):
             raise ValueError("invalid stability policy")
 
     @classmethod
@@ -39,103 +51,150 @@ class Policy:
         return cls(expected_count, 3, 700, 3000, 4000)
 
 
-def _get(d: object, name: str) -> object:
-    return d[name] if isinstance(d, dict) else getattr(d, name)
-
-
-def boxes_iou(a: tuple, b: tuple) -> float:
-    """IoU of (l, t, r, b) boxes."""
-    w, h = min(a[2], b[2]) - max(a[0], b[0]), min(a[3], b[3]) - max(a[1], b[1])
-    shared = max(0.0, w) * max(0.0, h)
-    union = (a[2] - a[0]) * (a[3] - a[1]) + (b[2] - b[0]) * (b[3] - b[1]) - shared
-    return shared / union if union > 0 else 0.0
-
-
-def quality(d: list[tuple], policy: Policy) -> str | None:
-    """The first reason to refuse a frame of (tile, confidence, l, t, r, b, red) in order of centres."""
-    if not d:
-        return "empty"
-    if len(d) != policy.expected_count:
-        return "count"
-    if any(x[1] is None or not math.isfinite(x[1]) or not policy.minimum_confidence <= x[1] <= 1 for x in d):
-        return "confidence"
-    seen: dict[int, int] = {}
-    for tile, _, l, t, r, b, _red in d:
-        seen[tile] = seen.get(tile, 0) + 1
-        if not 0 <= tile < 34 or seen[tile] > 4:
-            return "physical"
-        if not all(map(math.isfinite, (l, t, r, b))) or min(l, t) < 0.005 or max(r, b) > 0.995 or r - l < 0.008 or b - t < 0.08:
-            return "arrangement"
-    heights, centers = sorted(x[5] - x[3] for x in d), [(x[3] + x[5]) / 2 for x in d]
-    if max(centers) - min(centers) > heights[len(d) // 2] * 0.5:
-        return "arrangement"
-    if any(boxes_iou(a[2:6], b[2:6]) > 0.15 for a, b in zip(d, d[1:], strict=False)):
-        return "arrangement"
-    return None
-
-
-def _still(a: tuple, b: tuple) -> bool:
-    """Whether detection a stands where b stood."""
-    aw, ah, bw, bh = a[4] - a[2], a[5] - a[3], b[4] - b[2], b[5] - b[3]
-    return (
-        a[0] == b[0] and a[6] == b[6] and abs((a[2] + a[4]) / 2 - (b[2] + b[4]) / 2) < 0.025
-        and abs((a[3] + a[5]) / 2 - (b[3] + b[5]) / 2) < 0.06 and max(abs(aw - bw) / bw, abs(ah - bh) / bh) < 0.3
-    )
-
-
-@dataclass
-class Gate:
-    policy: Policy
-    previous: list[tuple] = field(default_factory=list)
-    anchor: list[tuple] = field(default_factory=list)
-    count: int = 0
-    first_at: int = 0
-    last_at: int = -1
-
-    def reset(self) -> None:
-        self.previous, self.anchor, self.count, self.first_at, self.last_at = [], [], 0, 0, -1
-
-    def expired(self, now_ms: int) -> bool:
-        """Whether what was decided is stale at a time; if so the gate starts anew."""
-        if self.last_at >= 0 and not 0 <= now_ms - self.last_at <= self.policy.expiry_ms:
-            self.reset()
-            return True
-        return False
-
-    def observe(self, detections: list, at_ms: int) -> tuple[str, int, int]:
-        """Issue, matching frames and number of detections after one more frame."""
-        if at_ms < 0 or (self.last_at >= 0 and at_ms <= self.last_at):
-            self.reset()
-            return "stale", 0, 0
-        names = ("tile", "confidence", "l", "t", "r", "b", "red_five")
-        d = sorted((tuple(_get(x, n) for n in names) for x in detections or []), key=lambda x: (x[2] + x[4]) / 2)
-        refused = quality(d, self.policy)
-        if refused:
-            self.reset()
-            self.last_at = at_ms
-            return refused, 0, len(d)
-        same = len(self.previous) == len(d) and at_ms - self.last_at <= self.policy.maximum_gap_ms and all(_still(x, p) and _still(x, a) for x, p, a in zip(d, self.previous, self.anchor, strict=True))
-        if not same:
-            self.count, self.first_at, self.anchor = 0, at_ms, d
-        self.previous, self.last_at, self.count = d, at_ms, self.count + 1
-        stable = self.count >= self.policy.required_frames and at_ms - self.first_at >= self.policy.minimum_span_ms
-        return "stable" if stable else "collecting", self.count, len(d)
+# --- one frame: columns over its detections, in order of their centres -------------------------------------------------
+
+
+def by_center(detections: Column) -> Column:
+    """Detections from left to right; null is none."""
+    def order(x: Column, y: Column) -> Column:
+        a, b = x["l"] + x["r"], y["l"] + y["r"]
+        return F.when(a < b, -1).when(a > b, 1).otherwise(0)
+
+    return F.array_sort(F.coalesce(detections, F.array().cast(f"array<{DETECTION}>")), order)
+
+
+def bad_confidence(d: Column, least: float) -> Column:
+    return F.exists(d, lambda x: ~F.coalesce(finite(x["confidence"]) & x["confidence"].between(least, 1.0), F.lit(False)))
+
+
+def _box_issue(x: Column, copies: Column) -> Column:
+    inside = (F.least(x["l"], x["t"]) >= EDGE_LOW) & (F.greatest(x["r"], x["b"]) <= EDGE_HIGH) & finite(x["l"]) & finite(x["t"]) & finite(x["r"]) & finite(x["b"])
+    large = (x["r"] - x["l"] >= LEAST_WIDTH) & (x["b"] - x["t"] >= LEAST_HEIGHT)
+    return F.when(~x["tile"].between(0, TILES - 1) | (copies > COPIES), "physical").when(~F.coalesce(inside & large, F.lit(False)), "arrangement")
+
+
+def first_box_issue(d: Column) -> Column:
+    """The issue of the leftmost detection that has one: an unknown tile or a fifth copy, or a box at the edge or too small."""
+    found = F.transform(d, lambda x, i: _box_issue(x, F.size(F.filter(F.slice(d, F.lit(1), i + 1), lambda y: y["tile"] == x["tile"]))))
+    return F.get(F.filter(found, lambda x: x.isNotNull()), F.lit(0))
+
+
+def spread(d: Column) -> Column:
+    """How far apart the centres of a row are, in (upper) median heights."""
+    heights, middle = F.array_sort(F.transform(d, lambda x: x["b"] - x["t"])), F.transform(d, lambda x: (x["t"] + x["b"]) / 2)
+    return (F.array_max(middle) - F.array_min(middle)) / F.get(heights, F.floor(F.size(d) / 2).cast("int"))
+
+
+def most_overlap(d: Column) -> Column:
+    """The largest IoU of neighbours; null for fewer than two."""
+    return F.array_max(F.zip_with(F.slice(d, F.lit(1), F.size(d) - 1), F.slice(d, F.lit(2), F.size(d) - 1), iou))
+
+
+#: Issues of a frame in the order in which they are looked for: a condition on the detections in order, or the issue itself.
+FRAME_CHECKS: tuple[Callable[[Column, Policy], Column], ...] = (
+    lambda d, p: F.when(F.size(d) == 0, "empty"),
+    lambda d, p: F.when(F.size(d) != p.expected_count, "count"),
+    lambda d, p: F.when(bad_confidence(d, p.minimum_confidence), "confidence"),
+    lambda d, p: first_box_issue(d),
+    lambda d, p: F.when(spread(d) > MOST_SPREAD, "arrangement"),
+    lambda d, p: F.when(most_overlap(d) > MOST_OVERLAP, "arrangement"),
+)
+
+
+def frame_issue(d: Column, policy: Policy) -> Column:
+    """The first issue of a frame of detections in order of their centres; null for a fine one."""
+    return F.coalesce(*[check(d, policy) for check in FRAME_CHECKS])
+
+
+def can_confirm(d: Column, expected_count: int) -> Column:
+    """Whether a person may confirm a frame that the gate still refuses: the expected number of known tiles with a
+    confidence in [0, 1], none more than four times. Arrangement, motion and the least confidence don't matter."""
+    known = F.forall(d, lambda x: F.coalesce(x["tile"].between(0, TILES - 1) & finite(x["confidence"]) & x["confidence"].between(0.0, 1.0), F.lit(False)))
+    copies = F.forall(d, lambda x: F.size(F.filter(d, lambda y: y["tile"] == x["tile"])) <= COPIES)
+    return (F.size(d) == expected_count) & known & copies
+
+
+def judged(frames: DataFrame, policy: Policy) -> DataFrame:
+    """Frames as the fold takes them: stream_id, seq, captured_at_ms, refused, n and marks, six numbers a detection
+    (tile, red five, centre and size), only of frames that are not refused."""
+    rows = frames.select("stream_id", "seq", "captured_at_ms", by_center(F.col("detections")).alias("_d")).withColumn("refused", frame_issue(F.col("_d"), policy))
+    mark = F.flatten(F.transform("_d", lambda x: F.array(x["tile"].cast("double"), F.coalesce(x["red_five"], F.lit(False)).cast("double"), (x["l"] + x["r"]) / 2, (x["t"] + x["b"]) / 2, x["r"] - x["l"], x["b"] - x["t"])))
+    return rows.select("stream_id", "seq", "captured_at_ms", "refused", F.size("_d").alias("n"), F.when(F.col("refused").isNull(), mark).alias("marks"))
+
+
+# --- the order of frames: a fold ------------------------------------------------------------------------------------
+
+
+def stands_still(now: np.ndarray, before: np.ndarray) -> bool:
+    """Whether every detection (a row of marks) stands where it stood before."""
+    move, size = np.abs(now[:, 2:4] - before[:, 2:4]), np.abs(now[:, 4:] - before[:, 4:]) / before[:, 4:]
+    return bool((now[:, :2] == before[:, :2]).all() and (move < (MOST_DX, MOST_DY)).all() and (size < MOST_RESIZE).all())
+
+
+@dataclass(frozen=True)
+class Run:
+    """Frames that agree: when the run began, how many there are, the marks of the first and of the last one."""
+
+    since: int
+    frames: int
+    first: np.ndarray
+    last: np.ndarray
+
+    def takes(self, marks: np.ndarray) -> bool:
+        return self.first.shape == marks.shape and stands_still(marks, self.last) and stands_still(marks, self.first)
+
+
+@dataclass(frozen=True)
+class State:
+    """What a stream is remembered by: the time of its last frame, -1 for none, and the run that frame belongs to."""
+
+    seen_at: int = -1
+    run: Run | None = None
+
+    def expired(self, now_ms: int, policy: Policy) -> bool:
+        """Whether what was decided is stale at a time."""
+        return self.seen_at >= 0 and not 0 <= now_ms - self.seen_at <= policy.expiry_ms
+
+
+def advance(state: State, at_ms: int, refused: str | None, n: int, marks: np.ndarray | None, policy: Policy) -> tuple[State, tuple[str, int, int]]:
+    """The state after one more judged frame, and the decision: issue, frames that agree, detections."""
+    if at_ms < 0 or 0 <= at_ms <= state.seen_at:
+        return State(), ("stale", 0, 0)
+    if refused is not None:
+        return State(at_ms), (refused, 0, n)
+    marks = np.asarray(marks, float).reshape(n, -1)
+    goes_on = state.run is not None and at_ms - state.seen_at <= policy.maximum_gap_ms and state.run.takes(marks)
+    run = Run(state.run.since, state.run.frames + 1, state.run.first, marks) if goes_on else Run(at_ms, 1, marks, marks)
+    enough = run.frames >= policy.required_frames and at_ms - run.since >= policy.minimum_span_ms
+    return State(at_ms, run), ("stable" if enough else "collecting", run.frames, n)
+
+
+JUDGED = ("seq", "captured_at_ms", "refused", "n", "marks")
+
+
+def fold_frames(state: State, pdf: pd.DataFrame, policy: Policy) -> tuple[State, list[tuple]]:
+    """Advance over judged frames in the order of rows: the last state, and (seq, captured_at_ms, issue, frames, detections) of each."""
+    out = []
+    for seq, at, refused, n, marks in zip(*[pdf[c] for c in JUDGED], strict=True):
+        state, decision = advance(state, int(at), None if pd.isna(refused) else refused, int(n), marks, policy)
+        out.append((seq, at, *decision))
+    return state, out
 
 
 def gate_batch(frames: DataFrame, policy: Policy) -> DataFrame:
-    """A decision for each recorded frame. Streams are dealt by id and sorted by arrival; one frame at a time is held."""
+    """A decision for each recorded frame. Streams are dealt by id and sorted by arrival; one batch of frames at a time is held."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, gate = None, None
+        now, state = None, State()
         for pdf in batches:
-            out = []
-            for stream, seq, at, found in zip(pdf["stream_id"], pdf["seq"], pdf["captured_at_ms"], pdf["detections"], strict=True):
-                if stream != now:
-                    now, gate = stream, Gate(policy)
-                out.append((stream, seq, at, *gate.observe(list(found) if found is not None else [], int(at))))
+            out: list[tuple] = []
+            for stream, part in pdf.groupby("stream_id", sort=False):
+                state, got = fold_frames(state if stream == now else State(), part, policy)
+                now = stream
+                out += [(stream, *x) for x in got]
             yield pd.DataFrame(out, columns=["stream_id", "seq", "captured_at_ms", "issue", "matched_frames", "observed_count"])
 
-    return frames.select("stream_id", "seq", "captured_at_ms", "detections").repartition("stream_id").sortWithinPartitions("stream_id", "seq").mapInPandas(run, DECISION)
+    return judged(frames, policy).repartition("stream_id").sortWithinPartitions("stream_id", "seq").mapInPandas(run, DECISION)
 
 
 def throttle(rows: DataFrame, *, key: str, order: str, at: str, least_ms: int = 350) -> DataFrame:

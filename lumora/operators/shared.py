@@ -2,21 +2,33 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame, name: str = "cut") -> DataFrame:
-    """Write and read back through the folder in spark.checkpoint.dir, a local one only where that is unset.
+def shared_dir(spark: SparkSession) -> str:
+    """spark.checkpoint.dir, or else the context's checkpoint folder, or else a folder in /tmp, only where Spark is one process."""
+    sc = spark.sparkContext
+    held = sc._jsc.sc().getCheckpointDir()
+    path = spark.conf.get("spark.checkpoint.dir", None) or (held.get() if held.isDefined() else None)
+    if not path:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        path = f"/tmp/lumora-{sc.applicationId}"
+    return path.rstrip("/")
 
-    The files go when the application ends.
-    """
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lumora-")
-    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+
+def forget(spark: SparkSession, path: str) -> None:
+    """Have a folder removed when the application ends."""
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
+
+
+def cut(df: DataFrame, name: str = "cut") -> DataFrame:
+    """Write and read back through the shared folder. The files go when the application ends."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    forget(spark, path)
     return spark.read.schema(df.schema).parquet(path)

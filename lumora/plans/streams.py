@@ -2,55 +2,72 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lumora.operators.consensus import Policy, gate_batch, issue_counts, throttle
+from lumora.operators.consensus import Policy, by_center, can_confirm, frame_issue, gate_batch, issue_counts, throttle
+from lumora.operators.shared import cut, forget, shared_dir
 from lumora.plans.base import register, table
 from lumora.streaming.gate import ROCKSDB, gate_stream
 
 QUERIES: dict = {}
 
 _MS = "timestampdiff(MILLISECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)"
-# Events of a user as frames of one detection; a frame every second, now and then a gap, a late one or another tile.
-_POLICY = Policy(expected_count=1, required_frames=3, minimum_span_ms=2000, maximum_gap_ms=1500, expiry_ms=1200, minimum_confidence=0.3)
+# Events of a user as frames of two detections: a frame every second, now and then a gap or a late one; another tile, no second
+# box, a fifth copy's worth of unknown tile, a second box that is lower or overlaps the first.
+_POLICY = Policy(expected_count=2, required_frames=3, minimum_span_ms=2000, maximum_gap_ms=1500, expiry_ms=1200, minimum_confidence=0.3)
+_DETECTIONS = """
+WITH f AS (
+  SELECT user_id AS stream_id, event_id AS seq, CAST(n * 1000 + CASE WHEN event_id % 11 = 0 THEN 1200 ELSE 0 END - CASE WHEN event_id % 13 = 0 THEN 2500 ELSE 0 END AS BIGINT) AS ms,
+         CASE WHEN event_id % 17 = 0 THEN 5 ELSE user_id % 34 END AS tile1, CASE WHEN event_id % 31 = 0 THEN 40 ELSE (user_id + 1) % 34 END AS tile2,
+         CAST(event_id % 20 AS DOUBLE) / 20 + CAST(0.1 AS DOUBLE) AS conf, CAST(event_id % 3 AS DOUBLE) / 100 + CAST(0.4 AS DOUBLE) AS x1,
+         CAST(event_id % 3 AS DOUBLE) / 100 + CAST(0.4 AS DOUBLE) + CASE WHEN event_id % 23 = 0 THEN CAST(0.02 AS DOUBLE) ELSE CAST(0.06 AS DOUBLE) END AS x2,
+         CASE WHEN event_id % 29 = 0 THEN CAST(0.5 AS DOUBLE) ELSE CAST(0.3 AS DOUBLE) END AS t2, CASE WHEN event_id % 19 = 0 THEN 0 WHEN event_id % 37 = 0 THEN 1 ELSE 2 END AS boxes
+  FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events))"""
 
 
 def _frames(spark, d):
-    e = table(spark, d, "events").withColumn("n", F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")))
-    at = (F.col("n") * 1000 + F.when(F.col("event_id") % 11 == 0, 1200).otherwise(0) - F.when(F.col("event_id") % 13 == 0, 2500).otherwise(0)).cast("bigint")
-    x = (F.col("event_id") % 3).cast("double") / 100 + 0.4
-    box = F.struct(F.when(F.col("event_id") % 17 == 0, 5).otherwise((F.col("user_id") % 34)).cast("int").alias("tile"), ((F.col("event_id") % 20) / 20 + 0.1).cast("double").alias("confidence"), x.alias("l"), F.lit(0.3).alias("t"), (x + 0.05).alias("r"), F.lit(0.6).alias("b"), F.lit(False).alias("red_five"))
-    return e.select(F.col("user_id").alias("stream_id"), F.col("event_id").alias("seq"), at.alias("captured_at_ms"), F.when(F.col("event_id") % 19 == 0, F.array().cast(f"array<{box_type()}>")).otherwise(F.array(box)).alias("detections"))
+    rows = spark.sql(_DETECTIONS.replace("FROM events)", "FROM {events})") + " SELECT * FROM f", events=table(spark, d, "events"))
 
+    def box(tile, conf, x, t):
+        return F.struct(F.col(tile).cast("int").alias("tile"), conf.alias("confidence"), F.col(x).alias("l"), t.alias("t"), (F.col(x) + 0.05).alias("r"), (t + 0.3).alias("b"), F.lit(False).alias("red_five"))
 
-def box_type() -> str:
-    return "struct<tile:int,confidence:double,l:double,t:double,r:double,b:double,red_five:boolean>"
+    both = F.array(box("tile2", F.lit(0.9), "x2", F.col("t2")), box("tile1", F.col("conf"), "x1", F.lit(0.3)))  # not in order
+    return rows.select("stream_id", "seq", F.col("ms").alias("captured_at_ms"), F.slice(both, F.when(F.col("boxes") == 1, 2).otherwise(1), F.col("boxes")).alias("detections"))
 
 
-_GATE_SQL = """
-WITH RECURSIVE f AS (
-  SELECT user_id AS stream_id, event_id AS seq, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n, CASE WHEN event_id % 17 = 0 THEN 5 ELSE user_id % 34 END AS tile,
-         CAST(event_id % 20 AS DOUBLE) / 20 + 0.1::DOUBLE AS conf, CAST(event_id % 3 AS DOUBLE) / 100 + 0.4::DOUBLE + 0.025::DOUBLE AS cx, event_id % 19 = 0 AS none FROM events),
-a AS (SELECT *, CAST(n * 1000 + CASE WHEN seq % 11 = 0 THEN 1200 ELSE 0 END - CASE WHEN seq % 13 = 0 THEN 2500 ELSE 0 END AS BIGINT) AS ms FROM f),
-q AS (SELECT *, CASE WHEN none THEN 'empty' WHEN conf < 0.3::DOUBLE OR conf > 1 THEN 'confidence' END AS refused FROM a),
+# Judged frames; of the two boxes the first is the left one.
+_JUDGED = _DETECTIONS + """,
+m AS (SELECT *, greatest(0, least(x1, x2) + 0.05::DOUBLE - greatest(x1, x2)) * greatest(0, least(0.6::DOUBLE, t2 + 0.3::DOUBLE) - greatest(0.3::DOUBLE, t2)) AS shared FROM f),
+q AS (SELECT *, CASE WHEN boxes = 0 THEN 'empty' WHEN boxes <> 2 THEN 'count' WHEN conf < 0.3::DOUBLE OR conf > 1 THEN 'confidence' WHEN tile1 > 33 OR tile2 > 33 THEN 'physical'
+        WHEN abs(t2 - 0.3::DOUBLE) > 0.5 * 0.3::DOUBLE THEN 'arrangement' WHEN shared / (2 * 0.05::DOUBLE * 0.3::DOUBLE - shared) > 0.15::DOUBLE THEN 'arrangement' END AS refused,
+        row_number() OVER (PARTITION BY stream_id ORDER BY seq) AS n FROM m)"""
+
+_GATE_SQL = _JUDGED.replace("WITH f", "WITH RECURSIVE f") + """,
 g AS (
-  SELECT q.stream_id, 0::BIGINT AS n, 0::BIGINT AS seq, 0::BIGINT AS ms, '' AS issue, 0 AS cnt, 0 AS obs, -1::BIGINT AS last_at, 0::BIGINT AS first_at, NULL::BIGINT AS ptile, NULL::DOUBLE AS pcx, NULL::DOUBLE AS acx FROM (SELECT DISTINCT stream_id FROM q) q
+  SELECT q.stream_id, 0::BIGINT AS n, 0::BIGINT AS seq, 0::BIGINT AS ms, '' AS issue, 0 AS cnt, 0 AS obs, -1::BIGINT AS last_at, 0::BIGINT AS first_at, NULL::BIGINT AS p1, NULL::BIGINT AS p2, NULL::DOUBLE AS px, NULL::DOUBLE AS ax FROM (SELECT DISTINCT stream_id FROM q) q
   UNION ALL
   SELECT stream_id, n, seq, ms,
     CASE WHEN stale THEN 'stale' WHEN refused IS NOT NULL THEN refused WHEN (CASE WHEN same THEN cnt ELSE 0 END) + 1 >= 3 AND ms - (CASE WHEN same THEN first_at ELSE ms END) >= 2000 THEN 'stable' ELSE 'collecting' END,
-    CASE WHEN stale OR refused IS NOT NULL THEN 0 WHEN same THEN cnt + 1 ELSE 1 END, CASE WHEN stale OR none THEN 0 ELSE 1 END,
+    CASE WHEN stale OR refused IS NOT NULL THEN 0 WHEN same THEN cnt + 1 ELSE 1 END, CASE WHEN stale THEN 0 ELSE boxes END,
     CASE WHEN stale THEN -1 ELSE ms END, CASE WHEN stale OR refused IS NOT NULL THEN 0 WHEN same THEN first_at ELSE ms END,
-    CASE WHEN stale OR refused IS NOT NULL THEN NULL ELSE tile END, CASE WHEN stale OR refused IS NOT NULL THEN NULL ELSE cx END, CASE WHEN stale OR refused IS NOT NULL THEN NULL WHEN same THEN acx ELSE cx END
-  FROM (SELECT q.*, g.cnt, g.first_at, g.acx, q.ms < 0 OR (g.last_at >= 0 AND q.ms <= g.last_at) AS stale,
-          coalesce(g.ptile = q.tile AND q.ms - g.last_at <= 1500 AND abs(q.cx - g.pcx) < 0.025 AND abs(q.cx - g.acx) < 0.025, false) AS same
+    CASE WHEN stale OR refused IS NOT NULL THEN NULL ELSE tile1 END, CASE WHEN stale OR refused IS NOT NULL THEN NULL ELSE tile2 END,
+    CASE WHEN stale OR refused IS NOT NULL THEN NULL ELSE x1 END, CASE WHEN stale OR refused IS NOT NULL THEN NULL WHEN same THEN ax ELSE x1 END
+  FROM (SELECT q.*, g.cnt, g.first_at, g.ax, q.ms < 0 OR (g.last_at >= 0 AND q.ms <= g.last_at) AS stale,
+          coalesce(g.p1 = q.tile1 AND g.p2 = q.tile2 AND q.ms - g.last_at <= 1500 AND abs(q.x1 - g.px) < 0.025 AND abs(q.x1 - g.ax) < 0.025, false) AS same
         FROM g JOIN q ON q.stream_id = g.stream_id AND q.n = g.n + 1) s),
 r AS (SELECT stream_id, seq, ms AS captured_at_ms, issue, CAST(cnt AS INT) AS matched_frames, CAST(obs AS INT) AS observed_count FROM g WHERE n > 0)"""
 
 
+@register(QUERIES, _JUDGED + " SELECT stream_id, seq, refused, boxes = 2 AND tile1 < 34 AND tile2 < 34 AND conf <= 1 AS can_confirm FROM q")
+def frame_quality(spark, d):
+    """The first reason to refuse a frame by itself, and whether a person may confirm it."""
+    det = by_center(F.col("detections"))
+    return _frames(spark, d).withColumn("d", det).select("stream_id", "seq", frame_issue(F.col("d"), _POLICY).alias("refused"), can_confirm(F.col("d"), 2).alias("can_confirm"))
+
+
 @register(QUERIES, _GATE_SQL + " SELECT * FROM r")
 def gate_decisions(spark, d):
     return gate_batch(_frames(spark, d), _POLICY)
@@ -64,9 +81,8 @@ def gate_issue_counts(spark, d):
 @register(QUERIES, _GATE_SQL + " SELECT * FROM r")
 def gate_stream_decisions(spark, d):
     """The same decisions from the streaming operator, replayed from files."""
-    from lumora.operators.shared import cut
-
-    folder = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='lumora-')}/gate-{uuid.uuid4().hex}"
+    folder = f"{shared_dir(spark)}/gate-{uuid.uuid4().hex}"
+    forget(spark, folder)
     frames = cut(_frames(spark, d), "frames")
     path = frames.inputFiles()[0].rsplit("/", 1)[0]
     before = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)

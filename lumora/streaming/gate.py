@@ -5,15 +5,29 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from lumora.operators.consensus import DECISION, Gate, Policy
+from lumora.operators.consensus import DECISION, Policy, Run, State, fold_frames, judged
+
+_COLUMNS = ["stream_id", "seq", "captured_at_ms", "issue", "matched_frames", "observed_count"]
+
+
+def dump_state(state: State) -> str:
+    run = state.run and [state.run.since, state.run.frames, state.run.first.tolist(), state.run.last.tolist()]
+    return json.dumps([state.seen_at, run])
+
+
+def load_state(text: str) -> State:
+    seen_at, run = json.loads(text)
+    return State(seen_at, run and Run(run[0], run[1], *map(np.array, run[2:])))
 
 
 class GateProcessor(StatefulProcessor):
-    """Keeps a gate for each stream. Rows of a batch are taken in order of ``seq``, whatever order they come in."""
+    """Keeps a gate's state for each stream. The judged frames of a stream in a micro-batch are taken in order of ``seq``,
+    whatever order they come in; they are held together, 50 numbers a frame, so a trigger bounds what is held."""
 
     def __init__(self, policy: Policy, expire: bool = False) -> None:
         self.policy, self.expire = policy, expire
@@ -22,33 +36,20 @@ class GateProcessor(StatefulProcessor):
         self.handle = handle
         self.state = handle.getValueState("gate", "value string")
 
-    def _load(self) -> Gate:
-        if not self.state.exists():
-            return Gate(self.policy)
-        s = json.loads(self.state.get()[0])
-        return Gate(self.policy, [tuple(x) for x in s["previous"]], [tuple(x) for x in s["anchor"]], s["count"], s["first_at"], s["last_at"])
-
-    def _save(self, g: Gate) -> None:
-        self.state.update((json.dumps({"previous": g.previous, "anchor": g.anchor, "count": g.count, "first_at": g.first_at, "last_at": g.last_at}),))
-
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        pdf = pd.concat(list(rows)).sort_values("seq")
-        gate, out = self._load(), []
-        for seq, at, found in zip(pdf["seq"], pdf["captured_at_ms"], pdf["detections"], strict=True):
-            out.append((key[0], seq, at, *gate.observe(list(found) if found is not None else [], int(at))))
-        self._save(gate)
+        state = load_state(self.state.get()[0]) if self.state.exists() else State()
+        state, got = fold_frames(state, pd.concat(list(rows)).sort_values("seq"), self.policy)
+        self.state.update((dump_state(state),))
         if self.expire:
             for t in self.handle.listTimers():
                 self.handle.deleteTimer(t)
             self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.policy.expiry_ms)
-        yield pd.DataFrame(out, columns=["stream_id", "seq", "captured_at_ms", "issue", "matched_frames", "observed_count"])
+        yield pd.DataFrame([(key[0], *x) for x in got], columns=_COLUMNS)
 
     def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        gate = self._load()
-        seq = gate.last_at
-        gate.reset()
-        self._save(gate)
-        yield pd.DataFrame([(key[0], None, seq, "stale", 0, 0)], columns=["stream_id", "seq", "captured_at_ms", "issue", "matched_frames", "observed_count"]).astype({"seq": "Int64"})
+        seen_at = load_state(self.state.get()[0]).seen_at
+        self.state.update((dump_state(State()),))
+        yield pd.DataFrame([(key[0], None, seen_at, "stale", 0, 0)], columns=_COLUMNS).astype({"seq": "Int64"})
 
     def close(self) -> None:
         pass
@@ -59,7 +60,7 @@ def gate_stream(frames: DataFrame, policy: Policy, *, expire: bool = False) -> D
 
     Needs ``spark.sql.streaming.stateStore.providerClass`` set to the RocksDB provider.
     """
-    return frames.groupBy("stream_id").transformWithStateInPandas(GateProcessor(policy, expire), outputStructType=DECISION, outputMode="Append", timeMode="ProcessingTime" if expire else "None")
+    return judged(frames, policy).groupBy("stream_id").transformWithStateInPandas(GateProcessor(policy, expire), outputStructType=DECISION, outputMode="Append", timeMode="ProcessingTime" if expire else "None")
 
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"

@@ -2,15 +2,18 @@ from __future__ import annotations
 
 import itertools
 import random
+import time
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from lumora.functions.metrics import wilson, zero_failure_bound
 from lumora.operators.audit import assign_split, hamming_links, keep_first, near_links, unit_value
-from lumora.operators.consensus import FRAME, Gate, Policy, gate_batch
+from lumora.operators.consensus import DECISION, FRAME, Policy, State, by_center, can_confirm, frame_issue, gate_batch
 from lumora.operators.detections import assign, best_class, match_boxes, nms
 from lumora.operators.graph import components, cycle_nodes
+from lumora.streaming.gate import ROCKSDB, gate_stream
 
 
 def test_intervals(spark):
@@ -115,25 +118,53 @@ def _frame(stream, seq, at, n=2, shift=0.0):
     return (stream, seq, at, [dict(tile=i, confidence=0.95, l=0.05 + 0.06 * i + shift, t=0.3, r=0.085 + 0.06 * i + shift, b=0.7, red_five=False) for i in range(n)])
 
 
+def _decisions(spark, frames, policy):
+    return {(r["stream_id"], r["seq"]): (r["issue"], r["matched_frames"], r["observed_count"]) for r in gate_batch(spark.createDataFrame(frames, FRAME), policy).collect()}
+
+
 def test_gate(spark):
-    g = Gate(Policy(2))
-    got = [g.observe(_frame(1, i, 300 * i)[3], 300 * i)[0] for i in range(5)]
-    assert got == ["collecting"] * 4 + ["stable"]
-    assert g.observe(_frame(1, 0, 0)[3], 1200)[0] == "stale" and g.observe(_frame(1, 0, 0)[3], 1300)[:2] == ("collecting", 1)
-    assert g.observe([], 1400)[0] == "empty" and g.observe(_frame(1, 0, 0, 3)[3], 1500)[0] == "count"
-    assert not g.expired(2700) and g.expired(2701)
-    a, b = Gate(Policy(2)), Gate(Policy(2))
-    a.observe(_frame(1, 0, 0)[3], 0), b.observe(_frame(1, 0, 0)[3], 0)
-    assert a.observe(_frame(1, 0, 0)[3], 1000)[1] == 2 and b.observe(_frame(1, 0, 0)[3], 1001)[1] == 1
-    rnd, rows = random.Random(2), []
-    for s in range(4):
-        t = 0
-        for i in range(30):
-            t += rnd.choice([200, 300, 900, 1100, -50])
-            rows.append(_frame(s, i, t, rnd.choice([2, 2, 2, 2, 1]), rnd.choice([0.0, 0.0, 0.01, 0.03])))
-    rnd.shuffle(rows)
-    got = {(r["stream_id"], r["seq"]): (r["issue"], r["matched_frames"]) for r in gate_batch(spark.createDataFrame(rows, FRAME), Policy(2)).collect()}
-    for s in range(4):
-        g = Gate(Policy(2))
-        for _, i, t, d in sorted(r for r in [(x[0], x[1], x[2], x[3]) for x in rows] if r[0] == s):
-            assert got[s, i] == g.observe(d, t)[:2]
+    got = _decisions(spark, [_frame(1, i, 300 * i) for i in range(5)] + [_frame(1, 5, 1200), _frame(1, 6, 1300), (1, 7, 1400, []), _frame(1, 8, 1500, 3), (1, 9, 1600, None)], Policy(2))
+    assert [got[1, i][0] for i in range(10)] == ["collecting"] * 4 + ["stable", "stale", "collecting", "empty", "count", "empty"] and got[1, 6] == ("collecting", 1, 2)
+    got = _decisions(spark, [_frame(1, 0, 0), _frame(1, 1, 1000), _frame(2, 0, 0), _frame(2, 1, 1001)], Policy(2))
+    assert got[1, 1][1] == 2 and got[2, 1][1] == 1
+    assert not State(1500).expired(2700, Policy(2)) and State(1500).expired(2701, Policy(2)) and State(1500).expired(1499, Policy(2)) and not State().expired(5, Policy(2))
+    # a slow drift agrees with the last frame, but not with the first
+    got = _decisions(spark, [_frame(1, i, 300 * i, shift=0.01 * i) for i in range(4)], Policy(2))
+    assert [got[1, i][1] for i in range(4)] == [1, 2, 3, 1]
+    for bad in (dict(expected_count=1), dict(expected_count=18), dict(expected_count=2, required_frames=1), dict(expected_count=2, minimum_span_ms=0), dict(expected_count=2, minimum_confidence=float("nan"))):
+        with pytest.raises(ValueError):
+            Policy(**bad)
+
+
+def test_frame_checks(spark):
+    base = _frame(1, 0, 0, 6)[3]
+
+    def with_(i, **kw):
+        return [dict(x, **kw) if j == i else x for j, x in enumerate(base)]
+
+    cases = {
+        None: base[::-1], "empty": [], "count": base[:5], "confidence": with_(2, confidence=0.79), "physical": with_(0, tile=34), "arrangement": with_(5, r=0.999),
+        "confidence ": with_(2, confidence=float("nan")), "confidence  ": with_(1, confidence=None, tile=99), "physical ": [dict(x, tile=3) for x in base], "arrangement ": with_(3, b=0.37),
+        "arrangement  ": with_(2, t=0.05, b=0.25), "arrangement   ": with_(2, l=base[1]["l"] + 0.01, r=base[1]["r"] + 0.01), "arrangement    ": with_(0, l=0.004), "physical  ": with_(0, tile=-1, l=0.001),
+    }
+    rows = spark.createDataFrame([(1, i, 0, d) for i, d in enumerate(cases.values())], FRAME).select("seq", by_center(F.col("detections")).alias("d"))
+    got = {r["seq"]: (r["i"], r["c"]) for r in rows.select("seq", frame_issue(F.col("d"), Policy(6)).alias("i"), can_confirm(F.col("d"), 6).alias("c")).collect()}
+    assert [got[i][0] for i in range(len(cases))] == [k and k.strip() for k in cases]
+    assert [got[i][1] for i in range(len(cases))] == [True, False, False, True, False, True, False, False, False, True, True, True, True, False]
+
+
+def test_gate_timer(spark, tmp_path):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    try:
+        spark.createDataFrame([_frame(7, i, 300 * i) for i in range(3)], FRAME).coalesce(1).write.parquet(str(tmp_path / "in"))
+        out = gate_stream(spark.readStream.schema(FRAME).parquet(str(tmp_path / "in")), Policy(2), expire=True)
+        q = out.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(processingTime="500 milliseconds").start()
+        for _ in range(120):
+            time.sleep(0.5)
+            got = [r["issue"] for r in spark.read.schema(DECISION).parquet(str(tmp_path / "out")).collect()] if (tmp_path / "out").exists() else []
+            if "stale" in got:
+                break
+        q.stop()
+        assert sorted(got) == ["collecting"] * 3 + ["stale"]
+    finally:
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
