@@ -63,12 +63,95 @@ def relative_size(a: Column, b: Column) -> Column:
 
 
 def windows(width: Column, height: Column, max_aspect: float = 2.0, overlap: float = 0.2) -> Column:
-    """Left edges and width of overlapping windows over a wide image; one window if it is narrow enough."""
-    size = F.least(width, F.ceil(height * max_aspect)).cast("int")
-    step = F.greatest(F.lit(1), F.floor(size * (1 - overlap))).cast("int")
-    last = width - size
-    lefts = F.when(last <= 0, F.array(F.lit(0))).otherwise(F.array_distinct(F.concat(F.filter(F.sequence(F.lit(0), F.greatest(last, F.lit(0)), step), lambda x: x < last), F.array(last))))
-    return F.struct(lefts.alias("lefts"), size.alias("size"))
+    """Windows (x, y, w, h) along the longer side of an image, none longer than ``max_aspect`` times the shorter side, each
+    overlapping the one before; the last one ends with the image. One window if the image is short enough or empty."""
+    wide, long, short = width > height, F.greatest(width, height), F.least(width, height)
+    size = F.least(long, F.greatest(F.lit(1), half_up(short * max_aspect))).cast("int")
+    step = F.greatest(F.lit(1), half_up(size * (1 - min(max(overlap, 0.0), 0.9)))).cast("int")
+    last = long - size
+    starts = F.array_union(F.transform(F.sequence(F.lit(0), F.floor(last / step).cast("int")), lambda i: i * step), F.array(last))
+    none = F.lit(0)
+
+    def at(s: Column) -> Column:
+        return F.struct(F.when(wide, s).otherwise(none).alias("x"), F.when(wide, none).otherwise(s).alias("y"), F.when(wide, size).otherwise(width).alias("w"), F.when(wide, height).otherwise(size).alias("h"))
+
+    whole = F.array(F.struct(none.alias("x"), none.alias("y"), width.cast("int").alias("w"), height.cast("int").alias("h")))
+    if max_aspect <= 1:
+        return whole
+    return F.when((short <= 0) | (long / F.when(short > 0, short) <= max_aspect), whole).otherwise(F.transform(starts, at))
+
+
+def to_whole(box: Column, window: Column, width: Column, height: Column) -> Column:
+    """A box in shares of a window as one in shares of the whole image."""
+    def out(v: Column, start: Column, size: Column, whole: Column) -> Column:
+        return (start + v * size) / whole
+
+    x, y = (window["x"], window["w"], width), (window["y"], window["h"], height)
+    return F.struct(out(box["l"], *x).alias("l"), out(box["t"], *y).alias("t"), out(box["r"], *x).alias("r"), out(box["b"], *y).alias("b"))
+
+
+def median(values: Column) -> Column:
+    """The mean of the two middle values of an array of numbers; null of none."""
+    s = F.array_sort(values)
+    n = F.size(s)
+    return (F.get(s, F.floor((n - 1) / 2).cast("int")) + F.get(s, F.floor(n / 2).cast("int"))) / 2
+
+
+# When a row of boxes has an angle.
+ROW_BOXES, ROW_APART, ROW_RESIDUAL, ROW_LEAST, ROW_MOST = 5, 0.2, 0.25, 2.0, 20.0
+
+
+def row_angle(boxes: Column, width: Column, height: Column) -> Column:
+    """Degrees by which a row of boxes (shares of an image) is turned: the median slope of pairs of centres far enough apart;
+    0 if there are few boxes, if their centres are not near one line, or if the angle is small or large."""
+    points = F.transform(boxes, lambda d: F.struct(((d["l"] + d["r"]) * width / 2).alias("x"), ((d["t"] + d["b"]) * height / 2).alias("y")))
+    slopes = F.flatten(F.transform(points, lambda p, i: F.transform(F.filter(F.slice(points, i + 2, F.size(points)), lambda q: F.abs(q["x"] - p["x"]) >= width * ROW_APART), lambda q: (q["y"] - p["y"]) / (q["x"] - p["x"]))))
+    slope = median(slopes)
+    offset = median(F.transform(points, lambda p: p["y"] - slope * p["x"]))
+    tall = median(F.transform(boxes, lambda d: (d["b"] - d["t"]) * height))
+    residual = median(F.transform(points, lambda p: F.abs(p["y"] - slope * p["x"] - offset)))
+    angle = F.degrees(F.atan(slope))
+    fine = (F.size(boxes) >= ROW_BOXES) & (tall > 0) & (residual <= tall * ROW_RESIDUAL) & F.abs(angle).between(ROW_LEAST, ROW_MOST)
+    return F.when(fine, angle).otherwise(F.lit(0.0))
+
+
+# The guide of a scan, in shares of a frame.
+GUIDE_LEFT, GUIDE_WIDTH, GUIDE_ASPECT, GUIDE_MOST = 0.04, 0.92, 3.2, 0.82
+
+
+def scan_guide(width: Column, height: Column) -> Column:
+    """The guide of an upright frame as l, t, w, h."""
+    h = F.least(F.lit(GUIDE_MOST), width * GUIDE_WIDTH / GUIDE_ASPECT / height)
+    return F.struct(F.lit(GUIDE_LEFT).alias("l"), ((1 - h) / 2).alias("t"), F.lit(GUIDE_WIDTH).alias("w"), h.alias("h"))
+
+
+def frame_rotation(sensor: Column, device: Column) -> Column:
+    """By how much a sensor's frame is turned against the device, in quarter turns; null if one is no quarter turn."""
+    quarter = lambda x: x.isin(0, 90, 180, 270)
+    return F.when(quarter(sensor) & quarter(device), F.pmod(sensor - device, F.lit(360)))
+
+
+FRAME_SIDE = (2, 4096)
+
+
+def frame_issue(width: Column, height: Column, rotation: Column, format_: Column, planes: Column) -> Column:
+    """Why a camera frame can't be read: 'dimensions', 'planes', 'plane' or null. ``planes``: structs of row_stride, pixel_stride
+    and length in bytes; one of four channels for bgra8888, else three of one channel, the last two of half the size."""
+    bgra = format_ == "bgra8888"
+    channels = F.when(bgra, 4).otherwise(1)
+
+    def short(p: Column, i: Column) -> Column:
+        w, h = (F.when(i == 0, side).otherwise(F.floor((side + 1) / 2)) for side in (width, height))
+        row = (w - 1) * p["pixel_stride"] + channels
+        return (p["pixel_stride"] < channels) | (p["row_stride"] < row) | (p["length"] < (h - 1) * p["row_stride"] + row)
+
+    sized = width.between(*FRAME_SIDE) & height.between(*FRAME_SIDE) & rotation.isin(0, 90, 180, 270)
+    return F.when(~F.coalesce(sized, F.lit(False)), "dimensions").when(F.size(planes) != F.when(bgra, 1).otherwise(3), "planes").when(F.exists(F.transform(planes, short), lambda x: F.coalesce(x, F.lit(True))), "plane")
+
+
+def chroma_index(x: Column, y: Column, row_stride: Column, pixel_stride: Column) -> Column:
+    """The byte of a half-size plane that colours pixel (x, y)."""
+    return F.floor(y / 2) * row_stride + F.floor(x / 2) * pixel_stride
 
 
 def rotated(x: Column, y: Column, width: Column, height: Column, degrees: Column) -> Column:

@@ -215,6 +215,25 @@ def throttle(rows: DataFrame, *, key: str, order: str, at: str, least_ms: int =
     return rows.repartition(key).sortWithinPartitions(key, order).mapInPandas(run, schema)
 
 
+def shed(rows: DataFrame, *, key: str, order: str, at: str, busy: str) -> DataFrame:
+    """Rows of each key that are taken while nothing else is at work: a row keeps its key busy for ``busy`` ms from its time on, and
+    rows that come meanwhile are dropped, not queued."""
+    schema = rows.schema
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, free = None, None
+        for pdf in batches:
+            take = []
+            for k, t, work in zip(pdf[key], pdf[at], pdf[busy], strict=True):
+                if k != now:
+                    now, free = k, None
+                take.append(free is None or t >= free)
+                free = t + work if take[-1] else free
+            yield pdf[take]
+
+    return rows.repartition(key).sortWithinPartitions(key, order).mapInPandas(run, schema)
+
+
 def issue_counts(decisions: DataFrame, *keys: str) -> DataFrame:
     """Frames by issue, and the time of the first stable one."""
     return decisions.groupBy(*keys, "issue").agg(F.count("*").alias("frames"), F.min(F.when(F.col("issue") == "stable", F.col("captured_at_ms"))).alias("first_stable_ms"))

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lumora.functions.geometry import finite, iou
+from lumora.functions.geometry import finite, iou, unletterbox
 
 
 def best_class(scores: Column) -> tuple[Column, Column]:
@@ -51,6 +54,75 @@ def nms(candidates: DataFrame, *, key: str, threshold: float = 0.45, most: int |
     return grouped.select(key, F.posexplode(kept).alias("pos", "_box")).select(key, "pos", "_box.anchor", "_box.cls", "_box.conf", "_box.l", "_box.t", "_box.r", "_box.b")
 
 
+def decode(raw: DataFrame, *, key: str, threshold: float = 0.25) -> DataFrame:
+    """Candidates of raw anchors (key, anchor, cx, cy, w, h in the square, scores, geometry of its letterbox): rows of
+    key, anchor, cls, conf, l, t, r, b. An anchor is left out if its best score is under the threshold, if its box is not finite or has
+    no size, or if nothing of it is left inside the image."""
+    conf, cls = best_class(F.col("scores"))
+    c = F.col
+    rows = raw.where(usable_box(c("cx"), c("cy"), c("w"), c("h"))).withColumn("conf", conf).withColumn("cls", cls).where(F.col("conf") >= threshold)
+    rows = rows.withColumn("_b", unletterbox(F.struct("cx", "cy", "w", "h"), c("geometry"))).where("_b.r > _b.l and _b.b > _b.t")
+    return rows.select(key, "anchor", "cls", "conf", "_b.l", "_b.t", "_b.r", "_b.b")
+
+
+def detect(raw: DataFrame, *, key: str, threshold: float = 0.25, overlap: float = 0.45, most: int = 40, shown: int = 17) -> DataFrame:
+    """The detector's whole chain: decode, suppress whatever its class, order by centre, and take the first ``shown`` as ``display``."""
+    kept = nms(decode(raw, key=key, threshold=threshold), key=key, threshold=overlap, most=most)
+    return kept.withColumn("display", F.col("pos") < shown)
+
+
+def owned(boxes: DataFrame, first: Column, last: Column) -> DataFrame:
+    """Boxes whose centre is in their window's own range: half open, but closed where it ends with the image."""
+    center = (F.col("l") + F.col("r")) / 2
+    return boxes.where((center >= first) & ((center < last) | (last >= 1)))
+
+
+def softmax(logits: Column) -> Column:
+    """Shares of the exponentials, the largest logit taken off first."""
+    top = F.array_max(logits)
+    e = F.transform(logits, lambda x: F.exp(x - top))
+    total = F.aggregate(e, F.lit(0.0).cast("double"), lambda s, x: s + x)
+    return F.transform(e, lambda x: x / total)
+
+
+def crop_totals(crops: DataFrame) -> DataFrame:
+    """One row of totals of crops (expected, covered, best, n_found): of covered ones those whose best or only detection is
+    right and those without any; of others those with a false one."""
+    yes = F.col("covered")
+    right = F.coalesce(F.col("best") == F.col("expected"), F.lit(False))
+    return crops.agg(
+        F.count_if(yes).alias("covered_crops"), F.count_if(yes & right).alias("top_correct"), F.count_if(yes & right & (F.col("n_found") == 1)).alias("exactly_one_correct"),
+        F.count_if(yes & (F.col("n_found") == 0)).alias("no_detection"), F.count_if(~yes).alias("unsupported_crops"), F.count_if(~yes & (F.col("n_found") > 0)).alias("unsupported_with_false_detection"),
+    )
+
+
+def positional_errors(a: DataFrame, b: DataFrame, *, key: str, order: list, value: str, rtol: float, atol: float) -> DataFrame:
+    """Rows of two tables joined by their place within a key: key, rn, a, b and whether |a - b| <= atol + rtol * |b|. A row
+    without a partner is no match."""
+    def placed(df: DataFrame, name: str) -> DataFrame:
+        return df.withColumn("rn", F.row_number().over(Window.partitionBy(key).orderBy(*order))).select(key, "rn", F.col(value).alias(name))
+
+    close = F.abs(F.col("a") - F.col("b")) <= atol + rtol * F.abs(F.col("b"))
+    return placed(a, "a").join(placed(b, "b"), [key, "rn"], "full").select(key, "rn", "a", "b", F.coalesce(close, F.lit(False)).alias("close"))
+
+
+def phash(grid: Column) -> Column:
+    """The 64-bit perceptual hash (16 hex digits) of a 32 x 32 grid of brightness, row by row: which of the 8 x 8 lowest
+    frequencies of its cosine transform exceed the median of the 63 other than the first."""
+    x = np.arange(32)
+    cosine = np.cos(np.pi * (2 * x[None, :] + 1) * x[:8, None] / 64)
+    cosine[0] /= np.sqrt(2)
+
+    @F.pandas_udf("string")
+    def run(g: pd.Series) -> pd.Series:
+        m = np.stack(g.to_numpy()).reshape(-1, 32, 32) if len(g) else np.zeros((0, 32, 32))
+        low = (cosine @ m @ cosine.T).reshape(-1, 64)
+        bits = np.packbits(low > np.median(low[:, 1:], axis=1, keepdims=True), axis=1)
+        return pd.Series([b.tobytes().hex() for b in bits])
+
+    return run(grid)
+
+
 def assign(weights: np.ndarray) -> np.ndarray:
     """Columns of the rows of a square matrix in an assignment of largest total weight (shortest augmenting paths)."""
     n = len(weights)
@@ -88,20 +160,41 @@ def match_boxes(truth: DataFrame, predicted: DataFrame, *, key: str, threshold:
     pairs = named(truth, "gt").join(named(predicted, "pred"), key).withColumn("iou", iou(box("gt"), box("pred"))).where(F.col("iou") >= threshold)
     pairs = pairs.select(key, "gt_idx", "pred_idx", "gt_cls", "pred_cls", "iou")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        gts, preds = pdf["gt_idx"].unique(), pdf["pred_idx"].unique()
-        n = max(len(gts), len(preds))
+    def solve(part: np.ndarray, gt: np.ndarray, pred: np.ndarray, value: np.ndarray) -> np.ndarray:
+        """The rows of one image that are matched."""
+        _, r = np.unique(gt[part], return_inverse=True)
+        _, p = np.unique(pred[part], return_inverse=True)
+        n = max(r.max(), p.max()) + 1
         w = np.zeros((n, n))
-        r, p = np.searchsorted(np.sort(gts), pdf["gt_idx"]), np.searchsorted(np.sort(preds), pdf["pred_idx"])
-        w[r, p] = 100.0 + pdf["iou"]
-        to = assign(w)
-        return pdf[to[r] == p]
+        w[r, p] = 100.0 + value[part]
+        return part[assign(w)[r] == p]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []  # the last image of a batch may go on in the next one
+        for b in batches:
+            t = pa.Table.from_batches([*held, b]).combine_chunks()
+            if not len(t):
+                continue
+            keys = t[key].to_numpy(zero_copy_only=False)
+            last = int(np.flatnonzero(keys != keys[-1])[-1]) + 1 if (keys != keys[-1]).any() else 0
+            yield from matched(t.slice(0, last))
+            held = t.slice(last).to_batches()
+        if held:
+            yield from matched(pa.Table.from_batches(held))
+
+    def matched(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        if len(t):
+            keys, gt, pred, value = (t[c].to_numpy(zero_copy_only=False) for c in (key, "gt_idx", "pred_idx", "iou"))
+            cuts = np.flatnonzero(keys[1:] != keys[:-1]) + 1
+            rows = [solve(part, gt, pred, value) for part in np.split(np.arange(len(keys)), cuts)]
+            yield from t.take(pa.array(np.concatenate(rows))).combine_chunks().to_batches()
 
     # a pair whose boxes are in no other pair is matched; only the rest needs an assignment
     alone = (F.count("*").over(Window.partitionBy(key, "gt_idx")) == 1) & (F.count("*").over(Window.partitionBy(key, "pred_idx")) == 1)
     pairs = pairs.withColumn("_alone", alone)
     rest = pairs.where(~F.col("_alone")).drop("_alone")
-    return pairs.where("_alone").drop("_alone").unionByName(rest.groupBy(key).applyInPandas(run, rest.schema))
+    solved = rest.repartition(key).sortWithinPartitions(key).mapInArrow(run, rest.schema)
+    return pairs.where("_alone").drop("_alone").unionByName(solved)
 
 
 def detection_totals(truth: DataFrame, predicted: DataFrame, matches: DataFrame, *, key: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lumora.operators.audit import assign_split, conflicts, exact_duplicates, group_ids, grouped, hamming_links, keep_first, leaking_groups, promote, shared_key_links, unit_value
+from lumora.operators.audit import conflicts, exact_duplicates, group_ids, grouped, hamming_links, keep_first, leaking_groups, promote, shared_key_links
 from lumora.operators.graph import cycle_nodes
 from lumora.plans.base import derive, derive_sql, register, table
 
@@ -91,15 +91,10 @@ def _near(spark, d):
     return hamming_links(_fingerprints(spark, d), id_col="vec_id", bits_col="bits", distance=2, width=24)
 
 
-@register(QUERIES, f"WITH {_LINKS} SELECT u, v, distance FROM l WHERE distance > 0")
+@register(QUERIES, f"WITH {_FP}, o AS (SELECT bits, min(vec_id) AS rep FROM f GROUP BY bits) SELECT least(a.rep, b.rep) AS u, greatest(a.rep, b.rep) AS v, CAST(bit_count(xor(a.bits, b.bits)) AS INT) AS distance FROM o a JOIN o b ON a.bits < b.bits AND bit_count(xor(a.bits, b.bits)) <= 2 UNION ALL SELECT rep, vec_id, 0 FROM f JOIN o USING (bits) WHERE vec_id <> rep")
 def neardup_edges(spark, d):
-    """Pairs of different fingerprints; copies of a fingerprint are first drawn together, then expanded here."""
-    f = _fingerprints(spark, d)
-    one = f.groupBy("bits").agg(F.min("vec_id").alias("rep"))
-    member = f.join(one, "bits").select("vec_id", "rep")
-    near = _near(spark, d).where("distance > 0")
-    a, b = member.withColumnsRenamed({"vec_id": "x", "rep": "u"}), member.withColumnsRenamed({"vec_id": "y", "rep": "v"})
-    return near.join(a, "u").join(b, "v").select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v"), "distance")
+    """Pairs of different fingerprints, by the smallest id of each, and each copy's link to that id."""
+    return _near(spark, d)
 
 
 _ROOTS = f"{_LINKS}, both_ways AS (SELECT u, v FROM l UNION ALL SELECT v, u FROM l), reach(a, b) AS (SELECT vec_id, vec_id FROM f UNION SELECT reach.a, both_ways.v FROM reach JOIN both_ways ON reach.b = both_ways.u), roots AS (SELECT a AS vec_id, min(b) AS root FROM reach GROUP BY a)"
@@ -130,13 +125,6 @@ def group_names(spark, d):
     return group_ids(grouped(_fingerprints(spark, d), _near(spark, d), "vec_id"), "vec_id")
 
 
-@register(QUERIES, """WITH u AS (SELECT doc_id, CAST(('0x' || substr(sha256('7|' || doc_id), 1, 13)) AS BIGINT) / pow(2, 52) AS u FROM documents)
-SELECT doc_id, CASE WHEN u < 0.1 THEN 'dev' WHEN u < 0.2 THEN 'internal_test' ELSE 'train' END AS split FROM u""")
-def split_assignment(spark, d):
-    u = unit_value(F.lit("7"), F.col("doc_id").cast("string"))
-    return table(spark, d, "documents").select("doc_id", assign_split(u, {"train": 0.8, "dev": 0.1, "internal_test": 0.1}).alias("split"))
-
-
 @register(QUERIES, """WITH k AS (SELECT doc_id, 'source' AS k, source || ':' || n_chars AS x FROM documents UNION ALL SELECT doc_id, 'text', sha256(text) FROM documents WHERE text IS NOT NULL)
 SELECT DISTINCT u, v FROM (SELECT min(doc_id) OVER (PARTITION BY k, x) AS u, doc_id AS v FROM k) WHERE u <> v""")
 def shared_key_edges(spark, d):
@@ -204,13 +192,3 @@ def set_operations(spark, d):
     c, s = table(spark, d, "customer"), table(spark, d, "supplier")
     a = c.join(s.select(F.col("s_nationkey").alias("c_nationkey")), "c_nationkey", "left_semi").select("c_nationkey", "c_name")
     return a.intersect(c.where("c_acctbal > 5000").select("c_nationkey", "c_name")).subtract(c.where("c_mktsegment = 'BUILDING'").select("c_nationkey", "c_name"))
-
-
-@register(QUERIES, "SELECT b.item_id, count(d.doc_id) AS docs FROM benchmark b LEFT JOIN documents d ON contains(d.text, b.text) GROUP BY b.item_id HAVING count(d.doc_id) > 0 AND false")
-def exact_benchmark_rows(spark, d):
-    """Documents that are a benchmark item and nothing else: item_id, docs."""
-    b, docs = table(spark, d, "benchmark"), table(spark, d, "documents")
-    return b.select("item_id", F.sha2("text", 256).alias("h")).join(docs.select(F.sha2("text", 256).alias("h")), "h").groupBy("item_id").agg(F.count("*").alias("docs"))
-
-
-QUERIES["exact_benchmark_rows"] = (QUERIES["exact_benchmark_rows"][0], "SELECT item_id, count(*) AS docs FROM benchmark b JOIN documents d ON d.text = b.text GROUP BY item_id")

@@ -58,16 +58,6 @@ def sorted_turns(spark, d):
     return c.select("conv_id", F.array_join(F.transform("t", lambda x: x.cast("string")), ",").alias("turns"), F.size("t").cast("bigint").alias("n"))
 
 
-@register(QUERIES, """WITH r AS (SELECT doc_id AS id, CASE doc_id % 4 WHEN 0 THEN 'known_in_training' WHEN 1 THEN 'unexposed' WHEN 2 THEN 'development' ELSE 'training' END AS exposure, lang AS session, CASE WHEN n_chars % 3 > 0 THEN source END AS capture FROM documents)
-SELECT id, exposure = 'unexposed' AS protected_ok, exposure = 'unexposed' AND session IS NOT NULL AND capture IS NOT NULL AS holdout_ok, CASE exposure WHEN 'training' THEN 'train' WHEN 'known_in_training' THEN 'train' WHEN 'development' THEN 'dev' END AS forced FROM r""")
-def split_eligibility(spark, d):
-    m = F.col("doc_id") % 4
-    r = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.when(m == 0, "known_in_training").when(m == 1, "unexposed").when(m == 2, "development").otherwise("training").alias("exposure"), F.col("lang").alias("session"), F.when(F.col("n_chars") % 3 > 0, F.col("source")).alias("capture"))
-    new = F.col("exposure") == "unexposed"
-    forced = F.when(F.col("exposure").isin("training", "known_in_training"), "train").when(F.col("exposure") == "development", "dev")
-    return r.select("id", new.alias("protected_ok"), (new & F.col("session").isNotNull() & F.col("capture").isNotNull()).alias("holdout_ok"), forced.alias("forced"))
-
-
 @register(QUERIES, f"WITH {_BOXES}, o AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY l + r, anchor, l) AS n FROM boxes) SELECT image_id, string_agg(CAST(cls AS VARCHAR), '' ORDER BY n) AS row_text, count(*) AS n FROM o GROUP BY image_id")
 def physical_order(spark, d):
     """Classes of each image from left to right."""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lumora.functions.geometry import iou, letterbox, pixel_box, relative_size, rotated, unletterbox, windows, yolo_box, yuv_to_rgb
+from lumora.functions.geometry import iou, letterbox, pixel_box, relative_size, rotated, row_angle, unletterbox, windows, yolo_box, yuv_to_rgb
 from lumora.operators.detections import best_class, detection_totals, match_boxes, nms, usable_box
 from lumora.plans.base import BOX, derive, derive_sql, register, table
 
@@ -73,12 +73,19 @@ def yolo_boxes(spark, d):
     return _images(spark, d).select("id", o.alias("o")).select("id", F.round("o.cx", 9).alias("cx"), F.round("o.cy", 9).alias("cy"), F.round("o.w", 9).alias("bw"), F.round("o.h", 9).alias("bh"))
 
 
-@register(QUERIES, f"""WITH i AS ({derive_sql('part', _IMG)}), s AS (SELECT id, width, CAST(least(width, ceil(height * 2.0::DOUBLE)) AS INT) AS size FROM i),
-p AS (SELECT *, greatest(1, CAST(floor(size * 0.8::DOUBLE) AS INT)) AS step, width - size AS last FROM s)
-SELECT id, size, CASE WHEN last <= 0 THEN '0' ELSE array_to_string(list_distinct(list_append(list_filter(range(0, last + 1, step), lambda v: v < last), last)).list_sort(), ',') END AS lefts FROM p""")
+# Every other image is upright.
+_UPRIGHT = f"i AS (SELECT id, CASE WHEN id % 2 = 0 THEN width ELSE height END AS width, CASE WHEN id % 2 = 0 THEN height ELSE width END AS height FROM ({derive_sql('part', _IMG)}))"
+
+
+@register(QUERIES, f"""WITH {_UPRIGHT}, s AS (SELECT *, greatest(width, height) AS ls, least(width, height) AS ss FROM i), z AS (SELECT *, CAST(least(ls, greatest(1, floor(ss * 2.0::DOUBLE + 0.5::DOUBLE))) AS INT) AS size FROM s),
+p AS (SELECT *, CAST(greatest(1, floor(size * 0.8::DOUBLE + 0.5::DOUBLE)) AS INT) AS step, ls - size AS last FROM z),
+q AS (SELECT *, CASE WHEN ls <= ss * 2 THEN [0] ELSE list_sort(list_distinct(list_append(list_transform(range(last // step + 1), lambda k: CAST(k * step AS INT)), last))) END AS starts FROM p)
+SELECT id, array_to_string(list_transform(starts, lambda v: CASE WHEN ls <= ss * 2 THEN '0,0,' || width || ',' || height WHEN width > height THEN v || ',0,' || size || ',' || height ELSE '0,' || v || ',' || width || ',' || size END), ';') AS windows FROM q""")
 def inference_windows(spark, d):
-    o = windows(F.col("width"), F.col("height"))
-    return _images(spark, d).select("id", o.alias("o")).select("id", "o.size", F.array_join(F.transform(F.array_sort("o.lefts"), lambda x: x.cast("string")), ",").alias("lefts"))
+    side = lambda a, b: F.when(F.col("id") % 2 == 0, F.col(a)).otherwise(F.col(b))
+    rows = _images(spark, d).select("id", side("width", "height").alias("w"), side("height", "width").alias("h"))
+    text = F.transform(windows(F.col("w"), F.col("h")), lambda o: F.concat_ws(",", *[o[k].cast("string") for k in "xywh"]))
+    return rows.select("id", F.array_join(text, ";").alias("windows"))
 
 
 @register(QUERIES, f"""WITH i AS ({derive_sql('part', _IMG)}), k AS (SELECT *, CAST(id % 4 * 90 AS INT) AS deg, CAST(id % 10 AS INT) AS px, CAST(id % 7 AS INT) AS py, CAST(id % 256 AS INT) AS yy, CAST(id * 3 % 256 AS INT) AS uu, CAST(id * 5 % 256 AS INT) AS vv FROM i)
@@ -114,9 +121,9 @@ def decode_argmax(spark, d):
     return rows.select("vec_id", F.round(top, 6).alias("confidence"), cls.alias("cls"), (top >= 0.25).alias("kept"))
 
 
-def _nms_sql(over: str, most: int, order: str) -> str:
+def _nms_sql(over: str, most: int, order: str, boxes: str = _BOXES) -> str:
     return f"""
-WITH RECURSIVE {_BOXES}, o AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY conf DESC, anchor, cls, l) AS n FROM boxes),
+WITH RECURSIVE {boxes}, o AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY conf DESC, anchor, cls, l) AS n FROM boxes),
 f AS (
   SELECT image_id, 1 AS n, [struct_pack(anchor := anchor, cls := cls, conf := conf, l := l, t := t, r := r, b := b)] AS kept FROM o WHERE n = 1
   UNION ALL
@@ -178,14 +185,22 @@ def multiset_overlap(spark, d):
     return counts.groupBy("image_id").agg(s.alias("shared"), (F.sum("b") - s).alias("extra"), (F.sum("a") - s).alias("missed"), (F.sum(F.abs(F.col("a") - F.col("b"))) == 0).alias("equal"))
 
 
-@register(QUERIES, f"""WITH {_BOXES}, p AS (SELECT a.image_id, degrees(atan(((b.t + b.b) - (a.t + a.b)) / ((b.l + b.r) - (a.l + a.r)))) AS slope FROM boxes a JOIN boxes b ON a.image_id = b.image_id AND (b.l + b.r) - (a.l + a.r) >= 0.2)
-SELECT image_id, count(*) AS pairs, round(quantile_cont(slope, 0.5), 5) + 0.0 AS angle FROM p GROUP BY image_id""")
+# Boxes of an image as a row that is turned: the height of a box follows its place; the image is 1000 x 600.
+_ROW = f"""r0 AS (SELECT DISTINCT image_id, anchor, (l + r) / 2 AS cx, b - t AS h, (t + b) / 2 AS cy FROM ({derive_sql('lineitem', BOX)})),
+r1 AS (SELECT image_id, anchor, 500.0::DOUBLE + (cx - 0.5::DOUBLE) * 3000 AS x, 300.0::DOUBLE + (cx - 0.5::DOUBLE) * 3000 * (image_id % 9 - 4) / 10 + (cy - 0.5::DOUBLE) * 6 * (image_id % 40) AS y, h * 600 AS h FROM r0)"""
+
+
+@register(QUERIES, f"""WITH {_ROW}, p AS (SELECT a.image_id, quantile_cont((b.y - a.y) / (b.x - a.x), 0.5) AS slope FROM r1 a JOIN r1 b ON a.image_id = b.image_id AND b.x - a.x >= 200 GROUP BY a.image_id),
+o AS (SELECT r1.image_id, any_value(slope) AS slope, quantile_cont(y - slope * x, 0.5) AS offs, quantile_cont(h, 0.5) AS tall, count(*) AS n FROM r1 LEFT JOIN p ON r1.image_id = p.image_id GROUP BY r1.image_id),
+z AS (SELECT r1.image_id, any_value(o.slope) AS slope, any_value(o.n) AS n, quantile_cont(abs(y - o.slope * x - offs), 0.5) <= any_value(tall) * 0.25 AS fine FROM r1 JOIN o ON r1.image_id = o.image_id GROUP BY r1.image_id)
+SELECT image_id, CASE WHEN n >= 5 AND fine AND abs(degrees(atan(slope))) BETWEEN 2 AND 20 THEN round(degrees(atan(slope)), 6) ELSE 0.0 END AS angle FROM z""")
 def row_angles(spark, d):
-    a, b = _boxes(spark, d).alias("a"), _boxes(spark, d).alias("b")
-    dx = (F.col("b.l") + F.col("b.r")) - (F.col("a.l") + F.col("a.r"))
-    dy = (F.col("b.t") + F.col("b.b")) - (F.col("a.t") + F.col("a.b"))
-    pairs = a.join(b, (F.col("a.image_id") == F.col("b.image_id")) & (dx >= 0.2)).select("a.image_id", F.degrees(F.atan(dy / dx)).alias("slope"))
-    return pairs.groupBy("image_id").agg(F.count("*").alias("pairs"), (F.round(F.expr("percentile(slope, 0.5D)"), 5) + 0.0).alias("angle"))
+    c = F.col
+    place = (c("l") + c("r")) / 2 - 0.5
+    y = 300.0 + place * 3000 * (c("image_id") % 9 - 4) / 10 + ((c("t") + c("b")) / 2 - 0.5) * 6 * (c("image_id") % 40)
+    rows = _boxes(spark, d).select("image_id", "anchor", ((500.0 + place * 3000) / 1000).alias("cx"), (y / 600).alias("cy"), (c("b") - c("t")).alias("h"))
+    box = F.struct(c("cx").alias("l"), (c("cy") - c("h") / 2).alias("t"), c("cx").alias("r"), (c("cy") + c("h") / 2).alias("b"))
+    return rows.groupBy("image_id").agg(F.collect_list(box).alias("boxes")).select("image_id", F.round(row_angle(c("boxes"), F.lit(1000.0), F.lit(600.0)), 6).alias("angle"))
 
 
 @register(QUERIES, "SELECT vec_id, list_sum(list_transform(range(16), lambda i: CASE WHEN embedding[i + 1] > embedding[i + 2] THEN 1 << (15 - i) ELSE 0 END))::BIGINT AS dhash FROM embeddings")
