@@ -21,9 +21,13 @@ Steps, each over all documents:
    components these links give, all that are left. Nothing is capped, and pairs inside a component need no check.
 
 Nulls and odd rows: a null or empty text, or one without words, has an empty set and links with nothing. A text
-with fewer words than a shingle has its whole sequence as its one shingle. Rows with a null id take no part and
-get a null component. Rows may repeat. An id with different texts is one node: it links its groups of equal
-texts; for links between unequal sets one of its texts stands for it. Extra columns are ignored.
+with fewer than ``k`` words has its whole sequence as its one shingle. Rows with a null id link with nothing and
+get a null component. Rows may repeat. An id with different texts is one document: each of its texts is compared as a node
+of its own, under a number from 2**62 on, and linked with the id; ids are taken to be less than that. Very long texts are
+blocks of their own. An empty table gives an empty result. Extra columns are ignored.
+
+What rests on hashes: a shingle is 64 bits and a set's signature 128 bits, so two different shingles or sets are taken for one with
+a chance of 2**-64 or 2**-128 a pair; nothing else can make a result differ from the exact one.
 """
 
 from __future__ import annotations
@@ -36,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumora.llm.common import batch_rows, cut, long_batches, mix, n_shuffle, small_batches, text_blocks
+from lumora.llm.common import BROADCAST_IDS, batch_rows, cut, long_batches, mix, release_after, n_shuffle, small_batches, text_blocks
 from lumora.llm.components import components
 from lumora.llm.shingles import shingle_sets
 
@@ -48,7 +52,7 @@ NARROW_ROWS = 50_000
 _BLOCK_MEMBERS = 512
 _PAIRS_A_TASK = 512
 _SALTS = 16
-#: Bits of the Bloom filter: 16 for each id, between these bounds. A full filter lets more sets through; results stay.
+#: Bits of the Bloom filter: 16 for each id, between these bounds. For more ids the texts are joined with them by a shuffle.
 _BLOOM = (1 << 16, 1 << 27)
 
 _PAIR = "a bigint, b bigint, na int, nb int"
@@ -78,7 +82,7 @@ def _signatures(docs: DataFrame, k: int) -> DataFrame:
         none = [pa.nulls(_CHUNKS, t) for t in (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary())]
         yield pa.record_batch([*none, pa.array(range(_CHUNKS), pa.int32()), pa.array(parts, pa.binary())], schema=out_schema)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(release_after(run), schema)
 
 
 def _sum_sketches(rows: DataFrame) -> np.ndarray:
@@ -137,7 +141,7 @@ def _prefixes(docs: DataFrame, k: int, num: int, den: int, sketch: np.ndarray) -
             if cols[0]:
                 yield pa.record_batch([pa.array(np.concatenate(c)) for c in cols], names=["h", "id", "n", "pos"])
 
-    return docs.mapInArrow(run, "h bigint, id bigint, n int, pos int")
+    return docs.mapInArrow(release_after(run), "h bigint, id bigint, n int, pos int")
 
 
 def _filters(na: np.ndarray, pa_: np.ndarray, nb: np.ndarray, pb: np.ndarray, num: int, den: int) -> np.ndarray:
@@ -266,22 +270,22 @@ def _bloom_bits(ids: np.ndarray, bits: int) -> list[np.ndarray]:
     return [((x >> np.uint64(s)) & np.uint64(bits - 1)).astype(np.int64) for s in (0, 32)]
 
 
-def _sets(docs: DataFrame, k: int, bloom: np.ndarray) -> DataFrame:
-    """Sets of the documents whose ids the filter holds."""
-    held, bits = docs.sparkSession.sparkContext.broadcast(bloom), 8 * len(bloom)
+def _sets(docs: DataFrame, k: int, bloom: np.ndarray | None) -> DataFrame:
+    """Sets of the documents whose ids the filter holds, or of all without one."""
+    held, bits = docs.sparkSession.sparkContext.broadcast(bloom), 8 * len(bloom) if bloom is not None else 0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids = b.column(0).to_numpy()
             on = np.ones(len(ids), bool)
-            for at in _bloom_bits(ids, bits):
+            for at in _bloom_bits(ids, bits) if bits else ():
                 on &= (held.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
             some = b.filter(pa.array(on))
             if len(some):
                 sets = [s.tobytes() for _, d, o in text_blocks(some.column(1)) for s in shingle_sets(d, o, k)]
                 yield pa.record_batch([some.column(0), pa.array(sets, pa.binary())], names=["id", "shingles"])
 
-    return docs.mapInArrow(run, "id bigint, shingles binary")
+    return docs.mapInArrow(release_after(run), "id bigint, shingles binary")
 
 
 def _verify(pairs: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
@@ -290,8 +294,12 @@ def _verify(pairs: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> Da
     n = pairs.count()
     if not n:
         return spark.createDataFrame([], "u bigint, v bigint")
-    with batch_rows(spark, NARROW_ROWS):
-        bloom = _bloom(pairs.select("a", "b"), 2 * n)
+    if 32 * n <= _BLOOM[1]:
+        with batch_rows(spark, NARROW_ROWS):
+            bloom = _bloom(pairs.select("a", "b"), 2 * n)
+    else:
+        ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+        docs, bloom = docs.join(ids, "id", "left_semi").select("id", "text"), None
     with batch_rows(spark, 256):
         sets = cut(_sets(docs, k, bloom), "sets")
     many = pairs.groupBy("a").agg(F.count("*").alias("_c")).where(F.col("_c") > _PAIRS_A_TASK).withColumn("_salts", F.ceil(F.col("_c") / _PAIRS_A_TASK).cast("int"))
@@ -379,11 +387,25 @@ def _later_pairs(large: DataFrame, profiles: DataFrame, roots: DataFrame, num: i
     return dealt.mapInArrow(run, _PAIR)
 
 
+def _one_text_each(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Documents whose ids have one text each, and, where an id has several, what numbers ``u`` its texts ``v`` have."""
+    h = F.xxhash64("id", F.coalesce("text", F.lit("")))
+    odd = cut(docs.where("id IS NOT NULL").groupBy("id").agg(F.min(h).alias("_lo"), F.max(h).alias("_hi")).where("_lo != _hi").select("id"), "odd-ids")
+    n = odd.count()
+    if not n:
+        return docs, None
+    marked = docs.join((F.broadcast if n <= BROADCAST_IDS else lambda x: x)(odd.withColumn("_odd", F.lit(True))), "id", "left")
+    number = F.when(F.col("_odd"), h.bitwiseAND(F.lit(2**62 - 1)) + F.lit(2**62)).otherwise(F.col("id"))
+    texts_of = cut(marked.where("_odd").select(number.alias("u"), F.col("id").alias("v")).distinct(), "texts-of-ids")
+    return marked.select(number.alias("id"), "text"), texts_of
+
+
 def link_documents(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 4, num: int = 85, den: int = 100) -> DataFrame:
     """One row for each row of ``documents``: its id, n_shingles and component_id, the smallest id that links reach."""
     spark = documents.sparkSession
     small_batches(spark)
     docs = documents.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
+    docs, texts_of = _one_text_each(docs)
     known = docs.where("id IS NOT NULL")
     table = cut(_signatures(docs, k), "signatures")
     signatures = table.where("chunk IS NULL").select("id", "n", "s1", "s2", "profile")
@@ -406,14 +428,13 @@ def link_documents(documents: DataFrame, *, id_col: str = "doc_id", text_col: st
             later = cut(later.join(pairs.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
         links = links.unionByName(_verify(later, known, k, num, den))
         pairs = pairs.unionByName(later)
-    roots = components(links)
-    # an id with different texts is in several groups: these are linked by the id
-    odd = members.groupBy("id").agg(F.count("*").alias("c")).where("c > 1").select("id").unionByName(members.select("id").join(members.select(F.col("rep").alias("id")), "id", "left_semi"))
-    if odd.limit(1).count():
-        roots = components(links.unionByName(members.select(F.col("id").alias("u"), F.col("rep").alias("v"))))
-        rooted = signatures.select("id", "n").join(roots.withColumnRenamed("u", "id"), "id", "left").withColumn("c", F.coalesce("root", "id"))
-    else:
+    if texts_of is None:
+        roots = components(links)
         own = members.join(roots.withColumnRenamed("u", "rep"), "rep", "left").select("id", F.coalesce("root", "rep").alias("c"))
         all_roots = own.unionByName(roots.join(members.select(F.col("id").alias("u")), "u", "left_anti").select(F.col("u").alias("id"), F.col("root").alias("c")))
         rooted = signatures.select("id", "n").join(all_roots, "id", "left").withColumn("c", F.coalesce("c", "id"))
+    else:  # nodes of the same id are linked by it
+        roots = components(links.unionByName(members.select(F.col("id").alias("u"), F.col("rep").alias("v"))).unionByName(texts_of.select("u", "v")))
+        rooted = signatures.select("id", "n").join(roots.withColumnRenamed("u", "id"), "id", "left").withColumn("c", F.coalesce("root", "id"))
+        rooted = rooted.join(texts_of.withColumnRenamed("u", "id"), "id", "left").select(F.coalesce("v", "id").alias("id"), "n", "c")
     return rooted.select(F.col("id").alias(id_col), F.col("n").cast("bigint").alias("n_shingles"), F.col("c").alias("component_id"))

@@ -3,6 +3,7 @@ from __future__ import annotations
 import collections
 import hashlib
 import itertools
+import os
 import random
 import re
 
@@ -11,20 +12,22 @@ import pytest
 from pyspark.sql import functions as F
 
 from lumora.llm import jaccard, warc
-from lumora.llm.ann import search
+from lumora.llm.ann import BlockIndex, search
 from lumora.llm.automaton import Lexicon, compile_lexicon
 from lumora.llm.bpe import Tokenizer, build_lexicon, decode, encode
-from lumora.llm.common import drop_ids, fold
+from lumora.llm.common import drop_ids, fold, row_key, thinned
 from lumora.llm.components import components
 from lumora.llm.decontaminate import find_leaks
+from lumora.llm.grams import Grams
 from lumora.llm.language import fit_language, predict_language
 from lumora.llm.lattice import Lattice
-from lumora.llm.lm import Vocabulary, score_texts, tokens
-from lumora.llm.quality import fit_quality, score_quality
-from lumora.llm.queries import tokenizer_path
+from lumora.llm.lm import Vocabulary, mixed, score_texts, token_mass, tokens
+from lumora.llm.quality import _fit as quality_fit
+from lumora.llm.quality import bound_prior, fit_quality, pu_risk, score_quality
+from lumora.llm.queries import oracle_sql, queries, tokenizer_path
 from lumora.llm.shingles import shingle_sets
 from lumora.llm.toxicity import fit_toxicity, score_toxicity
-from lumora.llm.urls import Rule, fit_urls, judge_urls
+from lumora.llm.urls import Markov, Rule, fit_urls, judge_urls
 
 DOC = "doc_id bigint, text string, lang string, score double, _id string"
 WORDS = "the of and to in is that for it with as was on are by this be at from or have an they which one you were all her she there would their we him been has when who will no more if out so said what up its about into than them can only other new some could time these two may then do first any my now such like our over man me even most made after also did many before must through back years where much your way well down should because each just those people mr how too little state good very make world still own see men work long get here between both life being under never day same another know while last might us great old year off come since against go came right used take three".split()
@@ -58,12 +61,93 @@ def test_toxicity(spark):
     held = [i for i, _, _ in rows if __import__("zlib").crc32(str(i).encode()) % 5 == 0]
     assert held and all((got[i] >= 0.5) == (i % 3 == 0) for i in held)
     assert got[9001] == got[9002]
-    assert {r["score"] for r in score_toxicity(docs, fit_toxicity(docs, empty(labels), bits=16)).collect()} < {x for x in np.linspace(0, 1e-6, 3)} | {r["score"] for r in score_toxicity(docs, fit_toxicity(docs, empty(labels), bits=16)).collect()}
+    assert max(r["score"] for r in score_toxicity(docs, fit_toxicity(docs, empty(labels), bits=16)).collect()) < 1e-6
     assert score_toxicity(empty(docs), model).count() == 0
     assert score_toxicity(docs, model, keep=tuple(docs.columns), score_col="_t").columns == [*docs.columns, "_t"]
 
 
+def test_toxicity_against_brute_force(spark):
+    """Ratios and objective of the fit, from sets of n-grams counted here."""
+    rnd = random.Random(71)
+    rows = [(i, text(rnd, rnd.randint(1, 30)) + (" scum" if i % 4 == 0 else ""), "en") for i in range(120)]
+    docs, y = docs_of(spark, rows + rows[:40]), np.array([float(i % 4 == 0) for i, _, _ in rows])  # a third repeats
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i, _, _ in rows], "doc_id bigint, toxic int")
+    grams = Grams((3, 4), 16)
+    sets = [set(grams.ids(t).tolist()) for _, t, _ in rows]
+    assert sets[0] == {int(h) for part in grams._buckets(rows[0][1]) for h in part}
+    n1, n0 = y.sum(), len(y) - y.sum()
+    c = {y_: collections.Counter(g for s, v in zip(sets, y, strict=True) if v == y_ for g in s) for y_ in (0.0, 1.0)}
+    ratio = {g: np.log((c[1.0][g] + 1) / (n1 + 2)) - np.log((c[0.0][g] + 1) / (n0 + 2)) for g in c[0.0] | c[1.0]}
+    ratio = {g: r for g, r in ratio.items() if abs(r) >= 0.25 and c[0.0][g] + c[1.0][g] >= 4}
+    model = fit_toxicity(docs, labels, orders=(3, 4), bits=16)
+    assert model.info["features"] == len(ratio) and model.info["rows"] == 120 and not set(np.flatnonzero(model.weights)) - set(ratio)
+    weight = np.where(y == 1, 0.5 / n1, 0.5 / n0)
+
+    def loss(w, bias):
+        z = np.array([bias + sum(w[g] * ratio[g] for g in s if g in ratio) for s in sets])
+        return (weight * (np.logaddexp(0, z) - y * z)).sum() + 0.5 * 3e-3 * sum(v * v for v in w.values())
+
+    w = {g: model.weights[g] / ratio[g] for g in ratio}
+    best = loss(w, model.bias)
+    for g in rnd.sample(sorted(ratio), 30):  # no step makes it better
+        for step in (0.05, -0.05):
+            assert loss(w | {g: w[g] + step}, model.bias) > best - 1e-6
+    bound = fit_toxicity(docs, labels, orders=(3, 4), bits=16, per_class=10)
+    assert bound.info["rows"] == 20
+
+
+def test_kept_columns_may_not_clash(spark):
+    docs = docs_of(spark, ODD)
+    model = fit_toxicity(docs, empty(spark.createDataFrame([(1, 1)], "doc_id bigint, toxic int")), bits=12)
+    for run in (lambda: score_toxicity(docs, model, keep=("doc_id", "score")), lambda: predict_language(docs, fit_language(empty(docs), bits=10), keep=("score",)), lambda: score_quality(docs, fit_quality(empty(docs), empty(spark.createDataFrame([(1, 1)], "doc_id bigint, quality int"))), keep=("score",)),
+                lambda: score_texts(docs, Vocabulary.load(tokenizer_path("piece_bpe_32k.model")), train=F.lit(True), keep=("score",))):
+        with pytest.raises(ValueError):
+            run()
+
+
+def test_samples_are_bounded(spark):
+    """Rows without an id, and rows that repeat, are sampled like others."""
+    rows = [(None, f"text {i % 700}", "en") for i in range(3000)] + [(1, "one text", "en")] * 3000
+    df = docs_of(spark, rows)
+    got = thinned(df, row_key("doc_id", "text"), 50, df.count(), "text").count()
+    assert 0 < got <= 1.3 * 50 + 100 + 40
+    assert thinned(df, row_key("doc_id", "text"), 10**6, df.count(), "text").count() == 701
+
+
 # 3 language
+def test_kernel_against_brute_force(spark):
+    """The score of a text is that of a kernel ridge regression on presence kernels."""
+    rnd = random.Random(72)
+    parts = {"aa": "kar tol min vesh".split(), "bb": "oui lune croix fleur".split()}
+    rows = [(i, text(rnd, rnd.randint(1, 12), parts[k]), k) for i, k in enumerate(list(parts) * 15)]
+    docs = docs_of(spark, rows)
+    model = fit_language(docs, bits=15, landmarks_per_lang=99, orders=(1, 2))
+    assert model.landmarks.shape[1] == len({t for _, t, _ in rows}) or model.landmarks.shape[1] == 30
+    grams = {i: {t.lower()[j : j + n] for n in (1, 2) for j in range(len(t) - n + 1)} for i, t, _ in rows}
+
+    def kernel(a, b):
+        return len(a & b) / np.sqrt(max(1, len(a)) * max(1, len(b)))
+
+    # every learned text is a landmark, so the regression is the exact one with an intercept
+    ids = [i for i, _, _ in rows]
+    k = np.array([[kernel(grams[a], grams[b]) for b in ids] for a in ids])
+    y = np.array([1.0 if lang == "aa" else -1.0 for _, _, lang in rows])
+    ones = np.ones((len(ids), 1))
+    values, vectors = np.linalg.eigh(k + 1e-6 * np.eye(len(ids)))
+    phi = np.hstack([k @ (vectors / np.sqrt(np.maximum(values, 1e-6))), ones])
+    w = np.linalg.solve(phi.T @ phi + 1e-2 * np.eye(phi.shape[1]), phi.T @ y)
+    want = phi @ w
+    got = {r["doc_id"]: r for r in predict_language(docs, model).collect()}
+    for i, f in zip(ids, want, strict=True):
+        assert got[i]["lang_pred"] == ("aa" if f > 0 else "bb") and abs(got[i]["score"] - min(1.0, (abs(f) + 1) / 2)) < 0.02
+
+
+def test_languages_are_bounded(spark):
+    docs = docs_of(spark, [(i, f"{k} word{k} more{k} {i}", k) for i, k in enumerate([f"l{j:02d}" for j in range(9)] * 6)] + [(999, "rare", "zz")])
+    model = fit_language(docs, bits=12, most_langs=5, most_rows=20, most_landmarks=10)
+    assert model.langs == [f"l{j:02d}" for j in range(5)] and model.landmarks.shape == (1 << 12, 10)
+
+
 def test_language(spark):
     rnd = random.Random(2)
     parts = {"aa": "kar tol min vesh".split(), "bb": "oui lune croix fleur".split(), "cc": "stra gelb wurz hof".split()}
@@ -97,6 +181,26 @@ def test_language_stage_rejects_the_unlearned(spark, tmp_path):
 
 
 # 4 quality
+def test_risk_and_prior_by_hand():
+    rng = np.random.default_rng(5)
+    zp, zu = rng.normal(1, 1, 50), rng.normal(0, 1, 80)
+    plus, minus = pu_risk(zp, np.logaddexp(0, zu).mean(), 0.4)
+    assert np.isclose(plus, 0.4 * np.mean([np.log(1 + np.exp(-z)) for z in zp])) and np.isclose(minus, np.mean([np.log(1 + np.exp(z)) for z in zu]) - 0.4 * np.mean([np.log(1 + np.exp(z)) for z in zp]))
+    # positives have bin 0 mostly, negatives bin 1; 70 % of the unlabelled are positives
+    pos, unl = (np.arange(400) % 20 == 0).astype(int)[:, None], np.concatenate([np.arange(700) % 20 == 0, np.arange(300) % 20 > 0]).astype(int)[:, None]
+    share = lambda x: np.array([1.0, (x[:, 0] == 0).mean()])
+    assert abs(bound_prior(share(pos), share(unl), 400, 1000) - 0.7) < 0.05
+    w = quality_fit(pos, unl, 2, 0.7, 1e-5, 600)
+    p1, u1 = pos.mean(), unl.mean()
+
+    def risk(w):
+        z = w[:2] + w[2]
+        loss = lambda share, s: (1 - share) * np.logaddexp(0, s * z[0]) + share * np.logaddexp(0, s * z[1])
+        return 0.7 * loss(p1, -1) + max(0.0, loss(u1, 1) - 0.7 * loss(p1, 1))
+
+    assert risk(w) <= min(risk(np.array([a, b, 0.0])) for a in np.linspace(-6, 6, 61) for b in np.linspace(-6, 6, 61)) + 0.02
+
+
 def test_quality(spark):
     rnd = random.Random(3)
     good = [(i, ". ".join(text(rnd, 12).capitalize() for _ in range(6)) + ".", "en") for i in range(300)]
@@ -140,7 +244,33 @@ def test_neighbours(spark):
     assert search(empty(df), F.col("_id") % 20 == 0).count() == 0
 
 
+def test_neighbours_are_pruned():
+    """Of uniform vectors, the hardest ones, a query verifies a part only, with the recall asked for."""
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((20_000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    index, ids, hits = BlockIndex(x, 1.0, 96, 7), np.arange(len(x)), 0
+    for q in range(0, 400, 20):
+        rows, dots = index.search(x[q], 20, np.array([q]), ids, width=3.6, threshold=86, start=0.7, factor=1.05)
+        s = x @ x[q]
+        s[q] = -np.inf
+        hits += len(set(rows.tolist()) & set(np.argsort(-s)[:20].tolist()))
+        assert np.allclose(dots, s[rows]) and (np.diff(dots) <= 0).all()
+    assert hits / 400 >= 0.9 and index.verified / (20 * len(x)) < 0.35
+
+
 # 5 decontamination
+def test_leaks_of_repeated_ids(spark):
+    """An id's rows are searched each, whatever their order, and an item's id may have several texts; ids may be null."""
+    rnd = random.Random(51)
+    one, two = text(rnd, 20), text(rnd, 25)
+    bench = spark.createDataFrame([(1, one, 0), (1, two, 0), (None, "some very short item", 0)], "item_id bigint, text string, _item int")
+    rows = [(7, f"{text(rnd, 30)} {one}", "en"), (7, text(rnd, 50), "en"), (8, two, "en"), (None, f"x {one}", "en"), (None, text(rnd, 40), "en"), (9, "some very short item", "en")]
+    for kw in ({}, {"broadcast_rows": 1}):
+        for order in (rows, rows[::-1], rows * 2):
+            assert sorted((r["doc_id"] or 0, r["item_id"] or 0) for r in find_leaks(docs_of(spark, order), bench, **kw).collect()) == [(0, 1), (7, 1), (8, 1), (9, 0)]
+
+
 def test_leaks(spark):
     rnd = random.Random(5)
     items = [(i, text(rnd, rnd.randint(15, 50))) for i in range(20)] + [(50, "three word item"), (51, None), (52, ""), (53, "...")]
@@ -250,6 +380,52 @@ def test_lattice_sums_all_segmentations():
     assert abs(short - long) < 1e-9
 
 
+def test_token_probabilities_sum_to_one():
+    """Over all words of a closed alphabet, with the mark of a word's start inside a word too."""
+    pieces = ["", "▁", "a", "b", "ab", "▁a", "ba", "▁b"]
+    p = np.array([0.2, 0.1, 0.06, 0.05, 0.04, 0.3, 0.05, 0.2])
+    vocab = Vocabulary(pieces + [""] * 256, np.log(np.append(p, np.full(256, 1e-300))), np.arange(8, 264), 0)
+    lattice = Lattice(vocab.pieces, vocab.logp, vocab.bytes_at)
+    words = ["".join(w) for n in range(1, 13) for w in itertools.product("ab", repeat=n)]
+    total = (np.exp(lattice.log_prob([w.encode() for w in words])).sum() + p[0]) / token_mass(vocab)
+    assert 0.999 < total <= 1 + 1e-12
+    inner = lattice.log_prob(["a▁b".encode()])[0]
+    assert inner < -600  # bytes alone: no segmentation crosses into another word
+    # the mixture with seen words
+    c = np.array([5, 1, 3, 0])
+    sub = np.log10([0.1, 0.2, 0.05, 0.3])
+    got = 10 ** mixed(c, 9, 3, sub, 0.5)
+    assert np.allclose(got, [(x - 0.5) / 9 * (x > 0) + 0.5 * 3 / 9 * y for x, y in zip(c, 10**sub, strict=True)])
+    assert (mixed(c, 0, 0, sub, 0.5) == sub).all()
+
+
+def test_lm_score_by_hand(spark):
+    """``score`` from counts, the pieces' values and the fitted discount."""
+    rnd = random.Random(81)
+    rows = [(i, text(rnd, rnd.randint(0, 30), WORDS[:60]) + f" only{i}", "en") for i in range(80)]
+    docs = docs_of(spark, rows)
+    vocab = Vocabulary.load(tokenizer_path("piece_bpe_32k.model"))
+    counts = collections.Counter(w for i, t, _ in rows if __import__("zlib").crc32(str(i).encode()) % 10 for w in [*tokens(t), b""])
+    n, v = sum(counts.values()), len(counts)
+    got = {}
+    for frequent in (0, 20, 10000):
+        for r in score_texts(docs, vocab, train=fold("doc_id", 10) != 0, frequent=frequent, discount=0.6).collect():
+            got.setdefault(r["doc_id"], []).append(r)
+    # tokens' lattice values, from documents of one word
+    words = sorted({w for _, t, _ in rows for w in tokens(t)})
+    single = {r["doc_id"]: r["lattice_score"] for r in score_texts(docs.unionByName(docs_of(spark, [(1000 + i, w.decode(), "x") for i, w in enumerate(words)])), vocab, train=(fold("doc_id", 10) != 0) & (F.col("doc_id") < 1000)).where("doc_id >= 1000").collect()}
+    end = [r for r in score_texts(docs.unionByName(docs_of(spark, [(5000, "", "x")])), vocab, train=(fold("doc_id", 10) != 0) & (F.col("doc_id") < 1000)).where("doc_id = 5000").collect()][0]["lattice_score"]
+    sub = {w: single[1000 + i] - end for i, w in enumerate(words)} | {b"": end}
+    for i, t, _ in rows:
+        want = sum(np.log10(max(counts[w] - 0.6, 0) / n + 0.6 * v / n * 10 ** sub[w]) for w in [*tokens(t), b""])
+        assert all(abs(r["score"] - want) < 1e-6 * abs(want) for r in got[i]) and len(got[i]) == 3
+    # without training texts the pieces alone score, however unlikely the word is
+    long = docs_of(spark, [(1, "q" * 400, "en")])
+    for frequent in (0, 10):
+        r = score_texts(long, vocab, train=F.lit(False), frequent=frequent).first()
+        assert r["score"] == r["lattice_score"] < -300 and r["base_score"] == 0
+
+
 def test_lm_scores(spark):
     rnd = random.Random(8)
     rows = [(i, text(rnd, 40), "en") for i in range(100)] + ODD[:5] + ODD[6:] + [(3, "The SAME id again", "en")]
@@ -332,6 +508,27 @@ def test_shingles_of_parts():
     assert len(shingle_sets(long, np.array([0, len(long)]), 4)[0]) == 1
 
 
+def test_words_that_a_polynomial_takes_for_one(spark):
+    """Thue-Morse words and their complements have equal polynomial hashes modulo 2**64 for any odd base."""
+    bits = "a"
+    while len(bits) < 4096:
+        bits += bits.translate(str.maketrans("ab", "ba"))
+    words = [(bits[:n], bits[:n].translate(str.maketrans("ab", "ba"))) for n in (1024, 2048, 4096)]
+    a, b = (" ".join(["x", *[w[i] for w in words]]) for i in (0, 1))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.link_documents(spark.createDataFrame([(1, a), (2, b), (3, f"{a} {b}")], "doc_id bigint, text string")).collect()}
+    assert got == {1: (1, 1), 2: (1, 2), 3: (5, 3)}
+
+
+def test_jaccard_ids_with_several_texts(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "_BLOOM", (1 << 16, 1))  # always the join
+    rnd = random.Random(91)
+    a, b = (text(rnd, 60).split() for _ in range(2))
+    rows = [(5, " ".join(a)), (5, " ".join(b)), (9, " ".join([*a[:30], "other", *a[31:]])), (2, " ".join([*b[:20], "else", *b[21:]])), (7, text(rnd, 60)), (5, None), (8, "")]
+    for order in (rows, rows[::-1]):
+        got = {(r["doc_id"], r["component_id"]) for r in jaccard.link_documents(spark.createDataFrame(order, "doc_id bigint, text string"), k=2, num=70).collect()}
+        assert got == {(5, 2), (9, 2), (2, 2), (7, 7), (8, 8)}
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(60)] + [(100, 101), (102, 101)]
     got = {r["u"]: r["root"] for r in components(spark.createDataFrame(chain, "u bigint, v bigint")).collect()}
@@ -359,7 +556,72 @@ def test_warc(spark, tmp_path):
     assert warc.derive(empty(source)).count() == 0
 
 
+def test_warc_reader_cuts_by_length(spark, tmp_path):
+    """Payloads with empty lines, record headers, no UTF-8 and no digest, over splits of a file and in a compressed one."""
+    def record(kind, uri, block, more=b""):
+        return b"WARC/1.0\r\nWARC-Type: " + kind + b"\r\nWARC-Record-ID: <urn:" + uri + b">\r\nWARC-Target-URI: " + uri + b"\r\nWARC-Date: 2020-01-01T00:00:00Z\r\n" + more + b"Content-Length: %d\r\n\r\n" % len(block) + block + b"\r\n\r\n"
+
+    http = b"HTTP/1.1 200 OK\r\nX: y"
+    payloads = {b"http://a/%d" % i: p for i, p in enumerate([b"plain", b"", b"ends\r\n\r\n", b"a\r\n\r\nWARC/1.0\r\nWARC-Type: response\r\n\r\nb", b"\r\n\r\nx", b"caf\xe9", b"half\r\n", b"z" * 5000] * 6)}
+    data = record(b"warcinfo", b"i", b"software: x\r\n") + b"".join(record(b"response", u, http + b"\r\n\r\n" + p, b"WARC-Payload-Digest: sha1:ABC\r\n" if u.endswith(b"0") else b"") for u, p in payloads.items())
+    import gzip
+
+    (tmp_path / "w").mkdir()
+    (tmp_path / "w" / "a.warc").write_bytes(data)
+    (tmp_path / "w" / "b.warc.gz").write_bytes(gzip.compress(data + b"WARC/1.0\r\nWARC-Type: response\r\nContent-Length: 99\r\n\r\ncut off"))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+    try:
+        got = warc.read_responses(spark, str(tmp_path / "w")).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert sorted((r["target_uri"], r["payload"]) for r in got) == sorted([(u.decode(), p.decode("utf-8", "replace")) for u, p in payloads.items()] * 2)
+    for r in got:
+        p = payloads[r["target_uri"].encode()]
+        assert r["payload_digest"] == ("sha1:ABC" if r["target_uri"].endswith("0") else "sha256:" + hashlib.sha256(p).hexdigest()) and r["http_headers"] == http.decode() and "WARC-Type: response" in r["warc_headers"]
+    assert {r["source_digest"] for r in warc.derive(warc.read_responses(spark, str(tmp_path / "w")), keep=()).collect()} >= {"sha1:ABC"}
+
+
+def test_warc_entities_and_links(spark):
+    html = "<html lang='de'><a href='/s'>q</a><A HREF=/n>w</a><a class=x href=\"/d?a&#61;b\">v</a><p>a&#160;b&#x41;&#65; &#0; &#xD800; &amp;#65; &#zz;"
+    got = {r["record_type"]: r["block"] for r in warc.derive(warc.responses(spark.createDataFrame([(1, "http://x/\r\nEvil: 1", html)], "page_id bigint, url string, html string"))).collect()}
+    assert got["conversion"] == "qwv\na\u00a0bAA &#0; &#xD800; &#65; &#zz;"
+    assert got["metadata"].split("\r\n")[-4:] == ["outlink: /s", "outlink: /n", "outlink: /d?a=b", ""] and "language: de" in got["metadata"]
+    record = warc.response_texts(warc.responses(spark.createDataFrame([(1, "http://x/\r\nEvil: 1", html)], "page_id bigint, url string, html string"))).first()["value"]
+    assert "WARC-Target-URI: http://x/%0D%0AEvil: 1\r\n" in record
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables")
+def test_warc_query_against_sql(spark):
+    duckdb = pytest.importorskip("duckdb")
+    con = duckdb.connect()
+    con.execute("CREATE VIEW pages AS SELECT * FROM read_parquet('/root/testdata/sf0.001/pages.parquet')")
+    rel = con.execute(oracle_sql()["op9_warc"])
+    cols = [c[0] for c in rel.description]
+    assert sorted(tuple(str(r[c]) for c in cols) for r in queries()["op9_warc"](spark, "/root/testdata/sf0.001").collect()) == sorted(tuple(map(str, r)) for r in rel.fetchall())
+
+
 # 10 URLs
+def test_markov_by_hand():
+    """Witten-Bell interpolation, by its definition, on every context that is kept."""
+    texts = ["abab", "abc", "ab", "b"]
+    m = Markov(texts, 2, 2)
+    padded = ["\x02\x02" + t + "\x03" for t in texts]
+
+    def prob(ctx, ch):
+        if ctx is None:
+            return 1 / (len({c for t in padded for c in t[2:]}) + 1)
+        after = [t[i] for t in padded for i in range(2, len(t)) if t[i - len(ctx) : i] == ctx]
+        lower = prob(ctx[1:] if ctx else None, ch)
+        if ctx and len(after) < 2:
+            return lower
+        return (after.count(ch) + len(set(after)) * lower) / (len(after) + len(set(after)))
+
+    for ctx in ("\x02\x02", "\x02a", "ab", "ba", "bc", "zz"):
+        for ch in "abc\x03q":
+            assert abs(m.prob(ctx, ch) - prob(ctx, ch)) < 1e-12
+    assert abs(sum(m.prob("ab", c) for c in "abc\x03q") - 1) < 1e-12
+
+
 def test_urls(spark):
     rules = [Rule("org", "/", "allow"), Rule("example.org", "/es/", "block"), Rule("com", "/de/", "block")]
     rnd = random.Random(10)
