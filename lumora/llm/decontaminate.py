@@ -97,11 +97,13 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, doc_col: str = "doc_id"
     seeds = benchmark_seeds(sized, masks, short)
     few = seeds.limit(broadcast_rows + 1).count() <= broadcast_rows
     texts = docs.select(F.col(doc_col).alias("_doc"), word_array(F.col(text_col)).alias("_words"))
+    texts = texts if few else texts.withColumn("_t", F.xxhash64("_words"))  # once for each text, not for each seed
+    held = ["_doc", *([] if few else ["_t"]), "_words"]
     words, pos = F.col("_words"), F.col("_pos")
     used = dict.fromkeys([*masks, *[m for seeds_of in short.values() for m, _ in seeds_of]])
     hashes = [F.when(pos + len(m) <= F.size(words), _seed(words, pos, m)) for m in used]
-    rows = texts.where(F.size(words) > 0).select("_doc", "_words", F.explode(F.sequence(F.lit(0), F.size(words) - 1)).alias("_pos"))
-    rows = rows.select("_doc", "_words", "_pos", F.explode(F.array(*hashes)).alias("_k")).where(F.col("_k").isNotNull())
+    rows = texts.where(F.size(words) > 0).select(*held, F.explode(F.sequence(F.lit(0), F.size(words) - 1)).alias("_pos"))
+    rows = rows.select(*held, "_pos", F.explode(F.array(*hashes)).alias("_k")).where(F.col("_k").isNotNull())
     start = pos - F.col("_at")
     skip = F.greatest(F.lit(0), -F.col("_start"))
     part = F.slice("_words", F.col("_start") + skip + 1, F.col("_n") - skip)
@@ -110,9 +112,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, doc_col: str = "doc_id"
         hit = rows.join(F.broadcast(seeds), F.col("_k") == F.col("_h")).select("_doc", "_item", start.alias("_start"), "_n", "_words").select(*keys, part.alias("_part"))
         one = hit.distinct()
     else:
-        text_key = F.xxhash64("_words")
-        hit = rows.select("_doc", text_key.alias("_t"), "_pos", "_k").join(seeds, F.col("_k") == F.col("_h")).select("_doc", "_t", "_item", start.alias("_start"), "_n").distinct()
-        own = texts.select(F.col("_doc").alias("_d"), text_key.alias("_t"), "_words").distinct()
+        hit = rows.select("_doc", "_t", "_pos", "_k").join(seeds, F.col("_k") == F.col("_h")).select("_doc", "_t", "_item", start.alias("_start"), "_n").distinct()
+        own = texts.select(F.col("_doc").alias("_d"), "_t", "_words").distinct()
         one = own.join(hit, (own["_t"] == hit["_t"]) & F.col("_d").eqNullSafe(F.col("_doc"))).select(*keys, part.alias("_part"))
     one = one.join(items.withColumnRenamed("_words", "_item_words"), "_item").withColumn("_skip", skip)
     same = F.zip_with(F.slice("_item_words", F.col("_skip") + 1, F.size("_part")), F.col("_part"), lambda a, b: a == b)
