@@ -152,22 +152,30 @@ def assign(weights: np.ndarray) -> np.ndarray:
     return out
 
 
+#: What the order of two boxes adds to the overlap of their match, at most.
+TIE = 1e-7
+
+
 def match_boxes(truth: DataFrame, predicted: DataFrame, *, key: str, threshold: float = 0.5) -> DataFrame:
-    """One-to-one matches of truth and predictions (idx, cls, l, t, r, b) of each image: most matches first, then
-    the largest total overlap. Columns: key, gt_idx, pred_idx, gt_cls, pred_cls, iou. Images are small groups."""
+    """One-to-one matches of truth and predictions (idx, cls, l, t, r, b) of each image: most matches first, then the largest
+    total overlap; totals that differ by no more than ``TIE`` a match are ties, which go to larger idx and to pairs in the
+    order of idx. Columns: key, gt_idx, pred_idx, gt_cls, pred_cls, iou. Images are small groups."""
     box = lambda p: F.struct(*[F.col(f"{p}_{x}").alias(x) for x in "ltrb"])
     named = lambda df, p: df.select(key, *[F.col(x).alias(f"{p}_{x}") for x in ("idx", "cls", "l", "t", "r", "b")])
     pairs = named(truth, "gt").join(named(predicted, "pred"), key).withColumn("iou", iou(box("gt"), box("pred"))).where(F.col("iou") >= threshold)
     pairs = pairs.select(key, "gt_idx", "pred_idx", "gt_cls", "pred_cls", "iou")
 
     def solve(part: np.ndarray, gt: np.ndarray, pred: np.ndarray, value: np.ndarray) -> np.ndarray:
-        """The rows of one image that are matched."""
+        """The rows of one image that are matched; of rows with the same two idx the one with the largest overlap."""
+        part = part[np.argsort(value[part], kind="stable")]
         _, r = np.unique(gt[part], return_inverse=True)
         _, p = np.unique(pred[part], return_inverse=True)
         n = max(r.max(), p.max()) + 1
-        w = np.zeros((n, n))
-        w[r, p] = 100.0 + value[part]
-        return part[assign(w)[r] == p]
+        w, row = np.zeros((n, n)), np.full(n, -1)
+        w[r, p] = 100.0 + value[part] + TIE * (r + 1) * (p + 1) / n**2
+        hit = assign(w)[r] == p
+        row[r[hit]] = part[hit]
+        return row[row >= 0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []  # the last image of a batch may go on in the next one

@@ -159,19 +159,41 @@ def _truth_and_predictions(spark, d):
     return truth, moved
 
 
-@register(QUERIES)
+# All matchings of an image's boxes, prediction by prediction: each one takes a free box of truth or none. A pair whose boxes
+# are in no other pair is matched anyway.
+_MATCHES = f"""{_BOXES}, truth AS (SELECT image_id, anchor AS idx, cls, l, t, r, b FROM boxes WHERE anchor % 2 = 0),
+predicted AS (SELECT image_id, anchor AS idx, CASE WHEN anchor % 7 = 0 THEN (cls + 1) % 3 ELSE cls END AS cls, l + (anchor % 5) / 200.0 AS l, t, r + (anchor % 5) / 200.0 AS r, b FROM boxes WHERE anchor % 3 > 0),
+every AS (SELECT image_id, g.idx AS gt_idx, p.idx AS pred_idx, g.cls AS gt_cls, p.cls AS pred_cls, {_IOU_SQL.format(a='g', b='p')} AS iou FROM truth g JOIN predicted p USING (image_id) WHERE {_IOU_SQL.format(a='g', b='p')} >= 0.5),
+counted AS (SELECT *, count(*) OVER (PARTITION BY image_id, gt_idx) = 1 AND count(*) OVER (PARTITION BY image_id, pred_idx) = 1 AS alone FROM every),
+pairs AS MATERIALIZED (SELECT image_id, gt_idx, pred_idx, gt_cls, pred_cls, alone, max(iou) AS iou FROM counted GROUP BY ALL),
+rest AS MATERIALIZED (SELECT * FROM pairs WHERE NOT alone),
+ranks AS (SELECT *, dense_rank() OVER (PARTITION BY image_id ORDER BY gt_idx) AS g, dense_rank() OVER (PARTITION BY image_id ORDER BY pred_idx) AS step FROM rest),
+steps AS MATERIALIZED (SELECT *, 100 + iou + 1e-7 * g * step / greatest(max(g) OVER (PARTITION BY image_id), max(step) OVER (PARTITION BY image_id)) ** 2 AS weight, g = min(g) OVER (PARTITION BY image_id, step) AS lowest FROM ranks),
+search AS (
+  SELECT DISTINCT image_id, CAST(0 AS BIGINT) AS step, CAST([] AS BIGINT[]) AS gts, CAST([] AS BIGINT[]) AS preds, CAST(0 AS DOUBLE) AS total FROM rest
+  UNION ALL
+  SELECT s.image_id, s.step + 1, CASE WHEN taken THEN list_append(gts, gt_idx) ELSE gts END, CASE WHEN taken THEN list_append(preds, pred_idx) ELSE preds END, total + CASE WHEN taken THEN weight ELSE 0 END
+  FROM search s JOIN steps x ON x.image_id = s.image_id AND x.step = s.step + 1, (VALUES (true), (false)) v(taken)
+  WHERE (taken AND NOT list_contains(gts, gt_idx)) OR (NOT taken AND lowest)),
+best AS (SELECT image_id, arg_max({{'g': gts, 'p': preds}}, total) AS m FROM search GROUP BY image_id),
+chosen AS (SELECT image_id, unnest(m.g) AS gt_idx, unnest(m.p) AS pred_idx FROM best),
+matches AS (SELECT pairs.* FROM pairs LEFT JOIN chosen USING (image_id, gt_idx, pred_idx) WHERE alone OR chosen.image_id IS NOT NULL)"""
+
+
+@register(QUERIES, f"WITH RECURSIVE {_MATCHES} SELECT image_id, gt_idx, pred_idx, gt_cls, pred_cls, round(iou, 6) AS iou FROM matches")
 def match_assignment(spark, d):
     truth, predicted = _truth_and_predictions(spark, d)
     return match_boxes(truth, predicted, key="image_id").withColumn("iou", F.round("iou", 6))
 
 
-@register(QUERIES)
+@register(QUERIES, f"""WITH RECURSIVE {_MATCHES}, n AS (SELECT (SELECT count(*) FROM truth) AS g, (SELECT count(*) FROM predicted) AS p, (SELECT count(*) FROM matches) AS matched, (SELECT count(*) FROM matches WHERE gt_cls = pred_cls) AS tp)
+SELECT tp, p - tp AS fp, g - tp AS fn, matched, coalesce(tp / nullif(p, 0), 0.0) AS precision, coalesce(tp / nullif(g, 0), 0.0) AS recall FROM n""")
 def detection_precision_recall(spark, d):
     truth, predicted = _truth_and_predictions(spark, d)
     return detection_totals(truth, predicted, match_boxes(truth, predicted, key="image_id"), key="image_id")
 
 
-@register(QUERIES)
+@register(QUERIES, f"WITH RECURSIVE {_MATCHES} SELECT gt_cls, pred_cls, count(*) AS n FROM matches GROUP BY ALL")
 def detection_confusion(spark, d):
     truth, predicted = _truth_and_predictions(spark, d)
     return match_boxes(truth, predicted, key="image_id").groupBy("gt_cls", "pred_cls").agg(F.count("*").alias("n"))

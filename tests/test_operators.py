@@ -40,6 +40,10 @@ def test_matching_is_optimal_and_inclusive(spark):
     pred = spark.createDataFrame([(1, 0, 0, 0.1, 0.0, 1.1, 1.0), (1, 1, 1, -0.2, 0.0, 0.8, 1.0), (2, 0, 0, 0.0, 0.0, 1.0, 0.5)], box)
     got = {(r["k"], r["gt_idx"]): r["pred_idx"] for r in match_boxes(gt, pred, key="k").collect()}
     assert got == {(1, 0): 1, (1, 1): 0, (2, 0): 0}
+    # equal boxes: pairs in the order of idx; one prediction for two of them: the larger idx
+    same = [(k, i, 0, 0.0, 0.0, 1.0, 1.0) for k, i in [(1, 0), (1, 1), (2, 0), (2, 1)]]
+    got = {(r["k"], r["gt_idx"]): r["pred_idx"] for r in match_boxes(spark.createDataFrame(same, box), spark.createDataFrame(same[:3], box), key="k").collect()}
+    assert got == {(1, 0): 0, (1, 1): 1, (2, 1): 0}
 
 
 def test_nms_and_argmax(spark):
