@@ -1,4 +1,4 @@
-"""The queries ``opN_<name>`` of the ten operators, each over its whole tables."""
+"""The queries ``opN_<name>`` of the operators, each over its whole tables."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumora.llm import warc
+from lumora.llm import conversations, warc
 from lumora.llm.ann import search
 from lumora.llm.bpe import Tokenizer, build_lexicon, encode
 from lumora.llm.common import fold, table
@@ -82,9 +82,14 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(pages, URL_RULES, fit_urls(pages, URL_RULES))
 
 
+def op11_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return conversations.repair(conversations.damage(rows), gone_col="gone")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_toxicity": op1_toxicity, "op2_ann": op2_ann, "op3_language": op3_language, "op4_quality": op4_quality, "op5_decontaminate": op5_decontaminate, "op6_bpe": op6_bpe, "op7_lm": op7_lm, "op8_jaccard": op8_jaccard, "op9_warc": op9_warc, "op10_urls": op10_urls}
+    return {"op1_toxicity": op1_toxicity, "op2_ann": op2_ann, "op3_language": op3_language, "op4_quality": op4_quality, "op5_decontaminate": op5_decontaminate, "op6_bpe": op6_bpe, "op7_lm": op7_lm, "op8_jaccard": op8_jaccard, "op9_warc": op9_warc, "op10_urls": op10_urls, "op11_conversations": op11_conversations}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_warc": warc.oracle()}
+    return {"op9_warc": warc.oracle(), "op11_conversations": conversations.oracle()}
