@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumora.llm import codes, conversations, warc
+from lumora.llm import codes, conversations, extraction, warc
 from lumora.llm.ann import search
 from lumora.llm.bpe import Tokenizer, build_lexicon, encode
 from lumora.llm.common import fold, table
@@ -92,9 +92,14 @@ def op12_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codes.with_label_error(coded).select(F.col("id").alias("vec_id"), "code", "error", "label_error", F.lit(codes.digest(books)).alias("codebooks_sha256"))
 
 
+def op13_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return extraction.extract(pages, extraction.fit_pages(pages))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_toxicity": op1_toxicity, "op2_ann": op2_ann, "op3_language": op3_language, "op4_quality": op4_quality, "op5_decontaminate": op5_decontaminate, "op6_bpe": op6_bpe, "op7_lm": op7_lm, "op8_jaccard": op8_jaccard, "op9_warc": op9_warc, "op10_urls": op10_urls, "op11_conversations": op11_conversations, "op12_codes": op12_codes}
+    return {"op1_toxicity": op1_toxicity, "op2_ann": op2_ann, "op3_language": op3_language, "op4_quality": op4_quality, "op5_decontaminate": op5_decontaminate, "op6_bpe": op6_bpe, "op7_lm": op7_lm, "op8_jaccard": op8_jaccard, "op9_warc": op9_warc, "op10_urls": op10_urls, "op11_conversations": op11_conversations, "op12_codes": op12_codes, "op13_extraction": op13_extraction}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_warc": warc.oracle(), "op11_conversations": conversations.oracle(), "op12_codes": codes.oracle()}
+    return {"op9_warc": warc.oracle(), "op11_conversations": conversations.oracle(), "op12_codes": codes.oracle(), "op13_extraction": extraction.oracle()}
