@@ -23,6 +23,8 @@ ignored.
 
 from __future__ import annotations
 
+from fractions import Fraction
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -67,22 +69,43 @@ def _seed(words: Column, at: Column, mask: str) -> Column:
 
 
 def benchmark_seeds(items: DataFrame, masks: tuple[str, ...], short: dict[int, list[tuple[str, int]]]) -> DataFrame:
-    """Seeds of _item, _words, _n: at every position, or the given ones of an item of a length in ``short``: _h, _item, _at, _n."""
+    """Seeds of _item, _words, _n: at every position, or the given ones of an item of a length in ``short``: _h, _item, _at, _n, the
+    mask's number _m, and the same mask's hash one word before, _before (null in items of such a length)."""
     words, n, at = F.col("_words"), F.col("_n"), F.col("_at")
     long = items.where((n > 0) & ~n.isin(list(short))).withColumn("_at", F.explode(F.sequence(F.lit(0), n - 1)))
-    out = long.select(F.explode(F.array(*[F.when(at + len(m) <= n, _seed(words, at, m)) for m in masks])).alias("_h"), "_item", "_at", "_n").where("_h IS NOT NULL")
+    seeds_at = F.array(*[F.when(at + len(m) <= n, F.struct(_seed(words, at, m).alias("_h"), F.lit(k).alias("_m"), F.when(at > 0, _seed(words, at - 1, m)).alias("_before"))) for k, m in enumerate(masks)])
+    out = long.select(F.explode(seeds_at).alias("_s"), "_item", "_at", "_n").where("_s IS NOT NULL").select("_s._h", "_item", "_at", "_n", "_s._m", "_s._before")
     for size, seeds in short.items():
         each = F.explode(F.array(*[F.struct(_seed(words, F.lit(a), m).alias("_h"), F.lit(a).alias("_at")) for m, a in seeds])).alias("_s")
-        out = out.unionByName(items.where(n == size).select(each, "_item", "_n").select("_s._h", "_item", "_s._at", "_n"))
+        out = out.unionByName(items.where(n == size).select(each, "_item", "_n").select("_s._h", "_item", "_s._at", "_n", F.lit(-1).alias("_m"), F.lit(None).cast("bigint").alias("_before")))
     return out
 
 
 def _best_overlap(same: Column, similarity: float) -> Column:
     """Of an array of booleans, the longest run of positions that begins and ends with true and whose share of
-    true is at least ``similarity``: a struct of its first position, its length and its matches."""
+    true is at least ``similarity``: a struct of its length, its matches and its first position, negated.
+
+    The k-th match at i has the balance k * d - i * n before it, n / d being the similarity; a run's share suffices if the balance after its
+    last match isn't less than that before its first one. Both are sorted together, largest first, and a fold over them keeps the
+    furthest last match so far, which is the best one for each first match that comes: n log n steps.
+    """
+    share = Fraction(similarity).limit_denominator(10_000)
+    n, d = F.lit(share.numerator).cast("bigint"), F.lit(share.denominator).cast("bigint")
     true_at = F.filter(F.transform(same, lambda x, i: F.when(x, i)), lambda i: i.isNotNull())
-    runs = F.flatten(F.transform(true_at, lambda i, a: F.transform(F.slice(true_at, a + 1, F.size(true_at)), lambda j, k: F.struct((j - i + 1).alias("length"), (k + 1).alias("matches"), (-i).alias("neg_start")))))
-    return F.array_max(F.filter(runs, lambda r: r["matches"] >= F.lit(similarity) * r["length"]))
+    point = lambda value, last, i, k: F.struct(value.alias("value"), F.lit(last).alias("last"), i.cast("int").alias("i"), k.cast("int").alias("k"))
+    first = F.transform(true_at, lambda i, k: point(k * d - i * n, False, i, k))
+    last = F.transform(true_at, lambda i, k: point((k + 1) * d - (i + 1) * n, True, i, k))
+    run = lambda length, matches, start: F.struct(length.alias("length"), matches.alias("matches"), start.alias("neg_start"))
+    state = lambda i, k, best: F.struct(i.alias("i"), k.alias("k"), best.alias("best"))
+    none = F.lit(-1)
+
+    def step(s: Column, p: Column) -> Column:
+        further = p["last"] & (p["i"] > s["i"])
+        here = run(s["i"] - p["i"] + 1, s["k"] - p["k"] + 1, -p["i"])
+        return state(F.when(further, p["i"]).otherwise(s["i"]), F.when(further, p["k"]).otherwise(s["k"]), F.when(p["last"], s["best"]).otherwise(F.greatest(s["best"], here)))
+
+    best = F.aggregate(F.sort_array(F.concat(first, last), asc=False), state(none, none, run(none, none, none)), step, lambda s: s["best"])
+    return F.when(best["length"] > 0, best)
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, *, doc_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", masks: tuple[str, ...] | None = None, least_words: int = 13, similarity: float = 0.8, broadcast_rows: int = 1_000_000) -> DataFrame:
@@ -108,8 +131,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, doc_col: str = "doc_id"
     skip = F.greatest(F.lit(0), -F.col("_start"))
     part = F.slice("_words", F.col("_start") + skip + 1, F.col("_n") - skip)
     keys = ("_doc", "_item", "_start", "_n")
-    if few:  # explode, hash, look up and cut out the words in one stage
-        hit = rows.join(F.broadcast(seeds), F.col("_k") == F.col("_h")).select("_doc", "_item", start.alias("_start"), "_n", "_words").select(*keys, part.alias("_part"))
+    if few:  # explode, hash, look up and cut out the words in one stage; of hits that follow one another on a diagonal, the first is enough
+        hit = rows.join(F.broadcast(seeds), F.col("_k") == F.col("_h"))
+        before = F.coalesce(*[F.when((F.col("_m") == k) & (pos > 0), _seed(words, pos - 1, m)) for k, m in enumerate(masks)])
+        hit = hit.where(~F.coalesce(F.when(F.col("_before").isNotNull(), before == F.col("_before")), F.lit(False))).select("_doc", "_item", start.alias("_start"), "_n", "_words").select(*keys, part.alias("_part"))
         one = hit.distinct()
     else:
         hit = rows.select("_doc", "_t", "_pos", "_k").join(seeds, F.col("_k") == F.col("_h")).select("_doc", "_t", "_item", start.alias("_start"), "_n").distinct()
