@@ -3,8 +3,8 @@
 Features are the presence of hashed character n-grams. Each is scaled by the log ratio of its
 smoothed share among toxic and other texts, and a logistic regression is fitted on the scaled
 features. The fit takes a bounded sample of labelled rows, written to a table; the shares are counted
-there by Spark, and the driver gets at most ``most_features / 8`` bytes of each row: the n-grams that tell the
-classes apart best. Scoring is one pass over the texts without a shuffle.
+there by Spark, and the driver gets one bit of each row for each n-gram that tells the classes apart, of at most
+``2 ** bits``. Scoring is one pass over the texts without a shuffle.
 
 Nulls and odd rows: a null or empty text has no n-grams and gets the score of the bias alone; very long texts
 are read in parts, with the same result; rows whose label is null, or whose id is null, are not learned from; a
@@ -75,8 +75,9 @@ def log_count_ratio(c0: Column, c1: Column, n0: int, n1: int, alpha: float) -> C
     return F.log((c1 + alpha) / (n1 + 2 * alpha)) - F.log((c0 + alpha) / (n0 + 2 * alpha))
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", keep: Column | None = None, per_class: int = 2000, orders: tuple[int, ...] = (3, 4, 5, 6), bits: int = 20, alpha: float = 1.0, least_df: int = 4, least_ratio: float = 0.25, most_features: int = 1 << 15, l2: float = 3e-3) -> ToxicityModel:
-    """Fit on at most ``2 * per_class`` labelled documents and ``most_features`` n-grams. ``keep``: a condition on the labels' rows to learn from."""
+def fit_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", keep: Column | None = None, per_class: int = 2000, orders: tuple[int, ...] = (3, 4, 5, 6), bits: int = 20, alpha: float = 1.0, least_df: int = 4, least_ratio: float = 0.25, least_surety: float = 2.0, l2: float = 3e-3) -> ToxicityModel:
+    """Fit on at most ``2 * per_class`` labelled documents. N-grams that occur in at least ``least_df`` of them are learned from if their
+    log-count ratio is at least ``least_ratio`` and ``least_surety`` times its standard error. ``keep``: a condition on the labels' rows to learn from."""
     spark = docs.sparkSession
     small_batches(spark)
     picked = sample_labels(labels if keep is None else labels.where(keep), id_col, label_col, per_class)
@@ -86,12 +87,11 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id",
     if not n0 or not n1:
         share = n1 / max(1, n0 + n1)
         return ToxicityModel(np.zeros(1 << bits, np.float32), float(np.log(max(share, 1e-9) / max(1 - share, 1e-9))), orders, bits, {"rows": n0 + n1})
-    told = class_counts(texts, orders, bits).withColumn("r", log_count_ratio(F.col("c0"), F.col("c1"), n0, n1, alpha)).where(F.abs("r") >= least_ratio)  # others are as common in both classes
-    if n0 + n1 > 10 * least_df:
-        told = told.where(F.col("c0") + F.col("c1") >= least_df)  # others are too rare to tell
-    # the ratio in units of its standard error
-    surest = F.abs("r") / F.sqrt(1 / (F.col("c0") + alpha) + 1 / (F.col("c1") + alpha))
-    got = told.orderBy(surest.desc(), "bucket").limit(most_features).select("bucket", "r").toArrow()
+    told = class_counts(texts, orders, bits).withColumn("r", log_count_ratio(F.col("c0"), F.col("c1"), n0, n1, alpha))
+    # others are too rare to tell, as common in both classes, or may differ by chance
+    surety = F.abs("r") / F.sqrt(1 / (F.col("c0") + alpha) + 1 / (F.col("c1") + alpha))
+    told = told.where((F.col("c0") + F.col("c1") >= least_df) & (F.abs("r") >= least_ratio) & (surety >= least_surety))
+    got = told.select("bucket", "r").orderBy("bucket").toArrow()
     active, ratio = got["bucket"].to_numpy(), got["r"].to_numpy()
     place = np.full(1 << bits, -1, np.int32)
     place[active] = np.arange(len(active), dtype=np.int32)
