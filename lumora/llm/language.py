@@ -99,20 +99,21 @@ def _kernel(present: np.ndarray, landmarks: np.ndarray) -> np.ndarray:
     return (present @ landmarks) / np.sqrt(np.maximum(present.sum(1, keepdims=True), 1.0))
 
 
-def fit_language(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", keep: Column | None = None, per_lang: int = 300, landmarks_per_lang: int = 24, most_langs: int = 64, most_rows: int = 4800, most_landmarks: int = 384, orders: tuple[int, ...] = (1, 2, 3, 4), bits: int = 15, ridge: float = 1e-2, with_fit: bool = False) -> LanguageModel:
-    """Fit on at most ``per_lang`` texts of each language and ``most_rows`` in all. The ``most_langs`` most frequent
-    languages are learned, with ``most_landmarks`` landmarks in all. ``with_fit``: also learn the fits."""
+def fit_language(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", keep: Column | None = None, per_lang: int = 300, landmarks_per_lang: int = 24, most_rows: int = 4800, most_landmarks: int = 384, orders: tuple[int, ...] = (1, 2, 3, 4), bits: int = 15, ridge: float = 1e-2, with_fit: bool = False) -> LanguageModel:
+    """Fit on at most ``per_lang`` texts of each language and ``most_rows`` in all, with at most ``most_landmarks`` landmarks in all; but of
+    every language, however many there are, two texts and landmarks where it has them. ``with_fit``: also learn the fits."""
     small_batches(docs.sparkSession)
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     rows = rows if keep is None else rows.where(keep)
-    counts = {r["_lang"]: r["n"] for r in rows.groupBy(F.col(lang_col).alias("_lang")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "_lang").limit(most_langs).collect()}
+    counts = {r["_lang"]: r["n"] for r in rows.groupBy(F.col(lang_col).alias("_lang")).agg(F.count("*").alias("n")).collect()}
     langs = sorted(counts)
     none = (np.zeros((1 << _FIT_BITS, len(langs)), np.float32), np.zeros(len(langs)))
     if not langs:
         return LanguageModel([], np.zeros((1 << bits, 0), np.float32), np.zeros((0, 0), np.float32), orders, bits, *none)
     per_lang, per_mark = min(per_lang, max(2, most_rows // len(langs))), min(landmarks_per_lang, max(2, most_landmarks // len(langs)))
-    count_of = F.element_at(F.create_map(*[x for k in langs for x in (F.lit(k), F.lit(counts[k]))]), F.col(lang_col))
-    some = thinned(rows.where(F.col(lang_col).isin(langs)), row_key(id_col, lang_col, text_col), F.lit(per_lang), count_of, F.col(lang_col).alias("_lang"), F.col(text_col).alias("_text"))
+    known = docs.sparkSession.createDataFrame(list(counts.items()), "_lang string, _count long")
+    counted = rows.select(row_key(id_col, lang_col, text_col).alias("_key"), F.col(lang_col).alias("_lang"), F.col(text_col).alias("_text")).join(F.broadcast(known), "_lang")
+    some = thinned(counted, F.col("_key"), F.lit(per_lang), F.col("_count"), "_lang", "_text")
     first = F.row_number().over(Window.partitionBy("_lang").orderBy("_u"))
     texts = cut(some.withColumn("_n", first).where(F.col("_n") <= per_lang).drop("_n").repartition(_FIT_TASKS, "_u"), "learned")
 
