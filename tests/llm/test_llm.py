@@ -79,7 +79,9 @@ def test_toxicity_against_brute_force(spark):
     c = {y_: collections.Counter(g for s, v in zip(sets, y, strict=True) if v == y_ for g in s) for y_ in (0.0, 1.0)}
     ratio = {g: np.log((c[1.0][g] + 1) / (n1 + 2)) - np.log((c[0.0][g] + 1) / (n0 + 2)) for g in c[0.0] | c[1.0]}
     ratio = {g: r for g, r in ratio.items() if abs(r) >= 0.25 and c[0.0][g] + c[1.0][g] >= 4}
-    model = fit_toxicity(docs, labels, orders=(3, 4), bits=16)
+    surety = {g: abs(r) / np.sqrt(1 / (c[0.0][g] + 1) + 1 / (c[1.0][g] + 1)) for g, r in ratio.items()}
+    assert fit_toxicity(docs, labels, orders=(3, 4), bits=16).info["features"] == sum(x >= 2 for x in surety.values()) > 0
+    model = fit_toxicity(docs, labels, orders=(3, 4), bits=16, least_surety=0.0)
     assert model.info["features"] == len(ratio) and model.info["rows"] == 120 and not set(np.flatnonzero(model.weights)) - set(ratio)
     weight = np.where(y == 1, 0.5 / n1, 0.5 / n0)
 
@@ -142,10 +144,12 @@ def test_kernel_against_brute_force(spark):
         assert got[i]["lang_pred"] == ("aa" if f > 0 else "bb") and abs(got[i]["score"] - min(1.0, (abs(f) + 1) / 2)) < 0.02
 
 
-def test_languages_are_bounded(spark):
-    docs = docs_of(spark, [(i, f"{k} word{k} more{k} {i}", k) for i, k in enumerate([f"l{j:02d}" for j in range(9)] * 6)] + [(999, "rare", "zz")])
-    model = fit_language(docs, bits=12, most_langs=5, most_rows=20, most_landmarks=10)
-    assert model.langs == [f"l{j:02d}" for j in range(5)] and model.landmarks.shape == (1 << 12, 10)
+def test_no_language_is_left_out(spark):
+    names = [f"l{j:02d}" for j in range(70)]
+    docs = docs_of(spark, [(i, " ".join([f"{k}word", f"more{k}", f"{k}{k}"] * 3) + f" {i}", k) for i, k in enumerate(names[:-1] * 6 + names[-1:] * 2)])
+    model = fit_language(docs, bits=14, most_rows=20, most_landmarks=10)
+    assert model.langs == names and model.landmarks.shape == (1 << 14, 140)
+    assert all(r["lang_pred"] == r["lang"] for r in predict_language(docs, model, keep=("lang",)).collect())
 
 
 def test_language(spark):
@@ -662,3 +666,17 @@ def test_pipeline(spark, tmp_path):
     assert set(got) == {i for i in range(160) if i % 8}
     assert all(r["n_tokens"] == len(r["ids"]) > 0 for r in got.values())
     assert [len(x) for x in P.STAGES] == [2] * 5
+
+
+def test_long_items(spark):
+    """An item of 20,000 words that stands in a document, with changed words, in time that doesn't grow with its square."""
+    rnd = random.Random(77)
+    words = [f"w{rnd.randrange(5000)}" for _ in range(20_000)]
+    changed = [w if rnd.random() > 0.1 else "other" for w in words]
+    docs = spark.createDataFrame([(1, "before it " + " ".join(changed)), (2, " ".join(words[500:900])), (3, "clean " * 50)], "doc_id bigint, text string")
+    bench = spark.createDataFrame([(1, " ".join(words))], "item_id bigint, text string")
+    got = {r["doc_id"]: r for r in find_leaks(docs, bench).collect()}
+    same = [a == b for a, b in zip(words, changed, strict=True)]
+    first, last = same.index(True), len(same) - 1 - same[::-1].index(True)
+    assert set(got) == {1, 2} and got[2]["n_words"] == got[2]["n_same"] == 400
+    assert (got[1]["doc_start"], got[1]["n_words"], got[1]["n_same"]) == (2 + first, last - first + 1, sum(same))
