@@ -69,15 +69,21 @@ def _seed(words: Column, at: Column, mask: str) -> Column:
 
 
 def benchmark_seeds(items: DataFrame, masks: tuple[str, ...], short: dict[int, list[tuple[str, int]]]) -> DataFrame:
-    """Seeds of _item, _words, _n: at every position, or the given ones of an item of a length in ``short``: _h, _item, _at, _n, the
-    mask's number _m, and the same mask's hash one word before, _before (null in items of such a length)."""
+    """Seeds of _item, _words, _n: at every position, or the given ones of an item of a length in ``short``: _h, _item, _at, _n, and
+    what tells whether the mask hits one word before as well: the words before its blocks, _w1 and _w2, the second one _off words on. A
+    mask of more than two blocks, or at an item's first word, or in an item of such a length, has none."""
     words, n, at = F.col("_words"), F.col("_n"), F.col("_at")
     long = items.where((n > 0) & ~n.isin(list(short))).withColumn("_at", F.explode(F.sequence(F.lit(0), n - 1)))
-    seeds_at = F.array(*[F.when(at + len(m) <= n, F.struct(_seed(words, at, m).alias("_h"), F.lit(k).alias("_m"), F.when(at > 0, _seed(words, at - 1, m)).alias("_before"))) for k, m in enumerate(masks)])
-    out = long.select(F.explode(seeds_at).alias("_s"), "_item", "_at", "_n").where("_s IS NOT NULL").select("_s._h", "_item", "_at", "_n", "_s._m", "_s._before")
+
+    def seed(m: str) -> Column:
+        starts = [i for i, c in enumerate(m) if c == "1" and (i == 0 or m[i - 1] == "0")]
+        w1 = F.when(at > 0, F.get(words, at - 1)) if len(starts) <= 2 else F.lit(None).cast("string")
+        return F.struct(_seed(words, at, m).alias("_h"), w1.alias("_w1"), F.get(words, at + starts[-1] - 1).alias("_w2"), F.lit(starts[-1]).alias("_off"))
+
+    out = long.select(F.explode(F.array(*[F.when(at + len(m) <= n, seed(m)) for m in masks])).alias("_s"), "_item", "_at", "_n").where("_s IS NOT NULL").select("_s._h", "_item", "_at", "_n", "_s._w1", "_s._w2", "_s._off")
     for size, seeds in short.items():
         each = F.explode(F.array(*[F.struct(_seed(words, F.lit(a), m).alias("_h"), F.lit(a).alias("_at")) for m, a in seeds])).alias("_s")
-        out = out.unionByName(items.where(n == size).select(each, "_item", "_n").select("_s._h", "_item", "_s._at", "_n", F.lit(-1).alias("_m"), F.lit(None).cast("bigint").alias("_before")))
+        out = out.unionByName(items.where(n == size).select(each, "_item", "_n").select("_s._h", "_item", "_s._at", "_n", F.lit(None).cast("string").alias("_w1"), F.lit(None).cast("string").alias("_w2"), F.lit(0).alias("_off")))
     return out
 
 
@@ -133,8 +139,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, doc_col: str = "doc_id"
     keys = ("_doc", "_item", "_start", "_n")
     if few:  # explode, hash, look up and cut out the words in one stage; of hits that follow one another on a diagonal, the first is enough
         hit = rows.join(F.broadcast(seeds), F.col("_k") == F.col("_h"))
-        before = F.coalesce(*[F.when((F.col("_m") == k) & (pos > 0), _seed(words, pos - 1, m)) for k, m in enumerate(masks)])
-        hit = hit.where(~F.coalesce(F.when(F.col("_before").isNotNull(), before == F.col("_before")), F.lit(False))).select("_doc", "_item", start.alias("_start"), "_n", "_words").select(*keys, part.alias("_part"))
+        follows = (F.get(words, pos - 1) == F.col("_w1")) & (F.get(words, pos + F.col("_off") - 1) == F.col("_w2"))
+        hit = hit.where(~F.coalesce(follows, F.lit(False))).select("_doc", "_item", start.alias("_start"), "_n", "_words").select(*keys, part.alias("_part"))
         one = hit.distinct()
     else:
         hit = rows.select("_doc", "_t", "_pos", "_k").join(seeds, F.col("_k") == F.col("_h")).select("_doc", "_t", "_item", start.alias("_start"), "_n").distinct()
