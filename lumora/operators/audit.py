@@ -24,50 +24,6 @@ def exact_duplicates(rows: DataFrame, content: str) -> DataFrame:
     return rows.groupBy(F.sha2(F.col(content), 256).alias("sha")).agg(F.count("*").alias("n")).where("n > 1")
 
 
-def _bands(bits_col: str, distance: int, width: int) -> Column:
-    """An array of ``distance + 1`` bands of bits: band, value."""
-    n, bands, at = distance + 1, [], 0
-    for k in range(n):
-        size = width // n + (k < width % n)
-        mask = (1 << size) - 1
-        bands.append(F.struct(F.lit(k).alias("band"), F.shiftrightunsigned(bits_col, at).bitwiseAND(F.lit(mask if mask < 2**63 else -1)).alias("value")))
-        at += size
-    return F.array(*bands)
-
-
-def hamming_links(rows: DataFrame, *, id_col: str, bits_col: str, distance: int, width: int = 64) -> DataFrame:
-    """Pairs (u < v) of ids whose fingerprints differ in at most ``distance`` bits.
-
-    Of ``distance + 1`` bands of bits one must be equal, so an equi-join on (band, value) finds every pair; equal
-    fingerprints are first reduced to their smallest id, so copies give a chain to it and not all pairs.
-    """
-    one = rows.where(F.col(bits_col).isNotNull()).groupBy(F.col(bits_col).alias("bits")).agg(F.min(id_col).alias("id"))
-    same = rows.select(F.col(id_col).alias("v"), F.col(bits_col).alias("bits")).join(one, "bits").where("id != v").select(F.col("id").alias("u"), "v", F.lit(0).alias("distance"))
-    banded = one.withColumn("b", F.explode(_bands("bits", distance, width))).select("id", "bits", "b.band", "b.value")
-    a, b = banded.alias("a"), banded.alias("b")
-    near = a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.value") == F.col("b.value")) & (F.col("a.id") < F.col("b.id")))
-    near = near.select(F.col("a.id").alias("u"), F.col("b.id").alias("v"), F.bit_count(F.col("a.bits").bitwiseXOR(F.col("b.bits"))).cast("int").alias("distance"))
-    return near.where(F.col("distance") <= distance).distinct().unionByName(same)
-
-
-def near_links(rows: DataFrame, *, id_col: str, dhash_col: str, phash_col: str, width_col: str, height_col: str, rgb_col: str, dhash_distance: int = 4, phash_distance: int = 6, aspect: float = 0.05, mae: float = 12.0) -> DataFrame:
-    """Near-duplicate links (u < v) and the first rule that gives each: 'dhash' for those of ``hamming_links``, 'phash_mae' for every pair
-    that fails it with close pHashes, aspects within ``aspect`` of u's and a mean absolute difference of the RGB arrays of at most ``mae``.
-    Its last two rules are no relation of fingerprints alone, so copies are not reduced. A pair with a null in one of them fails."""
-    first = hamming_links(rows, id_col=id_col, bits_col=dhash_col, distance=dhash_distance).select("u", "v", F.lit("dhash").alias("reason"))
-    full = rows.select(F.col(id_col).alias("id"), F.col(dhash_col).alias("dh"), F.col(phash_col).alias("ph"), (F.col(width_col) / F.col(height_col)).alias("ratio"), F.col(rgb_col).alias("rgb"))
-    banded = full.where("ph IS NOT NULL").select("id", "dh", "ph", "ratio", F.explode(_bands("ph", phash_distance, 64)).alias("b"))
-    a, b = banded.alias("a"), banded.alias("b")
-    pairs = a.join(b, (F.col("a.b") == F.col("b.b")) & (F.col("a.id") < F.col("b.id")))
-    pairs = pairs.where((F.bit_count(F.col("a.ph").bitwiseXOR(F.col("b.ph"))) <= phash_distance) & (F.abs(F.col("b.ratio") / F.col("a.ratio") - 1) <= aspect))
-    pairs = pairs.where(F.coalesce(F.bit_count(F.col("a.dh").bitwiseXOR(F.col("b.dh"))) > dhash_distance, F.lit(True))).select(F.col("a.id").alias("u"), F.col("b.id").alias("v")).distinct()
-    colours = full.select("id", "rgb")
-    both = pairs.join(colours.select(F.col("id").alias("u"), F.col("rgb").alias("_p")), "u").join(colours.select(F.col("id").alias("v"), F.col("rgb").alias("_q")), "v")
-    apart = F.aggregate(F.zip_with("_p", "_q", lambda x, y: F.abs(x.cast("double") - y.cast("double"))), F.lit(0.0), lambda t, x: t + x)
-    second = both.where((F.size("_p") > 0) & (apart / F.size("_p") <= mae)).select("u", "v", F.lit("phash_mae").alias("reason"))
-    return first.unionByName(second)
-
-
 def shared_key_links(rows: DataFrame, id_col: str, *keys: str) -> DataFrame:
     """Links (u, v) of each row to the smallest id that shares one of its keys; a null key links nothing."""
     melted = rows.select(F.col(id_col).alias("v"), F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(k).cast("string").alias("x")) for k in keys])).alias("e")).select("v", "e.k", "e.x").where("x is not null")

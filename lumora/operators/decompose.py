@@ -10,9 +10,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import lru_cache
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumora.functions.arrays import once
+from lumora.operators.shared import cut
+
 PART = "key int, has_pair int, n_groups int, pair int, groups array<struct<kind:string,tile:int>>"
 
 
@@ -46,7 +50,7 @@ def suit_parts(ranks: int, chows: bool, most: int = 5) -> list[tuple]:
     return out
 
 
-_FRAMES: dict[tuple[str, bool], DataFrame] = {}
+_FRAMES: dict[tuple, DataFrame] = {}
 
 
 def _part_table(spark: SparkSession, honors: bool) -> DataFrame:
@@ -86,9 +90,57 @@ def decompose(hands: DataFrame, *, id_col: str = "hand_id", tiles_col: str = "co
     return rows.select(id_col, F.coalesce(*[F.col(f"_p{s}") for s in range(4)]).alias("pair"), F.array_sort(F.concat(*[F.col(f"_q{s}") for s in range(4)]), by_tile).alias("groups"))
 
 
+@lru_cache(2)
+def short_parts(ranks: int, chows: bool) -> pa.Table:
+    """Of every count vector of a suit: ``pairs`` if it is whole (0 or 1), and the tiles (from the suit's first) that make it whole if one
+    is missing, with the pairs it then has. How many tiles there are tells the pairs, and with them the groups."""
+    whole = {key: pair for key, pair, *_ in suit_parts(ranks, chows)}
+    short: dict[int, list[int]] = {}
+    pairs: dict[int, int] = {}
+    for key, pair in whole.items():
+        for r in range(ranks):
+            if key // 5**r % 5:
+                short.setdefault(key - 5**r, []).append(r)
+                pairs[key - 5**r] = pair
+    keys = sorted(whole.keys() | short.keys())
+    return pa.table({"key": pa.array(keys, pa.int32()), "pairs": pa.array([whole.get(k) for k in keys], pa.int32()), "short": pa.array([sorted(short.get(k, [])) for k in keys], pa.list_(pa.int32())), "short_pairs": pa.array([pairs.get(k) for k in keys], pa.int32())})
+
+
+def _short_table(spark: SparkSession, honors: bool) -> DataFrame:
+    key = (spark.sparkContext.applicationId, honors, "short")
+    if key not in _FRAMES:
+        _FRAMES[key] = cut(spark.createDataFrame(short_parts(7, False) if honors else short_parts(9, True)).coalesce(1), "suits")
+    return _FRAMES[key]
+
+
 def waits(hands: DataFrame, *, id_col: str = "hand_id", tiles_col: str = "before", melds_col: str = "meld_tiles", groups_col: str = "n_groups") -> DataFrame:
-    """Tiles that complete each hand of one tile too few: the id and wait. Four of a kind, melds counted, can't be waited for."""
-    rows = hands.select(F.col(id_col), F.col(tiles_col).alias("_b"), F.col(melds_col).alias("_m"), F.col(groups_col).alias("n_groups"), F.explode(F.sequence(F.lit(0), F.lit(33))).alias("wait"))
-    rows = rows.where(F.size(F.filter(F.concat("_b", "_m"), lambda x: x == F.col("wait"))) < 4)
-    rows = rows.select(F.struct(F.col(id_col).alias("id"), "wait").alias("_key"), F.concat("_b", F.array("wait")).alias("_tiles"), "n_groups")
-    return decompose(rows, id_col="_key", tiles_col="_tiles").select(F.col("_key.id").alias(id_col), F.col("_key.wait").alias("wait")).distinct()
+    """Tiles that complete each hand of one tile too few: the id and wait. Four of a kind, melds counted, can't be waited for.
+
+    Each of the four suits is looked up once in a table (bounded by the game) of count vectors that are whole or one tile short:
+    a tile is waited for where its suit is short of it, the others are whole and there is one pair in all.
+    """
+    power = F.array(*[F.lit(5**i) for i in range(9)])
+    none = F.array(*[F.lit(0)] * 4)
+
+    def keys(t: Column) -> Column:
+        """The suits' counts of sorted tiles as digits of base 5, null for tiles that are none or too many."""
+        five = F.size(F.filter(F.slice(t, 5, 16), lambda x, i: x == F.get(t, i))) > 0
+        added = lambda a, x: F.transform(a, lambda k, s: k + F.when(F.floor(x / 9) == s, F.element_at(power, (x % 9 + 1).cast("int"))).otherwise(0))
+        return F.when((F.size(t) <= 16) & F.forall(t, lambda x: x.between(0, 33)) & ~five, F.aggregate(t, none, added))
+
+    rows = hands.where(F.size(tiles_col) == F.col(groups_col).cast("int") * 3 + 1)
+    rows = rows.select(F.col(id_col), F.concat(tiles_col, F.coalesce(F.col(melds_col), F.array().cast("array<int>"))).alias("_all"), once(F.sort_array(tiles_col), keys).alias("_keys"))
+    rows = rows.select(id_col, "_all", *[F.get("_keys", s).alias(f"_k{s}") for s in range(4)])
+    for s in range(4):
+        part = _short_table(hands.sparkSession, s == 3)
+        rows = rows.join(F.broadcast(part.select(F.col("key").alias(f"_k{s}"), F.col("pairs").alias(f"_h{s}"), F.col("short").alias(f"_w{s}"), F.col("short_pairs").alias(f"_p{s}"))), f"_k{s}")
+
+    def waited(s: int) -> Column:
+        pairs = F.col(f"_p{s}")
+        for o in range(4):
+            pairs = pairs if o == s else pairs + F.col(f"_h{o}")
+        return F.when(pairs == 1, F.transform(f"_w{s}", lambda r: r + 9 * s)).otherwise(F.array().cast("array<int>"))
+
+    lists = [waited(s) for s in range(4)]
+    rows = rows.select(id_col, "_all", F.explode(F.concat(*lists)).alias("wait"))
+    return rows.where(F.size(F.filter("_all", lambda x: x == F.col("wait"))) < 4).select(id_col, "wait")

@@ -106,23 +106,6 @@ def positional_errors(a: DataFrame, b: DataFrame, *, key: str, order: list, valu
     return placed(a, "a").join(placed(b, "b"), [key, "rn"], "full").select(key, "rn", "a", "b", F.coalesce(close, F.lit(False)).alias("close"))
 
 
-def phash(grid: Column) -> Column:
-    """The 64-bit perceptual hash (16 hex digits) of a 32 x 32 grid of brightness, row by row: which of the 8 x 8 lowest
-    frequencies of its cosine transform exceed the median of the 63 other than the first."""
-    x = np.arange(32)
-    cosine = np.cos(np.pi * (2 * x[None, :] + 1) * x[:8, None] / 64)
-    cosine[0] /= np.sqrt(2)
-
-    @F.pandas_udf("string")
-    def run(g: pd.Series) -> pd.Series:
-        m = np.stack(g.to_numpy()).reshape(-1, 32, 32) if len(g) else np.zeros((0, 32, 32))
-        low = (cosine @ m @ cosine.T).reshape(-1, 64)
-        bits = np.packbits(low > np.median(low[:, 1:], axis=1, keepdims=True), axis=1)
-        return pd.Series([b.tobytes().hex() for b in bits])
-
-    return run(grid)
-
-
 def assign(weights: np.ndarray) -> np.ndarray:
     """Columns of the rows of a square matrix in an assignment of largest total weight (shortest augmenting paths)."""
     n = len(weights)

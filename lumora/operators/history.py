@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from lumora.operators.shared import cut
+from lumora.operators.ordered import running_sums
 
 SAVED = "id string, score int, balances array<bigint>, rules struct<base:int,cap:int>, _corrupt string"
 
@@ -33,15 +32,7 @@ def balances_by_rules(history: DataFrame) -> DataFrame:
 
 
 def delete_and_undo(history: DataFrame, delete: Column, undo: Column, *, id_col: str, at_col: str) -> DataFrame:
-    """Delete rows, put some back, and number the rest from the newest: adds ``place``.
-
-    The numbering is a presentation order over all rows; ranges of time are written once, numbered apart and offset, so that no
-    single task sorts the whole table.
-    """
+    """Delete rows, put some back, and number the rest from the newest: adds ``place``. The numbering is a running count over ranges of
+    time, so that no single task sorts the whole table."""
     kept = history.where(~delete).unionByName(history.where(delete & undo))
-    part = kept.repartitionByRange(F.desc(at_col), F.desc(id_col)).sortWithinPartitions(F.desc(at_col), F.desc(id_col)).withColumn("_p", F.spark_partition_id()).withColumn("_m", F.monotonically_increasing_id())
-    part = cut(part, "ranges")  # the ranges are read twice, and a second sampling may choose others
-    inner = part.withColumn("_n", F.row_number().over(Window.partitionBy("_p").orderBy("_m")))
-    sizes = inner.groupBy("_p").agg(F.count("*").alias("_c"))
-    before = sizes.withColumn("_before", F.coalesce(F.sum("_c").over(Window.partitionBy(F.lit(0)).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return inner.join(F.broadcast(before.select("_p", "_before")), "_p").withColumn("place", F.col("_before") + F.col("_n")).drop("_p", "_m", "_n", "_before")
+    return running_sums(kept, by=[], order=[F.desc(at_col), F.desc(id_col)], sums={"place": F.lit(1)})

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lumora.operators.audit import conflicts, exact_duplicates, group_ids, grouped, hamming_links, keep_first, leaking_groups, promote, shared_key_links
+from lumora.operators.audit import conflicts, exact_duplicates, group_ids, grouped, keep_first, leaking_groups, promote, shared_key_links
+from lumora.operators.fingerprints import hamming_links
 from lumora.operators.graph import cycle_nodes
+from lumora.operators.ordered import running_sums
 from lumora.plans.base import derive, derive_sql, register, table
 
 QUERIES: dict = {}
@@ -183,8 +185,9 @@ def canonical_names(spark, d):
 
 @register(QUERIES, "SELECT doc_id, source, CAST(sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS used, sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id ROWS UNBOUNDED PRECEDING) > 100000 AS over_budget FROM documents")
 def cumulative_budget(spark, d):
-    used = F.sum("n_chars").over(Window.partitionBy("source").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, 0))
-    return table(spark, d, "documents").select("doc_id", "source", used.alias("used")).withColumn("over_budget", F.col("used") > 100000)
+    rows = table(spark, d, "documents").select("doc_id", "source", "n_chars")
+    used = running_sums(rows, by=["source"], order=[F.col("doc_id")], sums={"used": F.col("n_chars")})
+    return used.select("doc_id", "source", "used", (F.col("used") > 100000).alias("over_budget"))
 
 
 @register(QUERIES, "SELECT c_nationkey, c_name FROM customer WHERE c_nationkey IN (SELECT s_nationkey FROM supplier) INTERSECT SELECT c_nationkey, c_name FROM customer WHERE c_acctbal > 5000 EXCEPT SELECT c_nationkey, c_name FROM customer WHERE c_mktsegment = 'BUILDING'")

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from lumora.functions.geometry import chroma_index, frame_issue, frame_rotation, letterbox, scan_guide, to_whole
 from lumora.operators.consensus import shed
-from lumora.operators.detections import crop_totals, detect, nms, owned, phash, positional_errors, softmax
+from lumora.operators.detections import crop_totals, detect, nms, owned, positional_errors, softmax
+from lumora.operators.fingerprints import add_phash, dhash
 from lumora.plans.base import register, table
 from lumora.plans.vision import _BOXES, _IMG, _IOU_SQL, _boxes, _images, _nms_sql, derive_sql
 
@@ -180,9 +181,29 @@ def shed_frames(spark, d):
     return shed(rows, key="user_id", order="event_id", at="ms", busy="work").select("user_id", "event_id")
 
 
-@register(QUERIES)
+# Brightnesses of a 32 x 32 grid of each vector, from products of its coordinates.
+_CELL = "embedding[y + 1]::DOUBLE * 100 + embedding[x + 33]::DOUBLE * 50 + embedding[y + 1]::DOUBLE * embedding[x + 33]::DOUBLE * 80"
+
+
+@register(QUERIES, f"""WITH cells AS (SELECT vec_id, y, x, {_CELL} AS g FROM embeddings, range(32) a(y), range(32) b(x)),
+waves AS (SELECT k, x, cos(pi() * (2 * x + 1) * k / 64) * CASE WHEN k = 0 THEN sqrt(0.5) ELSE 1 END AS w FROM range(8) a(k), range(32) b(x)),
+along AS (SELECT vec_id, y, k AS v, sum(g * w) AS g FROM cells JOIN waves USING (x) GROUP BY ALL),
+low AS (SELECT vec_id, k AS u, v, sum(g * w) AS g FROM along JOIN waves ON waves.x = along.y GROUP BY ALL),
+mid AS (SELECT vec_id, median(g) AS m FROM low WHERE u + v > 0 GROUP BY vec_id)
+SELECT vec_id, lpad(lower(hex(sum(CASE WHEN g > m THEN CAST(1 AS UBIGINT) << (63 - u * 8 - v) ELSE 0 END)::UBIGINT)), 16, '0') AS phash FROM low JOIN mid USING (vec_id) GROUP BY vec_id""")
 def phash_bits(spark, d):
     """Perceptual hashes of grids that are made of a vector's coordinates."""
+    e, cell = F.col("embedding"), F.sequence(F.lit(0), F.lit(1023))
+    at = lambda i: F.get(e, i.cast("int")).cast("double")
+    grid = F.transform(cell, lambda i: at(F.floor(i / 32)) * 100 + at(i % 32 + 32) * 50 + at(F.floor(i / 32)) * at(i % 32 + 32) * 80)
+    return add_phash(table(spark, d, "embeddings").select("vec_id", grid.alias("grid")), "grid").select("vec_id", "phash")
+
+
+@register(QUERIES, """WITH grids AS (SELECT vec_id, list_transform(range(72), lambda i: CASE WHEN i % 9 < 8 THEN embedding[i // 9 * 8 + i % 9 + 1] ELSE (embedding[i // 9 * 8 + 1] + embedding[(i // 9 * 8 + 63) % 64 + 1]) / 2 END) AS g FROM embeddings)
+SELECT vec_id, lpad(lower(hex(CAST(list_sum(list_transform(range(64), lambda i: CASE WHEN g[i // 8 * 9 + i % 8 + 1] > g[i // 8 * 9 + i % 8 + 2] THEN CAST(1 AS UBIGINT) << (63 - i) ELSE 0 END)) AS UBIGINT))), 16, '0') AS dhash FROM grids""")
+def dhash_bits(spark, d):
+    """Difference hashes of grids of 8 rows of 9 cells: eight coordinates, and the mean of two others."""
     e = F.col("embedding")
-    grid = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(31)), lambda y: F.transform(F.sequence(F.lit(0), F.lit(31)), lambda x: F.get(e, y).cast("double") * 100 + F.get(e, x + 32).cast("double") * 50 + F.get(e, y).cast("double") * F.get(e, x).cast("double") * 80)))
-    return table(spark, d, "embeddings").select("vec_id", phash(grid).alias("phash"))
+    row, col = lambda i: F.floor(i / 9).cast("int"), lambda i: (i % 9).cast("int")
+    grid = F.transform(F.sequence(F.lit(0), F.lit(71)), lambda i: F.when(col(i) < 8, F.get(e, row(i) * 8 + col(i))).otherwise(((F.get(e, row(i) * 8) + F.get(e, (row(i) * 8 + 63) % 64)) / 2).cast("float")))
+    return table(spark, d, "embeddings").select("vec_id", dhash(grid).alias("dhash"))

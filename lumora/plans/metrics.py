@@ -7,6 +7,7 @@ from pyspark.sql.window import Window
 
 from lumora.functions.metrics import Z95, fitness, ratio, wilson, zero_failure_bound
 from lumora.operators.audit import weights_by_rarity
+from lumora.operators.ordered import percentiles
 from lumora.plans.base import register, table
 
 QUERIES: dict = {}
@@ -92,13 +93,15 @@ def selective_metrics(spark, d):
 
 @register(QUERIES, "SELECT event_type, count(*) AS n, round(quantile_cont(value, 0.5), 6) AS median, round(quantile_cont(value, 0.95), 6) AS p95 FROM events GROUP BY event_type")
 def latency_percentiles(spark, d):
-    return table(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.expr("percentile(value, 0.5D)"), 6).alias("median"), F.round(F.expr("percentile(value, 0.95D)"), 6).alias("p95"))
+    got = percentiles(table(spark, d, "events"), by="event_type", value="value", shares={"median": 0.5, "p95": 0.95})
+    return got.select("event_type", "n", F.round("median", 6).alias("median"), F.round("p95", 6).alias("p95"))
 
 
 @register(QUERIES, "WITH u AS (SELECT user_id, event_type, quantile_cont(value, 0.5) AS m FROM events GROUP BY ALL) SELECT event_type, round(quantile_cont(m, 0.5), 6) AS median_of_medians, round(quantile_cont(m, 0.95), 6) AS p95_of_medians FROM u GROUP BY event_type")
 def latency_two_level(spark, d):
     u = table(spark, d, "events").groupBy("user_id", "event_type").agg(F.expr("percentile(value, 0.5D)").alias("m"))
-    return u.groupBy("event_type").agg(F.round(F.expr("percentile(m, 0.5D)"), 6).alias("median_of_medians"), F.round(F.expr("percentile(m, 0.95D)"), 6).alias("p95_of_medians"))
+    got = percentiles(u, by="event_type", value="m", shares={"median": 0.5, "p95": 0.95})
+    return got.select("event_type", F.round("median", 6).alias("median_of_medians"), F.round("p95", 6).alias("p95_of_medians"))
 
 
 @register(QUERIES, "WITH c AS (SELECT label, count(*) AS n FROM embeddings GROUP BY label) SELECT label, n, round((1 / sqrt(n)) / avg(1 / sqrt(n)) OVER (), 6) AS weight FROM c")

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lumora.operators.audit import grouped, near_links
+from lumora.operators.audit import grouped
+from lumora.operators.fingerprints import near_links
 from lumora.operators.manifest import EXPOSURES, REQUIRED, SPLITS, UPSTREAM, assign_groups, canonical_hash, closed_fields, consume, eligible, manifest_rollup, record_violations, split_violations, verify_files
 from lumora.plans.audits import _ROOTS, _fingerprints, _near
 from lumora.plans.base import register, table
@@ -151,9 +152,10 @@ _BITS = "list_sum(list_transform(range({n}), lambda i: CASE WHEN embedding[i + {
 
 @register(QUERIES, f"""WITH f AS (SELECT vec_id, {_BITS.format(n=14, a=1, b=2)} AS dh, {_BITS.format(n=20, a=20, b=21)} AS ph, CAST(100 + label AS DOUBLE) / 100 AS ratio, [vec_id % 7 * 3, vec_id % 5 * 2, label] AS rgb FROM embeddings),
 p AS (SELECT a.vec_id AS u, b.vec_id AS v, bit_count(xor(a.dh, b.dh)) AS d1, bit_count(xor(a.ph, b.ph)) AS d2, abs(b.ratio / a.ratio - 1) AS da, (abs(a.rgb[1] - b.rgb[1]) + abs(a.rgb[2] - b.rgb[2]) + abs(a.rgb[3] - b.rgb[3])) / 3.0 AS mae FROM f a JOIN f b ON a.vec_id < b.vec_id),
-c AS (SELECT dh, min(vec_id) AS rep FROM f GROUP BY dh)
+c AS (SELECT dh, min(vec_id) AS rep FROM f GROUP BY dh), k AS (SELECT dh, ph, ratio, rgb, min(vec_id) AS lo FROM f GROUP BY ALL),
+m AS (SELECT vec_id, lo FROM f JOIN k ON f.dh = k.dh AND f.ph = k.ph AND f.ratio = k.ratio AND f.rgb = k.rgb)
 SELECT u, v, 'dhash' AS reason FROM p WHERE d1 = 1 AND u IN (SELECT rep FROM c) AND v IN (SELECT rep FROM c) UNION ALL SELECT rep, vec_id, 'dhash' FROM f JOIN c USING (dh) WHERE vec_id <> rep
-UNION ALL SELECT u, v, 'phash_mae' FROM p WHERE d1 > 1 AND d2 <= 2 AND da <= 0.05 AND mae <= 4.0""")
+UNION ALL SELECT DISTINCT least(a.lo, b.lo), greatest(a.lo, b.lo), 'phash_mae' FROM p JOIN m a ON a.vec_id = p.u JOIN m b ON b.vec_id = p.v WHERE d1 > 1 AND d2 <= 2 AND da <= 0.05 AND mae <= 4.0""")
 def near_link_reasons(spark, d):
     """Near duplicates by either rule, with the first one that holds."""
     e = F.col("embedding")

@@ -223,12 +223,3 @@ def row_angles(spark, d):
     rows = _boxes(spark, d).select("image_id", "anchor", ((500.0 + place * 3000) / 1000).alias("cx"), (y / 600).alias("cy"), (c("b") - c("t")).alias("h"))
     box = F.struct(c("cx").alias("l"), (c("cy") - c("h") / 2).alias("t"), c("cx").alias("r"), (c("cy") + c("h") / 2).alias("b"))
     return rows.groupBy("image_id").agg(F.collect_list(box).alias("boxes")).select("image_id", F.round(row_angle(c("boxes"), F.lit(1000.0), F.lit(600.0)), 6).alias("angle"))
-
-
-@register(QUERIES, "SELECT vec_id, list_sum(list_transform(range(16), lambda i: CASE WHEN embedding[i + 1] > embedding[i + 2] THEN 1 << (15 - i) ELSE 0 END))::BIGINT AS dhash FROM embeddings")
-def dhash_bits(spark, d):
-    e = F.col("embedding")
-    bits = F.aggregate(F.sequence(F.lit(0), F.lit(15)), F.lit(0).cast("bigint"), lambda s, i: F.shiftleft(s, 1).bitwiseOR(F.when(F.get(e, i) > F.get(e, i + 1), 1).otherwise(0).cast("bigint")))
-    return table(spark, d, "embeddings").select("vec_id", bits.alias("dhash"))
-
-

@@ -8,7 +8,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lumora.operators.detections import match_boxes, phash, positional_errors
+from lumora.operators.detections import match_boxes, positional_errors
+from lumora.operators.fingerprints import add_phash, dhash, hash_bits
 from lumora.operators.manifest import assign_groups, canonical_hash, check_lock, make_lock, record_violations
 from lumora.sources.writers import append_register, recover_history, replace_history, write_by_split
 
@@ -64,13 +65,28 @@ def test_manifest_hash_and_lock(spark):
 def test_phash(spark):
     rng = np.random.default_rng(1)
     grids = [rng.random(1024) * 255 for _ in range(5)]
-    got = [r[0] for r in spark.createDataFrame([(g.tolist(),) for g in grids], "g array<double>").select(phash(F.col("g"))).collect()]
+    rows = [(i, g.tolist()) for i, g in enumerate(grids)] + [(9, None), (9, [1.0]), (9, [None] * 1024)]
+    frame = add_phash(spark.createDataFrame(rows, "i int, g array<double>"), "g")
+    got = [r["phash"] for r in frame.where("i < 9").orderBy("i").collect()]
+    assert [r["phash"] for r in frame.where("i = 9").collect()] == [None] * 3 and frame.orderBy("i").collect() == frame.orderBy("i").collect()
     for g, h in zip(grids, got, strict=True):
         g = g.reshape(32, 32)
         low = [sum(g[y, x] * np.cos(np.pi * (2 * y + 1) * u / 64) * np.cos(np.pi * (2 * x + 1) * v / 64) for y in range(32) for x in range(32)) * (0.5**0.5 if not u else 1) * (0.5**0.5 if not v else 1) for u in range(8) for v in range(8)]
         assert int(h, 16) == sum(int(x > np.median(low[1:])) << (63 - i) for i, x in enumerate(low))
 
 
+def test_dhash(spark):
+    rng = np.random.default_rng(2)
+    grids = [rng.integers(0, 9, 72) for _ in range(20)]
+    got = spark.createDataFrame([(i, g.tolist()) for i, g in enumerate(grids)], "i int, g array<int>").select("i", dhash(F.col("g")).alias("h")).withColumn("bits", hash_bits(F.col("h"))).orderBy("i").collect()
+    for g, r in zip(grids, got, strict=True):
+        value = 0
+        for y in range(8):
+            for x in range(8):
+                value = value << 1 | int(g[y * 9 + x] > g[y * 9 + x + 1])
+        assert r["h"] == f"{value:016x}" and r["bits"] % (1 << 64) == value
+
+
 def test_matching_over_batches(spark):
     """Images that go on in the next batch are solved as one."""
     def row(i, x, c=0):

@@ -9,9 +9,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from lumora.functions.metrics import wilson, zero_failure_bound
-from lumora.operators.audit import assign_split, hamming_links, keep_first, near_links, unit_value
+from lumora.operators.audit import assign_split, keep_first, unit_value
 from lumora.operators.consensus import DECISION, FRAME, Policy, State, by_center, can_confirm, frame_issue, gate_batch
 from lumora.operators.detections import assign, best_class, match_boxes, nms
+from lumora.operators.fingerprints import blocks_kept, hamming_links, near_links, near_pairs
 from lumora.operators.graph import components, cycle_nodes
 from lumora.streaming.gate import ROCKSDB, gate_stream
 
@@ -172,3 +173,33 @@ def test_gate_timer(spark, tmp_path):
         assert sorted(got) == ["collecting"] * 3 + ["stale"]
     finally:
         spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+
+
+def test_index_stays_flat(spark):
+    """Candidates a row, before their distance is looked at, for random fingerprints and 100 times as many; and every pair once."""
+    def candidates(n):
+        rows = spark.range(n).select(F.col("id"), F.xxhash64("id").alias("bits"))
+        k = blocks_kept(n, 4, 64)
+        ends = [64 * i // (4 + k) for i in range(5 + k)]
+        masks = [((1 << e) - 1) ^ ((1 << b) - 1) for b, e in zip(ends, ends[1:], strict=False)]
+        keys = [sum(masks[i] for i in c) for c in itertools.combinations(range(4 + k), k)]
+        index = rows.select(F.explode(F.array(*[F.xxhash64(F.lit(i), F.col("bits").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m))) for i, m in enumerate(keys)])).alias("k"))
+        return index.groupBy("k").count().agg(F.sum(F.col("count") * (F.col("count") - 1)) / 2 / n).first()[0]
+
+    assert candidates(200_000) < 10 and candidates(2_000) < 10
+    rnd = random.Random(4)
+    bits = [rnd.getrandbits(24) - (1 << 23) for _ in range(60)]
+    bits = [b ^ (1 << rnd.randrange(24)) ^ (1 << rnd.randrange(24)) for b in bits for _ in range(3)]
+    rows = spark.createDataFrame(list(enumerate(bits)), "id int, bits bigint").withColumn("bits", F.col("bits").bitwiseAND(F.lit((1 << 24) - 1)))
+    want = sorted((i, j) for (i, a), (j, b) in itertools.combinations(enumerate(bits), 2) if ((a ^ b) & ((1 << 24) - 1)).bit_count() <= 3)
+    for kept in (1, 2, 3, 5):
+        got = near_pairs(rows, bits_col="bits", id_col="id", distance=3, width=24, kept=kept).select("a.id", "b.id").collect()
+        assert want and sorted(map(tuple, got)) == want
+
+
+def test_near_links_of_copies(spark):
+    """Copies are linked to their class alone; aspects are compared in the order of ids, whichever row of a class is the earlier one."""
+    rows = [(i, None, 7, 100.0, 100.0, [1, 2]) for i in range(50)] + [(50, 0, 7, 105.1, 100.0, [1, 2]), (-1, 0, 7, 105.1, 100.0, [1, 2])]
+    df = spark.createDataFrame(rows, "id bigint, dh bigint, ph bigint, w double, h double, rgb array<int>")
+    got = {(r["u"], r["v"]) for r in near_links(df, id_col="id", dhash_col="dh", phash_col="ph", width_col="w", height_col="h", rgb_col="rgb").where("reason = 'phash_mae'").collect()}
+    assert got == {(0, i) for i in range(1, 50)} | {(-1, 0)}
