@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumora.llm.automaton import Lexicon, compile_lexicon
-from lumora.llm.common import give_back, long_batches, shared_dir, small_batches
+from lumora.llm.common import give_back, long_batches, out_schema, release_after, shared_dir, small_batches
 
 #: Chunks that a task remembers before it forgets all of them, some 250 bytes each, 400 with decoded texts; those it counts before it passes them on.
 MEMO, COUNTED = 300_000, 200_000
@@ -196,11 +196,12 @@ def count_words(docs: DataFrame, tok: Tokenizer, text_col: str = "text") -> Data
                 chunks.clear()
         yield flush(chunks, codec)
 
-    return docs.select(text_col).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return docs.select(text_col).mapInArrow(release_after(run), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def build_lexicon(docs: DataFrame, tok: Tokenizer, *, text_col: str = "text", most: int = 1 << 16, least_count: int = 8) -> bytes:
-    """Compile the ``most`` most frequent words that occur at least ``least_count`` times. A bound on the file, not on what is encoded."""
+    """Compile the ``most`` most frequent words that occur at least ``least_count`` times, of equally frequent ones the first by their
+    bytes. A bound on the file, not on what is encoded; without texts it is empty."""
     top = count_words(docs, tok, text_col).where(F.col("n") >= least_count).orderBy(F.desc("n"), "word").limit(most).select("word").toArrow()
     codec = Codec(tok)
     out = compile_lexicon({w: codec.merge(w) for w in map(bytes, top["word"].to_pylist())})
@@ -227,7 +228,11 @@ def share_file(spark: SparkSession, data: bytes, name: str) -> str:
 
 def encode(docs: DataFrame, tok: Tokenizer, lexicon: bytes | None, *, text_col: str = "text", outputs: tuple[str, ...] = ("ids",), keep: tuple[str, ...] = ("doc_id",), memo_size: int = MEMO) -> DataFrame:
     """The columns of ``keep`` and, as asked for, of each whole text: ``ids`` array<int>, ``n_tokens`` long,
-    ``ids_text`` (decimal ids joined by a space) and ``decoded`` (the text decoded from the ids)."""
+    ``ids_text`` (decimal ids joined by a space) and ``decoded`` (the text decoded from the ids).
+
+    A null text is an empty one; rows that repeat are encoded each; very long texts are encoded whole; an empty table gives an empty
+    result. A kept column with the name of an output is an error (ValueError); other columns may have any name.
+    """
     spark = docs.sparkSession
     small_batches(spark)
     kinds = {"ids": pa.list_(pa.int32()), "n_tokens": pa.int64(), "ids_text": pa.string(), "decoded": pa.string()}
@@ -235,7 +240,7 @@ def encode(docs: DataFrame, tok: Tokenizer, lexicon: bytes | None, *, text_col:
     held = spark.sparkContext.broadcast(tok)
     name = share_file(spark, lexicon, "lexicon") if lexicon else None
     rows = docs.select(*keep, F.col(text_col).alias("_bpe_text"))
-    schema = rows.select(*keep, *[F.lit(None).cast(sql[x]).alias(x) for x in outputs]).schema
+    schema = out_schema(docs, keep, {x: F.lit(None).cast(sql[x]) for x in outputs})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(held.value, Lexicon.map(SparkFiles.get(name)) if name else None)
@@ -277,7 +282,7 @@ def encode(docs: DataFrame, tok: Tokenizer, lexicon: bytes | None, *, text_col:
                     out[x] = pa.array(rows_of, kinds[x])
             yield pa.record_batch([*b.columns[:-1], *[out[x].cast(kinds[x]) for x in outputs]], names=[*b.schema.names[:-1], *outputs])
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(release_after(run), schema)
 
 
 def decode(rows: DataFrame, tok: Tokenizer, *, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
