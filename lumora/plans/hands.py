@@ -238,22 +238,71 @@ def rule_violation_list(spark, d):
     return _odd(spark, d).select("hand_id", F.array_join(rule_violations(), ",").alias("violations"))
 
 
-# Saved hands as JSON lines: some are broken, some have wrong balances.
-_SAVED = {
-    "id": "event_id", "at": "CAST(ts AS VARCHAR(30))",
-    "doc": """CASE WHEN event_id % 13 = 0 THEN concat('{"id":', CAST(event_id AS VARCHAR(20))) ELSE concat('{"id":"h', CAST(event_id AS VARCHAR(20)), '","score":', CAST(event_id % 11 AS VARCHAR(9)), ',"balances":[', CAST(user_id AS VARCHAR(20)), ',-', CAST(user_id AS VARCHAR(20)), ',0,', CASE WHEN event_id % 7 = 0 THEN '1' ELSE '0' END, '],"rules":{"cap":', CAST(user_id % 3 + 8 AS VARCHAR(9)), ',"base":', CAST(user_id % 2 AS VARCHAR(9)), '}}') END""",
-}
-
-
-@register(QUERIES, f"""
-WITH s AS ({derive_sql('events', _SAVED)}) SELECT id, CASE WHEN id % 13 = 0 THEN 'unreadable' WHEN id % 7 = 0 THEN 'not_zero_sum' WHEN id % 11 > 10 THEN 'score_range' ELSE 'ok' END AS state FROM s""")
+# Saved hands as JSON lines: of 31 in a row, some are fine and each of the others is broken in one way.
+def _doc() -> str:
+    """The text of a saved hand as an expression that both engines read; w is the winner, a what each other player pays, m the way it is broken."""
+    w, a, m = "CAST(event_id % 4 AS INT)", "(1 + user_id % 5)", "event_id % 31"
+    text = lambda e: f"CAST({e} AS VARCHAR(20))"
+    case = lambda *ways, other: "CASE " + " ".join(f"WHEN {m} = {k} THEN {v}" for k, v in ways) + f" ELSE {other} END"
+    other = lambda k: text(f"(event_id + {k}) % 4")
+    transfer = lambda k: f"""concat('{{"from":', {other(k)}, ',"to":', {text(w)}, ',"amount":', {text(a)}, ',"reason":"win"}}')"""
+    odd = lambda source, to, amount: f"""concat('{{"from":{source},"to":', {to}, ',"amount":{amount},"reason":"odd"}}')"""
+    balance = lambda i: f"CASE WHEN {w} = {i} THEN {text(f'3 * {a}')} ELSE {text(f'0 - {a}')} END"
+    parts = [
+        "'{\"id\":\"'", case((2, "''"), other=f"concat('h', {text('event_id')})"), "'\",\"date\":\"'", case((3, "'2024-05-01'"), (4, "'yesterday at noon'"), other="'2024-05-01T10:30:00.000'"),
+        "'\",\"hand\":{\"concealed\":[0,0,0,9,9,9,18,18,18,27,27,27,'", case((7, "'40'"), (30, "'null'"), other="'31'"), "',31],\"melds\":['", case((25, "'{\"kind\":\"pong\",\"tiles\":[1,1,1]}'"), other="''"),
+        "'],\"flowers\":[],\"winningTile\":31,\"source\":'", case((8, "'null'"), other="'\"selfDraw\"'"), "',\"winner\":'", case((6, "'7'"), other=text(w)),
+        "',\"discarder\":0,\"dealer\":1,\"roundWind\":2,\"continuations\":0,\"lastTile\":\"none\",\"replacement\":\"none\",\"kongChain\":0,\"liablePlayer\":null,\"heavenly\":false,\"earthly\":false,\"circumstancesConfirmed\":'",
+        case((9, "'false'"), other="'true'"), "'},\"rules\":{\"family\":\"'", case((23, "'sichuan'"), other="'hongKong'"), "'\",\"minimum\":'", case((5, "'11'"), other="'3'"), "',\"cap\":'", text("user_id % 3 + 8"),
+        "',\"flowers\":true,\"base\":'", text("user_id % 2"), "',\"unit\":1,\"payment\":\"'", case((24, "'later'"), other="'preset'"), "'\"'", case((27, "''"), other="',\"overrides\":{\"dragon\":2}'"),
+        "'},\"result\":{\"score\":'", case((11, "'-1'"), (12, "'9'"), other="'8'"), "',\"rawScore\":8,\"total\":'", case((19, "'1'"), (15, text(f"3 * {a} - 5")), other=text(f"3 * {a}")), "',\"engineVersion\":\"'", case((10, "''"), other="'1'"),
+        "'\",\"balances\":['", balance(0), "','", balance(1), "','", balance(2), case((13, "''"), (14, "',\"x\"'"), (20, "',77'"), other=f"concat(',', {balance(3)})"),
+        "'],\"patterns\":[{\"label\":\"p\",\"value\":'", case((21, "'-1'"), other="'8'"), case((22, "''"), other="',\"reason\":\"r\"'"), "'}]'",
+        case((26, "''"), other="concat(',\"transfers\":[', " + ", ',', ".join(transfer(k) for k in (1, 2, 3)) + ", " + case((15, f"concat(',', {odd('0', text(w), -5)})"), (16, f"concat(',', {odd(0, text(f'({w} + 1) % 4'), 0)})"), (17, f"""concat(',{{"from":', {text(w)}, ',"to":', {text(w)}, ',"amount":0,"reason":"odd"}}')"""), (18, f"concat(',', {odd(4, text(w), 0)})"), (29, f"""concat(',{{"from":', {other(1)}, ',"to":', {text(w)}, ',"amount":0}}')"""), other="''") + ", ']')"),
+        "'}}'",
+    ]
+    whole = f"concat({', '.join(parts)})"
+    return f"CASE WHEN {m} = 1 THEN concat('{{\"id\":', {text('event_id')}) WHEN {m} = 28 THEN NULL ELSE {whole} END"
+
+
+_SAVED = {"id": "event_id", "doc": _doc()}
+_J = "json_extract(doc, '$.{}')"
+
+
+def _is(path: str, *kinds: str) -> str:
+    return f"coalesce(json_type(doc, '$.{path}') IN ({', '.join(repr(k) for k in kinds)}), false)"
+
+
+_INT, _STR, _LIST = ("BIGINT", "UBIGINT"), ("VARCHAR",), ("ARRAY",)
+_READABLE = " AND ".join(
+    [*[_is(f"result.{k}", *_INT) for k in ("score", "rawScore", "total")], *[_is(f"result.{k}", *_LIST) for k in ("balances", "patterns", "transfers")], _is("id", *_STR), _is("hand.melds", *_LIST),
+     "len(list_filter(list_transform(CAST(json_extract(doc, '$.result.balances') AS JSON[]), lambda x: coalesce(json_type(x), 'NULL')), lambda k: k NOT IN ('BIGINT', 'UBIGINT'))) = 0",
+     "len(list_filter(CAST(json_extract(doc, '$.hand.concealed') AS JSON[]), lambda x: coalesce(json_type(x), 'NULL') NOT IN ('BIGINT', 'UBIGINT'))) = 0",
+     "len(list_filter(CAST(json_extract(doc, '$.result.transfers') AS JSON[]), lambda t: json_extract(t, '$.from') IS NULL OR json_extract(t, '$.to') IS NULL OR json_extract(t, '$.amount') IS NULL OR json_extract(t, '$.reason') IS NULL)) = 0",
+     "len(list_filter(CAST(json_extract(doc, '$.result.patterns') AS JSON[]), lambda t: json_extract(t, '$.label') IS NULL OR json_extract(t, '$.value') IS NULL OR json_extract(t, '$.reason') IS NULL)) = 0"])
+_N = lambda path: f"CAST(json_extract(doc, '$.{path}') AS BIGINT)"
+_S = lambda path: f"json_extract_string(doc, '$.{path}')"
+_STATES = f"""s AS ({derive_sql('events', _SAVED)}), k AS (SELECT id, CASE WHEN coalesce(json_valid(doc), false) THEN doc ELSE '{{}}' END AS doc FROM s), r AS (SELECT *, coalesce({_READABLE}, false) AS readable FROM k),
+moves AS (SELECT id, doc, unnest(CAST(json_extract(doc, '$.result.transfers') AS JSON[])) AS t FROM r WHERE readable),
+moved AS (SELECT id, CAST(json_extract(t, '$.from') AS BIGINT) AS src, CAST(json_extract(t, '$.to') AS BIGINT) AS dst, CAST(json_extract(t, '$.amount') AS BIGINT) AS x, {_N('hand.winner')} AS w FROM moves),
+booked AS (SELECT id, bool_or(src NOT BETWEEN 0 AND 3 OR dst <> w OR src = dst OR x < 0) AS bad, CAST(sum(x) AS BIGINT) AS total,
+  [{', '.join(f"CAST(sum(CASE WHEN dst = {p} THEN x ELSE 0 END - CASE WHEN src = {p} THEN x ELSE 0 END) AS BIGINT)" for p in range(4))}] AS held FROM moved GROUP BY id),
+states AS (SELECT r.id, r.doc, CASE WHEN NOT readable THEN 'unreadable'
+  WHEN {_S('rules.family')} NOT IN ('hongKong', 'taiwanese') OR {_S('rules.payment')} NOT IN ('preset', 'fullEach', 'splitTotal') OR {_S('hand.melds[0].kind')} NOT IN ('chow', 'pung', 'openKong', 'closedKong', 'addedKong') THEN 'unknown_word'
+  WHEN {_S('id')} = '' OR length({_S('date')}) < 16 OR NOT regexp_matches({_S('date')}, '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}T') THEN 'id_or_date' WHEN {_N('rules.minimum')} > {_N('rules.cap')} THEN 'rules'
+  WHEN {_N('hand.winner')} > 3 OR list_max(CAST(json_extract(doc, '$.hand.concealed') AS BIGINT[])) > 33 THEN 'hand' WHEN {_S('hand.source')} IS NULL OR {_S('hand.circumstancesConfirmed')} = 'false' THEN 'incomplete'
+  WHEN {_S('result.engineVersion')} = '' THEN 'engine_version' WHEN {_N('result.score')} < 0 OR {_N('result.total')} < 0 OR {_N('result.score')} > {_N('result.rawScore')} THEN 'score_range'
+  WHEN json_array_length(doc, '$.result.balances') <> 4 THEN 'balances' WHEN b.bad THEN 'transfer' WHEN b.total <> {_N('result.total')} THEN 'total' WHEN b.held <> CAST(json_extract(doc, '$.result.balances') AS BIGINT[]) THEN 'not_settled'
+  WHEN {_N('result.patterns[0].value')} < 0 THEN 'pattern' ELSE 'ok' END AS state FROM r LEFT JOIN booked b USING (id))"""
+
+
+@register(QUERIES, f"WITH {_STATES} SELECT id, state FROM states")
 def history_valid(spark, d):
+    """Each saved hand and the first reason why it can't be taken."""
     return parse_history(derive(table(spark, d, "events"), _SAVED)).select("id", "state")
 
 
-@register(QUERIES, f"""
-WITH s AS ({derive_sql('events', _SAVED)} WHERE event_id % 13 <> 0 AND event_id % 7 <> 0), j AS (SELECT *, json_extract(doc, '$.balances') AS b FROM s),
-p AS (SELECT json_extract_string(doc, '$.rules.base') AS base, json_extract_string(doc, '$.rules.cap') AS cap, CAST(r.range AS INT) AS player, CAST(json_extract(b, '$[' || r.range || ']') AS BIGINT) AS x FROM j, range(4) r)
+@register(QUERIES, f"""WITH {_STATES}, p AS (SELECT {_S('rules.base')} AS base, {_S('rules.cap')} AS cap, CAST(i AS INT) AS player, CAST(json_extract(doc, '$.result.balances[' || i || ']') AS BIGINT) AS x FROM states, range(4) t(i) WHERE state = 'ok')
 SELECT '{{"base":' || base || ',"cap":' || cap || '}}' AS rule_key, player, CAST(sum(x) AS BIGINT) AS balance FROM p GROUP BY ALL""")
 def history_balances_by_rules(spark, d):
     return balances_by_rules(parse_history(derive(table(spark, d, "events"), _SAVED)))

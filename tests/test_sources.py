@@ -5,8 +5,9 @@ import json
 import tarfile
 
 import pytest
+from pyspark.sql import functions as F
 
-from lumora.operators.history import parse_history
+from lumora.operators.history import encode_saved, parse_history
 from lumora.sources.readers import list_names, read_coco, read_digests, read_frame_times, read_labels, read_lines, read_numbers, read_regions, read_tar, read_yolo_labels
 from lumora.sources.writers import replace_history, write_lists, write_once, write_report
 
@@ -58,7 +59,15 @@ def test_sinks(spark, tmp_path):
     write_report(df, str(tmp_path / "r"))
     write_lists(df, str(tmp_path / "lists"), "split", "id")
     assert sorted(r["value"] for r in spark.read.text(str(tmp_path / "lists/split=train")).collect()) == ["1", "3"]
-    docs = spark.createDataFrame([(1, '{"id":"a","score":3,"balances":[1,-1,0,0],"rules":{"base":0,"cap":8}}'), (2, "{broken"), (3, None)], "id int, doc string")
+    pay = [{"from": 1, "to": 0, "amount": 2, "reason": "win"}]
+    hand = {"concealed": [0, 0, 0, 9, 9, 9, 18, 18, 18, 27, 27, 27, 31, 31], "melds": [], "flowers": [], "winningTile": 31, "source": "discard", "winner": 0, "discarder": 1, "dealer": 0, "roundWind": 0, "continuations": 0}
+    hand |= {"lastTile": "none", "replacement": "none", "kongChain": 0, "liablePlayer": None, "heavenly": False, "earthly": False, "circumstancesConfirmed": True}
+    rules = {"family": "hongKong", "minimum": 3, "cap": 10, "flowers": True, "base": 50, "unit": 1, "payment": "preset", "overrides": {}, "version": "1"}
+    result = {"score": 3, "rawScore": 3, "total": 2, "engineVersion": "1", "balances": [2, -2, 0, 0], "patterns": [], "transfers": pay}
+    saved = json.dumps({"id": "a", "date": "2024-05-01T10:30", "hand": hand, "rules": rules, "result": result})
+    docs = spark.createDataFrame([(1, saved), (2, "{broken"), (3, None)], "id int, doc string")
+    again = parse_history(docs.where("id = 1")).select(encode_saved(F.col("saved.hand"), F.col("saved.rules"), F.col("saved.result"), id=F.col("saved.id"), date=F.col("saved.date")).alias("doc")).first()["doc"]
+    assert json.loads(again) == json.loads(saved)
     h = parse_history(docs).select("id", "doc", "state")
     assert [r["state"] for r in h.orderBy("id").collect()] == ["ok", "unreadable", "unreadable"]
     replace_history(h, str(tmp_path / "h"), str(tmp_path / "q"))
