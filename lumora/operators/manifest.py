@@ -10,6 +10,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lumora.operators.fingerprints import hamming_links, hash_bits
+from lumora.operators.graph import components, cycle_nodes
+
 # The fields of a record and the words that some of them may hold.
 REQUIRED = (
     "id", "path", "source_image", "parent_capture", "session_id", "physical_tile_set", "dataset_version", "sha256", "source_sha256", "split", "exposure",
@@ -28,21 +31,32 @@ def _fails(x: Column) -> Column:
     return ~F.coalesce(x, F.lit(False))
 
 
+#: White space that a text may not begin or end with, as a class of a regular expression.
+BLANK = r"[\s\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+#: The fields by whose equal values records belong together, each in a name space of its own; both hashes are in one.
+GROUP_FIELDS, HASH_FIELDS = ("source_image", "parent_capture", "session_id", "physical_tile_set"), ("sha256", "source_sha256")
+
+
+def stripped(value: Column) -> Column:
+    """Whether a text is not empty and has no white space at its ends."""
+    return (F.length(value) > 0) & ~value.rlike(rf"\A{BLANK}|{BLANK}\z")
+
+
 def _text(name: str) -> Column:
-    return F.length(F.trim(F.col(name))) > 0
+    return stripped(F.col(name))
 
 
 def _hex(name: str, digits: int) -> Column:
-    return F.col(name).rlike(f"^[0-9a-f]{{{digits}}}$")
+    return F.col(name).rlike(rf"\A[0-9a-f]{{{digits}}}\z")
 
 
 def safe_path(path: Column) -> Column:
-    """Relative, with no empty, ``.`` or ``..`` part and no backslash."""
-    return (F.length(path) > 0) & ~path.contains("\\") & ~F.exists(F.split(path, "/"), lambda p: p.isin("", ".", ".."))
+    """Relative, with no ``..`` part and no backslash; empty and ``.`` parts of a longer path don't count."""
+    return stripped(path) & ~path.contains("\\") & ~path.startswith("/") & ~F.array_contains(F.split(path, "/"), "..") & (path != ".")
 
 
 def _distinct_texts(name: str) -> Column:
-    return F.forall(name, lambda v: F.coalesce(F.length(F.trim(v)) > 0, F.lit(False))) & (F.size(F.array_distinct(name)) == F.size(name))
+    return F.forall(name, lambda v: F.coalesce(stripped(v), F.lit(False))) & (F.size(F.array_distinct(name)) == F.size(name))
 
 
 def record_rules(columns: list[str]) -> dict[str, Column]:
@@ -64,13 +78,55 @@ def record_rules(columns: list[str]) -> dict[str, Column]:
 
 
 def record_violations(records: DataFrame) -> DataFrame:
-    """id and rule of each violation: those of single records, ids that repeat and parents that are not there."""
+    """id and rule of each violation: those of single records, ids that repeat, parents that are not there, and records on a cycle of
+    parents (or between two cycles). Runs jobs when called, for the cycles."""
     rules = F.array_compact(F.array(*[F.when(bad, F.lit(name)) for name, bad in record_rules(records.columns).items()]))
     single = records.select("id", F.explode(rules).alias("rule"))
     twice = records.groupBy("id").count().where("count > 1").select("id", F.lit("duplicate_id").alias("rule"))
     parents = records.select("id", F.explode("parent_ids").alias("parent"))
     gone = parents.join(records.select(F.col("id").alias("parent")), "parent", "left_anti").select("id", F.lit("dangling_parent").alias("rule")).distinct()
-    return single.unionByName(twice).unionByName(gone)
+    edges = parents.where("id IS NOT NULL AND parent IS NOT NULL AND id != parent").select(F.col("parent").alias("src"), F.col("id").alias("dst"))
+    loops = cycle_nodes(edges).select(F.col("node").alias("id"), F.lit("cyclic_parents").alias("rule"))
+    return single.unionByName(twice).unionByName(gone).unionByName(loops)
+
+
+def header_violations(header: DataFrame) -> DataFrame:
+    """Rules that the header of a manifest breaks: manifest_id, rule. ``header``: keys array<string>, schema_version, manifest_id, n_records."""
+    keys = F.array(*map(F.lit, ("manifest_id", "records", "schema_version")))
+    rules = [("header_keys", _fails(F.array_sort("keys") == keys)), ("schema_version", _fails(F.col("schema_version") == 1)), ("manifest_id", _fails(_text("manifest_id"))), ("no_records", _fails(F.col("n_records") > 0))]
+    return header.select("manifest_id", F.explode(F.array_compact(F.array(*[F.when(bad, F.lit(name)) for name, bad in rules]))).alias("rule"))
+
+
+def record_links(records: DataFrame, *, near_distance: int = 4) -> DataFrame:
+    """Links (u, v, reason) between records by all their relations: equal values of one of ``GROUP_FIELDS``, any two of ``HASH_FIELDS`` equal,
+    a shared near-duplicate cluster, a parent, dHashes of at most ``near_distance`` bits apart. Nulls link nothing.
+
+    A value is a node of its own: it links each of its records to the smallest one, so a value that many records share gives as
+    many links and not their pairs. The minimum is partial before its shuffle; beyond that a value's records are looked up by a join
+    that Spark may split."""
+    if not 0 <= near_distance < 64:
+        raise ValueError("the distance must be in 0..63")
+    spaces = [(k, F.array(k)) for k in GROUP_FIELDS] + [("hash", F.array(*HASH_FIELDS)), ("near_cluster", F.col("near_duplicate_clusters"))]
+    keys = F.flatten(F.array(*[_spaced(name, values) for name, values in spaces]))
+    keyed = records.select(F.col("id").alias("v"), F.explode(F.array_distinct(keys)).alias("k")).where("k.value IS NOT NULL").select("v", "k.space", "k.value")
+    first = keyed.groupBy("space", "value").agg(F.min("v").alias("u"))
+    shared = keyed.join(first, ["space", "value"]).where("u != v").select("u", "v", F.col("space").alias("reason"))
+    parents = records.select(F.explode("parent_ids").alias("p"), "id").where("p IS NOT NULL AND p != id").select(F.least("p", "id").alias("u"), F.greatest("p", "id").alias("v"), F.lit("parent").alias("reason"))
+    out = shared.unionByName(parents)
+    if "dhash64" in records.columns:
+        near = hamming_links(records.select("id", hash_bits(F.col("dhash64")).alias("bits")), id_col="id", bits_col="bits", distance=near_distance)
+        out = out.unionByName(near.select("u", "v", F.lit("near_hash").alias("reason")))
+    return out.distinct()
+
+
+def _spaced(name: str, values: Column) -> Column:
+    return F.transform(values, lambda x: F.struct(F.lit(name).alias("space"), x.alias("value")))
+
+
+def manifest_components(records: DataFrame, *, near_distance: int = 4) -> DataFrame:
+    """The records with ``root``: the smallest id that all relations of ``record_links``, taken together, reach."""
+    roots = components(record_links(records, near_distance=near_distance)).withColumnRenamed("u", "id")
+    return records.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
 
 
 def closed_fields(keys: Column) -> Column:
@@ -145,9 +201,28 @@ def manifest_rollup(records: DataFrame, *, root: str) -> DataFrame:
     return one.unionByName(by_split).unionByName(first)
 
 
+def record_json(columns: list[str]) -> Column:
+    """A record as JSON: keys and the two lists sorted, optional fields that are null left out."""
+    quoted = lambda k: F.regexp_extract(F.to_json(F.array(F.col(k))), r"(?s)\A\[(.*)\]\z", 1)
+    parts = []
+    for k in sorted(columns):
+        value = F.to_json(F.array_sort(k)) if k in ("parent_ids", "near_duplicate_clusters") else F.coalesce(quoted(k), F.lit("null"))
+        pair = F.concat(F.lit(f'"{k}":'), value)
+        parts.append(F.when(F.col(k).isNotNull(), pair) if k in OPTIONAL else pair)
+    return F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}"))
+
+
+def manifest_digest(records: DataFrame, manifest_id: str, digits: int = 4) -> str:
+    """A SHA-256 of the manifest that many tasks work out: of each record, of the sorted hashes of the records whose ids' hashes begin with
+    the same ``digits`` hexadecimal digits, and of those ``16 ** digits`` hashes at most in order, which the driver gets."""
+    rows = records.select(F.substring(F.sha2("id", 256), 1, digits).alias("bucket"), F.sha2(record_json(records.columns), 256).alias("h"))
+    by = rows.groupBy("bucket").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256).alias("h")).orderBy("bucket").collect()
+    return hashlib.sha256("\n".join([manifest_id, *(f"{r['bucket']}:{r['h']}" for r in by)]).encode()).hexdigest()
+
+
 def canonical_hash(records: DataFrame, manifest_id: str) -> str:
-    """SHA-256 of the manifest as JSON: records by id, keys and the two lists of a record sorted, absent optional fields left
-    out. One task reads the sorted records as a stream, so no more than a batch is held."""
+    """SHA-256 of the whole manifest as one JSON text, for exchange with tools that hash that text: records by id, written as
+    ``record_json`` does. A hash of one text is one sequence: a single task reads the sorted records as a stream. ``manifest_digest`` scales."""
     columns = sorted(records.columns)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

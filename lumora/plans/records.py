@@ -7,7 +7,7 @@ from pyspark.sql.window import Window
 
 from lumora.operators.audit import grouped
 from lumora.operators.fingerprints import near_links
-from lumora.operators.manifest import EXPOSURES, REQUIRED, SPLITS, UPSTREAM, assign_groups, canonical_hash, closed_fields, consume, eligible, manifest_rollup, record_violations, split_violations, verify_files
+from lumora.operators.manifest import EXPOSURES, REQUIRED, SPLITS, UPSTREAM, assign_groups, closed_fields, consume, eligible, header_violations, manifest_components, manifest_digest, manifest_rollup, record_links, record_violations, split_violations, verify_files
 from lumora.plans.audits import _ROOTS, _fingerprints, _near
 from lumora.plans.base import register, table
 
@@ -15,16 +15,16 @@ QUERIES: dict = {}
 
 # Records of a manifest, one for each vector; some break a rule. Spark and DuckDB read the same expressions.
 _RECORD = {
-    "id": "concat('r', CAST(vec_id AS VARCHAR(20)))", "path": "CASE WHEN vec_id % 41 = 0 THEN 'a/../b' WHEN vec_id % 43 = 0 THEN '/abs' ELSE concat('img/', CAST(vec_id AS VARCHAR(20)), '.png') END",
-    "source_image": "CASE WHEN vec_id % 47 = 0 THEN ' ' ELSE concat('s', CAST(label AS VARCHAR(20))) END", "parent_capture": "CASE WHEN vec_id % 3 > 0 THEN 'cap' WHEN vec_id % 53 = 0 THEN 'Unknown' END",
+    "id": "concat('r', CAST(vec_id AS VARCHAR(20)))", "path": "CASE WHEN vec_id % 41 = 0 THEN 'a/../b' WHEN vec_id % 43 = 0 THEN '/abs' WHEN vec_id % 73 = 0 THEN './a//b/' WHEN vec_id % 79 = 0 THEN '.' WHEN vec_id % 83 = 0 THEN concat('a', chr(92), 'b') WHEN vec_id % 89 = 0 THEN 'a ' ELSE concat('img/', CAST(vec_id AS VARCHAR(20)), '.png') END",
+    "source_image": "CASE WHEN vec_id % 47 = 0 THEN ' ' WHEN vec_id % 97 = 0 THEN concat('s', chr(9)) ELSE concat('s', CAST(label AS VARCHAR(20))) END", "parent_capture": "CASE WHEN vec_id % 3 > 0 THEN 'cap' WHEN vec_id % 53 = 0 THEN 'Unknown' END",
     "session_id": "CASE WHEN vec_id % 5 > 0 THEN 'ses' END", "physical_tile_set": "CASE WHEN vec_id % 7 > 0 THEN 'set' END", "dataset_version": "'v1'",
-    "sha256": "CASE WHEN vec_id % 59 = 0 THEN 'zz' ELSE sha256(CAST(vec_id AS VARCHAR(20))) END", "source_sha256": "sha256(CAST(label AS VARCHAR(20)))",
+    "sha256": "CASE WHEN vec_id % 59 = 0 THEN 'zz' WHEN vec_id % 101 = 0 THEN concat(sha256(CAST(vec_id AS VARCHAR(20))), chr(10)) ELSE sha256(CAST(vec_id AS VARCHAR(20))) END", "source_sha256": "sha256(CAST(label AS VARCHAR(20)))",
     "split": "CASE WHEN vec_id % 61 = 0 THEN 'bogus' WHEN vec_id % 10 = 0 THEN 'train' WHEN vec_id % 10 = 1 THEN 'holdout' WHEN vec_id % 10 = 2 THEN 'dev' ELSE 'unassigned' END",
     "exposure": "CASE WHEN vec_id % 11 = 0 THEN 'training' WHEN vec_id % 13 = 0 THEN 'development' ELSE 'unexposed' END",
     "upstream_training_status": "CASE WHEN vec_id % 17 = 0 THEN 'known_in_training' WHEN vec_id % 19 = 0 THEN 'verified_disjoint' ELSE 'unknown' END",
     "upstream_evidence": "CASE WHEN vec_id % 38 = 0 THEN 'letter' END", "dhash64": "CASE WHEN vec_id % 23 = 0 THEN NULL WHEN vec_id % 67 = 0 THEN 'xyz' ELSE substr(sha256(CAST(vec_id AS VARCHAR(20))), 1, 16) END",
     "annotation_path": "CASE WHEN vec_id % 2 = 0 THEN 'ann/a.json' END", "annotation_sha256": "CASE WHEN vec_id % 2 = 0 AND vec_id % 71 > 0 THEN sha256('a') END",
-    "p1": "CASE WHEN vec_id % 29 = 0 THEN concat('r', CAST(vec_id AS VARCHAR(20))) WHEN vec_id % 31 = 0 THEN 'gone' WHEN vec_id % 4 = 0 AND vec_id > 0 THEN concat('r', CAST(vec_id - 1 AS VARCHAR(20))) END",
+    "p1": "CASE WHEN vec_id % 29 = 0 THEN concat('r', CAST(vec_id AS VARCHAR(20))) WHEN vec_id % 31 = 0 THEN 'gone' WHEN vec_id % 103 = 1 THEN concat('r', CAST(vec_id + 1 AS VARCHAR(20))) WHEN vec_id % 103 = 2 THEN concat('r', CAST(vec_id - 1 AS VARCHAR(20))) WHEN vec_id % 4 = 0 AND vec_id > 0 THEN concat('r', CAST(vec_id - 1 AS VARCHAR(20))) END",
 }
 _REC_SQL = "SELECT vec_id, " + ", ".join(f"{v} AS {k}" for k, v in _RECORD.items()) + " FROM embeddings"
 
@@ -39,11 +39,11 @@ def _records(spark, d):
 
 
 _RULES_SQL = """
-CASE WHEN length(trim(source_image)) = 0 THEN 'invalid_source_image' END, CASE WHEN lower(parent_capture) = 'unknown' THEN 'unknown_parent_capture_not_null' END,
-CASE WHEN path LIKE '/%' OR list_contains(string_split(path, '/'), '..') THEN 'unsafe_path' END, CASE WHEN NOT regexp_full_match(sha256, '[0-9a-f]{64}') THEN 'invalid_sha256' END,
+CASE WHEN length(source_image) = 0 OR regexp_matches(source_image, '^\\s|\\s$') THEN 'invalid_source_image' END, CASE WHEN lower(parent_capture) = 'unknown' THEN 'unknown_parent_capture_not_null' END,
+CASE WHEN path LIKE '/%' OR list_contains(string_split(path, '/'), '..') OR path = '.' OR contains(path, chr(92)) OR regexp_matches(path, '^\\s|\\s$') THEN 'unsafe_path' END, CASE WHEN NOT regexp_full_match(sha256, '[0-9a-f]{64}') THEN 'invalid_sha256' END,
 CASE WHEN split NOT IN (""" + ", ".join(f"'{s}'" for s in SPLITS) + """) THEN 'invalid_split' END, CASE WHEN upstream_training_status = 'verified_disjoint' AND upstream_evidence IS NULL THEN 'evidence_required' END,
 CASE WHEN p1 = id THEN 'self_parent' END, CASE WHEN NOT regexp_full_match(dhash64, '[0-9a-f]{16}') THEN 'invalid_dhash64' END,
-CASE WHEN (annotation_path IS NULL) <> (annotation_sha256 IS NULL) THEN 'invalid_annotation_pair' END, CASE WHEN p1 IS NOT NULL AND p1 NOT IN (SELECT id FROM r) THEN 'dangling_parent' END"""
+CASE WHEN (annotation_path IS NULL) <> (annotation_sha256 IS NULL) THEN 'invalid_annotation_pair' END, CASE WHEN p1 IS NOT NULL AND p1 NOT IN (SELECT id FROM r) THEN 'dangling_parent' END, CASE WHEN id IN (SELECT a.id FROM r a JOIN r b ON a.p1 = b.id AND b.p1 = a.id AND a.id <> b.id) THEN 'cyclic_parents' END"""
 
 
 @register(QUERIES, f"WITH r AS ({_REC_SQL}) SELECT id, rule FROM (SELECT id, unnest([{_RULES_SQL}]) AS rule FROM r) WHERE rule IS NOT NULL")
@@ -104,12 +104,14 @@ def manifest_counts(spark, d):
     return manifest_rollup(_grouped_records(spark, d), root="root")
 
 
-@register(QUERIES, """WITH r AS (SELECT 'd' || doc_id AS id, CASE WHEN lang IS NOT NULL THEN '"' || lang || '"' ELSE 'null' END AS session, n_chars FROM documents WHERE doc_id IS NOT NULL)
-SELECT sha256('{"manifest_id":"m","records":[' || string_agg('{"id":"' || id || '",' || CASE WHEN n_chars % 2 = 0 THEN '"notes":"n' || n_chars || '",' ELSE '' END || '"parent_ids":["a","b"],"session_id":' || session || '}', ',' ORDER BY id) || '],"schema_version":1}') AS hash FROM r""")
+@register(QUERIES, """WITH r AS (SELECT 'd' || doc_id AS id, CASE WHEN lang IS NOT NULL THEN '"' || lang || '"' ELSE 'null' END AS session, n_chars FROM documents WHERE doc_id IS NOT NULL),
+j AS (SELECT substr(sha256(id), 1, 4) AS bucket, sha256('{"id":"' || id || '",' || CASE WHEN n_chars % 2 = 0 THEN '"notes":"n' || n_chars || '",' ELSE '' END || '"parent_ids":["a","b"],"session_id":' || session || '}') AS h FROM r),
+b AS (SELECT bucket, sha256(string_agg(h, '' ORDER BY h)) AS h FROM j GROUP BY bucket)
+SELECT sha256('m' || coalesce(string_agg(chr(10) || bucket || ':' || h, '' ORDER BY bucket), '')) AS hash FROM b""")
 def manifest_hash(spark, d):
     r = table(spark, d, "documents").where("doc_id is not null")
     rows = r.select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("id"), F.when(F.col("n_chars") % 2 == 0, F.concat(F.lit("n"), F.col("n_chars").cast("string"))).alias("notes"), F.array(F.lit("b"), F.lit("a")).alias("parent_ids"), F.col("lang").alias("session_id"))
-    return spark.createDataFrame([(canonical_hash(rows, "m"),)], "hash string")
+    return spark.createDataFrame([(manifest_digest(rows, "m"),)], "hash string")
 
 
 @register(QUERIES, f"WITH r AS ({_REC_SQL}), f AS (SELECT path, sha256 || CASE WHEN vec_id % 37 = 0 THEN 'x' ELSE '' END AS found FROM r WHERE vec_id % 8 > 0) SELECT id, r.path, CASE WHEN found IS NULL THEN 'missing' ELSE 'differs' END AS issue FROM r LEFT JOIN f USING (path) WHERE path LIKE 'img/%' AND (found IS NULL OR found <> sha256)")
@@ -280,3 +282,50 @@ def expiry_polls(spark, d):
     w = Window.partitionBy("user_id").orderBy("event_id")
     m = table(spark, d, "events").select("event_id", (F.col("event_id") * 130).alias("ms"), F.lead(F.col("event_id") * 130).over(w).alias("next"))
     return m.withColumn("poll", (F.floor((F.col("ms") + 1200) / 200) + 1) * 200).where("next is null or next > poll").select("event_id", "poll")
+
+
+# Records whose relations make small groups: fields, hashes across their two columns, clusters, parents and near fingerprints.
+_RELATED = {
+    "id": "concat('d', CAST(doc_id AS VARCHAR(20)))", "source_image": "concat('i', CAST(CASE WHEN doc_id % 7 = 0 THEN doc_id - 3 ELSE doc_id END AS VARCHAR(20)))",
+    "parent_capture": "CASE WHEN n_chars % 5 = 0 THEN concat('cap', CAST(n_chars AS VARCHAR(20))) END", "session_id": "CASE WHEN doc_id % 23 = 0 THEN concat('ses', CAST(FLOOR(doc_id / 69) AS VARCHAR(20))) END", "physical_tile_set": "CAST(NULL AS VARCHAR(9))",
+    "sha256": "CASE WHEN doc_id % 10 = 3 THEN sha256(CAST(doc_id AS VARCHAR(20))) ELSE sha256(coalesce(text, '')) END", "source_sha256": "CASE WHEN doc_id % 9 = 0 THEN sha256(CAST(doc_id + 4 AS VARCHAR(20))) ELSE sha256(CAST(doc_id AS VARCHAR(20))) END",
+    "p1": "CASE WHEN doc_id % 37 = 5 THEN concat('d', CAST(doc_id - 5 AS VARCHAR(20))) END", "c1": "CASE WHEN doc_id % 29 < 2 THEN concat('c', CAST(FLOOR(doc_id / 29) AS VARCHAR(20))) END", "c2": "CASE WHEN doc_id % 31 < 2 THEN concat('c', CAST(1000000 + FLOOR(doc_id / 31) AS VARCHAR(20))) END",
+    "dhash64": "CASE WHEN doc_id % 4 = 0 THEN concat(substr(sha256(CAST(FLOOR(doc_id / 24) AS VARCHAR(20))), 1, 15), CAST(doc_id % 6 AS VARCHAR(9))) END",
+}
+_RELATED_SQL = f"""r AS (SELECT doc_id, {', '.join(f'{v} AS {k}' for k, v in _RELATED.items())} FROM documents WHERE doc_id IS NOT NULL),
+k AS (SELECT id, 'source_image' AS space, source_image AS value FROM r UNION ALL SELECT id, 'parent_capture', parent_capture FROM r UNION ALL SELECT id, 'session_id', session_id FROM r UNION ALL SELECT id, 'hash', sha256 FROM r
+  UNION ALL SELECT id, 'hash', source_sha256 FROM r UNION ALL SELECT id, 'near_cluster', c1 FROM r UNION ALL SELECT id, 'near_cluster', c2 FROM r),
+o AS (SELECT space, value, min(id) AS u FROM k WHERE value IS NOT NULL GROUP BY ALL), h AS (SELECT id, CAST('0x' || dhash64 AS UBIGINT) AS bits FROM r WHERE dhash64 IS NOT NULL), hc AS (SELECT bits, min(id) AS u FROM h GROUP BY bits),
+l AS (SELECT DISTINCT u, v, reason FROM (SELECT o.u, k.id AS v, o.space AS reason FROM k JOIN o USING (space, value) UNION ALL SELECT least(p1, id), greatest(p1, id), 'parent' FROM r WHERE p1 IS NOT NULL
+  UNION ALL SELECT least(a.u, b.u), greatest(a.u, b.u), 'near_hash' FROM hc a JOIN hc b ON a.bits < b.bits AND bit_count(xor(a.bits, b.bits)) <= 4 UNION ALL SELECT hc.u, h.id, 'near_hash' FROM h JOIN hc USING (bits)) WHERE u <> v)"""
+
+
+def _related(spark, d):
+    import re
+
+    rows = table(spark, d, "documents").where("doc_id IS NOT NULL").selectExpr(*[f"{re.sub(r'sha256[(]((?:CAST|coalesce)[(](?:[^()]|[(][^()]*[)])*[)])[)]', r'sha2(\1, 256)', v)} AS {k}" for k, v in _RELATED.items()])
+    some = lambda *names: F.array_compact(F.array(*names))
+    return rows.withColumn("parent_ids", some("p1")).withColumn("near_duplicate_clusters", some("c1", "c2")).drop("p1", "c1", "c2")
+
+
+@register(QUERIES, f"WITH {_RELATED_SQL} SELECT u, v, reason FROM l")
+def manifest_links(spark, d):
+    """Links of records by all their relations, with the reason of each."""
+    return record_links(_related(spark, d))
+
+
+@register(QUERIES, f"WITH RECURSIVE {_RELATED_SQL}, e AS (SELECT u, v FROM l UNION SELECT v, u FROM l), reach(a, b) AS (SELECT id, id FROM r UNION SELECT reach.a, e.v FROM reach JOIN e ON reach.b = e.u) SELECT a AS id, min(b) AS root FROM reach GROUP BY a")
+def manifest_groups(spark, d):
+    """The group of each record: what all its relations reach."""
+    return manifest_components(_related(spark, d)).select("id", "root")
+
+
+@register(QUERIES, """SELECT name AS manifest_id, unnest(list_filter([CASE WHEN k % 5 = 0 THEN 'header_keys' END, CASE WHEN k % 3 = 0 THEN 'schema_version' END, CASE WHEN name <> trim(name) THEN 'manifest_id' END, CASE WHEN n = 0 THEN 'no_records' END], lambda x: x IS NOT NULL)) AS rule
+FROM (SELECT CASE WHEN c_nationkey % 4 = 0 THEN ' m' || c_nationkey ELSE 'm' || c_nationkey END AS name, c_nationkey AS k, count(*) FILTER (c_acctbal > 9000) AS n FROM customer GROUP BY c_nationkey)""")
+def manifest_headers(spark, d):
+    """Rules that headers of manifests break."""
+    k = F.col("c_nationkey")
+    by = table(spark, d, "customer").groupBy(k).agg(F.count_if(F.col("c_acctbal") > 9000).alias("n_records"))
+    keys = F.when(k % 5 == 0, F.array(F.lit("records"), F.lit("manifest_id"))).otherwise(F.array(F.lit("schema_version"), F.lit("records"), F.lit("manifest_id")))
+    header = by.select(keys.alias("keys"), F.when(k % 3 == 0, 2).otherwise(1).alias("schema_version"), F.concat(F.when(k % 4 == 0, " m").otherwise("m"), k.cast("string")).alias("manifest_id"), "n_records")
+    return header_violations(header)

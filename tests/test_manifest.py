@@ -1,7 +1,9 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import json
+import random
 import os
 
 import numpy as np
@@ -10,7 +12,7 @@ from pyspark.sql import functions as F
 
 from lumora.operators.detections import match_boxes, positional_errors
 from lumora.operators.fingerprints import add_phash, dhash, hash_bits
-from lumora.operators.manifest import assign_groups, canonical_hash, check_lock, make_lock, record_violations
+from lumora.operators.manifest import assign_groups, canonical_hash, check_lock, make_lock, manifest_components, manifest_digest, record_json, record_violations
 from lumora.sources.writers import append_register, recover_history, replace_history, write_by_split
 
 RECORD = """id string, path string, source_image string, parent_capture string, session_id string, physical_tile_set string, dataset_version string, sha256 string, source_sha256 string, split string,
@@ -27,12 +29,12 @@ def records(spark, *changes):
 
 def test_record_rules(spark):
     got = record_violations(records(
-        spark, {}, {"id": "b", "path": "a//b", "sha256": "F" * 64}, {"id": "c", "parent_ids": ["c", "gone", "a"]}, {"id": "d", "split": "valid", "session_id": "None"}, {"id": "e", "upstream_training_status": "verified_disjoint"},
+        spark, {}, {"id": "b", "path": "a/../b", "sha256": "F" * 64}, {"id": "b2", "path": "./a//b/", "sha256": "0" * 64 + "\n"}, {"id": "b3", "path": ".", "source_image": "\u3000s"}, {"id": "b4", "path": "a\\b", "dataset_version": "v\u00a0"}, {"id": "y", "parent_ids": ["z"]}, {"id": "z", "parent_ids": ["y"]}, {"id": "c", "parent_ids": ["c", "gone", "a"]}, {"id": "d", "split": "valid", "session_id": "None"}, {"id": "e", "upstream_training_status": "verified_disjoint"},
         {"id": "f", "annotation_sha256": None}, {"id": "g", "near_duplicate_clusters": ["x", "x"], "dhash64": "12"}, {"id": "h"}, {"id": "h", "notes": " "}, {"id": "i", "exposure": None, "source_image": None},
     ))
     assert sorted((r["id"], r["rule"]) for r in got.collect()) == [
-        ("b", "invalid_sha256"), ("b", "unsafe_path"), ("c", "dangling_parent"), ("c", "self_parent"), ("d", "invalid_split"), ("d", "unknown_session_id_not_null"), ("e", "evidence_required"), ("f", "invalid_annotation_pair"),
-        ("g", "invalid_dhash64"), ("g", "invalid_near_duplicate_clusters"), ("h", "duplicate_id"), ("h", "invalid_notes"), ("i", "invalid_exposure"), ("i", "invalid_source_image"),
+        ("b", "invalid_sha256"), ("b", "unsafe_path"), ("b2", "invalid_sha256"), ("b3", "invalid_source_image"), ("b3", "unsafe_path"), ("b4", "invalid_dataset_version"), ("b4", "unsafe_path"), ("c", "dangling_parent"), ("c", "self_parent"), ("d", "invalid_split"), ("d", "unknown_session_id_not_null"), ("e", "evidence_required"), ("f", "invalid_annotation_pair"),
+        ("g", "invalid_dhash64"), ("g", "invalid_near_duplicate_clusters"), ("h", "duplicate_id"), ("h", "invalid_notes"), ("i", "invalid_exposure"), ("i", "invalid_source_image"), ("y", "cyclic_parents"), ("z", "cyclic_parents"),
     ]
 
 
@@ -58,6 +60,10 @@ def test_manifest_hash_and_lock(spark):
     text = json.dumps({"schema_version": 1, "manifest_id": "m", "records": sorted(want, key=lambda r: r["id"].encode())}, sort_keys=True, ensure_ascii=False, separators=(",", ":"))
     h = canonical_hash(records(spark, *rows[::-1]), "m")
     assert h == hashlib.sha256(text.encode()).hexdigest()
+    got = [json.loads(r[0]) for r in records(spark, *rows).select(record_json(list(FINE))).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    digest = manifest_digest(records(spark, *rows), "m")
+    assert digest == manifest_digest(records(spark, *rows[::-1]).repartition(7), "m") and digest != manifest_digest(records(spark, *rows[1:]), "m") and digest != manifest_digest(records(spark, *rows), "n")
     lock = make_lock(h, {"records": 30})
     assert check_lock(lock, h, {"records": 30}) == [] and check_lock(lock, "0", {"records": 31}) == ["manifest", "report"] and check_lock(lock | {"report": {}}, h, {}) == ["lock"]
 
@@ -124,3 +130,30 @@ def test_written_tables(spark, tmp_path):
     os.rename(path, path + ".old")  # as after a crash between the two renames
     recover_history(spark, path)
     assert spark.read.parquet(path).count() == 1
+
+
+def test_groups_of_all_relations(spark):
+    """Random records whose groups are found by joining each two that share any relation."""
+    rnd = random.Random(8)
+    for size in (1, 12, 40):
+        rows = []
+        for i in range(size):
+            pick = lambda k, n=size: rnd.choice([None, None, f"{k}{rnd.randrange(n)}"])  # noqa: B023, E731
+            rows.append({
+                "id": f"r{i}", "source_image": f"s{rnd.randrange(3 * size)}", "parent_capture": pick("x"), "session_id": pick("x"), "physical_tile_set": None, "sha256": f"{rnd.randrange(4 * size):064x}", "source_sha256": f"{rnd.randrange(4 * size):064x}",
+                "parent_ids": [f"r{rnd.randrange(i)}"] if i and rnd.random() < 0.1 else [], "near_duplicate_clusters": [f"k{rnd.randrange(2 * size)}"] if rnd.random() < 0.3 else [], "dhash64": f"{rnd.getrandbits(8) << 30 | 1 << 63:016x}" if rnd.random() < 0.1 else None,
+            })
+        root = {r["id"]: r["id"] for r in rows}
+
+        def related(a, b):
+            return (
+                any(a[k] is not None and a[k] == b[k] for k in ("source_image", "parent_capture", "session_id")) or {a["sha256"], a["source_sha256"]} & {b["sha256"], b["source_sha256"]} or set(a["near_duplicate_clusters"]) & set(b["near_duplicate_clusters"])
+                or a["id"] in b["parent_ids"] or b["id"] in a["parent_ids"] or (a["dhash64"] and b["dhash64"] and (int(a["dhash64"], 16) ^ int(b["dhash64"], 16)).bit_count() <= 4)
+            )
+
+        for a, b in itertools.combinations(rows, 2):
+            if related(a, b):
+                x, y = sorted((root[a["id"]], root[b["id"]]))
+                root = {k: x if v == y else v for k, v in root.items()}
+        got = manifest_components(records(spark, *rows))
+        assert {r["id"]: r["root"] for r in got.collect()} == root
