@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lumora.operators.session import stop_after
 from lumora.plans.base import BOX, derive, derive_sql, register, table
 
 QUERIES: dict = {}
@@ -89,8 +90,4 @@ def pretty_dates(spark, d):
 @register(QUERIES, "WITH g AS (SELECT user_id, event_id, sum(CASE WHEN event_type = 'error' THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY event_id) AS k, event_type FROM events), r AS (SELECT user_id, event_id, count(CASE WHEN event_type = 'error' THEN 1 END) OVER (PARTITION BY user_id, k ORDER BY event_id) AS failures FROM g) SELECT user_id, min(event_id) AS stopped_at FROM r WHERE failures >= 3 GROUP BY user_id")
 def circuit_breaker(spark, d):
     """The third failure in a row of each user; a success starts the count anew."""
-    by = Window.partitionBy("user_id").orderBy("event_id")
-    failed = F.col("event_type") == "error"
-    g = table(spark, d, "events").withColumn("k", F.sum(F.when(failed, 0).otherwise(1)).over(by))
-    r = g.withColumn("failures", F.count(F.when(failed, 1)).over(Window.partitionBy("user_id", "k").orderBy("event_id")))
-    return r.where("failures >= 3").groupBy("user_id").agg(F.min("event_id").alias("stopped_at"))
+    return stop_after(table(spark, d, "events"), key="user_id", order="event_id", failed=F.col("event_type") == "error")

@@ -9,6 +9,7 @@ from lumora.operators.audit import grouped
 from lumora.operators.fingerprints import near_links
 from lumora.operators.manifest import EXPOSURES, REQUIRED, SPLITS, UPSTREAM, assign_groups, closed_fields, consume, eligible, header_violations, manifest_components, manifest_digest, manifest_rollup, record_links, record_violations, split_violations, verify_files
 from lumora.plans.audits import _ROOTS, _fingerprints, _near
+from lumora.operators.session import confirm, fence, quiet_polls
 from lumora.plans.base import register, table
 
 QUERIES: dict = {}
@@ -263,25 +264,22 @@ def group_rollup(spark, d):
 @register(QUERIES, "WITH g AS (SELECT user_id, event_id, CAST(floor(value) AS BIGINT) % 5 + event_id // 40 AS generation FROM events), m AS (SELECT *, max(generation) OVER (PARTITION BY user_id ORDER BY event_id) AS newest FROM g) SELECT event_id, generation FROM m WHERE generation = newest")
 def fenced_results(spark, d):
     """Results of the newest generation so far; those of an older one are dropped."""
-    w = Window.partitionBy("user_id").orderBy("event_id").rowsBetween(Window.unboundedPreceding, 0)
     g = table(spark, d, "events").select("user_id", "event_id", (F.floor("value") % 5 + F.floor(F.col("event_id") / 40)).alias("generation"))
-    return g.withColumn("newest", F.max("generation").over(w)).where("generation = newest").select("event_id", "generation")
+    return fence(g, key="user_id", order="event_id", generation="generation").select("event_id", "generation")
 
 
 @register(QUERIES, "WITH s AS (SELECT user_id, event_id, event_type, lag(event_id % 3) OVER w AS shown, lag(event_id) OVER w AS shown_at, event_id % 3 AS current FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)) SELECT event_id, coalesce(shown = current AND event_id - shown_at <= 60, false) AS accepted FROM s WHERE event_type = 'click'")
 def confirmed_clicks(spark, d):
     """A click counts if what was shown is still what is current, and not too old."""
-    w = Window.partitionBy("user_id").orderBy("event_id")
-    s = table(spark, d, "events").select("event_id", "event_type", F.lag(F.col("event_id") % 3).over(w).alias("shown"), F.lag("event_id").over(w).alias("at"), (F.col("event_id") % 3).alias("current"))
-    return s.where("event_type = 'click'").select("event_id", F.coalesce((F.col("shown") == F.col("current")) & (F.col("event_id") - F.col("at") <= 60), F.lit(False)).alias("accepted"))
+    rows = table(spark, d, "events").select("user_id", "event_id", "event_type")
+    return confirm(rows, key="user_id", order="event_id", at="event_id", shown=F.col("event_id") % 3, click=F.col("event_type") == "click", within=60).select("event_id", "accepted")
 
 
 @register(QUERIES, "WITH m AS (SELECT user_id, event_id, event_id * 130 AS ms, lead(event_id * 130) OVER (PARTITION BY user_id ORDER BY event_id) AS next FROM events), p AS (SELECT *, ((ms + 1200) // 200 + 1) * 200 AS poll FROM m) SELECT event_id, poll FROM p WHERE next IS NULL OR next > poll")
 def expiry_polls(spark, d):
     """The first poll, every 200 ms, that finds the last frame more than 1200 ms old, where no other frame came before."""
-    w = Window.partitionBy("user_id").orderBy("event_id")
-    m = table(spark, d, "events").select("event_id", (F.col("event_id") * 130).alias("ms"), F.lead(F.col("event_id") * 130).over(w).alias("next"))
-    return m.withColumn("poll", (F.floor((F.col("ms") + 1200) / 200) + 1) * 200).where("next is null or next > poll").select("event_id", "poll")
+    rows = table(spark, d, "events").select("user_id", "event_id", (F.col("event_id") * 130).alias("ms"))
+    return quiet_polls(rows, key="user_id", order="event_id", at="ms", expiry=1200, every=200).select("event_id", "poll")
 
 
 # Records whose relations make small groups: fields, hashes across their two columns, clusters, parents and near fingerprints.

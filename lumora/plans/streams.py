@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lumora.operators.consensus import Policy, by_center, can_confirm, frame_issue, gate_batch, issue_counts, throttle
+from lumora.operators.session import Guards, guard_batch
 from lumora.operators.shared import cut, forget, shared_dir
 from lumora.plans.base import register, table
 from lumora.streaming.gate import ROCKSDB, gate_stream
+from lumora.streaming.session import guard_stream
 
 QUERIES: dict = {}
 
@@ -143,3 +145,46 @@ def log_lines(spark, d):
 def inactivity_sessions(spark, d):
     s = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp")).groupBy("user_id", F.session_window("ts", "1 hour")).agg(F.count("*").alias("n"))
     return s.groupBy("user_id").agg(F.count("*").alias("sessions"), F.max("n").alias("longest"))
+
+
+# Events of a user as those of a camera session: frames, and what is shown and clicked.
+_GUARDS = Guards(least_ms=9000, failures=3, confirm_ms=40_000, expiry_ms=61_235)
+_SESSION = """
+WITH e AS (SELECT user_id AS key, event_id AS seq, event_id * 130 + 130 AS at_ms, CASE event_type WHEN 'click' THEN 'click' WHEN 'view' THEN 'show' ELSE 'frame' END AS kind,
+  CAST(floor(value) AS BIGINT) % 3 + event_id * 130 // 300000 AS generation, event_type = 'error' OR event_id % 3 = 0 AS failed, event_id % 2 AS item FROM events)"""
+_GUARD_SQL = _SESSION.replace("WITH e", "WITH RECURSIVE e") + f""", n AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY seq) AS n, lag(at_ms) OVER (PARTITION BY key ORDER BY seq) AS before, lead(at_ms) OVER (PARTITION BY key ORDER BY seq) AS after, max(at_ms) OVER () AS final FROM e),
+f AS (SELECT *, coalesce(generation < max(CASE WHEN kind = 'frame' THEN generation END) OVER (PARTITION BY key ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS outdated,
+  coalesce(at_ms - max(CASE WHEN kind = 'show' THEN at_ms END) OVER (PARTITION BY key, item ORDER BY seq) <= {_GUARDS.confirm_ms}, false) AS seen FROM n),
+s AS (SELECT key, 0 AS n, CAST(NULL AS BIGINT) AS taken_at, 0 AS failures, CAST(NULL AS BIGINT) AS seq, CAST(NULL AS BIGINT) AS at_ms, '' AS verdict FROM (SELECT DISTINCT key FROM f)
+  UNION ALL SELECT key, n, CASE WHEN verdict = 'taken' THEN at_ms ELSE taken_at END, CASE WHEN verdict <> 'taken' THEN failures WHEN failed THEN failures + 1 ELSE 0 END, seq, at_ms, verdict FROM (
+    SELECT f.*, s.taken_at, s.failures, CASE WHEN s.failures >= {_GUARDS.failures} THEN 'stopped' WHEN kind = 'show' THEN 'shown' WHEN kind = 'click' THEN CASE WHEN seen THEN 'accepted' ELSE 'refused' END WHEN outdated THEN 'outdated'
+      WHEN f.at_ms - s.taken_at < {_GUARDS.least_ms} THEN 'throttled' ELSE 'taken' END AS verdict FROM s JOIN f ON f.key = s.key AND f.n = s.n + 1))
+SELECT key, seq, at_ms, verdict FROM s WHERE n > 0 UNION ALL SELECT key, NULL, before + {_GUARDS.expiry_ms}, 'expired' FROM n WHERE at_ms - before > {_GUARDS.expiry_ms}
+UNION ALL SELECT key, NULL, at_ms + {_GUARDS.expiry_ms}, 'expired' FROM n WHERE after IS NULL AND at_ms + {_GUARDS.expiry_ms} < final"""
+
+
+def _session_events(spark, d):
+    return spark.sql(_SESSION.replace("FROM events)", "FROM {events})").replace("//", "DIV") + " SELECT * FROM e", events=table(spark, d, "events"))
+
+
+@register(QUERIES, _GUARD_SQL)
+def session_verdicts(spark, d):
+    """What a session's guards, one after another, say of each event."""
+    return guard_batch(_session_events(spark, d), _GUARDS)
+
+
+@register(QUERIES, _GUARD_SQL)
+def session_stream_verdicts(spark, d):
+    """The same verdicts from the streaming operator, replayed from files."""
+    folder = f"{shared_dir(spark)}/session-{uuid.uuid4().hex}"
+    forget(spark, folder)
+    events = cut(_session_events(spark, d).coalesce(1), "events")
+    path = events.inputFiles()[0].rsplit("/", 1)[0]
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    try:
+        out = guard_stream(spark.readStream.schema(events.schema).parquet(path), _GUARDS)
+        out.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass") if before is None else spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+    return spark.read.parquet(f"{folder}/out")

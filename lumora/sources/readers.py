@@ -7,6 +7,9 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
+from pyspark.sql.window import Window
+
+from lumora.operators.shared import cut
 
 LABELS = "`image-name` string, label int, `label-name` string"
 FRAME_TIMES = "key int, pts double, pts2 double"
@@ -52,10 +55,31 @@ def read_coco(spark: SparkSession, paths: dict[str, str]) -> tuple[DataFrame, Da
     return images, annotations, parts[0].select(F.inline("categories"))
 
 
-def read_lines(spark: SparkSession, path: str, separator: str = r"\r|\n") -> DataFrame:
-    """Lines of text files with their numbers from 0: path, line_no, line."""
-    text = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.regexp_replace("value", r"(\r?\n)$", "").alias("value"))
-    return text.select("path", F.posexplode(F.split("value", separator)).alias("line_no", "line"))
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Lines of text files with their numbers from 0: path, line_no, line. Line feeds and carriage returns each end a line; one at a
+    file's end, or both, begin no other.
+
+    Files are cut at line feeds into splits as large as Spark makes them, and what a split holds is cut at carriage returns. Lines are
+    numbered within their split and offset by the lines of the splits before, so no task holds a file. Bytes that are no
+    UTF-8 stay what Spark's reader makes of them.
+    """
+    meta = F.col("_metadata")
+    rows = spark.read.option("lineSep", "\n").text(path).select(meta["file_path"].alias("path"), meta["file_block_start"].alias("_block"), meta["file_size"].alias("_bytes"), F.monotonically_increasing_id().alias("_m"), "value")
+    rows = cut(rows, "lines")
+    one = Window.partitionBy("path", "_block").orderBy("_m").rowsBetween(Window.unboundedPreceding, -1)
+    parts = F.regexp_count("value", F.lit("\r")) + 1
+    held = rows.withColumns({"_n": parts, "_before": F.coalesce(F.sum(parts).over(one), F.lit(0))})
+    splits = held.groupBy("path", "_block").agg(F.sum("_n").alias("_lines"), F.max("_bytes").alias("_bytes"), F.sum(F.octet_length("value") + 1).alias("_read"), F.max(F.struct("_m", F.col("value").endswith("\r").alias("cr"), F.col("value").eqNullSafe("").alias("empty"))).alias("_last"), F.max("_m").alias("_m"))
+    order = Window.partitionBy("path").orderBy("_block")
+    whole = Window.partitionBy("path")
+    splits = splits.select(
+        F.col("path").alias("_p"), F.col("_block").alias("_b"), F.coalesce(F.sum("_lines").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_offset"),
+        F.when((F.col("_block") == F.max("_block").over(whole)) & (F.sum("_read").over(whole) == F.col("_bytes")) & F.col("_last.cr"), F.col("_m")).alias("_ends"),
+    )
+    # a carriage return before the last line feed of a file is part of its end
+    value = F.when(F.col("_m") == F.col("_ends"), F.regexp_replace("value", "\r\\z", "")).otherwise(F.col("value"))
+    found = held.join(splits, (F.col("path") == F.col("_p")) & (F.col("_block") == F.col("_b"))).select("path", (F.col("_offset") + F.col("_before")).alias("_at"), F.posexplode(F.split(value, "\r")).alias("_i", "line"))
+    return found.select("path", (F.col("_at") + F.col("_i")).alias("line_no"), "line")
 
 
 def read_yolo_labels(spark: SparkSession, path: str) -> DataFrame:
@@ -91,8 +115,6 @@ class TarMembers:
 
 def read_tar(spark: SparkSession, path: str, *, suffixes: tuple[str, ...], budget: int) -> DataFrame:
     """Members of tar files with the first reason to refuse each: unsafe_path, kind, duplicate, suffix, over_budget, or null."""
-    from pyspark.sql.window import Window
-
     spark.udtf.register("lumora_tar_members", TarMembers)
     spark.read.format("binaryFile").load(path).createOrReplaceTempView("_lumora_tars")
     rows = spark.sql("SELECT t.path, m.* FROM _lumora_tars t, LATERAL lumora_tar_members(t.content) m").withColumn("_n", F.monotonically_increasing_id())

@@ -2,6 +2,8 @@ from __future__ import annotations
 
 import io
 import json
+import random
+import re
 import tarfile
 
 import pytest
@@ -72,3 +74,25 @@ def test_sinks(spark, tmp_path):
     assert [r["state"] for r in h.orderBy("id").collect()] == ["ok", "unreadable", "unreadable"]
     replace_history(h, str(tmp_path / "h"), str(tmp_path / "q"))
     assert spark.read.parquet(str(tmp_path / "h")).count() == 1 and spark.read.schema("id int, doc string").json(str(tmp_path / "q")).count() == 2
+
+
+def test_lines_of_a_large_file(spark, tmp_path):
+    """A file that is read by several tasks has the lines and numbers of one that is read whole."""
+    rnd = random.Random(3)
+    for k, end in enumerate((b"", b"\n", b"\r\n", b"\r")):
+        parts = [bytes(rnd.choice(b"abc ") for _ in range(rnd.randrange(0, 60))) + rnd.choice([b"\r", b"\n", b"\n", b"\r\n"]) for _ in range(900)]
+        data = b"".join(parts) + b"last" + end
+        (tmp_path / f"{k}.log").write_bytes(data)
+    key = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "4096")
+    try:
+        got = read_lines(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.set(key, before)
+    assert spark.conf.get(key) == before
+    for k in range(4):
+        text = (tmp_path / f"{k}.log").read_bytes().decode()
+        want = re.split(r"\r|\n", re.sub(r"(\r?\n)\Z", "", text))
+        mine = sorted((r["line_no"], r["line"]) for r in got if r["path"].endswith(f"{k}.log"))
+        assert mine == list(enumerate(want))
