@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumora.functions.tiles import dim_tile, is_thirteen_orphans, parse_tiles, tile_code, tile_counts
 from lumora.operators.decompose import decompose, waits
 from lumora.operators.history import balances_by_rules, delete_and_undo, parse_history, rule_key
-from lumora.operators.scoring import hand_violations, rule_violations, score_hands
+from lumora.operators.scoring import LIMITS, hand_violations, rule_violations, score_hands
 from lumora.operators.settlement import explode_transfers, settle
 from lumora.plans.base import WIN, derive, derive_sql, register, table
 
@@ -171,7 +173,7 @@ def hand_waits(spark, d):
     return waits(rows)
 
 
-def _full_hands(spark: SparkSession, d: str) -> DataFrame:
+def _customer_hands(spark: SparkSession, d: str) -> DataFrame:
     """Whole hands with rules: half of one family with four concealed groups, half of the other with one pung melded."""
     rows = derive(table(spark, d, "customer"), HAND | {"m": "CAST(c_custkey * 3 % 34 AS INT)", "w": "CAST(c_custkey % 14 AS INT)", "s": "CAST(c_custkey % 4 AS INT)", "q": "CAST(c_nationkey AS INT)"})
     tw = F.col("hand_id") % 2 == 1
@@ -186,17 +188,163 @@ def _full_hands(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@register(QUERIES)
+# Hands in which every pattern and status occurs: family, concealed groups and melds (kind and tiles), and what differs from the defaults.
+def _planted() -> list[dict]:
+    pung, chow = lambda t: [t] * 3, lambda t: [t, t + 1, t + 2]
+    meld = lambda kind, t: {"kind": kind, "tiles": chow(t) if kind == "chow" else [t] * (3 if kind == "pung" else 4)}
+    chows = [*chow(0), *chow(3), *chow(9), *chow(12), 20, 20]
+    first = [
+        {"concealed": chows, "win": 0}, {"concealed": [*pung(27), *chow(0), *chow(3), 8, 8], "melds": [meld("pung", 31)], "win": 0, "source": "discard"}, {"concealed": [*pung(8), *pung(9), *pung(27), 31, 31], "melds": [meld("pung", 0)], "win": 31, "source": "discard"},
+        {"concealed": chows, "win": 0, "source": "robKong"}, {"concealed": [*chow(0), *chow(3), *pung(9), 20, 20], "melds": [meld("closedKong", 31)], "win": 9, "replacement": "kong", "kong_chain": 1}, {"concealed": chows, "win": 0, "last_tile": "draw"},
+        {"concealed": [33, 33, *chow(0), *chow(9)], "melds": [meld("pung", 31), meld("pung", 32)], "win": 0, "source": "discard"}, {"concealed": [*pung(33), *chow(0), 9, 9], "melds": [meld("pung", 31), meld("pung", 32)], "win": 0, "source": "discard"},
+        {"concealed": [*pung(3), *chow(5), *pung(8), 4, 4], "melds": [meld("chow", 0)], "win": 5, "source": "discard"}, {"concealed": chows, "win": 0, "use_flowers": False, "minimum": 3}, {"concealed": chows, "win": 0, "flowers": [34, 35, 36, 37]},
+        {"concealed": [*pung(31), *pung(32), 33, 33], "melds": [meld("pung", 27), meld("pung", 28)], "win": 33, "source": "discard"}, {"concealed": [*pung(30), 0, 0], "melds": [meld("pung", k) for k in (27, 28, 29)], "win": 0, "source": "discard"},
+        {"concealed": [*chow(0), 30, 30], "melds": [meld("pung", k) for k in (27, 28, 29)], "win": 0, "source": "discard"}, {"concealed": [*pung(0), *pung(10), *pung(20), *pung(28), 5, 5], "win": 5},
+        {"concealed": [5, 5], "melds": [meld("openKong", 0), meld("closedKong", 10), meld("addedKong", 20), meld("openKong", 28)], "win": 5, "source": "discard"}, {"concealed": [*pung(9), *pung(17), 18, 18], "melds": [meld("pung", 0), meld("pung", 8)], "win": 18, "source": "discard"},
+        {"concealed": chows, "win": 0, "heavenly": True}, {"concealed": chows, "win": 0, "winner": 1, "discarder": 0, "source": "discard", "earthly": True}, {"concealed": [*chow(18), *chow(21), 5, 5], "melds": [meld("closedKong", 0), meld("closedKong", 10)], "win": 18, "replacement": "kong", "kong_chain": 2},
+        {"concealed": [0, 0, 0, 1, 2, 3, 4, 4, 5, 6, 7, 8, 8, 8], "win": 4, "source": "discard"}, {"concealed": [*_ORPHANS, 33], "win": 0, "source": "robConcealedKong"}, {"concealed": chows, "win": 0, "source": "robConcealedKong"},
+        {"concealed": [0, 1, 3, 4, 9, 10, 12, 13, 18, 20, 22, 24, 27, 28], "win": 0}, {"concealed": chows[:13], "win": 0}, {"concealed": chows, "win": 0, "flowers": [34, 35, 36, 37, 38, 39, 40]}, {"concealed": chows, "win": 0, "confirmed": False}, {"concealed": [*chows, 25], "win": 0},
+        {"concealed": [*chow(0), *chow(3), *pung(9), 20, 20], "melds": [meld("pung", 31)], "flowers": [34], "win": 0, "replacement": "flower"},
+    ]
+    second = [
+        {"concealed": [*chow(0), *chow(3), *chow(9), *chow(12), *chow(18), 24, 24], "win": 0, "source": "discard"}, {"concealed": [*pung(0), *pung(10), *pung(20), *chow(3), *chow(12), 28, 28], "win": 3}, {"concealed": [*pung(0), *chow(10), *chow(20), *chow(3), *chow(13), 28, 28], "win": 3, "source": "discard"},
+        {"concealed": [*pung(0), *pung(10), *pung(20), *pung(28), *chow(3), 8, 8], "win": 3}, {"concealed": [*pung(0), *pung(10), *pung(20), *pung(28), *pung(31), 8, 8], "win": 8}, {"concealed": [*pung(0), *pung(10), *chow(3), *chow(13), 28, 28], "melds": [meld("chow", 18)], "win": 28, "source": "discard"},
+        {"concealed": [8, 8], "melds": [meld("pung", 0), meld("chow", 3), meld("pung", 10), meld("chow", 13), meld("pung", 28)], "win": 8, "source": "discard"}, {"concealed": [*pung(31), *pung(32), 33, 33], "melds": [meld("pung", k) for k in (27, 28, 29)], "win": 33, "source": "discard"},
+        {"concealed": [*pung(0), 5, 5], "melds": [meld("pung", k) for k in (27, 28, 29, 30)], "win": 5}, {"concealed": [*chow(0), *chow(10), 30, 30], "melds": [meld("pung", k) for k in (27, 28, 29)], "win": 0, "source": "discard"},
+        {"concealed": [*chow(0), *chow(10), 5, 5], "melds": [meld("pung", k) for k in (31, 32, 33)], "win": 0, "source": "discard"}, {"concealed": [*chow(0), *chow(10), *chow(20), 33, 33], "melds": [meld("pung", 31), meld("pung", 32)], "win": 0, "source": "discard"},
+        {"concealed": [*chow(0), *chow(10), *chow(20), 5, 5], "melds": [meld("pung", 31), meld("pung", 27)], "win": 0}, {"concealed": [*chow(0), *chow(3), *chow(9), *chow(12), *chow(18), 24, 24], "win": 9, "source": "robKong"},
+        {"concealed": [*chow(0), *chow(3), *chow(9), *chow(12), *chow(18), 24, 24], "win": 0, "replacement": "flower", "flowers": [34]}, {"concealed": [*chow(0), *chow(3), *chow(9), *chow(12), 24, 24], "melds": [meld("chow", 18)], "win": 0, "last_tile": "draw"},
+        {"concealed": [*chow(0), *chow(3), *pung(6), *pung(27), *pung(28), 8, 8], "win": 0, "source": "discard"}, {"concealed": [*chow(0), *chow(1), *chow(3), *pung(6), *pung(7), 8, 8], "win": 0}, {"concealed": [*chow(0), *chow(3), *chow(9), *chow(12), *chow(18), 24, 24], "win": 0, "flowers": [38, 39, 40, 41]},
+        {"concealed": [*pung(0), *pung(10), *chow(3), *chow(13), 28, 28], "melds": [meld("closedKong", 20)], "win": 3, "replacement": "kong", "kong_chain": 1},
+    ]
+    base = {"melds": [], "flowers": [], "source": "selfDraw", "winner": 0, "discarder": 1, "dealer": 0, "round_wind": 0, "last_tile": "none", "replacement": "none", "kong_chain": 0, "heavenly": False, "earthly": False, "confirmed": True, "use_flowers": True}
+    rows = [base | {"family": "hongKong", "minimum": 3, "cap": 10} | x for x in first] + [base | {"family": "taiwanese", "minimum": 1, "cap": 40} | x for x in second]
+    return [x | {"k": k, "winning_tile": x["win"]} for k, x in enumerate(rows)]
+
+
+_PLANTED = _planted()
+_PLANTED_DDL = "k int, concealed array<int>, melds array<struct<kind:string,tiles:array<int>>>, flowers array<int>, winning_tile int, source string, winner int, discarder int, dealer int, round_wind int, last_tile string, replacement string, kong_chain int, heavenly boolean, earthly boolean, confirmed boolean, family string, minimum int, cap int, use_flowers boolean"
+_PLANTED_NAMES = [x.split()[0] for x in _PLANTED_DDL.split(", ")]
+
+
+def _full_hands(spark: SparkSession, d: str) -> DataFrame:
+    """The hands of customers, and one of the planted ones for each supplier."""
+    fixed = spark.createDataFrame([tuple(x[n] for n in _PLANTED_NAMES) for x in _PLANTED], _PLANTED_DDL)
+    s = table(spark, d, "supplier").select((F.col("s_suppkey") + 1_000_000_000).cast("bigint").alias("hand_id"), (F.col("s_suppkey") % len(_PLANTED)).cast("int").alias("k"))
+    rows = s.join(F.broadcast(fixed), "k").drop("k").withColumns({"continuations": F.lit(0), "liable_player": F.lit(None).cast("int"), "base": F.lit(1), "unit": F.lit(2), "payment": F.lit("preset"), "overrides": F.create_map().cast("map<string,int>")})
+    return _customer_hands(spark, d).unionByName(rows)
+
+
+_MELD_TYPE = "STRUCT(kind VARCHAR, tiles INTEGER[])[]"
+
+
+def _literal(v: object) -> str:
+    if isinstance(v, list) and v and isinstance(v[0], dict):
+        return f"CAST([{', '.join(f'{{{chr(39)}kind{chr(39)}: {chr(39)}{m["kind"]}{chr(39)}, {chr(39)}tiles{chr(39)}: {m["tiles"]}}}' for m in v)}] AS {_MELD_TYPE})"
+    return str(v) if isinstance(v, bool | int) else f"CAST({v} AS INTEGER[])" if isinstance(v, list) else f"'{v}'"
+
+
+def _full_sql() -> str:
+    """The same hands in DuckDB's SQL, under the name full."""
+    rows = ", ".join("(" + ", ".join(f"CAST([] AS {_MELD_TYPE})" if n == "melds" and not x[n] else _literal(x[n]) for n in _PLANTED_NAMES) + ")" for x in _PLANTED)
+    exprs = HAND | {"m": "CAST(c_custkey * 3 % 34 AS INT)", "w": "CAST(c_custkey % 14 AS INT)", "s": "CAST(c_custkey % 4 AS INT)", "q": "CAST(c_nationkey AS INT)"}
+    return f"""base AS ({derive_sql('customer', exprs)}), tiled AS (SELECT *, {TILES_SQL} AS tiles, hand_id % 2 = 1 AS tw FROM base), planted AS (SELECT * FROM (VALUES {rows}) v({', '.join(_PLANTED_NAMES)})),
+full_hands AS (
+  SELECT CAST(hand_id AS BIGINT) AS hand_id, CAST(tiles AS INTEGER[]) AS concealed, CASE WHEN tw THEN CAST([{{'kind': 'pung', 'tiles': [m, m, m]}}] AS {_MELD_TYPE}) ELSE CAST([] AS {_MELD_TYPE}) END AS melds, CASE WHEN q % 3 = 0 THEN CAST([q % 8 + 34] AS INTEGER[]) ELSE CAST([] AS INTEGER[]) END AS flowers,
+    CAST(tiles[w + 1] AS INTEGER) AS winning_tile, CASE WHEN s < 2 THEN 'selfDraw' WHEN s = 2 THEN 'discard' END AS source, q % 4 AS winner, (q + 1) % 4 AS discarder, CAST(hand_id % 4 AS INT) AS dealer, CAST((hand_id + q) % 4 AS INT) AS round_wind, CAST(hand_id % 3 AS INT) AS continuations,
+    CASE WHEN s < 2 AND hand_id % 9 = 0 THEN 'draw' ELSE 'none' END AS last_tile, 'none' AS replacement, 0 AS kong_chain, false AS heavenly, false AS earthly, true AS confirmed, CASE WHEN tw THEN 'taiwanese' ELSE 'hongKong' END AS family, CASE WHEN tw THEN 1 ELSE 3 END AS minimum, CASE WHEN tw THEN 40 ELSE 10 END AS cap,
+    true AS use_flowers, CASE q % 3 WHEN 0 THEN 'preset' WHEN 1 THEN 'fullEach' ELSE 'splitTotal' END AS payment, CASE WHEN q = 5 THEN 'chows' END AS override_id FROM tiled
+  UNION ALL BY NAME SELECT s_suppkey + 1000000000 AS hand_id, 0 AS continuations, 'preset' AS payment, CAST(NULL AS VARCHAR) AS override_id, p.* EXCLUDE (k) FROM supplier JOIN planted p ON p.k = s_suppkey % {len(_PLANTED)})"""
+
+
+def _score_sql() -> str:
+    """Scores of the hands in full_hands, rule by rule, under the name scored: every decomposition and place of the winning tile is a row."""
+    melded = "list_transform(list_filter(melds, lambda m: m.kind <> 'chow'), lambda m: m.tiles[1])"
+    every = "list_concat(concealed, coalesce(flatten(list_transform(melds, lambda m: m.tiles)), []))"
+    count = lambda xs, cond: f"len(list_filter({xs}, lambda x: {cond}))"
+    honor, terminal = "x >= 27", "x IN (0, 8, 9, 17, 18, 26)"
+    kongs = count("melds", "x.kind IN ('openKong', 'closedKong', 'addedKong')")
+    plain = lambda less: f"len(list_filter(range(9), lambda r: len(list_filter(allt, lambda x: x % 9 = r)) - {less} < CASE WHEN r IN (0, 8) THEN 3 ELSE 1 END)) = 0"
+    nine = f"len(melds) = 0 AND len(suits) = 1 AND NOT honors AND {plain('0')} AND (selfdrawn OR {plain('CASE WHEN r = winning_tile % 9 THEN 1 ELSE 0 END')})"
+    limits = {
+        "allHonors": "len(suits) = 0", "bigWinds": "winds = 4", "smallWinds": "winds = 3 AND pair BETWEEN 27 AND 30", "fourHidden": "hidden = 4 AND kongs = 0", "fourKongs": "kongs = 4", "allTerminals": f"{count('allt', f'NOT ({terminal})')} = 0",
+        "heavenly": "heavenly", "earthly": "earthly", "doubleKongWin": "kong_chain >= 2", "nineGates": nine,
+    }
+    both = "(dragons = 3 OR (dragons = 2 AND pair >= 31))"
+    exposed = "(len(melds) = 5 AND openmelds = 5 AND NOT selfdrawn)"
+    adds = [
+        ("halfFlush", 3, 4, "len(suits) = 1 AND honors", "1"), ("fullFlush", 7, 8, "len(suits) = 1 AND NOT honors", "1"), ("allHonors", 0, 16, "NOT hk AND len(suits) = 0", "1"), ("allPungs", 3, 4, "len(triplets) = CASE WHEN hk THEN 4 ELSE 5 END", "1"),
+        ("bigDragons", 5, 8, "dragons = 3", "1"), ("smallDragons", 3, 4, "dragons = 2 AND pair >= 31", "1"), ("dragon", 1, 1, f"hk OR NOT {both}", "dragons"), ("seatWind", 1, 1, "list_contains(kinds, 27 + seat)", "1"), ("roundWind", 1, 1, "list_contains(kinds, 27 + round_wind)", "1"),
+        ("mixedTerminals", 1, 0, f"hk AND {count('allt', f'NOT ({terminal} OR {honor})')} = 0", "1"), ("chows", 1, 2, "len(triplets) = 0 AND (hk OR (NOT honors AND len(flowers) = 0 AND NOT selfdrawn AND n_waits > 1 AND role = 'chow'))", "1"),
+        ("selfDraw", 1, 1, "selfdrawn AND (hk OR NOT unopened)", "1"), ("closed", 1, 1, "CASE WHEN hk THEN NOT use_flowers AND len(melds) = 0 ELSE unopened AND NOT selfdrawn END", "1"), ("closedSelfDraw", 0, 3, "NOT hk AND unopened AND selfdrawn", "1"),
+        ("threeConcealed", 0, 2, "NOT hk AND hidden = 3", "1"), ("fourConcealed", 0, 5, "NOT hk AND hidden = 4", "1"), ("fiveConcealed", 0, 8, "NOT hk AND hidden = 5", "1"), ("allExposed", 0, 2, f"NOT hk AND {exposed}", "1"), ("singleWait", 0, 1, f"NOT hk AND NOT {exposed} AND n_waits = 1", "1"),
+        ("bigWinds", 0, 16, "NOT hk AND winds = 4", "1"), ("smallWinds", 0, 8, "NOT hk AND winds = 3 AND pair BETWEEN 27 AND 30", "1"), ("noFlowers", 1, 0, "hk AND use_flowers AND len(flowers) = 0", "1"),
+        ("seatFlower", 1, 1, "use_flowers", "len(list_filter(flowers, lambda x: (x - 34) % 4 = seat))"), ("flowerSet", 1, 2, "use_flowers", "CAST(list_has_all(flowers, [34, 35, 36, 37]) AS INT) + CAST(list_has_all(flowers, [38, 39, 40, 41]) AS INT)"),
+        ("robKong", 1, 1, "source IN ('robKong', 'robConcealedKong')", "1"), ("kongWin", 1, 1, "replacement = 'kong' OR (NOT hk AND replacement = 'flower')", "1"), ("lastDraw", 1, 1, "last_tile = 'draw'", "1"),
+    ]
+
+    def added(name: str, hk: int, tw: int, cond: str, times: str) -> str:
+        value = f"CASE WHEN override_id = '{name}' THEN 6 WHEN hk THEN {hk} ELSE {tw} END"
+        return f"CASE WHEN ({cond}) AND {value} > 0 THEN list_transform(range({times}), lambda i: {{'id': '{name}', 'value': CAST({value} AS INT)}}) ELSE [] END"
+
+    limit = "CASE " + " ".join(f"WHEN {c} THEN '{n}'" for n, c in limits.items()) + " END"
+    before = "list_concat(concealed[1:list_position(concealed, winning_tile) - 1], concealed[list_position(concealed, winning_tile) + 1:])"
+    wait_hands = f"SELECT hand_id * 100 + w.range AS hand_id, list_concat({before}, [CAST(w.range AS INT)]) AS tiles, left_groups FROM fit, range(34) w WHERE NOT hk AND len(list_filter(list_concat({before}, coalesce(flatten(list_transform(melds, lambda m: m.tiles)), [])), lambda y: y = w.range)) < 4"
+    waits_sql = _decompose_sql(wait_hands, "left_groups")
+    for name in ("hs", "cnt", "ok", "rec"):
+        waits_sql = re.sub(rf"\b{name}\b", f"wait_{name}", waits_sql)
+    group = lambda x: f"list_transform(list_filter(string_split(rtrim(groups, ';'), ';'), lambda x: x LIKE '{x}%'), lambda x: CAST(substr(x, 5) AS INT))"
+    has_chow = "len(list_filter(chows, lambda x: winning_tile BETWEEN x AND x + 2)) > 0"
+    settled = _SETTLE_SQL[_SETTLE_SQL.index("g AS (") :]
+    return f"""{_full_sql()},
+judged AS (SELECT *, family = 'hongKong' AS hk, CAST(CASE WHEN family = 'hongKong' THEN 4 ELSE 5 END - len(melds) AS INT) AS left_groups, {every} AS allt, coalesce(source = 'selfDraw', false) AS selfdrawn, (winner - dealer + 4) % 4 AS seat FROM full_hands),
+checked AS (SELECT *, len(list_filter(range(34), lambda k: len(list_filter(allt, lambda x: x = k)) > 4)) > 0 AS bad, left_groups * 3 + 2 AS expected,
+  hk AND len(melds) = 0 AND len(concealed) = 14 AND len(list_distinct(concealed)) = 13 AND len(list_filter(concealed, lambda x: NOT list_contains({list(_ORPHANS)}, x))) = 0 AS orphans FROM judged),
+fit AS (SELECT * FROM checked WHERE NOT bad AND len(flowers) < 7 AND len(concealed) = expected AND source IS NOT NULL AND confirmed),
+{_decompose_sql("SELECT hand_id, concealed AS tiles, left_groups FROM fit", "left_groups")},
+{waits_sql},
+waiting AS (SELECT hand_id // 100 AS hand_id, count(DISTINCT hand_id) AS n_waits FROM wait_rec WHERE list_max(c) = 0 GROUP BY 1),
+parts AS (SELECT DISTINCT hand_id, pair, {group('pung')} AS pungs, {group('chow')} AS chows FROM rec WHERE list_max(c) = 0),
+roles AS (SELECT f.*, p.pair, p.pungs, p.chows, coalesce(w.n_waits, 0) AS n_waits, unnest(CASE WHEN selfdrawn THEN ['selfDraw'] ELSE list_filter([CASE WHEN pair = winning_tile THEN 'pair' END, CASE WHEN {has_chow} THEN 'chow' END, CASE WHEN list_contains(pungs, winning_tile) THEN 'pung' END], lambda x: x IS NOT NULL) END) AS role
+  FROM fit f JOIN parts p USING (hand_id) LEFT JOIN waiting w USING (hand_id)),
+facts AS (SELECT *, list_concat({melded}, pungs) AS triplets, list_distinct(list_concat({melded}, pungs)) AS kinds, list_distinct(list_transform(list_filter(allt, lambda x: x < 27), lambda x: x // 9)) AS suits, {count('allt', honor)} > 0 AS honors,
+  {count('melds', "x.kind <> 'closedKong'")} AS openmelds, {kongs} AS kongs, len(pungs) + {count('melds', "x.kind = 'closedKong'")} - CASE WHEN role = 'pung' THEN 1 ELSE 0 END AS hidden FROM roles),
+counted AS (SELECT *, openmelds = 0 AS unopened, {count('kinds', 'x >= 31')} AS dragons, {count('kinds', 'x BETWEEN 27 AND 30')} AS winds FROM facts),
+limited AS (SELECT *, CASE WHEN hk THEN {limit} END AS best_limit FROM counted),
+variants AS (SELECT hand_id, pair, role, list_sort(list_concat(list_transform(pungs, lambda x: x * 2 + 1), list_transform(chows, lambda x: x * 2))) AS placed,
+    CASE WHEN best_limit IS NOT NULL THEN [{{'id': best_limit, 'value': CAST(10 AS INT)}}] ELSE flatten([{', '.join(added(*x) for x in adds)}]) END AS patterns FROM limited
+  UNION ALL SELECT hand_id, -1, '', [], [{{'id': 'orphans', 'value': CAST(10 AS INT)}}] FROM fit WHERE orphans),
+named AS (SELECT *, coalesce(list_sum(list_transform(patterns, lambda x: x.value)), 0) AS raw, '[' || array_to_string(list_transform(placed, lambda x: '{{"kind":"' || CASE WHEN x % 2 = 1 THEN 'pung' ELSE 'chow' END || '","tile":' || (x // 2) || '}}'), ',') || ']' AS g FROM variants),
+best AS (SELECT hand_id, patterns, raw FROM named QUALIFY row_number() OVER (PARTITION BY hand_id ORDER BY raw DESC, pair, g, role) = 1),
+totals AS (SELECT c.*, b.patterns, coalesce(b.raw, 0) AS raw, least(coalesce(b.raw, 0), cap) AS capped, b.hand_id IS NOT NULL AS found FROM checked c LEFT JOIN best b USING (hand_id)),
+named_status AS (SELECT *, CASE WHEN bad THEN 'invalid' WHEN len(flowers) >= 7 THEN 'needsContext' WHEN len(concealed) < expected THEN 'incomplete' WHEN len(concealed) > expected THEN 'invalid' WHEN source IS NULL OR NOT confirmed THEN 'needsContext'
+  WHEN source = 'robConcealedKong' AND NOT orphans THEN 'invalid' WHEN NOT found THEN 'invalid' WHEN capped < minimum THEN 'belowMinimum' ELSE 'valid' END AS status FROM totals),
+scored AS (SELECT *, CASE WHEN status IN ('valid', 'belowMinimum') THEN patterns ELSE [] END AS shown, CAST(CASE WHEN status IN ('valid', 'belowMinimum') THEN raw ELSE 0 END AS INT) AS raw_score, CAST(CASE WHEN status IN ('valid', 'belowMinimum') THEN capped ELSE 0 END AS INT) AS score,
+  CASE WHEN bad THEN 'more_than_four' WHEN len(flowers) >= 7 THEN 'flower_win' WHEN len(concealed) <> expected THEN 'tile_count' WHEN source IS NULL OR NOT confirmed THEN concat_ws(',', CASE WHEN source IS NULL THEN 'source_missing' END, CASE WHEN NOT confirmed THEN 'not_confirmed' END)
+    WHEN source = 'robConcealedKong' AND NOT orphans THEN 'only_orphans_rob_concealed' WHEN NOT found THEN 'no_decomposition' WHEN status = 'belowMinimum' THEN 'below_minimum' WHEN raw > capped THEN 'capped' ELSE '' END AS messages FROM named_status),
+h AS (SELECT hand_id, winner, discarder, dealer, continuations, CASE WHEN source = 'robConcealedKong' THEN 'robKong' ELSE source END AS source, replacement, family, CAST(NULL AS INT) AS liable_player, minimum, cap, 1 AS base, 2 AS unit, payment, score FROM scored WHERE status = 'valid'),
+{settled},
+paid AS (SELECT hand_id, CAST(sum(amount) AS BIGINT) AS total FROM tr GROUP BY hand_id)"""
+
+
+_HAS = lambda *names: f"len(list_filter(shown, lambda x: x.id IN ({', '.join(repr(n) for n in names)}))) > 0"
+
+
+@register(QUERIES, f"""WITH RECURSIVE {_score_sql()}
+SELECT s.hand_id, status, messages, raw_score, score, array_to_string(list_sort(list_transform(shown, lambda x: x.id || ':' || x.value)), ',') AS patterns, CASE WHEN status = 'valid' THEN coalesce(total, 0) END AS total,
+  CASE WHEN status <> 'valid' THEN '' ELSE concat_ws(',', CASE WHEN {_HAS('closedSelfDraw')} THEN 'closed_self_draw_includes_both' END, CASE WHEN NOT hk AND {_HAS('bigDragons', 'smallDragons')} THEN 'dragons_include_single_ones' END,
+    CASE WHEN hk AND {_HAS(*LIMITS, 'orphans')} THEN 'limit_hand_stands_alone' END, CASE WHEN hk AND replacement = 'flower' THEN 'flower_replacement_scores_nothing' END) END AS notes FROM scored s LEFT JOIN paid USING (hand_id)""")
 def hand_scores(spark, d):
+    """Status, messages, patterns, score, payments and notes of each hand."""
     return score_hands(_full_hands(spark, d)).select("hand_id", "status", F.array_join("messages", ",").alias("messages"), "raw_score", "score", F.array_join(F.array_sort(F.transform("patterns", lambda p: F.concat_ws(":", p["id"], p["value"].cast("string")))), ",").alias("patterns"), F.aggregate("transfers", F.lit(0).cast("bigint"), lambda s, t: s + t["amount"]).alias("total"), F.array_join("notes", ",").alias("notes"))
 
 
-@register(QUERIES)
+@register(QUERIES, f"WITH RECURSIVE {_score_sql()} SELECT x.id, x.value, count(*) AS n FROM (SELECT unnest(shown) AS x FROM scored) GROUP BY ALL")
 def hand_patterns(spark, d):
     return score_hands(_full_hands(spark, d)).select(F.explode("patterns").alias("p")).groupBy("p.id", "p.value").agg(F.count("*").alias("n"))
 
 
-@register(QUERIES)
+@register(QUERIES, f"WITH RECURSIVE {_score_sql()} SELECT status, count(*) AS n FROM scored GROUP BY status")
 def hand_status(spark, d):
     return score_hands(_full_hands(spark, d)).groupBy("status").agg(F.count("*").alias("n"))
 
