@@ -42,10 +42,13 @@ def unletterbox(box: Column, geometry: Column) -> Column:
 
 
 def pixel_box(x: Column, y: Column, w: Column, h: Column, width: Column, height: Column, margin: float = 0.06) -> Column:
-    """An xywh box widened by a share of its size, rounded outwards and clamped to the image."""
+    """An xywh box widened by a share of its size, rounded outwards; each of its sides is clamped to the image."""
+    def side(v: Column, most: Column) -> Column:
+        return F.greatest(F.lit(0), F.least(most, v)).cast("int")
+
     return F.struct(
-        F.greatest(F.lit(0), F.floor(x - w * margin)).cast("int").alias("l"), F.greatest(F.lit(0), F.floor(y - h * margin)).cast("int").alias("t"),
-        F.least(width, F.ceil(x + w + w * margin)).cast("int").alias("r"), F.least(height, F.ceil(y + h + h * margin)).cast("int").alias("b"),
+        side(F.floor(x - w * margin), width).alias("l"), side(F.floor(y - h * margin), height).alias("t"),
+        side(F.ceil(x + w + w * margin), width).alias("r"), side(F.ceil(y + h + h * margin), height).alias("b"),
     )
 
 

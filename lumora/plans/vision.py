@@ -55,8 +55,8 @@ def box_normalize(spark, d):
     return rows.select("id", *[F.round(f"o.{k}", 6).alias(k) for k in "ltrb"])
 
 
-@register(QUERIES, f"""WITH i AS ({derive_sql('part', _IMG)}) SELECT id, CAST(greatest(0, floor(x - w * 0.06::DOUBLE)) AS INT) AS l, CAST(greatest(0, floor(y - h * 0.06::DOUBLE)) AS INT) AS t,
-CAST(least(width, ceil(x + w + w * 0.06::DOUBLE)) AS INT) AS r, CAST(least(height, ceil(y + h + h * 0.06::DOUBLE)) AS INT) AS b,
+@register(QUERIES, f"""WITH i AS ({derive_sql('part', _IMG)}) SELECT id, CAST(greatest(0, least(width, floor(x - w * 0.06::DOUBLE))) AS INT) AS l, CAST(greatest(0, least(height, floor(y - h * 0.06::DOUBLE))) AS INT) AS t,
+CAST(greatest(0, least(width, ceil(x + w + w * 0.06::DOUBLE))) AS INT) AS r, CAST(greatest(0, least(height, ceil(y + h + h * 0.06::DOUBLE))) AS INT) AS b,
 CASE WHEN least(w, h) < 8 THEN 'too_small' WHEN x + w > width + 0.01 OR y + h > height + 0.01 THEN 'outside' ELSE 'kept' END AS state FROM i""")
 def pixel_boxes(spark, d):
     c = F.col
