@@ -10,12 +10,15 @@ from lumora.operators.graph import components
 
 
 def conflicts(rows: DataFrame, key: str, *values: str) -> DataFrame:
-    """Keys with more than one combination of values: key, n."""
-    return rows.groupBy(key).agg(F.count_distinct(F.struct(*values)).alias("n")).where("n > 1")
+    """Keys with more than one combination of values: key, n. Keys are compared by a digest, so only those that conflict are shuffled whole."""
+    digest = F.sha2(F.col(key).cast("string"), 256)
+    bad = rows.groupBy(digest.alias("_d")).agg(F.count_distinct(F.struct(*values)).alias("n")).where("n > 1")
+    whole = rows.select(digest.alias("_d"), key).join(bad, "_d")
+    return whole.groupBy("_d", "n").agg(F.first(key).alias(key)).select(key, "n")
 
 
 def keep_first(rows: DataFrame, key: str, order: str) -> DataFrame:
-    """The first row of each key in an order: not any row, as dropDuplicates would give."""
+    """The first row of each key in an order: not any row, as dropDuplicates would give. All columns go through the shuffle: give long texts as digests."""
     return rows.groupBy(F.col(key).alias("_k")).agg(F.min_by(F.struct(*rows.columns), F.col(order)).alias("_r")).select("_r.*")
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ("hands", "vision", "metrics", "audits", "checks", "streams", "records", "camera", "annotations")
+_MODULES = ("hands", "vision", "metrics", "audits", "checks", "streams", "records", "camera", "annotations", "files")
 
 
 def _all() -> dict:

@@ -21,7 +21,8 @@ def label_conflicts(spark, d):
 
 @register(QUERIES, "SELECT doc_id, lang, source FROM (SELECT *, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS n FROM documents) WHERE n = 1")
 def dedupe_first(spark, d):
-    return keep_first(table(spark, d, "documents").select("doc_id", "text", "lang", "source"), "text", "doc_id").select("doc_id", "lang", "source")
+    rows = table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("digest"), "lang", "source")
+    return keep_first(rows, "digest", "doc_id").select("doc_id", "lang", "source")
 
 
 @register(QUERIES, "SELECT sha256(text) AS sha, count(*) AS n FROM documents GROUP BY 1 HAVING count(*) > 1")
