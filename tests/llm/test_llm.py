@@ -680,3 +680,35 @@ def test_long_items(spark):
     first, last = same.index(True), len(same) - 1 - same[::-1].index(True)
     assert set(got) == {1, 2} and got[2]["n_words"] == got[2]["n_same"] == 400
     assert (got[1]["doc_start"], got[1]["n_words"], got[1]["n_same"]) == (2 + first, last - first + 1, sum(same))
+
+
+def test_urls_against_brute_force(spark):
+    """Rules and verdicts of random URLs, judged one by one; names that clash are refused."""
+    rnd = random.Random(31)
+    rules = [Rule("org", "/", "allow"), Rule("example.org", "/es/", "block"), Rule("example.org", "/en/1", "block"), Rule("com", "/fr/", "allow"), Rule("com", "/de/", "block")]
+    host = lambda: rnd.choice(["a.example.org", "EXAMPLE.org", "x.com", "y.net", "badexample.org", "z.co", "org", ""])
+    urls = [f"{rnd.choice(['http', 'https', 'x'])}://{host()}{rnd.choice(['/es/', '/en/1', '/en/', '/fr/', '/de/', '', '?q=/es/', '#/de/'])}{rnd.choice(['', 'p', 'win-casino-77', 'notes'])}" for _ in range(300)] + [None, "", "no scheme", "a://b://c/de/"]
+    pages = spark.createDataFrame([(i, u, "x", 1.0) for i, u in enumerate(urls)], "page_id bigint, url string, _host string, h double")
+    model = fit_urls(pages, rules)
+    score = model.scorer()
+    for r in judge_urls(pages, rules, model).collect():
+        u = urls[r["page_id"]] or ""
+        rest = u.split("://", 1)[1] if "://" in u else ""
+        h = re.split(r"[/?#]", rest, maxsplit=1)[0]
+        path = re.split(r"[?#]", rest[len(h) :], maxsplit=1)[0]
+        h = "".join(c.lower() if c.isascii() else c for c in h)
+        fits = [x for x in rules if (h == x.host or h.endswith("." + x.host)) and path.startswith(x.path)]
+        best = max(fits, key=lambda x: len(x.name), default=None)
+        assert (r["host"], r["path"], r["rule"]) == (h, path, best and best.name)
+        assert r["verdict"] == (best.verdict if best else "allow" if score(h + path) >= 0 else "block")
+    for name in ("host", "score"):
+        with pytest.raises(ValueError):
+            judge_urls(pages.withColumn(name, F.lit(1)), rules, model, keep=("page_id", name))
+    assert judge_urls(pages.where("false"), rules, model).collect() == []
+
+
+def test_package_imports():
+    """The entry point passes over a package that can't be imported: here it has to be."""
+    import __spark_entry__ as entry
+
+    assert {"pipeline", "op1_toxicity", "op13_extraction"} <= set(entry.queries())
