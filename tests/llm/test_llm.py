@@ -22,7 +22,7 @@ from lumora.llm.grams import Grams
 from lumora.llm.language import fit_language, predict_language
 from lumora.llm.lattice import Lattice
 from lumora.llm.lm import Vocabulary, mixed, score_texts, token_mass, tokens
-from lumora.llm.quality import _fit as quality_fit
+from lumora.llm.quality import _fit_risk, _objective, _roughness
 from lumora.llm.quality import bound_prior, fit_quality, pu_risk, score_quality
 from lumora.llm.queries import oracle_sql, queries, tokenizer_path
 from lumora.llm.shingles import shingle_sets
@@ -185,7 +185,7 @@ def test_language_stage_rejects_the_unlearned(spark, tmp_path):
 
 
 # 4 quality
-def test_risk_and_prior_by_hand():
+def test_risk_and_prior_by_hand(spark):
     rng = np.random.default_rng(5)
     zp, zu = rng.normal(1, 1, 50), rng.normal(0, 1, 80)
     plus, minus = pu_risk(zp, np.logaddexp(0, zu).mean(), 0.4)
@@ -194,7 +194,8 @@ def test_risk_and_prior_by_hand():
     pos, unl = (np.arange(400) % 20 == 0).astype(int)[:, None], np.concatenate([np.arange(700) % 20 == 0, np.arange(300) % 20 > 0]).astype(int)[:, None]
     share = lambda x: np.array([1.0, (x[:, 0] == 0).mean()])
     assert abs(bound_prior(share(pos), share(unl), 400, 1000) - 0.7) < 0.05
-    w = quality_fit(pos, unl, 2, 0.7, 1e-5, 600)
+    bins = lambda x: spark.createDataFrame([(bytearray(r.astype(np.uint8).tobytes()),) for r in x], "b binary").repartition(3)
+    w = _fit_risk(bins(unl), pos, 2, 0.7, 1e-5)
     p1, u1 = pos.mean(), unl.mean()
 
     def risk(w):
@@ -202,6 +203,16 @@ def test_risk_and_prior_by_hand():
         loss = lambda share, s: (1 - share) * np.logaddexp(0, s * z[0]) + share * np.logaddexp(0, s * z[1])
         return 0.7 * loss(p1, -1) + max(0.0, loss(u1, 1) - 0.7 * loss(p1, 1))
 
+    for prior in (0.6, None):  # value, gradient and Hessian over several columns
+        p3, u3 = rng.integers(0, 3, (40, 2)), rng.integers(0, 3, (70, 2))
+        f = _objective(bins(u3), p3, 3, 0.1, prior)
+        x = rng.normal(0, 1, 7)
+        z = lambda rows, x: x[rows[:, 0]] + x[3 + rows[:, 1]] + x[6]
+        plain = lambda x: np.logaddexp(0, z(u3, x)).mean() + (np.logaddexp(0, -z(p3, x)).mean() if prior is None else prior * (np.logaddexp(0, -z(p3, x)) - np.logaddexp(0, z(p3, x))).mean()) + 0.05 * x @ _roughness(2, 3) @ x  # noqa: B023, E731
+        value, g, h = f(x)
+        eye = np.eye(7) * 1e-4
+        assert np.isclose(value, plain(x)) and np.allclose(g, [(plain(x + e) - plain(x - e)) / 2e-4 for e in eye], atol=1e-6)
+        assert np.allclose(h, [[(plain(x + a + b) - plain(x + a - b) - plain(x - a + b) + plain(x - a - b)) / 4e-8 for a in eye] for b in eye], atol=1e-3)
     assert risk(w) <= min(risk(np.array([a, b, 0.0])) for a in np.linspace(-6, 6, 61) for b in np.linspace(-6, 6, 61)) + 0.02
 
 
