@@ -97,10 +97,13 @@ def chroma_bytes(spark, d):
     return _images(spark, d).select("id", chroma_index(i % 60, i % 50, F.floor((F.col("width") + 1) / 2) + 16, F.lit(2)).cast("bigint").alias("chroma"))
 
 
-@register(QUERIES, f"{_SIZED} SELECT id, width, height FROM i WHERE width <> 100 + id % 900 OR height <> 80 + id * 7 % 499")
+@register(QUERIES, f"""WITH o AS (SELECT o_orderkey AS id, o_custkey % 9 + 1 AS width, o_custkey % 5 + 1 AS height FROM orders), s AS (SELECT l_orderkey AS id, count(DISTINCT l_linenumber) + 2 AS width, max(l_linenumber) + 1 AS height FROM lineitem GROUP BY 1)
+SELECT id, o.width, o.height, s.width AS found_width, s.height AS found_height FROM o JOIN s USING (id) WHERE o.width <> s.width OR o.height <> s.height""")
 def dimension_mismatches(spark, d):
-    """Images whose declared size is not the decoded one."""
-    return _images(spark, d).where("width <> 100 + id % 900 or height <> 80 + id * 7 % 499").select("id", "width", "height")
+    """Images whose declared size is not the one that was found, in another table."""
+    declared = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), (F.col("o_custkey") % 9 + 1).alias("width"), (F.col("o_custkey") % 5 + 1).alias("height"))
+    found = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg((F.count_distinct("l_linenumber") + 2).alias("found_width"), (F.max("l_linenumber") + 1).alias("found_height"))
+    return declared.join(found, "id").where("width <> found_width OR height <> found_height").select("id", "width", "height", "found_width", "found_height")
 
 
 @register(QUERIES, f"{_SIZED} SELECT id, round((x + w * 0.25::DOUBLE) / width, 9) AS l, round((y + h * 0.5::DOUBLE) / height, 9) AS t, round((x + w * 0.75::DOUBLE) / width, 9) AS r, round((y + h) / height, 9) AS b FROM i")
@@ -111,10 +114,13 @@ def region_boxes(spark, d):
     return _images(spark, d).select("id", *[F.round(got[k], 9).alias(k) for k in "ltrb"])
 
 
-@register(QUERIES, "SELECT page_id, sha256('3x2:RGB:' || substr(url, 1, 18)) AS sha FROM pages")
+@register(QUERIES, """WITH b AS (SELECT vec_id, list_transform(embedding[1:63], lambda x: CAST(least(255, greatest(0, floor(128 + 127 * CAST(x AS DOUBLE)))) AS INT)) AS v FROM embeddings)
+SELECT vec_id, sha256(encode('7x3:RGB:') || unhex(array_to_string(list_transform(v, lambda x: printf('%02x', x)), ''))) AS sha FROM b""")
 def pixel_hashes(spark, d):
-    """The hash of raw pixels after the image's size."""
-    return table(spark, d, "pages").select("page_id", F.sha2(F.concat(F.encode(F.lit("3x2:RGB:"), "utf-8"), F.encode(F.substring("url", 1, 18), "utf-8")), 256).alias("sha"))
+    """The hash of an image's raw pixels after its size; the pixels are bytes made of a vector's coordinates, three a pixel."""
+    level = lambda x: F.least(F.lit(255), F.greatest(F.lit(0), F.floor(128 + x.cast("double") * 127))).cast("int")
+    digits = F.array_join(F.transform(F.slice("embedding", 1, 63), lambda x: F.lpad(F.hex(level(x)), 2, "0")), "")
+    return table(spark, d, "embeddings").select("vec_id", F.sha2(F.concat(F.encode(F.lit("7x3:RGB:"), "utf-8"), F.unhex(digits)), 256).alias("sha"))
 
 
 _CROPS = f"{_BOXES}, c AS (SELECT image_id, CAST(image_id % 3 AS INT) AS expected, image_id % 5 > 0 AS covered, arg_max(cls, struct_pack(c := conf, a := -anchor)) FILTER (WHERE conf >= 0.6) AS best, count(CASE WHEN conf >= 0.6 THEN 1 END) AS n_found FROM boxes GROUP BY image_id)"

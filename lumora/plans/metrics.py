@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lumora.functions.metrics import Z95, fitness, ratio, wilson, zero_failure_bound
+from lumora.functions.metrics import Z95, fitness, ratio, selective, wilson, zero_failure_bound
 from lumora.operators.audit import weights_by_rarity
 from lumora.operators.ordered import percentiles
 from lumora.plans.base import register, table
@@ -157,3 +157,48 @@ def progress_delta(spark, d):
 def parity_errors(spark, d):
     a, b = F.col("embedding")[0].cast("double"), F.col("embedding")[1].cast("double")
     return table(spark, d, "embeddings").groupBy("label").agg(F.round(F.max(F.abs(a - b)), 6).alias("max_error"), F.count(F.when(F.abs(a - b) <= 0.05 + 0.1 * F.abs(b), 1)).alias("close"))
+
+
+_SELECTIVE = """g AS (SELECT o_custkey % 40 AS capture, count(*) AS attempts, count(*) FILTER (o_orderkey % 3 > 0) AS accepted, count(*) FILTER (o_orderkey % 3 > 0 AND (o_custkey % 40 % 4 = 1 AND o_orderkey % 11 = 0)) AS wrong,
+  count(*) FILTER (o_orderkey % 7 > 0 OR o_orderkey % 3 > 0) AS in_scope, count(*) FILTER (o_orderkey % 3 > 0 AND NOT (o_custkey % 40 % 4 = 1 AND o_orderkey % 11 = 0)) + CASE WHEN o_custkey % 40 = 39 THEN 1 ELSE 0 END AS correct FROM orders GROUP BY o_custkey % 40)"""
+_WILSON = "(({p} / {n}) + 3.841458820694124 / (2 * {n})) / (1 + 3.841458820694124 / {n}) - 1.959963984540054 * sqrt(({p} / {n}) * (1 - {p} / {n}) / {n} + 3.841458820694124 / (4 * {n} * {n})) / (1 + 3.841458820694124 / {n})"
+
+
+@register(QUERIES, f"""WITH {_SELECTIVE}, f AS (SELECT *, correct = accepted - wrong AND correct <= in_scope AS fits FROM g)
+SELECT capture, fits, CASE WHEN fits THEN round(accepted / attempts, 9) END AS coverage, CASE WHEN fits THEN round(greatest(0.0, {_WILSON.format(p='accepted', n='attempts')}), 9) END AS coverage_low, CASE WHEN fits AND accepted > 0 THEN round(wrong / accepted, 9) END AS wrong_among_accepted,
+  CASE WHEN fits AND in_scope > 0 THEN round(correct / in_scope, 9) END AS correct_lock_yield, CASE WHEN fits AND wrong = 0 AND accepted > 0 THEN round(1 - pow(0.05, 1.0 / accepted), 9) END AS zero_wrong_upper FROM f""")
+def selective_bounds(spark, d):
+    """Rates of accepted attempts with their totals and bounds; counts that don't fit together have none."""
+    k, c = F.col("o_orderkey"), F.col("capture")
+    rows = table(spark, d, "orders").select(k, (F.col("o_custkey") % 40).alias("capture"))
+    taken, wrong = k % 3 > 0, (k % 3 > 0) & (c % 4 == 1) & (k % 11 == 0)
+    g = rows.groupBy("capture").agg(F.count("*").alias("attempts"), F.count_if(taken).alias("accepted"), F.count_if(wrong).alias("wrong"), F.count_if((k % 7 > 0) | taken).alias("in_scope"), (F.count_if(taken & ~wrong) + F.max(F.when(c == 39, 1).otherwise(0))).alias("correct"))
+    s = g.select("capture", selective(*[F.col(x) for x in ("attempts", "accepted", "wrong", "in_scope", "correct")]).alias("s"))
+    r = lambda x, y: F.round(x, 9).alias(y)
+    return s.select("capture", F.col("s").isNotNull().alias("fits"), r("s.coverage.rate", "coverage"), r("s.coverage.low", "coverage_low"), r("s.wrong_among_accepted.rate", "wrong_among_accepted"), r("s.correct_lock_yield.rate", "correct_lock_yield"), r("s.zero_wrong_accepts_upper_95", "zero_wrong_upper"))
+
+
+@register(QUERIES, "SELECT event_id, user_id FROM events WHERE event_id IN (SELECT o_orderkey // 3 FROM orders WHERE o_orderkey % 3 = 0)")
+def reviewed_frames(spark, d):
+    """Frames whose index was selected for review, in another table."""
+    reviewed = table(spark, d, "orders").where("o_orderkey % 3 = 0").selectExpr("o_orderkey DIV 3 AS event_id")
+    return table(spark, d, "events").select("event_id", "user_id").join(reviewed, "event_id", "left_semi")
+
+
+@register(QUERIES, """WITH g AS (SELECT l_orderkey AS image_id, count(*) AS n_true FROM lineitem GROUP BY 1), p AS (SELECT l_orderkey AS image_id, count(*) AS n_found, min(CASE WHEN l_partkey % 50 = 0 THEN 0.7 ELSE 0.9 END) AS least FROM lineitem WHERE l_suppkey % 20 > 0 GROUP BY 1)
+SELECT n_true, count(*) AS images, count(*) FILTER (n_true IN (2, 5, 8, 11, 14, 17) AND n_found = n_true AND least >= 0.8) AS eligible FROM g LEFT JOIN p USING (image_id) GROUP BY n_true""")
+def eligibility_histogram(spark, d):
+    """Images by their number of tiles, and how many of them count: a number that can be a hand, all found, each with at least 0.8."""
+    rows = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("image_id"), "l_suppkey", "l_partkey")
+    found = F.col("l_suppkey") % 20 > 0
+    by = rows.groupBy("image_id").agg(F.count("*").alias("n_true"), F.count_if(found).alias("n_found"), F.min(F.when(found, F.when(F.col("l_partkey") % 50 == 0, 0.7).otherwise(0.9))).alias("least"))
+    fits = F.col("n_true").isin(2, 5, 8, 11, 14, 17) & (F.col("n_found") == F.col("n_true")) & (F.col("least") >= 0.8)
+    return by.groupBy("n_true").agg(F.count("*").alias("images"), F.count_if(fits).alias("eligible"))
+
+
+@register(QUERIES, "SELECT o.o_orderkey AS frame, abs((l.us - o.o_orderkey * 33367) - 1500) <= 2000 AS within FROM orders o JOIN (SELECT l_orderkey, min(l_orderkey * 33367 + l_partkey % 5000) AS us FROM lineitem GROUP BY 1) l ON l.l_orderkey = o.o_orderkey")
+def decoded_times(spark, d):
+    """Decoded times of frames against pinned ones of another table, less a constant offset, within 2 ms."""
+    decoded = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("frame")).agg(F.min(F.col("l_orderkey") * 33367 + F.col("l_partkey") % 5000).alias("us"))
+    pinned = table(spark, d, "orders").select(F.col("o_orderkey").alias("frame"), (F.col("o_orderkey") * 33367).alias("pinned"))
+    return pinned.join(decoded, "frame").select("frame", (F.abs(F.col("us") - F.col("pinned") - 1500) <= 2000).alias("within"))
