@@ -226,10 +226,12 @@ def share_file(spark: SparkSession, data: bytes, name: str) -> str:
     return name
 
 
-def encode(docs: DataFrame, tok: Tokenizer, lexicon: bytes | None, *, text_col: str = "text", outputs: tuple[str, ...] = ("ids",), keep: tuple[str, ...] = ("doc_id",), memo_size: int = MEMO) -> DataFrame:
+def encode(docs: DataFrame, tok: Tokenizer, lexicon: bytes | None, *, text_col: str = "text", outputs: tuple[str, ...] = ("ids",), keep: tuple[str, ...] = ("doc_id",), memo_size: int = MEMO, batch_bytes: int = 1 << 23) -> DataFrame:
     """The columns of ``keep`` and, as asked for, of each whole text: ``ids`` array<int>, ``n_tokens`` long,
     ``ids_text`` (decimal ids joined by a space) and ``decoded`` (the text decoded from the ids).
 
+    A task takes texts of some ``batch_bytes`` at a time and remembers ``memo_size`` chunks.
+
     A null text is an empty one; rows that repeat are encoded each; very long texts are encoded whole; an empty table gives an empty
     result. A kept column with the name of an output is an error (ValueError); other columns may have any name.
     """
@@ -250,7 +252,7 @@ def encode(docs: DataFrame, tok: Tokenizer, lexicon: bytes | None, *, text_col:
             ids = codec.encode(text)
             return ids if x == "ids" else len(ids) if x == "n_tokens" else codec.decode(ids) if x == "decoded" else " ".join(map(str, ids))
 
-        for b in long_batches(batches, ENCODED_ROWS):
+        for b in long_batches(batches, ENCODED_ROWS, batch_bytes):
             # split, tell chunks apart, put the chunks' results in their places and join them: all by Arrow
             text, odd = _plain(b.column(b.num_columns - 1), codec)
             chunks = pc.ascii_split_whitespace(text)
