@@ -53,7 +53,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, n_tokens and the ids of each document's tokens."""
     tok = Tokenizer.load(tokenizer_path())
-    return encode(docs, tok, build_lexicon(docs.select("text"), tok), outputs=("n_tokens", "ids"), keep=("doc_id", "lang", "source"), memo_size=100_000)
+    return encode(docs, tok, build_lexicon(docs.select("text"), tok), outputs=("n_tokens", "ids"), keep=("doc_id", "lang", "source"), memo_size=100_000, batch_bytes=1 << 21)
 
 
 STAGES = [("toxicity", toxicity), ("language_id", language), ("ngram_jaccard_join", near_duplicates), ("benchmark_decontamination", decontamination), ("bpe", bpe)]
