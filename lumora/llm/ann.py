@@ -14,7 +14,8 @@ indexed; nothing is capped: a window that reaches over the whole block verifies
 
 Vectors that are null, zero, of another length than most, or hold null or non-finite components take no part,
 as candidates or queries. A query never finds rows of its own id. Repeated rows are candidates of their own;
-a repeated query is asked once. Ties go to the smaller id. With fewer than ``k`` candidates all are returned.
+a repeated query is asked once. Ties go to the smaller id. With fewer than ``k`` candidates all are returned. An empty table, or
+one without queries, gives an empty result. Only the two named columns are read; others may have any name.
 """
 
 from __future__ import annotations

@@ -95,9 +95,16 @@ def responses(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url"
     return rows.withColumn("record_id", _record_id(F.lit("response"), F.col("_id"), F.col("target_uri"), F.col("payload_digest"))).select(*keep, "record_id", "target_uri", "date", "http_headers", "payload", "payload_digest")
 
 
+_DERIVED = frozenset("record_type record_id refers_to target_uri date content_type source_headers source_digest block content_length block_digest _title _lang _charset _links _bare".split())
+
+
 def derive(source: DataFrame, *, keep: tuple[str, ...] = ("page_id",)) -> DataFrame:
     """Two records of each response: record_type, record_id, refers_to, target_uri, date, content_type,
-    source_headers, source_digest, block, content_length, block_digest."""
+    source_headers, source_digest, block, content_length, block_digest. A kept column with the name of one of them, or of one that
+    is worked out on the way, is an error (ValueError)."""
+    clash = sorted(set(keep) & _DERIVED)
+    if clash:
+        raise ValueError(f"the kept columns hold the names of new ones: {clash}; give them other names")
     html = F.col("payload")
     found = {"_title": F.regexp_extract(html, _TITLE, 1), "_lang": F.regexp_extract(html, _LANG, 1), "_charset": F.regexp_extract(html, _CHARSET, 1), "_links": F.regexp_extract_all(html, F.lit(_LINK), 1), "_bare": _bare_text(html)}
     # columns of their own: what is read more than once is computed once

@@ -723,3 +723,27 @@ def test_package_imports():
     import __spark_entry__ as entry
 
     assert {"pipeline", "op1_toxicity", "op13_extraction"} <= set(entry.queries())
+
+
+def test_stages_take_odd_tables(spark, tmp_path):
+    """Columns named like those that stages add for a time, repeated and null rows, empty and very long texts, and empty tables."""
+    import corpus_pipeline as P
+
+    rnd = random.Random(12)
+    rows = [(i, text(rnd, 60) + (" vilescum grotwad" if i % 6 == 0 else ""), "aa", "s", 1, 0.5, "x", "y", 1.0) for i in range(90)]
+    rows += [rows[1], (None, text(rnd, 60), "aa", None, None, None, None, None, None), (300, None, "aa", "s", 1, 1.0, "x", "y", 1.0), (301, "", None, "s", 1, 1.0, "x", "y", 1.0), (302, text(rnd, 30000), "aa", "s", 1, 1.0, "x", "y", 1.0)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint, _toxicity double, _lang_pred string, _lang_score string, _lang_fit double")
+    spark.createDataFrame([(i, int(i % 6 == 0)) for i in range(90)], "doc_id bigint, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, text(rnd, 20)), (None, None)], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for _, stage in P.STAGES[:-1]:
+        kept = stage(spark, docs, str(tmp_path))
+        assert kept.columns == docs.columns and stage(spark, docs.where("false"), str(tmp_path)).collect() == []
+        ids = [r["doc_id"] for r in kept.select("doc_id").collect()]
+        assert 2 in ids and 302 in ids and (None in ids) and ids.count(1) in (0, 2)
+    assert len(P.STAGES[-1][1](spark, docs, str(tmp_path)).collect()) == len(rows)
+
+
+def test_warc_refuses_clashing_names(spark):
+    source = warc.responses(spark.createDataFrame([(1, "http://a/", "<p>x</p>", 1)], "page_id bigint, url string, html string, block int"), keep=("page_id", "block"))
+    with pytest.raises(ValueError):
+        warc.derive(source, keep=("page_id", "block"))
