@@ -4,6 +4,10 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes i
 folder and reads it back for the next. All but the last return the columns of documents. Rows whose id is
 null pass the stages that decide by id. Rows that share an id are one document: they stay or go together.
 An empty table gives an empty result.
+
+Null and empty texts: toxicity scores them by its bias alone, the language stage rejects them (they have no letter), they link with
+nothing and nothing leaks into them. Texts of any length are read whole. Ties and repeated rows are those of the operators. More
+columns may have any name: columns for a time take names that the documents don't have.
 """
 
 from __future__ import annotations
@@ -24,18 +28,26 @@ TOXIC_FROM = 0.5
 SHINGLE, SIMILAR = 5, (80, 100)
 
 
+def _free(docs: DataFrame, name: str) -> str:
+    """A column name that the documents don't have."""
+    while name.lower() in {c.lower() for c in docs.columns}:
+        name += "_"
+    return name
+
+
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not judged toxic. The classifier learns from the labels of documents of this stage."""
     model = fit_toxicity(docs.select("doc_id", "text"), table(spark, sf_dir, "labels").select("doc_id", "toxic"))
-    scored = score_toxicity(docs, model, score_col="_toxicity", keep=tuple(docs.columns))
-    return scored.where(F.col("_toxicity") < TOXIC_FROM).drop("_toxicity")
+    score = _free(docs, "_toxicity")
+    return score_toxicity(docs, model, score_col=score, keep=tuple(docs.columns)).where(F.col(score) < TOXIC_FROM).drop(score)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are in one of the learned languages: neither undetermined nor below the least fit of held-back texts."""
     model = fit_language(docs.select("doc_id", "text", "lang"), with_fit=True)
-    judged = predict_language(docs, model, lang_out="_lang_pred", score_col="_lang_score", fit_col="_lang_fit", keep=tuple(docs.columns))
-    return judged.where((F.col("_lang_pred") != UNDETERMINED) & (F.col("_lang_fit") >= 0)).drop("_lang_pred", "_lang_score", "_lang_fit")
+    lang, score, fit = (_free(docs, x) for x in ("_lang_pred", "_lang_score", "_lang_fit"))
+    judged = predict_language(docs, model, lang_out=lang, score_col=score, fit_col=fit, keep=tuple(docs.columns))
+    return judged.where((F.col(lang) != UNDETERMINED) & (F.col(fit) >= 0)).drop(lang, score, fit)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
