@@ -5,7 +5,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumora.operators.audit import assign_split, unit_value
@@ -85,19 +85,20 @@ def _texts(spark: SparkSession, d: str) -> str:
     return path
 
 
-_ITEM = F.regexp_extract("path", r"item_id=(\d+)", 1).cast("bigint")
+def _item() -> Column:
+    return F.regexp_extract("path", r"item_id=(\d+)", 1).cast("bigint")
 
 
 @register(QUERIES, "WITH l AS (SELECT item_id, regexp_split_to_array(coalesce(text, ''), '\\r|\\n') AS x FROM benchmark WHERE item_id IS NOT NULL) SELECT item_id, unnest(range(len(x))) AS line_no, sha256(unnest(x)) AS sha FROM l")
 def text_lines(spark, d):
     """Lines of files with their numbers."""
-    return read_lines(spark, _texts(spark, d)).select(_ITEM.alias("item_id"), "line_no", F.sha2("line", 256).alias("sha"))
+    return read_lines(spark, _texts(spark, d)).select(_item().alias("item_id"), "line_no", F.sha2("line", 256).alias("sha"))
 
 
 @register(QUERIES, "SELECT item_id, strlen(coalesce(text, '')) + 1 AS length, sha256(coalesce(text, '') || chr(10)) AS sha256 FROM benchmark WHERE item_id IS NOT NULL")
 def file_digests(spark, d):
     """Sizes and digests of files."""
-    return read_digests(spark, _texts(spark, d), "*.txt").select(_ITEM.alias("item_id"), "length", "sha256")
+    return read_digests(spark, _texts(spark, d), "*.txt").select(_item().alias("item_id"), "length", "sha256")
 
 
 @register(QUERIES, "SELECT CAST(count(*) AS BIGINT) AS files FROM benchmark WHERE item_id IS NOT NULL")
