@@ -98,9 +98,9 @@ def _sum_sketches(rows: DataFrame) -> np.ndarray:
         yield pa.record_batch([pa.array(list(total), pa.int32()), pa.array(out, pa.binary())], names=["chunk", "counts"])
 
     kind = "chunk int, counts binary"
-    some = rows.select("chunk", "counts").repartition(_CHUNKS, "chunk", F.pmod(F.xxhash64("counts"), F.lit(8))).mapInArrow(run, kind)
+    some = rows.select("chunk", "counts").repartition(_CHUNKS, "chunk", F.pmod(F.xxhash64("counts"), F.lit(8))).mapInArrow(release_after(run), kind)
     out = np.zeros((_CHUNKS, (1 << SKETCH_BITS) // _CHUNKS), np.int32)
-    for r in some.repartition(_CHUNKS // 4, "chunk").mapInArrow(run, kind).collect():  # 4 MB in all
+    for r in some.repartition(_CHUNKS // 4, "chunk").mapInArrow(release_after(run), kind).collect():  # 4 MB in all
         out[r["chunk"]] += np.frombuffer(r["counts"], np.int32)
     return out.ravel()
 
@@ -206,7 +206,7 @@ def _first_pairs(prefixes: DataFrame, num: int, den: int) -> DataFrame:
             tail = {"h": h2[keep], "i": i2[keep], "n": n2[keep], "p": p2[keep], "rank": rank2[keep], "first": last_first}
 
     dealt = prefixes.repartition(n_shuffle(prefixes.sparkSession), "h").sortWithinPartitions("h", "id")
-    return dealt.mapInArrow(run, f"{_PAIR}, h bigint")
+    return dealt.mapInArrow(release_after(run), f"{_PAIR}, h bigint")
 
 
 def _canonical(pairs: DataFrame, members: DataFrame) -> DataFrame:
@@ -240,7 +240,7 @@ def _suffix_filter(pairs: DataFrame, signatures: DataFrame, num: int, den: int)
                 total = b.column(2).to_numpy().astype(np.int64) + b.column(3).to_numpy()
                 yield b.select(["a", "b", "na", "nb"]).filter(pa.array(_may_link(_apart(b.column(4).to_pylist(), b.column(5).to_pylist()), total, num, den)))
 
-    return pairs.select("a", "b", "na", "nb", "pa", "pb").mapInArrow(run, _PAIR)
+    return pairs.select("a", "b", "na", "nb", "pa", "pb").mapInArrow(release_after(run), _PAIR)
 
 
 def _bloom(ids: DataFrame, n: int) -> np.ndarray:
@@ -259,7 +259,7 @@ def _bloom(ids: DataFrame, n: int) -> np.ndarray:
         yield pa.record_batch([pa.array([out.tobytes()], pa.binary())], names=["v"])
 
     out = np.zeros(bits // 8, np.uint8)
-    for r in ids.mapInArrow(run, "v binary").repartition(8).mapInArrow(run, "v binary").toLocalIterator():
+    for r in ids.mapInArrow(release_after(run), "v binary").repartition(8).mapInArrow(run, "v binary").toLocalIterator():
         out |= np.frombuffer(r["v"], np.uint8)
     return out
 
@@ -326,7 +326,7 @@ def _verify(pairs: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> Da
 
     dealt = left.unionByName(right).repartition(n_shuffle(spark), "a", "_salt").sortWithinPartitions("a", "_salt", F.asc_nulls_first("b"))
     with batch_rows(spark, 1024):
-        return cut(dealt.mapInArrow(run, "u bigint, v bigint"), "verified")
+        return cut(dealt.mapInArrow(release_after(run), "u bigint, v bigint"), "verified")
 
 
 def _large_buckets(rows: DataFrame, members: DataFrame) -> DataFrame:
@@ -384,7 +384,7 @@ def _later_pairs(large: DataFrame, profiles: DataFrame, roots: DataFrame, num: i
             yield from pairs_of(held)
 
     dealt = rows.repartition(n_shuffle(rows.sparkSession), "h", "x", "y").sortWithinPartitions("h", "x", "y")
-    return dealt.mapInArrow(run, _PAIR)
+    return dealt.mapInArrow(release_after(run), _PAIR)
 
 
 def _one_text_each(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
