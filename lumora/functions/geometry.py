@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lumora.functions.arrays import once
+
 
 def iou(a: Column, b: Column) -> Column:
     """Intersection over union of two structs with l, t, r, b; 0 if the union isn't positive."""
@@ -95,9 +97,8 @@ def to_whole(box: Column, window: Column, width: Column, height: Column) -> Colu
 
 def median(values: Column) -> Column:
     """The mean of the two middle values of an array of numbers; null of none."""
-    s = F.array_sort(values)
-    n = F.size(s)
-    return (F.get(s, F.floor((n - 1) / 2).cast("int")) + F.get(s, F.floor(n / 2).cast("int"))) / 2
+    at = lambda s, n: F.get(s, F.floor(n / 2).cast("int"))
+    return once(F.array_sort(values), lambda s: (at(s, F.size(s) - 1) + at(s, F.size(s))) / 2)
 
 
 # When a row of boxes has an angle.
@@ -108,14 +109,20 @@ def row_angle(boxes: Column, width: Column, height: Column) -> Column:
     """Degrees by which a row of boxes (shares of an image) is turned: the median slope of pairs of centres far enough apart;
     0 if there are few boxes, if their centres are not near one line, or if the angle is small or large."""
     points = F.transform(boxes, lambda d: F.struct(((d["l"] + d["r"]) * width / 2).alias("x"), ((d["t"] + d["b"]) * height / 2).alias("y")))
-    slopes = F.flatten(F.transform(points, lambda p, i: F.transform(F.filter(F.slice(points, i + 2, F.size(points)), lambda q: F.abs(q["x"] - p["x"]) >= width * ROW_APART), lambda q: (q["y"] - p["y"]) / (q["x"] - p["x"]))))
-    slope = median(slopes)
-    offset = median(F.transform(points, lambda p: p["y"] - slope * p["x"]))
+
+    def slopes(own: Column) -> Column:
+        apart = lambda p, i: F.filter(F.slice(own, i + 2, F.size(own)), lambda q: F.abs(q["x"] - p["x"]) >= width * ROW_APART)
+        return F.flatten(F.transform(own, lambda p, i: F.transform(apart(p, i), lambda q: (q["y"] - p["y"]) / (q["x"] - p["x"]))))
+
     tall = median(F.transform(boxes, lambda d: (d["b"] - d["t"]) * height))
-    residual = median(F.transform(points, lambda p: F.abs(p["y"] - slope * p["x"] - offset)))
-    angle = F.degrees(F.atan(slope))
-    fine = (F.size(boxes) >= ROW_BOXES) & (tall > 0) & (residual <= tall * ROW_RESIDUAL) & F.abs(angle).between(ROW_LEAST, ROW_MOST)
-    return F.when(fine, angle).otherwise(F.lit(0.0))
+
+    def judged(slope: Column, offset: Column, own: Column, tall: Column) -> Column:
+        residual = median(F.transform(own, lambda p: F.abs(p["y"] - slope * p["x"] - offset)))
+        angle = F.degrees(F.atan(slope))
+        fine = (F.size(own) >= ROW_BOXES) & (tall > 0) & (residual <= tall * ROW_RESIDUAL) & F.abs(angle).between(ROW_LEAST, ROW_MOST)
+        return F.when(fine, angle).otherwise(F.lit(0.0))
+
+    return once(points, lambda own: once(median(slopes(own)), lambda slope: once(median(F.transform(own, lambda p: p["y"] - slope * p["x"])), lambda offset: once(tall, lambda high: judged(slope, offset, own, high)))))
 
 
 # The guide of a scan, in shares of a frame.
