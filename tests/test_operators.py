@@ -13,6 +13,7 @@ from lumora.functions.metrics import wilson, zero_failure_bound
 from lumora.operators.audit import assign_split, keep_first, unit_value
 from lumora.operators.consensus import DECISION, FRAME, Policy, State, by_center, can_confirm, frame_issue, gate_batch
 from lumora.operators.detections import assign, best_class, match_boxes, nms
+from lumora.operators import fingerprints
 from lumora.operators.fingerprints import blocks_kept, hamming_links, near_links, near_pairs
 from lumora.operators.graph import components, cycle_nodes
 from lumora.streaming.gate import ROCKSDB, gate_stream
@@ -214,3 +215,17 @@ def test_row_angle_works_medians_out_once(spark):
     assert df._jdf.queryExecution().analyzed().toString().lower().count("array_sort(") == 4
     got = [r["angle"] for r in df.collect()]
     assert abs(got[0] - 5.0) < 1e-9 and got[1] == 0.0
+
+
+def test_near_pairs_are_joined_by_a_shuffle(spark, monkeypatch):
+    """A small table is not broadcast, since its candidates are many; bits in few places are told apart; hot keys are dealt, each pair once."""
+    monkeypatch.setattr(fingerprints, "HOT_ROWS", 5)
+    rnd = random.Random(8)
+    bits = [rnd.getrandbits(7) << 50 for _ in range(120)]
+    rows = spark.createDataFrame(list(enumerate(bits)), "id int, bits bigint")
+    got = near_pairs(rows, bits_col="bits", id_col="id", distance=2)
+    assert "SortMergeJoin [choice" in got._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r["a"]["id"], r["b"]["id"]) for r in got.collect()) == [(i, j) for (i, a), (j, b) in itertools.combinations(enumerate(bits), 2) if (a ^ b).bit_count() <= 2]
+    same = spark.createDataFrame([(1, 5), (2, 5), (3, None)], "id int, bits bigint")
+    assert [(r["a"]["id"], r["b"]["id"]) for r in near_pairs(same, bits_col="bits", id_col="id", distance=4).collect()] == [(1, 2)]
+    assert near_pairs(same.limit(0), bits_col="bits", id_col="id", distance=4).count() == 0
