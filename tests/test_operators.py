@@ -229,3 +229,12 @@ def test_near_pairs_are_joined_by_a_shuffle(spark, monkeypatch):
     same = spark.createDataFrame([(1, 5), (2, 5), (3, None)], "id int, bits bigint")
     assert [(r["a"]["id"], r["b"]["id"]) for r in near_pairs(same, bits_col="bits", id_col="id", distance=4).collect()] == [(1, 2)]
     assert near_pairs(same.limit(0), bits_col="bits", id_col="id", distance=4).count() == 0
+
+
+def test_groups_of_near_fingerprints_need_no_broadcast_join(spark, monkeypatch):
+    monkeypatch.setattr(fingerprints, "HOT_ROWS", 5)
+    bits = [random.Random(i // 3).getrandbits(24) ^ (1 << i % 3) for i in range(90)]
+    links = hamming_links(spark.createDataFrame(list(enumerate(bits)), "id int, bits bigint"), id_col="id", bits_col="bits", distance=2, width=24)
+    assert "SortMergeJoin [choice" in links._jdf.queryExecution().executedPlan().toString()
+    root = {r["u"]: r["root"] for r in components(links.select("u", "v")).collect()}
+    assert all(root[i] == i // 3 * 3 for i in range(90) if i % 3) and not any(i in root for i in range(0, 90, 3))
