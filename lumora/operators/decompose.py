@@ -56,29 +56,32 @@ _FRAMES: dict[tuple, DataFrame] = {}
 def _part_table(spark: SparkSession, honors: bool) -> DataFrame:
     key = (spark.sparkContext.applicationId, honors)
     if key not in _FRAMES:
-        _FRAMES[key] = spark.createDataFrame(suit_parts(7, False) if honors else suit_parts(9, True), PART)
+        _FRAMES[key] = cut(spark.createDataFrame(suit_parts(7, False) if honors else suit_parts(9, True), PART).coalesce(1), "parts")
     return _FRAMES[key]
 
 
+def _suit_keys(t: Column, most: int) -> Column:
+    """The four suits' counts of sorted tiles as digits of base 5; null for over ``most`` tiles, for one that is none and for five of a kind."""
+    power = F.array(*[F.lit(5**i) for i in range(9)])
+    none = F.array(*[F.lit(0)] * 4)
+    five = F.size(F.filter(F.slice(t, 5, most), lambda x, i: x == F.get(t, i))) > 0
+    added = lambda a, x: F.transform(a, lambda k, s: k + F.when(F.floor(x / 9) == s, F.element_at(power, (x % 9 + 1).cast("int"))).otherwise(0))
+    return F.when((F.size(t) <= most) & F.forall(t, lambda x: x.between(0, 33)) & ~five, F.aggregate(t, none, added))
+
+
 def decompose(hands: DataFrame, *, id_col: str = "hand_id", tiles_col: str = "concealed", groups_col: str = "n_groups") -> DataFrame:
     """Every (pair, groups) of each hand: the id, pair, groups (kind, first tile) in tile order.
 
     Hands with a tile outside 0..33, more than four of a kind or a wrong number of tiles have none.
     """
-    t = F.col("_t")
-    rows = hands.select(F.col(id_col), F.col(tiles_col).alias("_t"), F.col(groups_col).cast("int").alias("_g"))
-    rows = rows.where((F.size(t) == F.col("_g") * 3 + 2) & F.forall(t, lambda x: x.between(0, 33)) & (F.size(t) <= 17))
-    rows = rows.where(F.forall(t, lambda x: F.size(F.filter(t, lambda y: y == x)) <= 4))
-    power = F.array(*[F.lit(5**i) for i in range(9)])
-
-    def key(suit: int) -> Column:
-        return F.aggregate(F.filter(t, lambda x: F.floor(x / 9) == suit), F.lit(0), lambda a, x: a + F.element_at(power, (x % 9 + 1).cast("int")))
+    rows = hands.where(F.size(tiles_col) == F.col(groups_col).cast("int") * 3 + 2)
+    rows = rows.select(F.col(id_col), F.col(groups_col).cast("int").alias("_g"), once(F.sort_array(tiles_col), lambda t: _suit_keys(t, 17)).alias("_keys"))
 
     def moved(groups: Column, suit: int) -> Column:
         return F.transform(groups, lambda g: F.struct(g["kind"].alias("kind"), (g["tile"] + 9 * suit).alias("tile")))
 
-    keys = [key(s) for s in range(4)]
-    rows = rows.select(id_col, "_g", *[k.alias(f"_k{s}") for s, k in enumerate(keys)])
+    # -1 is no key; of a key that may be null the optimizer would ask, once a suit and with all of its expression, whether it is
+    rows = rows.select(id_col, "_g", *[F.coalesce(F.get("_keys", s), F.lit(-1)).alias(f"_k{s}") for s in range(4)])
     spark = hands.sparkSession
     for s in range(4):
         part = _part_table(spark, s == 3)
@@ -119,17 +122,8 @@ def waits(hands: DataFrame, *, id_col: str = "hand_id", tiles_col: str = "before
     Each of the four suits is looked up once in a table (bounded by the game) of count vectors that are whole or one tile short:
     a tile is waited for where its suit is short of it, the others are whole and there is one pair in all.
     """
-    power = F.array(*[F.lit(5**i) for i in range(9)])
-    none = F.array(*[F.lit(0)] * 4)
-
-    def keys(t: Column) -> Column:
-        """The suits' counts of sorted tiles as digits of base 5, null for tiles that are none or too many."""
-        five = F.size(F.filter(F.slice(t, 5, 16), lambda x, i: x == F.get(t, i))) > 0
-        added = lambda a, x: F.transform(a, lambda k, s: k + F.when(F.floor(x / 9) == s, F.element_at(power, (x % 9 + 1).cast("int"))).otherwise(0))
-        return F.when((F.size(t) <= 16) & F.forall(t, lambda x: x.between(0, 33)) & ~five, F.aggregate(t, none, added))
-
     rows = hands.where(F.size(tiles_col) == F.col(groups_col).cast("int") * 3 + 1)
-    rows = rows.select(F.col(id_col), F.concat(tiles_col, F.coalesce(F.col(melds_col), F.array().cast("array<int>"))).alias("_all"), once(F.sort_array(tiles_col), keys).alias("_keys"))
+    rows = rows.select(F.col(id_col), F.concat(tiles_col, F.coalesce(F.col(melds_col), F.array().cast("array<int>"))).alias("_all"), once(F.sort_array(tiles_col), lambda t: _suit_keys(t, 16)).alias("_keys"))
     rows = rows.select(id_col, "_all", *[F.get("_keys", s).alias(f"_k{s}") for s in range(4)])
     for s in range(4):
         part = _short_table(hands.sparkSession, s == 3)

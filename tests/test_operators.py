@@ -12,6 +12,7 @@ from lumora.functions.geometry import row_angle
 from lumora.functions.metrics import wilson, zero_failure_bound
 from lumora.operators.audit import assign_split, keep_first, unit_value
 from lumora.operators.consensus import DECISION, FRAME, Policy, State, by_center, can_confirm, frame_issue, gate_batch
+from lumora.operators.decompose import decompose
 from lumora.operators.detections import assign, best_class, match_boxes, nms
 from lumora.operators import fingerprints
 from lumora.operators.fingerprints import blocks_kept, hamming_links, near_links, near_pairs
@@ -238,3 +239,11 @@ def test_groups_of_near_fingerprints_need_no_broadcast_join(spark, monkeypatch):
     assert "SortMergeJoin [choice" in links._jdf.queryExecution().executedPlan().toString()
     root = {r["u"]: r["root"] for r in components(links.select("u", "v")).collect()}
     assert all(root[i] == i // 3 * 3 for i in range(90) if i % 3) and not any(i in root for i in range(0, 90, 3))
+
+
+def test_decompose_works_tiles_out_once(spark):
+    """The expression of the tiles stands in the size and in the keys, not once for each tile and suit."""
+    hands = spark.createDataFrame([(1, [0, 0, 0, 1, 1, 1, 2, 2, 2, 3, 3, 3, 4, 4])], "hand_id int, raw array<int>").select("hand_id", F.transform("raw", lambda x: x + 0).alias("concealed"), F.lit(4).alias("n_groups"))
+    got = decompose(hands)
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("transform(raw") <= 3
+    assert {r["pair"] for r in got.collect()} == {1, 4}
