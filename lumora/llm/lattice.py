@@ -17,6 +17,8 @@ _P = 0xBF58476D1CE4E5B9 | 1
 _LONG = 64
 _ROWS = 4096
 _SLOTS = 1 << 20
+#: Words less likely than this are worked out by logarithms.
+_FAINT = 1e-200
 WORD_START = "▁"
 #: Stands for a word-start character inside a word, which no piece holds there: it is spelled by bytes.
 _INNER = 0x110000
@@ -38,6 +40,7 @@ class Lattice:
     def __init__(self, pieces: list[str], logp: np.ndarray, bytes_at: np.ndarray) -> None:
         """``pieces``: strings, empty for those that spell nothing (control and byte pieces); ``bytes_at``: index of each byte's piece."""
         self.logp, self.bytes_at = np.asarray(logp, float), bytes_at
+        self.p = np.exp(self.logp)
         self.longest = max((len(p) for p in pieces), default=1)
         self.up, self.down = _powers(_P, _LONG + 2), _powers(pow(_P, -1, 2**64), _LONG + 2)
         of = np.flatnonzero([0 < len(p) <= _LONG for p in pieces])
@@ -185,6 +188,11 @@ class Lattice:
                     for x, k in zip(c, n, strict=True):
                         self._long(x, k, out)
                     continue
+                # probabilities as they are: logarithms only for words that are too unlikely for them
+                faint = self._expected(c, n, out)
+                if not len(faint):
+                    continue
+                c, n = c[faint], n[faint]
                 arcs, found, weight = [], [], []
                 alpha = self._forward(c, arcs)
                 beta = np.full(alpha.shape, -np.inf)
@@ -200,3 +208,30 @@ class Lattice:
                     beta[start, at] = np.logaddexp(beta[start, at], through)
                 out += np.bincount(np.concatenate(found), np.concatenate(weight), len(out))
         return out
+
+    def _expected(self, c: np.ndarray, n: np.ndarray, out: np.ndarray) -> np.ndarray:
+        """Adds the expected pieces of words of one length that occur ``n`` times; the rows of those under ``_FAINT`` are left out and returned."""
+        arcs, found, weight = [], [], []
+        alpha = np.zeros((c.shape[1] + 1, c.shape[0]))
+        alpha[0] = 1.0
+        for end, start, rows, ids, lp in self._arcs(c):
+            p = np.exp(lp) if end - start == 1 else self.p[ids]
+            alpha[end, rows] += alpha[start, rows] * p
+            arcs.append((end, start, rows, ids, p))
+        fine = alpha[-1] > _FAINT
+        beta = np.zeros(alpha.shape)
+        beta[-1, fine] = n[fine] / alpha[-1, fine]  # 0 for the others: they give nothing
+        for end, start, at, ids, p in reversed(arcs):
+            through = p * beta[end, at]
+            post = alpha[start, at] * through
+            if end - start == 1:
+                off = np.flatnonzero(ids < 0)
+                for i in off:
+                    np.add.at(out, self._byte_pieces(int(c[at[i], start])), post[i])
+                if len(off):
+                    ids, post = ids[ids >= 0], post[ids >= 0]
+            found.append(ids)
+            weight.append(post)
+            beta[start, at] += through
+        out += np.bincount(np.concatenate(found), np.concatenate(weight), len(out))
+        return np.flatnonzero(~fine)

@@ -2,14 +2,13 @@
 
 The pieces are those of an existing subword vocabulary. Its scores give the first weights (a BPE file's
 scores are ranks, read as a Zipf law). Expectation-maximisation sets the weights, the first ones staying in
-as a prior: some rounds over a bounded sample of words to start, then one round over the word counts of all
-training texts. A word's probability is the sum over its segmentations, by a log-space forward recursion over
+as a prior: every round runs over the word counts of all training texts. A word's probability is the sum over its segmentations, by a log-space forward recursion over
 its lattice, divided by the sum over all words and the end (``token_mass``): a distribution over tokens. That is
 ``lattice_score``. For ``score`` the lattice of a word that occurs in training texts has one more arc, the whole word
 by its count less a ``discount``, over the number of training tokens; what all words are discounted is shared out by the
 lattice of pieces, among all words. So the probabilities of all tokens have the sum 1 at most, and a text is its tokens
-and one end. The discount is the one with the best likelihood of held-back training documents (a tenth, by a hash of
-their text) under the word counts of the others.
+and one end. The discount is the one with the best likelihood of all training documents, each held back once: in five
+folds, by a hash of their text, each under the word counts of the four others.
 
 Words are counted over all texts. The ``frequent`` most common words are broadcast and scored where the
 texts are read; all others are joined by a shuffle, so no table of the corpus is held in one place.
@@ -39,6 +38,9 @@ LOG10 = math.log(10.0)
 MEMO = 400_000
 #: Words in one Arrow batch.
 WORD_ROWS = 20_000
+#: Folds of the training texts; columns with a word's count in each.
+FOLDS = 5
+IN_FOLD = [f"f{k}" for k in range(FOLDS)]
 
 
 @dataclass
@@ -82,20 +84,22 @@ def token_mass(vocab: Vocabulary) -> float:
 
 
 def word_counts(docs: DataFrame, text_col: str, train: Column) -> DataFrame:
-    """Every word of all texts: word binary, c (in training texts), d (in held-back ones of these), n (in all); the end
+    """Every word of all texts: word binary, c (in training texts), f0 to f4 (in each fold of these), n (in all); the end
     token is the empty word."""
     small_batches(docs.sparkSession)
+    sums = [*IN_FOLD, "n"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple[Counter, ...] = (Counter(), Counter(), Counter())  # not learned from, learned from, held back
+        held: tuple[Counter, ...] = tuple(Counter() for _ in range(FOLDS + 1))  # the folds, not learned from
 
         def flush() -> pa.RecordBatch:
-            words = list(held[0].keys() | held[1].keys() | held[2].keys())
-            rest, own, back = ([k.get(w, 0) for w in words] for k in held)
-            for k in held:
+            at = {w: i for i, w in enumerate(dict.fromkeys(w for k in held for w in k))}
+            counts = np.zeros((FOLDS + 1, len(at)), np.int64)
+            for row, k in zip(counts, held, strict=True):
+                row[np.fromiter(map(at.__getitem__, k), np.int64, len(k))] = np.fromiter(k.values(), np.int64, len(k))
                 k.clear()
-            c = np.array(own, np.int64) + np.array(back, np.int64)
-            return pa.record_batch([pa.array(words, pa.binary()), pa.array(c), pa.array(back, pa.int64()), pa.array(c + np.array(rest, np.int64))], names=["word", "c", "d", "n"])
+            counts[FOLDS] = counts.sum(0)
+            return pa.record_batch([pa.array(at, pa.binary()), *map(pa.array, counts)], names=["word", *sums])
 
         for b in batches:
             for t, kind in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
@@ -106,12 +110,13 @@ def word_counts(docs: DataFrame, text_col: str, train: Column) -> DataFrame:
                 yield flush()
         yield flush()
 
-    back = F.pmod(F.xxhash64(text_col, F.lit(3)), F.lit(10)) == 0
-    rows = docs.select(F.col(text_col), F.when(F.coalesce(train, F.lit(False)), F.when(back, 2).otherwise(1)).otherwise(0).alias("_train"))
-    return rows.mapInArrow(release_after(run), "word binary, c bigint, d bigint, n bigint").groupBy("word").agg(*[F.sum(x).alias(x) for x in ("c", "d", "n")])
+    fold = F.pmod(F.xxhash64(text_col, F.lit(3)), F.lit(FOLDS)).cast("int")
+    rows = docs.select(F.col(text_col), F.when(F.coalesce(train, F.lit(False)), fold).otherwise(FOLDS).alias("_fold"))
+    got = rows.mapInArrow(release_after(run), "word binary, " + ", ".join(f"{x} bigint" for x in sums)).groupBy("word").agg(*[F.sum(x).alias(x) for x in sums])
+    return got.select("word", sum(map(F.col, IN_FOLD)).alias("c"), *sums)
 
 
-def train_pieces(words: DataFrame, vocab: Vocabulary, rounds: int = 2, prior: float = 1000.0) -> Vocabulary:
+def train_pieces(words: DataFrame, vocab: Vocabulary, rounds: int = 4, prior: float = 1000.0) -> Vocabulary:
     """Re-estimate the pieces' probabilities from word counts (word, c) by expectation-maximisation."""
     sc = words.sparkSession.sparkContext
     first = np.exp(vocab.logp)
@@ -149,39 +154,44 @@ def mixed(c: np.ndarray, total: int, size: int, sub: np.ndarray, discount: float
     return np.logaddexp(arc, rest + sub * LOG10) / LOG10
 
 
-def _mixed(c: Column, total: int, size: int, sub: Column, discount: float) -> Column:
+def _mixed(c: Column, total: Column, size: Column, sub: Column, discount: float) -> Column:
     """As ``mixed``, for a discount over 0 and under 1."""
-    if not total:
-        return sub
-    rest = sub + math.log10(discount * size / total)
-    arc = F.log10((c - discount) / total)
+    n = F.greatest(total, F.lit(1))
+    rest = sub + F.log10(discount * F.greatest(size, F.lit(1)) / n)
+    arc = F.log10((c - discount) / n)
     m = F.greatest(arc, rest)
-    return F.when(c > 0, m + F.log10(F.pow(F.lit(10.0), arc - m) + F.pow(F.lit(10.0), rest - m))).otherwise(rest)
+    both = F.when(c > 0, m + F.log10(F.pow(F.lit(10.0), arc - m) + F.pow(F.lit(10.0), rest - m))).otherwise(rest)
+    return F.when(total > 0, both).otherwise(sub)
 
 
-def fit_discount(rare: DataFrame, top: tuple[np.ndarray, ...], total: int, size: int) -> float:
-    """The discount with the best likelihood of the held-back tokens, from the ``total`` others, ``size`` distinct ones."""
-    if not total:
+def fit_discount(rare: DataFrame, top: tuple[np.ndarray, ...], totals: list[int], sizes: list[int]) -> float:
+    """The discount with the best likelihood of all tokens, those of a fold from the others: ``totals`` ones, ``sizes`` distinct ones
+    without each fold. ``top``: c, the values and the counts in each fold of the words that are not in ``rare``."""
+    if not any(totals):
         return 0.5
-    row = rare.where("d > 0").agg(*[F.sum(F.col("d") * _mixed(F.col("c") - F.col("d"), total, size, F.col("sub"), x)) for x in DISCOUNTS]).first()
-    c, d, sub = top
-    on = d > 0
-    sums = [(r or 0.0) + float((d[on] * mixed(c[on] - d[on], total, size, sub[on], x)).sum()) for r, x in zip(row, DISCOUNTS, strict=True)]
+    at = lambda values: F.get(F.array(*[F.lit(v).cast("bigint") for v in values]), F.col("k"))
+    held = rare.select("c", "sub", F.posexplode(F.array(*IN_FOLD)).alias("k", "d")).where("d > 0").select("d", "sub", (F.col("c") - F.col("d")).alias("o"), at(totals).alias("n"), at(sizes).alias("v"))
+    row = held.agg(*[F.sum(F.col("d") * _mixed(F.col("o"), F.col("n"), F.col("v"), F.col("sub"), x)) for x in DISCOUNTS]).first()
+    c, sub, folds = top
+    sums = [r or 0.0 for r in row]
+    for d, total, size in zip(folds, totals, sizes, strict=True):
+        on = d > 0
+        sums = [s + float((d[on] * mixed(c[on] - d[on], total, size, sub[on], x)).sum()) for s, x in zip(sums, DISCOUNTS, strict=True)]
     return DISCOUNTS[int(np.argmax(sums))]
 
 
-def score_texts(docs: DataFrame, vocab: Vocabulary, *, train: Column, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), frequent: int = 1 << 16, discount: float | None = None, warm_words: int = 100_000, warm_rounds: int = 3) -> DataFrame:
+def score_texts(docs: DataFrame, vocab: Vocabulary, *, train: Column, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), frequent: int = 1 << 16, discount: float | None = None, rounds: int = 4) -> DataFrame:
     """The columns of ``keep`` and n_tokens, n_known, train_tokens, base_score, lattice_score and score of each whole text."""
     spark = docs.sparkSession
     small_batches(spark)
     new = {"n_tokens": F.lit(0).cast("bigint"), "n_known": F.lit(0).cast("bigint"), "train_tokens": F.lit(0).cast("bigint")} | {x: F.lit(0.0).cast("double") for x in ("base_score", "lattice_score", "score")}
     out_schema(docs, keep, new)  # names must differ
     words = cut(word_counts(docs, text_col, train), "lm-words")
-    row = words.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.when(F.col("c") > 0, 1)).alias("v"), F.coalesce(F.sum("d"), F.lit(0)).alias("d"), F.count(F.when(F.col("c") > F.col("d"), 1)).alias("own")).first()
+    counted = [F.count(F.when(F.col("c") > 0, 1)).alias("v"), *[F.coalesce(F.sum(k), F.lit(0)).alias(k) for k in IN_FOLD], *[F.count(F.when(F.col("c") > F.col(k), 1)).alias(f"without_{k}") for k in IN_FOLD]]
+    row = words.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), *counted).first()
     total, size = int(row["n"]), int(row["v"])
-    few = words.where(F.pmod(F.xxhash64("word"), F.lit(1 << 30)) < F.lit(int(min(1.0, warm_words / max(1, size)) * (1 << 30))))
     with batch_rows(spark, WORD_ROWS):
-        vocab = train_pieces(words, train_pieces(few, vocab, warm_rounds), 1)
+        vocab = train_pieces(words, vocab, rounds)
     floor = total + 0.1 * (size + 1)
     held = spark.sparkContext.broadcast((vocab, math.log(token_mass(vocab))))
 
@@ -194,19 +204,19 @@ def score_texts(docs: DataFrame, vocab: Vocabulary, *, train: Column, text_col:
             sub = np.array([v.logp[v.end] if not x else 0.0 for x in w])
             some = [i for i, x in enumerate(w) if x]
             sub[some] = lattice.log_prob([w[i] for i in some])
-            yield pa.record_batch([*b.columns, pa.array(np.log10((c + 0.1) / floor)), pa.array((sub - mass) / LOG10)], names=["word", "c", "d", "base", "sub"])
+            yield pa.record_batch([*b.columns, pa.array(np.log10((c + 0.1) / floor)), pa.array((sub - mass) / LOG10)], names=[*b.schema.names, "base", "sub"])
 
-    table_schema = "word binary, c bigint, d bigint, base double, sub double"
-    top = words.orderBy(F.desc("n"), "word").limit(frequent).select("word", "c", "d")
+    table_schema = f"word binary, c bigint, {', '.join(f'{k} bigint' for k in IN_FOLD)}, base double, sub double"
+    top = words.orderBy(F.desc("n"), "word").limit(frequent).select("word", "c", *IN_FOLD)
     with batch_rows(spark, WORD_ROWS):
         top_rows = top.mapInArrow(release_after(value_rows), table_schema).toArrow()
     rare = words.join(F.broadcast(top.select("word")), "word", "left_anti") if frequent else words
     with batch_rows(spark, WORD_ROWS):
-        rare = cut(rare.select("word", "c", "d").mapInArrow(release_after(value_rows), table_schema), "lm-rare")
-    c, d, base, sub = (top_rows[x].to_numpy() for x in ("c", "d", "base", "sub"))
-    discount = fit_discount(rare, (c, d, sub), total - int(row["d"]), int(row["own"])) if discount is None else discount
+        rare = cut(rare.select("word", "c", *IN_FOLD).mapInArrow(release_after(value_rows), table_schema), "lm-rare")
+    c, base, sub, *folds = (top_rows[x].to_numpy() for x in ("c", "base", "sub", *IN_FOLD))
+    discount = fit_discount(rare, (c, sub, folds), [total - int(row[k]) for k in IN_FOLD], [int(row[f"without_{k}"]) for k in IN_FOLD]) if discount is None else discount
     top_held = spark.sparkContext.broadcast((top_rows["word"].to_pylist(), c, base, sub, mixed(c, total, size, sub, discount)))
-    del top_rows
+    del top_rows, folds
 
     rows = docs.select(*keep, F.col(text_col).alias("_lm_text")).withColumn("_row", F.monotonically_increasing_id())
     n_keep = len(keep)
@@ -245,7 +255,7 @@ def score_texts(docs: DataFrame, vocab: Vocabulary, *, train: Column, text_col:
             yield pa.record_batch([b.column(n_keep + 1).take(take), *[b.column(j).take(take) for j in range(n_keep)], pa.array(word, pa.binary()), pa.array(tf, pa.int64()), *[pa.array(x, pa.int64() if j < 2 else pa.float64()) for j, x in enumerate(cols)]], names=schema.names)
 
     parts = rows.mapInArrow(release_after(read), schema)
-    values = rare.select(F.col("word").alias("_word"), F.col("c").alias("_c"), F.col("base").alias("_base"), F.col("sub").alias("_sub"), _mixed(F.col("c"), total, size, F.col("sub"), discount).alias("_mix"))
+    values = rare.select(F.col("word").alias("_word"), F.col("c").alias("_c"), F.col("base").alias("_base"), F.col("sub").alias("_sub"), _mixed(F.col("c"), F.lit(total), F.lit(size), F.col("sub"), discount).alias("_mix"))
     joined = parts.join(values, "_word", "left")
     total_of = {"n_tokens": F.col("_n"), "n_known": F.col("_k"), "base_score": F.col("_b"), "lattice_score": F.col("_s"), "score": F.col("_m")}
     more = {"n_tokens": F.lit(0), "n_known": F.when(F.col("_c") > 0, F.col("_tf")), "base_score": F.col("_tf") * F.col("_base"), "lattice_score": F.col("_tf") * F.col("_sub"), "score": F.col("_tf") * F.col("_mix")}  # tokens are counted where the text is read

@@ -21,7 +21,7 @@ from lumora.llm.decontaminate import find_leaks
 from lumora.llm.grams import Grams
 from lumora.llm.language import fit_language, predict_language
 from lumora.llm.lattice import Lattice
-from lumora.llm.lm import Vocabulary, mixed, score_texts, token_mass, tokens
+from lumora.llm.lm import DISCOUNTS, Vocabulary, mixed, score_texts, token_mass, tokens
 from lumora.llm.quality import _fit_risk, _objective, _roughness
 from lumora.llm.quality import bound_prior, fit_quality, pu_risk, score_quality
 from lumora.llm.queries import oracle_sql, queries, tokenizer_path
@@ -441,6 +441,42 @@ def test_lm_score_by_hand(spark):
         assert r["score"] == r["lattice_score"] < -300 and r["base_score"] == 0
 
 
+def test_lm_learns_from_all(spark):
+    """Pieces by expectation-maximisation over all training words in every round, the discount with all training texts held back once."""
+    rnd = random.Random(83)
+    rows = [(i, text(rnd, rnd.randint(0, 30), WORDS[:60]) + f" only{i}", "en") for i in range(80)]
+    docs = docs_of(spark, rows)
+    vocab = Vocabulary.load(tokenizer_path("piece_bpe_32k.model"))
+    fold_of = {r["doc_id"]: r["f"] for r in docs.select("doc_id", F.pmod(F.xxhash64("text", F.lit(3)), F.lit(5)).alias("f")).collect()}
+    learned = [(fold_of[i], w) for i, t, _ in rows if __import__("zlib").crc32(str(i).encode()) % 10 for w in [*tokens(t), b""]]
+    counts, first, trained = collections.Counter(w for _, w in learned), np.exp(vocab.logp), vocab
+    words = [w for w in counts if w]
+    for _ in range(4):
+        lattice = Lattice(trained.pieces, trained.logp, trained.bytes_at)
+        total = lattice.expected(words, np.array([counts[w] for w in words]))
+        total[vocab.end] += counts[b""]
+        trained = Vocabulary(vocab.pieces, np.log((total + 1000.0 * first) / (total.sum() + 1000.0)), vocab.bytes_at, vocab.end)
+    every = sorted({w for _, t, _ in rows for w in tokens(t)})
+    sub = dict(zip(every, Lattice(trained.pieces, trained.logp, trained.bytes_at).log_prob(every), strict=True)) | {b"": trained.logp[vocab.end]}
+    sub = {w: (x - np.log(token_mass(trained))) / np.log(10) for w, x in sub.items()}
+
+    def value(c, n, v, w, x):
+        return np.log10(max(c - x, 0) / n + x * v / n * 10 ** sub[w])
+
+    def held_back(x):
+        out = 0.0
+        for f in range(5):
+            rest = collections.Counter(w for k, w in learned if k != f)
+            out += sum(value(rest[w], sum(rest.values()), len(rest), w, x) for k, w in learned if k == f)
+        return out
+
+    best = max(DISCOUNTS, key=held_back)
+    want = {i: (sum(sub[w] for w in [*tokens(t), b""]), sum(value(counts[w], len(learned), len(counts), w, best) for w in [*tokens(t), b""])) for i, t, _ in rows}
+    for frequent in (0, 20, 10000):
+        for r in score_texts(docs, vocab, train=fold("doc_id", 10) != 0, frequent=frequent).collect():
+            assert np.allclose((r["lattice_score"], r["score"]), want[r["doc_id"]], rtol=1e-9)
+
+
 def test_lm_scores(spark):
     rnd = random.Random(8)
     rows = [(i, text(rnd, 40), "en") for i in range(100)] + ODD[:5] + ODD[6:] + [(3, "The SAME id again", "en")]
