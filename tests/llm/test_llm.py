@@ -689,6 +689,36 @@ def test_urls(spark):
     assert judge_urls(empty(df), rules, fit_urls(empty(df), rules)).count() == 0
 
 
+def test_urls_learn_from_all(spark):
+    """Scores and threshold by the definition, from all URLs that a rule judges: more of them than any sample took."""
+    rnd = random.Random(11)
+    rules = [Rule("org", "", "allow"), Rule("com", "", "block")]
+    urls = [f"x://{''.join(rnd.choices('abcd', (5, 3, 2, 1), k=rnd.randint(1, 6)))}.org" for _ in range(150)] + [f"x://{''.join(rnd.choices('abcd', (1, 2, 3, 5), k=rnd.randint(1, 6)))}.com" for _ in range(5200)] + [f"x://{''.join(rnd.choices('abcde', k=4))}.net/é" for _ in range(40)]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id bigint, url string")
+    model = fit_urls(pages, rules, order=2, frequent=50)
+    parts = [u[4:] for u in urls]
+    fold_of = {r["page_id"]: r["f"] for r in pages.select("page_id", F.pmod(F.xxhash64(F.substring("url", 5, 100), F.lit("")), F.lit(5)).alias("f")).collect()}
+
+    def raw(t, a, b):
+        s = "\x02\x02" + t + "\x03"
+        return sum(np.log(a.prob(s[i - 2 : i], s[i]) / b.prob(s[i - 2 : i], s[i])) for i in range(2, len(s))) / (len(t) + 1)
+
+    of = {c: [(fold_of[i], t) for i, t in enumerate(parts) if t.endswith(c)] for c in (".org", ".com")}
+    scores = {c: [] for c in of}
+    for f in range(5):
+        a, b = (Markov([t for k, t in x if k != f], 2, 3) for x in of.values())
+        for c, x in of.items():
+            scores[c] += [raw(t, a, b) for k, t in x if k == f]
+    a, b = (np.sort(x) for x in scores.values())
+    points = np.unique(np.round(np.concatenate([a, b]), 7))
+    good = lambda c: round((a >= c).mean() + (b < c).mean(), 9)
+    best = max([0.0, *(points[1:] + points[:-1]) / 2], key=lambda c: (good(c), -abs(c), c))
+    assert abs(model.threshold - best) < 1e-6
+    whole = [Markov([t for _, t in x], 2, 3) for x in of.values()]
+    for r in judge_urls(pages, rules, model, frequent=50).collect():
+        assert abs(r["score"] - (raw(parts[r["page_id"]], *whole) - model.threshold)) < 1e-7
+
+
 def test_drop_ids(spark):
     rows = spark.createDataFrame([(1, "a"), (None, "b"), (2, "c")], "doc_id bigint, t string")
     assert sorted(r["t"] for r in drop_ids(rows, spark.createDataFrame([(2,), (2,)], "doc_id bigint"), "doc_id").collect()) == ["a", "b"]
