@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 import random
 
 import numpy as np
 from pyspark.sql import functions as F
 
 from lumora.operators import graph
+from lumora.operators.audit import group_ids
 from lumora.operators.graph import components, cycle_nodes
 from lumora.operators.ordered import percentiles, running_sums
 
@@ -68,3 +70,20 @@ def test_hubs(spark, monkeypatch):
     links = [(5, 1000 + i) for i in range(300)] + [(1000 + i, 2000 + i) for i in range(300)] + [(3, 2299), (7000, 7001)]
     got = {r["u"]: r["root"] for r in components(spark.createDataFrame(links, "u bigint, v bigint")).collect()}
     assert got == {i: 3 for i in {x for link in links[:-1] for x in link} - {3}} | {7001: 7000}
+
+
+def test_ids_of_a_large_group_are_hashed_as_a_stream(spark):
+    """No task collects a group's ids: they come sorted, a batch at a time, and a group may begin and end anywhere in a batch."""
+    ids = {"big": [f"é{i}" for i in range(100)] + [None], "a": ["x"], "b": ["9", "10", "\U0001f600", "\uffff"], None: ["n", "m"], "none": [None, None]}
+    df = spark.createDataFrame([(g, x) for g, xs in ids.items() for x in xs], "root string, id string").repartition(5)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        named = group_ids(df, "id")
+        assert "collect_list" not in named._jdf.queryExecution().executedPlan().toString()
+        got = {r["root"]: (r["group_id"], r["size"]) for r in named.collect()}
+        assert group_ids(df.where("false"), "id").collect() == []
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    lines = {g: "\n".join(sorted((x for x in xs if x is not None), key=str.encode)) for g, xs in ids.items()}
+    assert got == {g: (hashlib.sha256(lines[g].encode()).hexdigest()[:20], len(xs)) for g, xs in ids.items()}
