@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from lumora.operators.detections import match_boxes, positional_errors
 from lumora.operators.fingerprints import add_phash, dhash, hash_bits
-from lumora.operators.manifest import assign_groups, canonical_hash, check_lock, make_lock, manifest_components, manifest_digest, record_json, record_violations
+from lumora.operators.manifest import assign_groups, canonical_hash, check_lock, eligible, make_lock, manifest_components, manifest_digest, record_json, record_violations
 from lumora.sources.writers import append_register, recover_history, replace_history, write_by_split
 
 RECORD = """id string, path string, source_image string, parent_capture string, session_id string, physical_tile_set string, dataset_version string, sha256 string, source_sha256 string, split string,
@@ -54,6 +54,26 @@ def test_splits_of_groups(spark):
         assign_groups(df, root="root", seed="s", ratios={"unassigned": 1.0})
 
 
+def test_ids_of_a_large_group_are_dealt_as_a_stream(spark):
+    """No task collects a group's ids to deal its split; a group that no split takes and a group without a root are as before."""
+    df = records(spark, *[{"id": f"é{i}"} for i in range(60)], {"id": "x"}, {"id": "k", "upstream_training_status": "known_in_training"})
+    df = df.withColumn("root", F.when(F.col("id") == "x", "x").when(F.col("id") == "k", "k").otherwise("big"))
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        dealt = assign_groups(df, root="root", seed="s", ratios={"holdout": 0.5, "internal_test": 0.5})
+        assert "collect_list" not in dealt._jdf.queryExecution().executedPlan().toString()
+        got = {r["id"]: r["to_split"] for r in dealt.collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    fits = {r["id"]: r["fits"] for r in df.select("id", eligible("holdout").alias("fits")).collect()}
+    for group in ([f"é{i}" for i in range(60)], ["x"]):
+        value = int.from_bytes(hashlib.sha256(("s\0" + "\0".join(sorted(group))).encode()).digest(), "big") / 2**256
+        want = "internal_test" if not all(fits[i] for i in group) or value >= 0.5 else "holdout"
+        assert {got[i] for i in group} == {want}
+    assert got["k"] is None and len(got) == 62
+
+
 def test_manifest_hash_and_lock(spark):
     rows = [{"id": f"é{i}", "parent_ids": ["b", "a"], "notes": 'say "x"\n' if i % 2 else None, "session_id": None} for i in range(30)]
     want = [{k: (sorted(v) if isinstance(v, list) else v) for k, v in (FINE | r).items() if v is not None or k == "session_id"} for r in rows]
