@@ -232,6 +232,17 @@ def test_near_pairs_are_joined_by_a_shuffle(spark, monkeypatch):
     assert near_pairs(same.limit(0), bits_col="bits", id_col="id", distance=4).count() == 0
 
 
+def test_near_pairs_have_as_many_tasks_as_candidates_ask_for(spark, monkeypatch):
+    """Rows are few bytes, so Spark would join them in 4 tasks at most here, however many candidates they make."""
+    monkeypatch.setattr(fingerprints, "TASK_CANDIDATES", 500, raising=False)
+    rnd = random.Random(9)
+    bits = [rnd.getrandbits(8) for _ in range(200)]
+    got = near_pairs(spark.createDataFrame(list(enumerate(bits)), "id int, bits bigint"), bits_col="bits", id_col="id", distance=2)
+    rows = got.select("a.id", "b.id", F.spark_partition_id()).collect()
+    assert sorted((a, b) for a, b, _ in rows) == [(i, j) for (i, a), (j, b) in itertools.combinations(enumerate(bits), 2) if (a ^ b).bit_count() <= 2]
+    assert len({p for *_, p in rows}) > 8
+
+
 def test_groups_of_near_fingerprints_need_no_broadcast_join(spark, monkeypatch):
     monkeypatch.setattr(fingerprints, "HOT_ROWS", 5)
     bits = [random.Random(i // 3).getrandbits(24) ^ (1 << i % 3) for i in range(90)]
